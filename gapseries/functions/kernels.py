@@ -1,0 +1,48 @@
+"""Covariance kernels as column expressions (and their NumPy twins).
+
+The column forms let a within-series self join compute a covariance matrix in
+SQL (one row per (i, j)); the NumPy forms are used inside the vectorised GP
+kernels.  Both must give the same numbers.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from gapseries.functions.columns import col
+
+
+def rational_quadratic(t1, t2, sigma2: float, alpha: float, tau: float) -> Column:
+    """sigma2 * (1 + d^2 / (2 alpha tau^2)) ^ -alpha."""
+    d2 = F.pow(col(t1) - col(t2), 2)
+    return F.lit(sigma2) * F.pow(d2 / F.lit(2.0 * alpha * tau * tau) + F.lit(1.0), F.lit(-alpha))
+
+
+def squared_exponential(t1, t2, sigma2f: float, sigma2n: float, length: float) -> Column:
+    """sigma2f * exp(-d^2 / (2 l^2)), plus sigma2n where the two times are equal."""
+    d2 = F.pow(col(t1) - col(t2), 2)
+    base = F.lit(sigma2f) * F.exp(-d2 / F.lit(2.0 * length * length))
+    return base + F.when(col(t1) == col(t2), F.lit(sigma2n)).otherwise(F.lit(0.0))
+
+
+def kernel_column(kind: str, t1, t2, **params) -> Column:
+    if kind == "rq":
+        return rational_quadratic(t1, t2, params["sigma2"], params["alpha"], params["tau"])
+    if kind == "se":
+        return squared_exponential(t1, t2, params["sigma2f"], params["sigma2n"], params["length"])
+    raise ValueError(f"unknown kernel {kind!r}")
+
+
+def rq_numpy(d2: np.ndarray, sigma2: float, alpha, tau) -> np.ndarray:
+    """NumPy twin of :func:`rational_quadratic` on squared distances.
+
+    ``alpha`` and ``tau`` may be arrays broadcastable against ``d2``.
+    """
+    return sigma2 * np.power(d2 / (2.0 * alpha * tau * tau) + 1.0, -alpha)
+
+
+def se_numpy(d2: np.ndarray, same: np.ndarray, sigma2f: float, sigma2n: float,
+             length: float) -> np.ndarray:
+    return sigma2f * np.exp(-d2 / (2.0 * length * length)) + np.where(same, sigma2n, 0.0)
