@@ -77,3 +77,22 @@ def binary_label(c: str | Column, positive) -> Column:
 
 def log_2pi() -> float:
     return math.log(2.0 * math.pi)
+
+
+def grid_values(lo: float, hi: float, step: float, accumulate: bool = False) -> list[float]:
+    """Inclusive ``lo .. hi by step``.
+
+    Values are ``lo + i * step`` by default; ``accumulate=True`` adds the step
+    repeatedly instead (a running double sum), which reproduces the last-digit
+    values a sequential double range produces.
+    """
+    if step <= 0:
+        raise ValueError("step must be positive")
+    n = int(math.floor(round((hi - lo) / step, 9))) + 1
+    if not accumulate:
+        return [lo + i * step for i in range(n)]
+    out, x = [], lo
+    for _ in range(n):
+        out.append(x)
+        x += step
+    return out

@@ -292,14 +292,15 @@ def q_standardize(spark, sf):
 
 # ---------------------------------------------------------- cohort series ---
 
-def _cohort_sql(codes: list[str]) -> str:
+def _cohort_sql(codes: list[str], rounded: bool = True) -> str:
     code_list = ", ".join(f"'{c}'" for c in codes)
     src = f"""SELECT * FROM (
   SELECT e.*, c.category, count(*) OVER (PARTITION BY e.entity, e.item) AS pair_n
   FROM ({td.SQL_EVENTS}) e JOIN ({td.SQL_EVENT_ITEMS}) d ON e.item = d.item
   JOIN ({LABELS_SQL}) c ON e.entity = c.entity WHERE d.item_code IN ({code_list})) x WHERE pair_n >= 3"""
-    return f"""SELECT entity, item, unit, category, event_id, round(t_rel, {R}) AS t_rel,
-  round(t_warped, {R}) AS t_warped, value,
+    rt, rw = ((f"round(t_rel, {R})", f"round(t_warped, {R})") if rounded else ("t_rel", "t_warped"))
+    return f"""SELECT entity, item, unit, category, event_id, {rt} AS t_rel,
+  {rw} AS t_warped, value,
   CASE WHEN {hash_sql(['entity', 'item', 'unit'], SEED)}::DOUBLE / 4294967296.0::DOUBLE < 0.7
        THEN 'train' ELSE 'test' END AS split
 FROM ({_warp_sql(src, 'entity, item, unit, category')}) w"""
@@ -380,3 +381,116 @@ def q_classification_metrics(spark, sf):
     lab = td.table(spark, sf, "labels")
     m = me.classification_metrics(lab, "quality", "toxic")
     return m.select(*[rnd(c) for c in m.columns])
+
+
+# ------------------------------------------------------- Gaussian process ---
+# The optimum recorded for the original 428 vs 571 cohort,
+# used as the fixed hyperparameters of the GP queries.
+GP_SIGMA2, GP_ALPHA, GP_TAU = 0.05, 3.5, 1.25
+GP_STEP, GP_PADDING = 0.25, 20.0
+GP_KEYS = ["entity", "item", "unit", "category", "split"]
+_Y = 1000000          # index of the y row/column in the bordered matrix
+_G = 2000000          # first index of the grid rows/columns
+
+
+def _gp_points_sql() -> str:
+    """Standardised points with 1-based index per series and series id."""
+    return f"""
+pts AS (SELECT entity, item, unit, category, split, t_warped AS tw, value AS v,
+          row_number() OVER (PARTITION BY entity, item, unit, category, split
+                             ORDER BY t_rel, event_id) AS i,
+          dense_rank() OVER (ORDER BY entity, item, unit, category, split) AS s
+        FROM ({COHORT_ALL_RAW_SQL}) c),
+st AS (SELECT s, count(*) AS n, avg(v) AS mu FROM pts GROUP BY s),
+sd AS (SELECT p.s, CASE WHEN sqrt(sum((p.v - st.mu) * (p.v - st.mu))) > 1e-8
+                        THEN sqrt(sum((p.v - st.mu) * (p.v - st.mu))) ELSE 1.0 END AS scale
+       FROM pts p JOIN st ON p.s = st.s GROUP BY p.s),
+y AS (SELECT p.*, (p.v - st.mu) / sd.scale AS yv FROM pts p JOIN st ON p.s = st.s JOIN sd ON p.s = sd.s)"""
+
+
+def _rq_sql(a: str, b: str) -> str:
+    return (f"{GP_SIGMA2}::DOUBLE * pow(1.0::DOUBLE + ({a} - {b}) * ({a} - {b}) / "
+            f"(2.0::DOUBLE * {GP_ALPHA}::DOUBLE * {GP_TAU}::DOUBLE * {GP_TAU}::DOUBLE), "
+            f"-{GP_ALPHA}::DOUBLE)")
+
+
+_ELIM_SQL = """
+elim(k, s, i, j, x) AS (
+  SELECT 0, s, i, j, x FROM cells
+  UNION ALL
+  SELECT e.k + 1, e.s, e.i, e.j, e.x - a.x * b.x / p.x
+  FROM elim e
+  JOIN elim p ON p.s = e.s AND p.i = e.k + 1 AND p.j = e.k + 1
+  JOIN elim a ON a.s = e.s AND a.i = e.i AND a.j = e.k + 1
+  JOIN elim b ON b.s = e.s AND b.i = e.k + 1 AND b.j = e.j
+  WHERE e.i > e.k + 1 AND e.j > e.k + 1)"""
+
+_K_CELLS = f"""
+  SELECT a.s, a.i, b.i AS j, {_rq_sql('a.tw', 'b.tw')}
+         + CASE WHEN a.i = b.i THEN {GP_SIGMA2}::DOUBLE ELSE 0.0::DOUBLE END AS x
+  FROM y a JOIN y b ON a.s = b.s
+  UNION ALL SELECT s, i, {_Y}, yv FROM y
+  UNION ALL SELECT s, {_Y}, i, yv FROM y
+  UNION ALL SELECT s, {_Y}, {_Y}, 0.0::DOUBLE FROM st"""
+
+COHORT_ALL_RAW_SQL = _cohort_sql(ALL_ITEM_CODES, rounded=False)
+
+GP_LL_SQL = f"""
+WITH RECURSIVE {_gp_points_sql().strip()},
+cells AS ({_K_CELLS}),
+{_ELIM_SQL.strip()},
+piv AS (SELECT s, sum(ln(x)) AS logdet FROM elim WHERE i = k + 1 AND j = k + 1 GROUP BY s),
+fin AS (SELECT s, arg_max(x, k) AS schur FROM elim WHERE i = {_Y} AND j = {_Y} GROUP BY s),
+keys AS (SELECT DISTINCT s, entity, item, unit, category, split FROM pts)
+SELECT keys.entity, keys.item, keys.unit, keys.category, keys.split, CAST(st.n AS INTEGER) AS n,
+  round(st.mu, {R}) AS mean, round(sd.scale, {R}) AS l2_dev,
+  round(fin.schur / 2.0 - piv.logdet / 2.0 - st.n * ln(2.0 * pi()) / 2.0, {R}) AS log_likelihood
+FROM keys JOIN st ON keys.s = st.s JOIN sd ON keys.s = sd.s JOIN piv ON keys.s = piv.s
+JOIN fin ON keys.s = fin.s"""
+
+_PAD = GP_PADDING * GP_STEP / 2.0
+GP_RESAMPLE_SQL = f"""
+WITH RECURSIVE {_gp_points_sql().strip()},
+ext AS (SELECT s, min(tw) AS lo,
+          CAST(floor(round((max(tw) - min(tw) + {2 * _PAD}::DOUBLE) / {GP_STEP}::DOUBLE, 9)) AS INTEGER) + 1 AS m
+        FROM y GROUP BY s),
+grid AS (SELECT s, gi, lo - {_PAD}::DOUBLE + gi * {GP_STEP}::DOUBLE AS xg
+         FROM ext, unnest(generate_series(0, m - 1)) AS u(gi)),
+cells AS ({_K_CELLS}
+  UNION ALL SELECT y.s, y.i, {_G} + g.gi, {_rq_sql('y.tw', 'g.xg')} FROM y JOIN grid g ON y.s = g.s
+  UNION ALL SELECT y.s, {_G} + g.gi, y.i, {_rq_sql('y.tw', 'g.xg')} FROM y JOIN grid g ON y.s = g.s
+  UNION ALL SELECT s, {_G} + gi, {_Y}, 0.0::DOUBLE FROM grid
+  UNION ALL SELECT s, {_G} + gi, {_G} + gi, {GP_SIGMA2}::DOUBLE FROM grid),
+{_ELIM_SQL.strip()},
+fm AS (SELECT s, i - {_G} AS gi, arg_max(x, k) AS x FROM elim
+       WHERE i >= {_G} AND j = {_Y} GROUP BY s, i),
+fv AS (SELECT s, i - {_G} AS gi, arg_max(x, k) AS x FROM elim
+       WHERE i >= {_G} AND j = i GROUP BY s, i),
+keys AS (SELECT DISTINCT s, entity, item, unit, category, split FROM pts)
+SELECT keys.entity, keys.item, keys.unit, keys.category, keys.split, CAST(g.gi AS INTEGER) AS i,
+  round(g.xg, {R}) AS t_warped, round(-fm.x * sd.scale + st.mu, {R}) AS mean,
+  round(fv.x * sd.scale * sd.scale, {R}) AS variance
+FROM grid g JOIN keys ON g.s = keys.s JOIN st ON g.s = st.s JOIN sd ON g.s = sd.s
+JOIN fm ON g.s = fm.s AND g.gi = fm.gi JOIN fv ON g.s = fv.s AND g.gi = fv.gi"""
+
+
+def _gp_arrays(spark, sf):
+    from gapseries.operators.series import build_series
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    return build_series(coh, GP_KEYS, "value", tie="event_id")
+
+
+@register("gp_log_likelihood", GP_LL_SQL)
+def q_gp_log_likelihood(spark, sf):
+    from gapseries.operators import gp
+    ll = gp.gp_log_likelihood(_gp_arrays(spark, sf), GP_KEYS, GP_SIGMA2, GP_ALPHA, GP_TAU)
+    return ll.select(*GP_KEYS, "n", rnd("mean"), rnd("l2_dev"), rnd("log_likelihood"))
+
+
+@register("gp_resample", GP_RESAMPLE_SQL)
+def q_gp_resample(spark, sf):
+    from gapseries.plans.gp import resample_cohort
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    res = resample_cohort(coh, td.ROLES, GP_SIGMA2, GP_ALPHA, GP_TAU, step=GP_STEP,
+                          padding_length=GP_PADDING)
+    return res.select(*GP_KEYS, "i", rnd("t_warped"), rnd("mean"), rnd("variance"))
