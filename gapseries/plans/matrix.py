@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from gapseries.operators.cohort import item_support, min_length_pairs, supported_pairs
 from gapseries.operators.matrix import cooccurrence_cells, pivot_matrix, top_items
+from gapseries.session import cut_lineage
 
 
 def code_item_matrix(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
@@ -22,6 +23,10 @@ def code_item_matrix(events: DataFrame, items: DataFrame, diagnoses: DataFrame,
     With ``wide=False`` the long cells (category, item_code, n) are returned.
     """
     pairs = min_length_pairs(events, entity, item, min_length)
+    if wide:
+        # Two jobs read the pairs (pivot values, then the matrix): checkpoint
+        # the aggregate once so the large event join is not evaluated twice.
+        pairs = cut_lineage(pairs)
     support = item_support(pairs, item, min_support)
     good = supported_pairs(pairs, support, entity, item)
     top = top_items(support, items, item, n_items)

@@ -449,7 +449,9 @@ FROM keys JOIN st ON keys.s = st.s JOIN sd ON keys.s = sd.s JOIN piv ON keys.s =
 JOIN fin ON keys.s = fin.s"""
 
 _PAD = GP_PADDING * GP_STEP / 2.0
-GP_RESAMPLE_SQL = f"""
+def _gp_resample_sql(rounded: bool = True) -> str:
+    rd = (lambda e: f"round({e}, {R})") if rounded else (lambda e: e)
+    return f"""
 WITH RECURSIVE {_gp_points_sql().strip()},
 ext AS (SELECT s, min(tw) AS lo,
           CAST(floor(round((max(tw) - min(tw) + {2 * _PAD}::DOUBLE) / {GP_STEP}::DOUBLE, 9)) AS INTEGER) + 1 AS m
@@ -468,12 +470,16 @@ fv AS (SELECT s, i - {_G} AS gi, arg_max(x, k) AS x FROM elim
        WHERE i >= {_G} AND j = i GROUP BY s, i),
 keys AS (SELECT DISTINCT s, entity, item, unit, category, split FROM pts)
 SELECT keys.entity, keys.item, keys.unit, keys.category, keys.split, CAST(g.gi AS INTEGER) AS i,
-  round(g.xg, {R}) AS t_warped, round(-fm.x * sd.scale + st.mu, {R}) AS mean,
-  round(fv.x * sd.scale * sd.scale, {R}) AS variance
+  {rd('g.xg')} AS t_warped, {rd('-fm.x * sd.scale + st.mu')} AS mean,
+  {rd('fv.x * sd.scale * sd.scale')} AS variance
 FROM grid g JOIN keys ON g.s = keys.s JOIN st ON g.s = st.s JOIN sd ON g.s = sd.s
 JOIN fm ON g.s = fm.s AND g.gi = fm.gi JOIN fv ON g.s = fv.s AND g.gi = fv.gi"""
 
 
+GP_RESAMPLE_SQL = _gp_resample_sql(True)
+GP_RESAMPLE_RAW_SQL = _gp_resample_sql(False)
+
+
 def _gp_arrays(spark, sf):
     from gapseries.operators.series import build_series
     coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
@@ -494,3 +500,141 @@ def q_gp_resample(spark, sf):
     res = resample_cohort(coh, td.ROLES, GP_SIGMA2, GP_ALPHA, GP_TAU, step=GP_STEP,
                           padding_length=GP_PADDING)
     return res.select(*GP_KEYS, "i", rnd("t_warped"), rnd("mean"), rnd("variance"))
+
+
+# ----------------------------------------------------- patches & features ---
+PATCH_LEN = 20
+_PKEYS = ", ".join(GP_KEYS)
+
+
+def _gp_pred(spark, sf):
+    from gapseries.plans.gp import resample_cohort
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    return resample_cohort(coh, td.ROLES, GP_SIGMA2, GP_ALPHA, GP_TAU, step=GP_STEP,
+                           padding_length=GP_PADDING)
+
+
+def _patch_cols_sql(n: int) -> str:
+    return ", ".join([f"a[{k + 1}] AS f{k}" for k in range(n)]
+                     + [f"b[{k + 1}] AS f{n + k}" for k in range(n)])
+
+
+PATCHES_SQL = f"""
+SELECT {_PKEYS}, start, {_patch_cols_sql(PATCH_LEN)} FROM (
+  SELECT {_PKEYS}, CAST(i AS INTEGER) AS start,
+    list(mean) OVER w AS a, list(variance) OVER w AS b,
+    count(*) OVER (PARTITION BY {_PKEYS}) AS m
+  FROM ({GP_RESAMPLE_SQL}) g
+  WINDOW w AS (PARTITION BY {_PKEYS} ORDER BY i ROWS BETWEEN CURRENT ROW AND {PATCH_LEN - 1} FOLLOWING)
+) x WHERE start <= m - {PATCH_LEN} - 1"""
+
+
+def _patches(spark, sf):
+    from gapseries.operators.patches import extract_patches
+    return extract_patches(_gp_pred(spark, sf), GP_KEYS, PATCH_LEN)
+
+
+@register("extract_patches", PATCHES_SQL)
+def q_extract_patches(spark, sf):
+    from gapseries.operators.patches import feature_columns
+    wide = feature_columns(_patches(spark, sf), PATCH_LEN)
+    return wide.select(*GP_KEYS, "start", *[rnd(f"f{k}") for k in range(2 * PATCH_LEN)])
+
+
+SAMPLED_SQL = f"""
+SELECT {_PKEYS}, start FROM (
+  SELECT {_PKEYS}, start, row_number() OVER (ORDER BY
+    {hash_sql(GP_KEYS + ['start'], 'sample:0')}, {_PKEYS}, start) AS rn
+  FROM ({PATCHES_SQL}) p) r
+WHERE rn <= 3 * (SELECT count(*) FROM (SELECT DISTINCT {_PKEYS} FROM ({PATCHES_SQL}) p2) s)"""
+
+
+def _sampled(spark, sf):
+    from gapseries.operators.patches import sample_patches
+    return sample_patches(_patches(spark, sf), GP_KEYS, 3, 0)
+
+
+@register("sample_patches", SAMPLED_SQL)
+def q_sample_patches(spark, sf):
+    return _sampled(spark, sf).select(*GP_KEYS, "start")
+
+
+@register("validation_split", f"""
+SELECT {_PKEYS}, start, CASE WHEN {hash_sql(GP_KEYS + ['start'], 'validation:0')}::DOUBLE
+  / 4294967296.0::DOUBLE < 0.2 THEN 'validation' ELSE 'train' END AS fit_split
+FROM ({SAMPLED_SQL}) s WHERE split = 'train'""")
+def q_validation_split(spark, sf):
+    from gapseries.operators.patches import validation_split
+    s = _sampled(spark, sf).where(F.col("split") == "train")
+    return validation_split(s, GP_KEYS, 0.2, 0).select(*GP_KEYS, "start", "fit_split")
+
+
+@register("uncertainty_band", f"""
+SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round(mean - sqrt(greatest(variance, 0.0)), {R}) AS lower,
+  round(mean + sqrt(greatest(variance, 0.0)), {R}) AS upper
+FROM ({GP_RESAMPLE_RAW_SQL}) g""")
+def q_uncertainty_band(spark, sf):
+    from gapseries.functions.columns import uncertainty_band
+    pred = _gp_pred(spark, sf)
+    lo, hi = uncertainty_band("mean", "variance")
+    return pred.select(*GP_KEYS, "i", F.round(lo, R).alias("lower"), F.round(hi, R).alias("upper"))
+
+
+@register("standardized_predictions", f"""
+WITH g AS ({GP_RESAMPLE_RAW_SQL}),
+m AS (SELECT avg(mean) AS mm, stddev_samp(mean) AS sm, avg(variance) AS mv,
+             stddev_samp(variance) AS sv FROM g WHERE split = 'train')
+SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round((mean - mm) / sm, 4) AS mean,
+  round((variance - mv) / sv, 4) AS variance FROM g, m""")
+def q_standardized_predictions(spark, sf):
+    from gapseries.plans.features import standardize_predictions
+    std = standardize_predictions(_gp_pred(spark, sf))
+    return std.select(*GP_KEYS, "i", rnd("mean", 4), rnd("variance", 4))
+
+
+@register("series_overlay", f"""
+WITH g AS ({GP_RESAMPLE_RAW_SQL}), c AS ({COHORT_ALL_SQL})
+SELECT entity, item, unit, category, split, 'raw' AS kind, t_rel AS t, round(value, {R}) AS y FROM c
+UNION ALL SELECT entity, item, unit, category, split, 'warped', t_warped, round(value, {R}) FROM c
+UNION ALL SELECT {_PKEYS}, 'mean', round(t_warped, {R}), round(mean, {R}) FROM g
+UNION ALL SELECT {_PKEYS}, 'lower', round(t_warped, {R}),
+  round(mean - sqrt(greatest(variance, 0.0)), {R}) FROM g
+UNION ALL SELECT {_PKEYS}, 'upper', round(t_warped, {R}),
+  round(mean + sqrt(greatest(variance, 0.0)), {R}) FROM g""")
+def q_series_overlay(spark, sf):
+    from gapseries.operators.overlay import series_overlay
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    pred = _gp_pred(spark, sf)
+    ov = series_overlay(coh, pred, GP_KEYS, value="value")
+    return ov.select(*GP_KEYS, "kind", rnd("t"), rnd("y"))
+
+
+@register("gp_grid_search")
+def q_gp_grid_search(spark, sf):
+    from gapseries.operators import gp
+    from gapseries.plans.gp import cohort_series_arrays
+    train = _cohort_df(spark, sf, ITEM_CODE).where(F.col("split") == "train")
+    lls = gp.gp_grid_search(cohort_series_arrays(train, td.ROLES))
+    return lls.select("sigma2", "alpha", "tau", rnd("log_likelihood"), "n_series", "n_points")
+
+
+@register("gp_hyperparameters")
+def q_gp_hyperparameters(spark, sf):
+    from gapseries.plans.gp import optimize_hyperparameters
+    train = _cohort_df(spark, sf, ITEM_CODE).where(F.col("split") == "train")
+    return optimize_hyperparameters(train, td.ROLES, item_code=ITEM_CODE)
+
+
+@register("encode_patches")
+def q_encode_patches(spark, sf):
+    from gapseries.operators import autoencoder as ae
+    params = ae.init_params(2 * PATCH_LEN, 100, 100, seed=0)
+    enc = ae.encode(_sampled(spark, sf), params, layer=2, out="encoded")
+    return enc.select(*GP_KEYS, "start", "encoded")
+
+
+@register("phenotype_features")
+def q_phenotype_features(spark, sf):
+    from gapseries.plans.features import phenotype_features
+    keys = ["entity", "item", "unit", "category"]
+    return phenotype_features(_gp_pred(spark, sf), keys, "category", CODE1, steps=5)
