@@ -97,14 +97,17 @@ def build_series(points: DataFrame, keys: Sequence[str], value: str,
     silently cut: the collected group must fit one task.
     """
     df = points
+    val = F.col(value).cast("double")
     if max_points is not None:
+        # The check sits in the value expression itself, so column pruning
+        # cannot drop it.
         n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        df = df.withColumn("_n", n).withColumn(
-            "_ok", F.assert_true(F.col("_n") <= max_points,
-                                 F.lit(f"series longer than max_points={max_points}")))
+        df = df.withColumn("_n", n)
+        val = F.when(F.col("_n") <= max_points, val).otherwise(
+            F.raise_error(F.lit(f"series longer than max_points={max_points}")))
     tie_col = F.col(tie).cast("double") if tie else F.lit(0.0)
     pts = F.struct(F.col(t).alias("t"), tie_col.alias("k"), F.col(tw).alias("tw"),
-                   F.col(value).cast("double").alias("v"))
+                   val.alias("v"))
     agg = df.groupBy(*keys).agg(F.sort_array(F.collect_list(pts)).alias("_p"))
     return agg.select(*keys,
                       F.col("_p.t").alias("t"), F.col("_p.tw").alias("tw"),
