@@ -638,3 +638,58 @@ def q_phenotype_features(spark, sf):
     from gapseries.plans.features import phenotype_features
     keys = ["entity", "item", "unit", "category"]
     return phenotype_features(_gp_pred(spark, sf), keys, "category", CODE1, steps=5)
+
+
+@register("flatten_series", f"""
+SELECT entity, item, unit, category, t_rel, t_warped, value FROM ({COHORT_ALL_SQL}) c""")
+def q_flatten_series(spark, sf):
+    from gapseries.operators.series import build_series, flatten_series
+    keys = td.ROLES.series_key
+    nested = build_series(_cohort_df(spark, sf, ALL_ITEM_CODES), keys, "value", tie="event_id")
+    flat = flatten_series(nested, keys, value="value")
+    return flat.select(*keys, rnd("t_rel"), rnd("t_warped"), "value")
+
+
+@register("patch_counts", f"""
+SELECT {_PKEYS}, CAST(greatest(count(*) - {PATCH_LEN}, 0) AS INTEGER) AS n_patches,
+  CAST(greatest(count(*) - {PATCH_LEN} + 1, 0) AS INTEGER) AS n_patches_with_last
+FROM ({GP_RESAMPLE_RAW_SQL}) g GROUP BY {_PKEYS}""")
+def q_patch_counts(spark, sf):
+    from gapseries.operators.patches import patch_count
+    pred = _gp_pred(spark, sf)
+    a = patch_count(pred, GP_KEYS, PATCH_LEN)
+    b = patch_count(pred, GP_KEYS, PATCH_LEN, include_last=True).withColumnRenamed(
+        "n_patches", "n_patches_with_last")
+    return a.join(b, GP_KEYS).select(*GP_KEYS, F.col("n_patches").cast("int").alias("n_patches"),
+                                     F.col("n_patches_with_last").cast("int").alias("n_patches_with_last"))
+
+
+@register("csv_landing", f"""
+SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ts_ms FROM events""")
+def q_csv_landing(spark, sf):
+    """Events written as CSV part files and landed back through the validating
+    reader (declared schema, malformed rows decided on all columns)."""
+    from pyspark.sql import types as T
+
+    from gapseries.session import scratch_path
+    from gapseries.sources.io import read_table_csv, save_table
+    schema = T.StructType([T.StructField("event_id", T.LongType()),
+                           T.StructField("ts", T.TimestampNTZType()),
+                           T.StructField("user_id", T.LongType()),
+                           T.StructField("event_type", T.StringType()),
+                           T.StructField("value", T.DoubleType()),
+                           T.StructField("props", T.StringType())])
+    path = scratch_path(spark, "events-csv")
+    save_table(td.table(spark, sf, "events").select(*schema.fieldNames()), path, "csv")
+    back = read_table_csv(spark, path, schema)
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return back.select("event_id", "user_id", "event_type", "value", ms.alias("ts_ms"))
+
+
+@register("feature_scaler")
+def q_feature_scaler(spark, sf):
+    from gapseries.operators.classifier import apply_scaler, fit_scaler
+    s = _sampled(spark, sf)
+    scaler = fit_scaler(s.where(F.col("split") == "train"), "features")
+    return apply_scaler(s.where(F.col("split") == "test"), scaler, "features").select(
+        *GP_KEYS, "start", "features")
