@@ -26,10 +26,11 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
     ``t_rel`` (days since the series' first point), ``t_warped``, value,
     ``split`` ('train' / 'test' by key hash).
 
-    Plan: the item filter runs first against the (size-checked, broadcast)
-    dimension; the cohort is one small aggregate joined on entity (AQE turns it
-    into a broadcast when the cohort is small); the length test and the warp
-    are windows that reuse that one entity partitioning.
+    Plan: the item filter is pushed into the event scan (an IN list from the
+    size-checked dimension); the cohort is one small aggregate joined on entity
+    (AQE turns it into a broadcast when the cohort is small); the length test
+    and the warp are windows sharing one (entity, item) clustering and one
+    sort.
     """
     if code1 == code2:
         raise ValueError("build_cohort needs two different codes")
@@ -37,6 +38,10 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
     cohort = exclusive_cohort(diagnoses, roles.entity, diag_category, code1, code2)
     labels = cohort_labels(cohort, roles.entity, code1, code2, out=roles.category)
     ev = ev.join(labels, roles.entity, "inner")
+    # Cluster on (entity, item) explicitly: the windows below then never
+    # inherit a partitioning on entity alone (a hot entity would be sorted in
+    # one task), and a sort-merge cohort join stays free for AQE's skew split.
+    ev = ev.repartition(roles.entity, roles.item)
 
     # Length test counts every row of an (entity, item) pair, null values and
     # null times included, before any row is dropped.

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The source pipeline has no streaming operator (no watermark, window over
+event time, state or late-data handling), so there is nothing to rebuild here.
+All operators in :mod:`gapseries.operators` are batch DataFrame operators.
+"""
