@@ -18,20 +18,11 @@ from pyspark.sql import functions as F
 
 from gapseries.functions.columns import key_hash, key_unit
 from gapseries.operators._util import BROADCAST_MAX_ROWS
+from gapseries.operators._util import null_safe_join as _null_safe_join
 
 _H, _B = "_hash", "_bucket"
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def keep_smallest_by_hash(df: DataFrame, keys: Sequence[str], quota: int | Mapping,
                           seed: int | str = 0, label: str | None = None,
                           bits: int = 16) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapseries.operators.cohort import cohort_labels, exclusive_cohort, select_item_events
 from gapseries.operators.sampling import balance_classes, split_column
-from gapseries.operators.series import T_REL, T_WARP, time_warp, to_points
+from gapseries.operators.series import T_REL, T_WARP, time_warp, time_warp_blocked, to_points
 from gapseries.roles import Roles
+from gapseries.session import cut_lineage
+
+# A series of up to this many rows is warped by a per-series window (sorted in
+# one task); beyond it the blocked prefix sum spreads the series over tasks.
+WINDOW_MAX_ROWS = 5_000_000
 
 
 def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
@@ -19,7 +24,10 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
                  item_code: str = "item_code", diag_category: str = "category",
                  min_length: int = 3, warp_a: float = 3.0, warp_b: float = 0.0,
                  balance: str | None = None, train_ratio: float = 0.7,
-                 seed: int = 74565, null_values: str = "drop") -> DataFrame:
+                 seed: int = 74565, null_values: str = "drop",
+                 warp: str = "auto", block_days: float = 7.0,
+                 window_max_rows: int = WINDOW_MAX_ROWS,
+                 cluster_keys: Sequence[str] | None = None) -> DataFrame:
     """Long-form cohort series.
 
     Output: series key (entity, item, [subject], [unit], class label), tie,
@@ -28,29 +36,39 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
 
     Plan: the item filter is pushed into the event scan (an IN list from the
     size-checked dimension); the cohort is one small aggregate joined on entity
-    (AQE turns it into a broadcast when the cohort is small); the length test
-    and the warp are windows sharing one (entity, item) clustering and one
-    sort.
+    (AQE turns it into a broadcast when the cohort is small).  The length test
+    counts every row of each (entity, item) pair (null values and times
+    included) in one map-side-combined aggregate, checkpointed once because it
+    is read twice.  Its largest count decides the warp (``warp="auto"``):
+    when no pair exceeds ``window_max_rows`` rows the per-series window runs
+    (one large shuffle on (entity, item)); otherwise the blocked two-level
+    prefix sum runs, clustered on (``cluster_keys`` or the series key, time
+    block of ``block_days``), so no series is confined to one task.
+    ``warp="window"`` / ``"blocked"`` force a path.
     """
     if code1 == code2:
         raise ValueError("build_cohort needs two different codes")
+    if warp not in ("auto", "window", "blocked"):
+        raise ValueError("warp must be 'auto', 'window' or 'blocked'")
     ev = select_item_events(events, items, roles.item, item_code, item_codes).drop(item_code)
     cohort = exclusive_cohort(diagnoses, roles.entity, diag_category, code1, code2)
     labels = cohort_labels(cohort, roles.entity, code1, code2, out=roles.category)
     ev = ev.join(labels, roles.entity, "inner")
-    # Cluster on (entity, item) explicitly: the windows below then never
-    # inherit a partitioning on entity alone (a hot entity would be sorted in
-    # one task), and a sort-merge cohort join stays free for AQE's skew split.
-    ev = ev.repartition(roles.entity, roles.item)
 
-    # Length test counts every row of an (entity, item) pair, null values and
-    # null times included, before any row is dropped.
-    pair = Window.partitionBy(roles.entity, roles.item)
-    ev = ev.withColumn("_pair_n", F.count(F.lit(1)).over(pair)).where(F.col("_pair_n") >= min_length)
+    pair_counts = cut_lineage(ev.groupBy(roles.entity, roles.item)
+                              .agg(F.count(F.lit(1)).alias("n")))
+    longest = pair_counts.agg(F.max("n")).first()[0] or 0
+    long_pairs = pair_counts.where(F.col("n") >= min_length).select(roles.entity, roles.item)
 
     pts = to_points(ev, roles, null_values=null_values)
     keys = roles.series_key
-    warped = time_warp(pts, keys, tie=roles.tie, a=warp_a, b=warp_b)
+    if warp == "window" or (warp == "auto" and longest <= window_max_rows):
+        pts = pts.join(long_pairs, [roles.entity, roles.item], "left_semi")
+        warped = time_warp(pts, keys, tie=roles.tie, a=warp_a, b=warp_b)
+    else:
+        warped = time_warp_blocked(pts, keys, tie=roles.tie, a=warp_a, b=warp_b,
+                                   block_days=block_days, series_filter=long_pairs,
+                                   cluster=cluster_keys)
     if balance:
         warped = balance_classes(warped, keys, roles.category, classes=[code1, code2],
                                  method=balance, seed=seed)

@@ -306,10 +306,12 @@ def _cohort_sql(codes: list[str], rounded: bool = True) -> str:
 FROM ({_warp_sql(src, 'entity, item, unit, category')}) w"""
 
 
-def _cohort_df(spark, sf, codes, balance=None):
+def _cohort_df(spark, sf, codes, balance=None, warp="auto"):
+    # the unit is the constant '' in this mapping, so it is left out of the
+    # shuffle keys (see time_warp_blocked)
     return build_cohort(td.events(spark, sf), td.event_items(spark, sf), td.diagnoses(spark, sf),
                         roles=td.ROLES, item_codes=codes, code1=CODE1, code2=CODE2,
-                        balance=balance, seed=SEED)
+                        balance=balance, seed=SEED, cluster_keys=td.CLUSTER_KEYS, warp=warp)
 
 
 def _cohort_out(df):
@@ -331,6 +333,12 @@ def q_cohort_series_all_items(spark, sf):
     return _cohort_out(_cohort_df(spark, sf, ALL_ITEM_CODES))
 
 
+@register("cohort_series_blocked", COHORT_ALL_SQL)
+def q_cohort_series_blocked(spark, sf):
+    """The same cohort through the blocked (hot-series safe) warp."""
+    return _cohort_out(_cohort_df(spark, sf, ALL_ITEM_CODES, warp="blocked"))
+
+
 @register("balanced_cohort", f"""
 WITH c AS ({COHORT_ALL_SQL}),
 s AS (SELECT DISTINCT entity, item, unit, category,

@@ -20,6 +20,8 @@ from gapseries.roles import Roles
 
 ROLES = Roles(entity="entity", item="item", time="ts", value="value", subject=None,
               unit="unit", tie="event_id", category="category")
+# Series key columns that vary in this mapping (the unit is the constant '').
+CLUSTER_KEYS = ["entity", "item", "category"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -69,3 +69,30 @@ def test_epoch_days_floors_milliseconds(spark):
     from gapseries.functions.columns import epoch_days
     v = df.select(epoch_days(df, "ts").alias("d")).first().d
     assert v == 1704067207179 / 86400000.0
+
+
+def test_blocked_warp_equals_window_warp(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(3):
+        times = np.sort(rng.uniform(0, 60, 50 + 20 * k))
+        rows += [(k, i, float(t), float(i)) for i, t in enumerate(times)]
+    rows += [(9, 0, 3.0, 1.0), (9, 1, 3.0, 2.0), (9, 2, 30.0, 3.0)]  # equal instants
+    pts = spark.createDataFrame(rows, "k int, tie int, t_days double, v double")
+    for a, b in ((3.0, 0.0), (2.0, 0.25)):
+        plain = {r.tie + 1000 * r.k: (r.t_rel, r.t_warped)
+                 for r in se.time_warp(pts, ["k"], tie="tie", a=a, b=b).collect()}
+        for block in (0.5, 7.0, 1000.0):
+            blocked = se.time_warp_blocked(pts, ["k"], tie="tie", a=a, b=b, block_days=block)
+            got = {r.tie + 1000 * r.k: (r.t_rel, r.t_warped) for r in blocked.collect()}
+            assert got.keys() == plain.keys()
+            for key, (tr, tw) in plain.items():
+                assert abs(got[key][0] - tr) < 1e-9 and abs(got[key][1] - tw) < 1e-9
+
+
+def test_blocked_warp_series_filter(spark):
+    pts = spark.createDataFrame([(k, i, float(i), 0.0) for k in range(3) for i in range(4)],
+                                "k int, tie int, t_days double, v double")
+    keep = spark.createDataFrame([(1,)], "k int")
+    got = se.time_warp_blocked(pts, ["k"], tie="tie", block_days=1.5, series_filter=keep)
+    assert sorted({r.k for r in got.collect()}) == [1] and got.count() == 4
