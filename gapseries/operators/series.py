@@ -155,6 +155,20 @@ def time_warp_blocked(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
             .drop(blk, "_t0", "_start", "_loc"))
 
 
+def check_series_length(points: DataFrame, keys: Sequence[str], max_points: int) -> int:
+    """Raise ``ValueError`` if any series has more than ``max_points`` points.
+
+    One map-side-combined count per series, so the bound is proven before any
+    series is collected into one task.  Returns the longest series length.
+    """
+    longest = (points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n")).first()[0] or 0)
+    if longest > max_points:
+        raise ValueError(f"a series has {longest} points, more than max_points={max_points}; "
+                         "the exact Gaussian process needs an n x n factorisation per series")
+    return longest
+
+
 def build_series(points: DataFrame, keys: Sequence[str], value: str,
                  t: str = T_REL, tw: str = T_WARP, tie: str | None = None,
                  max_points: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapseries.operators import gp
-from gapseries.operators.series import T_REL, T_WARP, build_series
+from gapseries.operators.series import T_REL, T_WARP, build_series, check_series_length
 from gapseries.roles import Roles
 
 # Longest series the exact GP accepts (an n x n factorisation per grid point
@@ -23,12 +23,13 @@ def cohort_series_arrays(cohort: DataFrame, roles: Roles, max_points: int = MAX_
                          partitions: int | None = None) -> DataFrame:
     """Nested series (keys, t, tw, v) spread evenly over the GP tasks.
 
-    An explicit partition count keeps AQE from coalescing this small but
-    compute-heavy input into one task.
+    The length bound is checked first (one small aggregate), so no series is
+    collected unless it fits.  An explicit partition count keeps AQE from
+    coalescing this small but compute-heavy input into one task.
     """
     keys = roles.series_key
-    arr = build_series(cohort, keys, roles.value, t=T_REL, tw=T_WARP, tie=roles.tie,
-                       max_points=max_points)
+    check_series_length(cohort, keys, max_points)
+    arr = build_series(cohort, keys, roles.value, t=T_REL, tw=T_WARP, tie=roles.tie)
     return arr.repartition(partitions or gp_partitions(cohort), *keys)
 
 
@@ -53,7 +54,7 @@ def resample_cohort(cohort: DataFrame, roles: Roles, sigma2: float, alpha: float
     """Every series on a regular grid with GP mean and variance (long form):
     keys, i, t_warped, mean, variance (+ ``extra_keys`` carried through)."""
     keys = roles.series_key + [k for k in extra_keys if k in cohort.columns]
-    r = roles.with_()
-    arr = build_series(cohort, keys, r.value, t=T_REL, tw=T_WARP, tie=r.tie, max_points=max_points)
+    check_series_length(cohort, keys, max_points)
+    arr = build_series(cohort, keys, roles.value, t=T_REL, tw=T_WARP, tie=roles.tie)
     arr = arr.repartition(partitions or gp_partitions(cohort), *keys)
     return gp.gp_resample(arr, keys, sigma2, alpha, tau, step, padding_length)

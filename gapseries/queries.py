@@ -489,8 +489,10 @@ GP_RESAMPLE_RAW_SQL = _gp_resample_sql(False)
 
 
 def _gp_arrays(spark, sf):
-    from gapseries.operators.series import build_series
+    from gapseries.operators.series import build_series, check_series_length
+    from gapseries.plans.gp import MAX_POINTS
     coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    check_series_length(coh, GP_KEYS, MAX_POINTS)
     return build_series(coh, GP_KEYS, "value", tie="event_id")
 
 
@@ -651,9 +653,12 @@ def q_phenotype_features(spark, sf):
 @register("flatten_series", f"""
 SELECT entity, item, unit, category, t_rel, t_warped, value FROM ({COHORT_ALL_SQL}) c""")
 def q_flatten_series(spark, sf):
-    from gapseries.operators.series import build_series, flatten_series
+    from gapseries.operators.series import build_series, check_series_length, flatten_series
+    from gapseries.plans.gp import MAX_POINTS
     keys = td.ROLES.series_key
-    nested = build_series(_cohort_df(spark, sf, ALL_ITEM_CODES), keys, "value", tie="event_id")
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    check_series_length(coh, keys, MAX_POINTS)
+    nested = build_series(coh, keys, "value", tie="event_id")
     flat = flatten_series(nested, keys, value="value")
     return flat.select(*keys, rnd("t_rel"), rnd("t_warped"), "value")
 

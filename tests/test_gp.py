@@ -95,3 +95,11 @@ def test_too_long_series_rejected(spark):
                                "k int, t_rel double, t_warped double, v double")
     with pytest.raises(Exception):
         build_series(df, ["k"], "v", max_points=10).collect()
+
+
+def test_length_check_before_collecting(spark):
+    from gapseries.operators.series import check_series_length
+    df = spark.createDataFrame([(1, float(i)) for i in range(20)] + [(2, 0.0)], "k int, v double")
+    assert check_series_length(df, ["k"], 20) == 20
+    with pytest.raises(ValueError):
+        check_series_length(df, ["k"], 19)
