@@ -706,3 +706,80 @@ def q_feature_scaler(spark, sf):
     scaler = fit_scaler(s.where(F.col("split") == "train"), "features")
     return apply_scaler(s.where(F.col("split") == "test"), scaler, "features").select(
         *GP_KEYS, "start", "features")
+
+
+# Coarse grid for an SQL-checked search: sigma2 {0.05, 0.5, 0.95},
+# alpha {0.5, 2.0, 3.5}, tau {0.5, 1.25, 2.0}.
+COARSE = dict(sigma2=(0.05, 0.95, 0.45), alpha=(0.5, 3.5, 1.5), tau=(0.5, 2.0, 0.75))
+
+
+def _coarse_grid_sql() -> str:
+    from gapseries.functions.columns import grid_values
+    vals = {k: grid_values(*v) for k, v in COARSE.items()}
+    rows = ", ".join(f"({s!r}::DOUBLE, {a!r}::DOUBLE, {t!r}::DOUBLE)"
+                     for s in vals["sigma2"] for a in vals["alpha"] for t in vals["tau"])
+    return f"SELECT * FROM (VALUES {rows}) g(sigma2, alpha, tau)"
+
+
+def _grid_ll_sql() -> str:
+    """Summed log likelihood per grid point over the CLICK training series,
+    each (series, grid point) by exact elimination with K = sigma2 (R + I)."""
+    rq = ("p.sigma2 * pow(1.0::DOUBLE + (a.tw - b.tw) * (a.tw - b.tw) / "
+          "(2.0::DOUBLE * p.alpha * p.tau * p.tau), -p.alpha)")
+    return f"""
+WITH RECURSIVE
+pts AS (SELECT t_warped AS tw, value AS v,
+          row_number() OVER (PARTITION BY entity, item, unit, category ORDER BY t_rel, event_id) AS i,
+          dense_rank() OVER (ORDER BY entity, item, unit, category) AS sid
+        FROM ({_cohort_sql([ITEM_CODE], rounded=False)}) c WHERE split = 'train'),
+st AS (SELECT sid, count(*) AS n, avg(v) AS mu FROM pts GROUP BY sid),
+sd AS (SELECT p.sid, CASE WHEN sqrt(sum((p.v - st.mu) * (p.v - st.mu))) > 1e-8
+                          THEN sqrt(sum((p.v - st.mu) * (p.v - st.mu))) ELSE 1.0 END AS scale
+       FROM pts p JOIN st ON p.sid = st.sid GROUP BY p.sid),
+y AS (SELECT p.*, (p.v - st.mu) / sd.scale AS yv FROM pts p JOIN st ON p.sid = st.sid
+      JOIN sd ON p.sid = sd.sid),
+grid AS (SELECT row_number() OVER (ORDER BY sigma2, alpha, tau) AS gid, * FROM ({_coarse_grid_sql()}) g0),
+ser AS (SELECT sid, gid FROM st, grid),
+cells AS (
+  SELECT (a.sid * 1000 + p.gid) AS s, a.i, b.i AS j,
+         {rq} + CASE WHEN a.i = b.i THEN p.sigma2 ELSE 0.0::DOUBLE END AS x
+  FROM y a JOIN y b ON a.sid = b.sid, grid p
+  UNION ALL SELECT sid * 1000 + gid, i, {_Y}, yv FROM y, grid
+  UNION ALL SELECT sid * 1000 + gid, {_Y}, i, yv FROM y, grid
+  UNION ALL SELECT sid * 1000 + gid, {_Y}, {_Y}, 0.0::DOUBLE FROM ser),
+{_ELIM_SQL.strip()},
+piv AS (SELECT s, sum(ln(x)) AS logdet FROM elim WHERE i = k + 1 AND j = k + 1 GROUP BY s),
+fin AS (SELECT s, arg_max(x, k) AS schur FROM elim WHERE i = {_Y} AND j = {_Y} GROUP BY s),
+ll AS (SELECT ser.gid, fin.schur / 2.0 - piv.logdet / 2.0 - st.n * ln(2.0 * pi()) / 2.0 AS ll, st.n
+       FROM ser JOIN st ON ser.sid = st.sid JOIN piv ON piv.s = ser.sid * 1000 + ser.gid
+       JOIN fin ON fin.s = ser.sid * 1000 + ser.gid)
+SELECT grid.sigma2, grid.alpha, grid.tau, sum(ll.ll) AS log_likelihood,
+       CAST(count(*) AS BIGINT) AS n_series, CAST(sum(ll.n) AS BIGINT) AS n_points
+FROM ll JOIN grid ON ll.gid = grid.gid GROUP BY grid.sigma2, grid.alpha, grid.tau"""
+
+
+GRID_LL_SQL = _grid_ll_sql()
+
+
+def _coarse_search(spark, sf):
+    from gapseries.operators import gp
+    from gapseries.plans.gp import cohort_series_arrays
+    train = _cohort_df(spark, sf, ITEM_CODE).where(F.col("split") == "train")
+    return gp.gp_grid_search(cohort_series_arrays(train, td.ROLES), **COARSE)
+
+
+@register("gp_grid_search_coarse", f"""
+SELECT sigma2, alpha, tau, round(log_likelihood, 4) AS log_likelihood, n_series, n_points
+FROM ({GRID_LL_SQL}) g""")
+def q_gp_grid_search_coarse(spark, sf):
+    return _coarse_search(spark, sf).select("sigma2", "alpha", "tau", rnd("log_likelihood", 4),
+                                            "n_series", "n_points")
+
+
+@register("gp_hyperparameters_coarse", f"""
+SELECT sigma2, alpha, tau, round(log_likelihood, 4) AS log_likelihood FROM ({GRID_LL_SQL}) g
+ORDER BY log_likelihood DESC, sigma2, alpha, tau LIMIT 1""")
+def q_gp_hyperparameters_coarse(spark, sf):
+    from gapseries.operators import gp
+    best = gp.grid_argmax(_coarse_search(spark, sf), **COARSE)
+    return best.select("sigma2", "alpha", "tau", rnd("log_likelihood", 4))
