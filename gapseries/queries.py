@@ -283,7 +283,7 @@ def q_sample_series(spark, sf):
 
 
 @register("standardize", f"""
-SELECT event_id, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), {R}) AS value
+SELECT event_id, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), {R}) + 0.0 AS value
 FROM ({td.SQL_EVENTS}) e""")
 def q_standardize(spark, sf):
     ev = td.events(spark, sf).select("event_id", "value")
@@ -580,7 +580,7 @@ def q_validation_split(spark, sf):
 
 
 @register("uncertainty_band", f"""
-SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round(mean - sqrt(greatest(variance, 0.0)), {R}) AS lower,
+SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round(mean - sqrt(greatest(variance, 0.0)), {R}) + 0.0 AS lower,
   round(mean + sqrt(greatest(variance, 0.0)), {R}) AS upper
 FROM ({GP_RESAMPLE_RAW_SQL}) g""")
 def q_uncertainty_band(spark, sf):
@@ -594,8 +594,8 @@ def q_uncertainty_band(spark, sf):
 WITH g AS ({GP_RESAMPLE_RAW_SQL}),
 m AS (SELECT avg(mean) AS mm, stddev_samp(mean) AS sm, avg(variance) AS mv,
              stddev_samp(variance) AS sv FROM g WHERE split = 'train')
-SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round((mean - mm) / sm, 4) AS mean,
-  round((variance - mv) / sv, 4) AS variance FROM g, m""")
+SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round((mean - mm) / sm, 4) + 0.0 AS mean,
+  round((variance - mv) / sv, 4) + 0.0 AS variance FROM g, m""")
 def q_standardized_predictions(spark, sf):
     from gapseries.plans.features import standardize_predictions
     std = standardize_predictions(_gp_pred(spark, sf))
@@ -606,10 +606,10 @@ def q_standardized_predictions(spark, sf):
 WITH g AS ({GP_RESAMPLE_RAW_SQL}), c AS ({COHORT_ALL_SQL})
 SELECT entity, item, unit, category, split, 'raw' AS kind, t_rel AS t, round(value, {R}) AS y FROM c
 UNION ALL SELECT entity, item, unit, category, split, 'warped', t_warped, round(value, {R}) FROM c
-UNION ALL SELECT {_PKEYS}, 'mean', round(t_warped, {R}), round(mean, {R}) FROM g
-UNION ALL SELECT {_PKEYS}, 'lower', round(t_warped, {R}),
-  round(mean - sqrt(greatest(variance, 0.0)), {R}) FROM g
-UNION ALL SELECT {_PKEYS}, 'upper', round(t_warped, {R}),
+UNION ALL SELECT {_PKEYS}, 'mean', round(t_warped, {R}) + 0.0, round(mean, {R}) + 0.0 FROM g
+UNION ALL SELECT {_PKEYS}, 'lower', round(t_warped, {R}) + 0.0,
+  round(mean - sqrt(greatest(variance, 0.0)), {R}) + 0.0 FROM g
+UNION ALL SELECT {_PKEYS}, 'upper', round(t_warped, {R}) + 0.0,
   round(mean + sqrt(greatest(variance, 0.0)), {R}) FROM g""")
 def q_series_overlay(spark, sf):
     from gapseries.operators.overlay import series_overlay
@@ -699,13 +699,42 @@ def q_csv_landing(spark, sf):
     return back.select("event_id", "user_id", "event_type", "value", ms.alias("ts_ms"))
 
 
-@register("feature_scaler")
+def _patches_sql(gp_sql: str) -> str:
+    return f"""
+SELECT {_PKEYS}, start, {_patch_cols_sql(PATCH_LEN)} FROM (
+  SELECT {_PKEYS}, CAST(i AS INTEGER) AS start,
+    list(mean) OVER w AS a, list(variance) OVER w AS b,
+    count(*) OVER (PARTITION BY {_PKEYS}) AS m
+  FROM ({gp_sql}) g
+  WINDOW w AS (PARTITION BY {_PKEYS} ORDER BY i ROWS BETWEEN CURRENT ROW AND {PATCH_LEN - 1} FOLLOWING)
+) x WHERE start <= m - {PATCH_LEN} - 1"""
+
+
+def _scaler_sql() -> str:
+    n = 2 * PATCH_LEN
+    fs = [f"f{k}" for k in range(n)]
+    moments = ", ".join(f"avg({f}) AS m{k}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) "
+                        f"ELSE 1.0 END AS s{k}" for k, f in enumerate(fs))
+    # "+ 0.0" turns a rounded negative zero into 0.0
+    scaled = ", ".join(f"round((p.{f} - m.m{k}) / m.s{k}, 4) + 0.0 AS {f}" for k, f in enumerate(fs))
+    keys = ", ".join(f"p.{k}" for k in GP_KEYS)
+    return f"""
+WITH p AS (SELECT q.* FROM ({_patches_sql(GP_RESAMPLE_RAW_SQL)}) q
+           JOIN ({SAMPLED_SQL}) s USING ({_PKEYS}, start)),
+m AS (SELECT {moments} FROM p WHERE split = 'train')
+SELECT {keys}, p.start, {scaled} FROM p, m WHERE p.split = 'test'"""
+
+
+@register("feature_scaler", _scaler_sql())
 def q_feature_scaler(spark, sf):
+    """Scaler fitted on the sampled training patches, applied to the test ones."""
     from gapseries.operators.classifier import apply_scaler, fit_scaler
+    from gapseries.operators.patches import feature_columns
     s = _sampled(spark, sf)
     scaler = fit_scaler(s.where(F.col("split") == "train"), "features")
-    return apply_scaler(s.where(F.col("split") == "test"), scaler, "features").select(
-        *GP_KEYS, "start", "features")
+    test = apply_scaler(s.where(F.col("split") == "test"), scaler, "features")
+    wide = feature_columns(test, PATCH_LEN)
+    return wide.select(*GP_KEYS, "start", *[rnd(f"f{k}", 4) for k in range(2 * PATCH_LEN)])
 
 
 # Coarse grid for an SQL-checked search: sigma2 {0.05, 0.5, 0.95},
