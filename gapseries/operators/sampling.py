@@ -31,7 +31,8 @@ def keep_smallest_by_hash(df: DataFrame, keys: Sequence[str], quota: int | Mappi
     With ``label``, ``quota`` maps each label value to its own quota (labels
     absent from the mapping keep everything).  Ties on the hash are broken by
     the key columns, ascending.  Exact, deterministic and independent of
-    partitioning.
+    partitioning.  The input is read by the bucket-count job and twice by the
+    result (boundary bucket and rows): checkpoint an expensive input first.
     """
     if not 1 <= bits <= 24:
         raise ValueError("bits must be in 1..24")

@@ -561,7 +561,10 @@ WHERE rn <= 3 * (SELECT count(*) FROM (SELECT DISTINCT {_PKEYS} FROM ({PATCHES_S
 
 def _sampled(spark, sf):
     from gapseries.operators.patches import sample_patches
-    return sample_patches(_patches(spark, sf), GP_KEYS, 3, 0)
+    from gapseries.session import cut_lineage
+    # the exact-quota sampler reads its input three times: checkpoint the
+    # patches once instead of recomputing the GP for every pass
+    return sample_patches(cut_lineage(_patches(spark, sf)), GP_KEYS, 3, 0)
 
 
 @register("sample_patches", SAMPLED_SQL)
