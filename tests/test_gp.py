@@ -103,3 +103,19 @@ def test_length_check_before_collecting(spark):
     assert check_series_length(df, ["k"], 20) == 20
     with pytest.raises(ValueError):
         check_series_length(df, ["k"], 19)
+
+
+def test_kernel_columns_match_numpy(spark):
+    from gapseries.functions import kernels as kn
+    rows = [(0.0, 0.0), (0.0, 1.5), (2.0, -1.0), (3.3, 3.3)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = df.select(kn.kernel_column("rq", "a", "b", sigma2=0.5, alpha=2.0, tau=1.25).alias("rq"),
+                    kn.kernel_column("se", "a", "b", sigma2f=1.5, sigma2n=0.1, length=0.8).alias("se")
+                    ).collect()
+    a = np.array([r[0] for r in rows])
+    b = np.array([r[1] for r in rows])
+    d2 = (a - b) ** 2
+    assert np.allclose([r.rq for r in got], kn.rq_numpy(d2, 0.5, 2.0, 1.25))
+    assert np.allclose([r.se for r in got], kn.se_numpy(d2, a == b, 1.5, 0.1, 0.8))
+    # the GP core uses the same rational-quadratic form
+    assert np.allclose(0.5 * gp._rq_unit(d2, 2.0, 1.25), kn.rq_numpy(d2, 0.5, 2.0, 1.25))
