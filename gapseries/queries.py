@@ -263,7 +263,7 @@ def q_series_stats(spark, sf):
 
 
 @register("regular_grid", f"""
-SELECT entity, item, i, round(lo - 2.5 + i * 0.25, {R}) AS t_warped FROM (
+SELECT entity, item, CAST(i AS INTEGER) AS i, round(lo - 2.5 + i * 0.25, {R}) AS t_warped FROM (
   SELECT entity, item, lo, CAST(floor(round((hi - lo + 5.0) / 0.25, 9)) AS INTEGER) + 1 AS n FROM (
     SELECT entity, item, min(t_warped) AS lo, max(t_warped) AS hi FROM ({WARPED_EVENTS_SQL}) w
     GROUP BY entity, item) g) g2, unnest(generate_series(0, n - 1)) AS u(i)""")
