@@ -36,6 +36,7 @@ def test_query_matches_oracle(spark, name):
     want = con.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
+    assert {c: str(got[c].dtype) for c in cols} == {c: str(want[c].dtype) for c in cols}
 
     def canon(df):
         return df[cols].sort_values(cols).reset_index(drop=True).astype(str)

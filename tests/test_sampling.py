@@ -50,3 +50,20 @@ def test_sample_series_exact(spark):
     got = sa.sample_series(df, ["s"], 10, seed=2)
     assert got.select("s").distinct().count() == 10 and got.count() == 30
     assert got.where(F.col("s").isNull()).count() == 0
+
+
+def test_bernoulli_balancing_is_seeded_and_reduces(spark):
+    rows = [(i, "a") for i in range(400)] + [(1000 + i, "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, c string")
+    a = sa.balance_classes(df, ["k", "c"], "c", method="bernoulli", seed=5)
+    b = sa.balance_classes(df, ["k", "c"], "c", method="bernoulli", seed=5)
+    ca = {r.c: r.n_series for r in sa.class_counts(a, ["k", "c"], "c").collect()}
+    assert ca["b"] == 100 and 60 <= ca["a"] <= 140
+    assert sorted(r.k for r in a.collect()) == sorted(r.k for r in b.collect())
+
+
+def test_poisson_patch_sampling_draws_with_replacement(spark):
+    from gapseries.operators.patches import sample_patches
+    p = spark.createDataFrame([(s, i) for s in range(10) for i in range(50)], "k int, start int")
+    got = sample_patches(p, ["k"], multiple=3, seed=1, method="poisson")
+    assert 5 <= got.count() <= 70
