@@ -815,3 +815,40 @@ def q_gp_hyperparameters_coarse(spark, sf):
     from gapseries.operators import gp
     best = gp.grid_argmax(_coarse_search(spark, sf), **COARSE)
     return best.select("sigma2", "alpha", "tau", rnd("log_likelihood", 4))
+
+
+# Layer-1 weights from a closed-form rule, so SQL can rebuild them:
+# W1[i, j] = 0.3 sin(0.37 i + 0.11 j + 0.5), b1[j] = 0.1 cos(0.05 j).
+RULE_HIDDEN = 100
+
+
+def _rule_weights():
+    import numpy as np
+    i = np.arange(2 * PATCH_LEN)[:, None]
+    j = np.arange(RULE_HIDDEN)[None, :]
+    return {"W1": 0.3 * np.sin(0.37 * i + 0.11 * j + 0.5),
+            "b1": 0.1 * np.cos(0.05 * np.arange(RULE_HIDDEN))}
+
+
+def _encode_rule_sql() -> str:
+    fs = ", ".join(f"f{k}" for k in range(2 * PATCH_LEN))
+    return f"""
+WITH p AS (SELECT q.* FROM ({_patches_sql(GP_RESAMPLE_RAW_SQL)}) q
+           JOIN ({SAMPLED_SQL}) s USING ({_PKEYS}, start)),
+u AS (SELECT {_PKEYS}, start, CAST(substr(fname, 2) AS INTEGER) AS i, x
+      FROM (UNPIVOT p ON {fs} INTO NAME fname VALUE x) v),
+w AS (SELECT i, j, 0.3 * sin(0.37 * i + 0.11 * j + 0.5) AS w
+      FROM range(0, {2 * PATCH_LEN}) a(i), range(0, {RULE_HIDDEN}) b(j))
+SELECT {_PKEYS}, start, CAST(w.j AS INTEGER) AS j,
+  round(1.0 / (1.0 + exp(-(sum(u.x * w.w) + 0.1 * cos(0.05 * w.j)))), {R}) AS h
+FROM u JOIN w ON u.i = w.i
+GROUP BY {_PKEYS}, start, w.j"""
+
+
+@register("encode_patches_rule", _encode_rule_sql())
+def q_encode_patches_rule(spark, sf):
+    """Layer-1 encoding of the sampled patches with rule-built weights."""
+    from gapseries.operators import autoencoder as ae
+    enc = ae.encode(_sampled(spark, sf), _rule_weights(), layer=1, out="h")
+    return enc.select(*GP_KEYS, "start", F.posexplode("h").alias("j", "h")).select(
+        *GP_KEYS, "start", "j", rnd("h"))
