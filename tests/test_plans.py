@@ -12,7 +12,7 @@ from tests.conftest import SF001
 PYTHON_OK = {"gp_log_likelihood", "gp_resample", "gp_grid_search", "gp_hyperparameters",
              "gp_grid_search_coarse", "gp_hyperparameters_coarse", "extract_patches",
              "sample_patches", "validation_split", "uncertainty_band", "standardized_predictions",
-             "series_overlay", "encode_patches", "phenotype_features", "patch_counts",
+             "series_overlay", "encode_patches", "encode_patches_rule", "phenotype_features", "patch_counts",
              "feature_scaler"}
 
 
