@@ -246,6 +246,3 @@ def regular_grid(points: DataFrame, keys: Sequence[str], tw: str = T_WARP,
             .select(*keys, F.col("col").alias("i"),
                     (F.col("_lo") - F.lit(pad) + F.col("col") * F.lit(step)).alias(out)))
 
-
-def grid_key_columns(roles: Roles) -> list[str]:
-    return roles.series_key
