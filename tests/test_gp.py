@@ -119,3 +119,20 @@ def test_kernel_columns_match_numpy(spark):
     assert np.allclose([r.se for r in got], kn.se_numpy(d2, a == b, 1.5, 0.1, 0.8))
     # the GP core uses the same rational-quadratic form
     assert np.allclose(0.5 * gp._rq_unit(d2, 2.0, 1.25), kn.rq_numpy(d2, 0.5, 2.0, 1.25))
+
+
+def test_batched_forms_match_single_series():
+    rng = np.random.default_rng(11)
+    T = np.sort(rng.uniform(0, 8, (5, 6)), axis=1)
+    V = rng.normal(3, 2, (5, 6))
+    V[2] = 7.0  # constant series: scale floor
+    ll, mean, scale = gp.log_likelihood_batch(T, V, 0.05, 3.5, 1.25)
+    for k in range(5):
+        _, _, llk, mk, sk = gp.fit(T[k], V[k], 0.05, 3.5, 1.25)
+        assert abs(ll[k] - llk) < 1e-10 and abs(mean[k] - mk) < 1e-12 and abs(scale[k] - sk) < 1e-12
+    alphas = np.array([0.5, 1.0, 3.5, 2.0])
+    taus = np.array([0.3, 1.25, 2.0, 0.7])
+    q, ld = gp.grid_terms_batch(T, V, alphas, taus)
+    q1 = sum(gp.grid_terms(T[k], V[k], alphas, taus)[0] for k in range(5))
+    l1 = sum(gp.grid_terms(T[k], V[k], alphas, taus)[1] for k in range(5))
+    assert np.allclose(q, q1, rtol=1e-10) and np.allclose(ld, l1, rtol=1e-10)
