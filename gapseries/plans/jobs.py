@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapseries.operators.cohort import (cohort_labels, exclusive_cohort, item_support,
-                                        min_length_pairs, supported_pairs)
+                                        min_length_pairs)
 from gapseries.operators.matrix import cooccurrence_cells, pivot_matrix, top_items
 from gapseries.plans.cohort import build_cohort
 from gapseries.plans.gp import MAX_POINTS, optimize_hyperparameters, resample_cohort
@@ -45,8 +45,7 @@ def matrix_job(events: DataFrame, items: DataFrame, diagnoses: DataFrame, out_di
     pairs = cut_lineage(min_length_pairs(events, entity, item, min_length))
     support = item_support(pairs, item, min_support)
     top = cut_lineage(top_items(support, items, item, n_items))
-    good = supported_pairs(pairs, support, entity, item)
-    cells = cooccurrence_cells(top, good, diagnoses, entity, item, item_code, category)
+    cells = cooccurrence_cells(top, pairs, diagnoses, entity, item, item_code, category)
     codes = sorted(r[0] for r in top.where(F.col(item_code).isNotNull())
                    .select(item_code).distinct().collect())
     matrix = pivot_matrix(cells, category, item_code, codes, n_categories)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gapseries.operators.cohort import item_support, min_length_pairs, supported_pairs
+from gapseries.operators.cohort import item_support, min_length_pairs
 from gapseries.operators.matrix import cooccurrence_cells, pivot_matrix, top_items
 from gapseries.session import cut_lineage
 
@@ -28,9 +28,11 @@ def code_item_matrix(events: DataFrame, items: DataFrame, diagnoses: DataFrame,
         # the aggregate once so the large event join is not evaluated twice.
         pairs = cut_lineage(pairs)
     support = item_support(pairs, item, min_support)
-    good = supported_pairs(pairs, support, entity, item)
     top = top_items(support, items, item, n_items)
-    cells = cooccurrence_cells(top, good, diagnoses, entity, item, item_code, category)
+    # The top items are a subset of the supported ones, so joining the pairs
+    # with the (broadcast) top items already keeps only supported pairs: the
+    # separate semi join with the support table would be a redundant shuffle.
+    cells = cooccurrence_cells(top, pairs, diagnoses, entity, item, item_code, category)
     if not wide:
         return cells
     # The pivot values are the top items' codes: at most n_items of them.
