@@ -68,3 +68,17 @@ def test_build_cohort_null_time_value_and_mixed_units(spark):
     out0 = build_cohort(events, items, diag, roles=roles, item_codes="X", code1="AA",
                         code2="BB", null_values="zero")
     assert sorted(r.v for r in out0.collect()) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_select_item_events_join_fallback(spark, monkeypatch):
+    events = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13)], "entity int, item int")
+    dim = spark.createDataFrame([(10, "A"), (11, "A"), (12, "B"), (13, None)],
+                                "item int, item_code string")
+    fast = sorted(tuple(r) for r in co.select_item_events(events, dim, "item", "item_code", "A")
+                  .select("entity", "item", "item_code").collect())
+    monkeypatch.setattr(co, "IN_LIST_MAX", 1)  # more chosen items than the IN-list cap
+    slow = sorted(tuple(r) for r in co.select_item_events(events, dim, "item", "item_code", "A")
+                  .select("entity", "item", "item_code").collect())
+    assert fast == slow == [(1, 10, "A"), (2, 11, "A")]
+    none = co.select_item_events(events, dim, "item", "item_code", "ZZZ")
+    assert none.count() == 0 and "item_code" in none.columns

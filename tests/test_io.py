@@ -55,3 +55,17 @@ def test_hyperparams_round_trip(spark, tmpdir_path):
     io.save_hyperparams(df, path)
     r = io.load_hyperparams(spark, path, "1742-6")
     assert (r.sigma2, r.alpha, r.tau, r.log_likelihood) == (0.05, 3.5, 1.25, -10.0)
+
+
+def test_load_tables_with_declared_schemas(spark, tmpdir_path):
+    import gzip
+
+    from gapseries.schemas import D_LABITEMS, DIAGNOSES_ICD
+    with gzip.open(os.path.join(tmpdir_path, "D_LABITEMS.csv.gz"), "wt") as f:
+        f.write("ROW_ID,ITEMID,LABEL,FLUID,CATEGORY,LOINC_CODE\n1,50912,Creatinine,Blood,Chem,2160-0\n"
+                "x,50913,Bad,Blood,Chem,0000-0\n")
+    with gzip.open(os.path.join(tmpdir_path, "DIAGNOSES_ICD.csv.gz"), "wt") as f:
+        f.write("ROW_ID,SUBJECT_ID,HADM_ID,SEQ_NUM,ICD9_CODE\n1,10,100,1,4280\n2,10,100,2,5715\n")
+    t = io.load_tables(spark, tmpdir_path, {"D_LABITEMS": D_LABITEMS, "DIAGNOSES_ICD": DIAGNOSES_ICD})
+    assert [r.ITEMID for r in t["D_LABITEMS"].collect()] == [50912]
+    assert t["DIAGNOSES_ICD"].count() == 2 and t["DIAGNOSES_ICD"].schema == DIAGNOSES_ICD
