@@ -1,10 +1,12 @@
 """Registered queries over the driver's tables, each with a DuckDB twin.
 
 Every query reads whole tables (the role mapping is in
-:mod:`gapseries.sources.testdata`).  Computed doubles are rounded to 6
-decimals on both sides: the engines' ``pow`` and summation order differ in the
-last bits.  Queries without an SQL twin are checked in ``tests/`` against a
-brute-force NumPy computation instead.
+:mod:`gapseries.sources.testdata`).  Computed doubles are rounded on both
+sides -- 6 decimals, 4 for standardised values and summed likelihoods --
+because the engines' ``pow``, ``exp`` and summation order differ in the last
+bits; SQL twins add ``+ 0.0`` where a rounded value can be a negative zero.
+Queries without an SQL twin are checked in ``tests/`` against brute-force
+NumPy instead.
 """
 
 from __future__ import annotations
