@@ -69,3 +69,12 @@ def test_load_tables_with_declared_schemas(spark, tmpdir_path):
     t = io.load_tables(spark, tmpdir_path, {"D_LABITEMS": D_LABITEMS, "DIAGNOSES_ICD": DIAGNOSES_ICD})
     assert [r.ITEMID for r in t["D_LABITEMS"].collect()] == [50912]
     assert t["DIAGNOSES_ICD"].count() == 2 and t["DIAGNOSES_ICD"].schema == DIAGNOSES_ICD
+
+
+def test_load_hyperparams_unknown_item_raises(spark, tmpdir_path):
+    import pytest
+    df = spark.createDataFrame([(0.05, 3.5, 1.25, -10.0, "A")], io.HYPERPARAMS_SCHEMA)
+    path = os.path.join(tmpdir_path, "hp2")
+    io.save_hyperparams(df, path)
+    with pytest.raises(ValueError):
+        io.load_hyperparams(spark, path, "B")
