@@ -25,7 +25,7 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
                  min_length: int = 3, warp_a: float = 3.0, warp_b: float = 0.0,
                  balance: str | None = None, train_ratio: float = 0.7,
                  seed: int = 74565, null_values: str = "drop",
-                 warp: str = "auto", block_days: float = 7.0,
+                 length_key: str = "pair", warp: str = "auto", block_days: float = 7.0,
                  window_max_rows: int = WINDOW_MAX_ROWS,
                  cluster_keys: Sequence[str] | None = None) -> DataFrame:
     """Long-form cohort series.
@@ -44,7 +44,9 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
     (one large shuffle on (entity, item)); otherwise the blocked two-level
     prefix sum runs, clustered on (``cluster_keys`` or the series key, time
     block of ``block_days``), so no series is confined to one task.
-    ``warp="window"`` / ``"blocked"`` force a path.
+    ``warp="window"`` / ``"blocked"`` force a path.  ``length_key="series"``
+    applies the length test to the full series key (unit and class included)
+    instead of the (entity, item) pair.
     """
     if code1 == code2:
         raise ValueError("build_cohort needs two different codes")
@@ -55,15 +57,22 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
     labels = cohort_labels(cohort, roles.entity, code1, code2, out=roles.category)
     ev = ev.join(labels, roles.entity, "inner")
 
-    pair_counts = cut_lineage(ev.groupBy(roles.entity, roles.item)
-                              .agg(F.count(F.lit(1)).alias("n")))
+    if length_key not in ("pair", "series"):
+        raise ValueError("length_key must be 'pair' or 'series'")
+    keys = roles.series_key
+    if length_key == "series":
+        if roles.unit:
+            ev = ev.withColumn(roles.unit, F.coalesce(F.col(roles.unit).cast("string"), F.lit("")))
+        count_key = keys
+    else:
+        count_key = [roles.entity, roles.item]
+    pair_counts = cut_lineage(ev.groupBy(*count_key).agg(F.count(F.lit(1)).alias("n")))
     longest = pair_counts.agg(F.max("n")).first()[0] or 0
-    long_pairs = pair_counts.where(F.col("n") >= min_length).select(roles.entity, roles.item)
+    long_pairs = pair_counts.where(F.col("n") >= min_length).select(*count_key)
 
     pts = to_points(ev, roles, null_values=null_values)
-    keys = roles.series_key
     if warp == "window" or (warp == "auto" and longest <= window_max_rows):
-        pts = pts.join(long_pairs, [roles.entity, roles.item], "left_semi")
+        pts = pts.join(long_pairs, count_key, "left_semi")
         warped = time_warp(pts, keys, tie=roles.tie, a=warp_a, b=warp_b)
     else:
         warped = time_warp_blocked(pts, keys, tie=roles.tie, a=warp_a, b=warp_b,

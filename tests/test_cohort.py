@@ -82,3 +82,21 @@ def test_select_item_events_join_fallback(spark, monkeypatch):
     assert fast == slow == [(1, 10, "A"), (2, 11, "A")]
     none = co.select_item_events(events, dim, "item", "item_code", "ZZZ")
     assert none.count() == 0 and "item_code" in none.columns
+
+
+def test_length_test_on_the_full_series_key(spark):
+    roles = Roles(entity="adm", item="item", time="t", value="v", subject=None, unit="uom",
+                  tie="rid", category="cat")
+    ev = [(1, 7, _ts(0), 1.0, "mg", 1), (1, 7, _ts(1), 2.0, "mg", 2), (1, 7, _ts(2), 3.0, "g", 3),
+          (1, 7, _ts(3), 4.0, "mg", 4)]
+    events = spark.createDataFrame(ev, "adm int, item int, t timestamp, v double, uom string, rid int")
+    items = spark.createDataFrame([(7, "X")], "item int, item_code string")
+    diag = spark.createDataFrame([(1, "AA")], "adm int, category string")
+    kw = dict(roles=roles, item_codes="X", code1="AA", code2="BB")
+    pair = build_cohort(events, items, diag, **kw)
+    full = build_cohort(events, items, diag, length_key="series", **kw)
+    assert sorted(r.rid for r in pair.collect()) == [1, 2, 3, 4]   # the pair has 4 rows
+    assert sorted(r.rid for r in full.collect()) == [1, 2, 4]      # the 'g' series has 1
+    for warp in ("blocked",):
+        got = build_cohort(events, items, diag, length_key="series", warp=warp, **kw)
+        assert sorted(r.rid for r in got.collect()) == [1, 2, 4]
