@@ -41,9 +41,13 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), restore), "\\")
 
 
+TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]"
+TEMPLATE_TOKENS = 4
+
+
 def token_count(text: Column) -> Column:
-    """Words and punctuation marks of a text, and 4 for the template."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + F.lit(4)
+    """ASCII words and other visible characters of a text, and those of the template."""
+    return F.regexp_count(text, F.lit(TOKEN_PATTERN)) + F.lit(TEMPLATE_TOKENS)
 
 
 def _starts(turns: Column, room: Column) -> Column:

@@ -64,15 +64,15 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
     keep = list(docs.columns) if keep is None else list(keep)
     names = {n: free_name(n, keep) for n in
              ("size", "source_size", "target", "repeats", "taken")}
-    src, k1, k2, size = (free_name(n, [*keep, *names.values()]) for n in ("_src", "_k1", "_k2", "_size"))
     crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1))
+    # The carried columns travel in one struct, so their names cannot clash.
     rows = materialize(docs.select(
-        *keep, F.col(source_col).alias(src), word_count(text_col).alias(size),
-        id_hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias(k1),
+        F.struct(*keep).alias("kept"), F.col(source_col).alias("s"), word_count(text_col).alias("n"),
+        id_hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k1"),
         # Orders the rows that share an id; rows alike in all columns may change places.
-        F.shiftrightunsigned(F.xxhash64(crc, F.monotonically_increasing_id()), 64 - KEY_BITS).alias(k2)),
+        F.shiftrightunsigned(F.xxhash64(crc, F.monotonically_increasing_id()), 64 - KEY_BITS).alias("k2")),
         "mix-rows")
-    sizes = rows.groupBy(F.col(src).alias("source")).agg(F.sum(size).alias("source_size"))
+    sizes = rows.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size"))
     sources = materialize(weights(sizes).withColumn("cap", F.lit(max_epochs) * F.col("source_size")),
                           "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -82,16 +82,15 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = (sources.withColumn("target", share).withColumn("whole", whole.cast("long"))
              .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")))
-    cuts = _cut(rows.select(F.col(src).alias("s"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
-                            F.col(size).alias("n")), goals)
-    joined = rows.join(cuts, rows[src].eqNullSafe(cuts["source"]))
-    key, cut = F.struct(F.col(k1), F.col(k2)), F.struct(F.col("c1"), F.col("c2"))
+    cuts = _cut(rows.select("s", "k1", "k2", "n"), goals)
+    joined = rows.join(cuts, rows["s"].eqNullSafe(cuts["source"]))
+    key, cut = F.struct("k1", "k2"), F.struct("c1", "c2")
     extra = F.coalesce((key < cut) | ((key == cut) & F.col("at_cut")), F.lit(False))
-    return (joined.select(*[rows[c] for c in keep], F.col(size).alias(names["size"]),
-                          F.col("source_size").alias(names["source_size"]),
-                          F.col("target").alias(names["target"]),
-                          (F.col("whole") + extra.cast("int")).cast("int").alias(names["repeats"]))
-            .withColumn(names["taken"], F.col(names["size"]) * F.col(names["repeats"])))
+    repeats = (F.col("whole") + extra.cast("int")).cast("int")
+    return joined.select(
+        *[F.col("kept")[c].alias(c) for c in keep], F.col("n").alias(names["size"]),
+        F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
+        repeats.alias(names["repeats"]), (F.col("n") * repeats).alias(names["taken"]))
 
 
 def _cut(rows: DataFrame, goals: DataFrame) -> DataFrame:

@@ -100,13 +100,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, forest, keep=["doc_id", "held_out"])
 
 
+def _key_sql(*parts: str) -> str:
+    text = ", ".join([f"'{SEED}'", "coalesce(doc_id::VARCHAR, '')", *parts])
+    return f"('0x' || substr(md5(concat_ws('|', {text})), 1, 13))::BIGINT"
+
+
 def _shard_sql(shards: int) -> str:
     """The shard of least hash, as SQL over a list of shard numbers."""
-    h = f"('0x' || substr(md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, ''), s::VARCHAR)), 1, 13))::BIGINT"
+    h = _key_sql("s::VARCHAR")
     return f"(list_min(list_transform(range({shards}), lambda s: {{'h': {h}, 's': s}}))).s::INTEGER"
 
 
-@register("op6_shard")
+# CRC-32 byte by byte; its table from the polynomial.
+_CRC_TABLE_SQL = """list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"""
+_CRC_SQL = """xor(4294967295, list_reduce(
+  list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT),
+  lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"""
+
+
+@register("op6_shard", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_CRC_TABLE_SQL} AS crc_table FROM documents),
+r AS (SELECT strlen(t)::BIGINT + 16 AS size, CASE WHEN t = '' THEN 0 ELSE {_CRC_SQL} END AS text_crc32,
+             {_shard_sql(SHARDS)} AS shard, {_shard_sql(SHARDS + 1)} AS grown_shard, {_key_sql()} AS h, doc_id
+      FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, text_crc32, size) - 1 AS slot, grown_shard FROM r
+""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = {s: 1.0 for s in range(SHARDS)}
@@ -142,15 +162,56 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
-@register("op10_chat_windows")
+BUDGET, HISTORY = 2048, 512
+SAID = r"\### Assistant: </turn> ok"
+_ESCAPE_SQL = r"replace(replace(replace({x}, '\', '\\'), '</turn>', '\e'), '###', '\h')"
+
+
+@register("op10_chat_windows", f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations UNION ALL VALUES (-7, 0, 'user', '{SAID}'), (-7, 1, 'assistant', '{SAID}')),
+t AS (
+  SELECT conv_id, role, text,
+         len(regexp_extract_all(text, '{chat.TOKEN_PATTERN}')) + {chat.TEMPLATE_TOKENS} AS tok,
+         {len(chat.OPEN) + len(chat.SEP) + len(chat.CLOSE)} + length({_ESCAPE_SQL.format(x='text')})
+           + length(replace({_ESCAPE_SQL.format(x='role')}, ':', '\\c')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM c),
+b AS (
+  SELECT *, sum(tok) OVER w - tok AS before,
+         CASE WHEN first_value(role) OVER w = 'system' THEN 1 ELSE 0 END AS sys,
+         greatest({BUDGET} - {HISTORY}
+                  - CASE WHEN first_value(role) OVER w = 'system' THEN first_value(tok) OVER w ELSE 0 END, 1) AS room
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+p AS (
+  SELECT conv_id, i, 0 AS win, tok AS used FROM b WHERE i = 0
+  UNION ALL
+  SELECT b.conv_id, b.i, CASE WHEN p.used + b.tok <= b.room THEN p.win ELSE p.win + 1 END,
+         CASE WHEN p.used + b.tok <= b.room THEN p.used + b.tok ELSE b.tok END
+  FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = p.i + 1),
+s AS (
+  SELECT p.conv_id, p.win, min(p.i) AS at, min(b.before) AS at_before
+  FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.i = b.i GROUP BY ALL),
+again AS (
+  SELECT b.conv_id, sum(b.chars) AS chars FROM s JOIN b ON s.conv_id IS NOT DISTINCT FROM b.conv_id
+  AND b.i < s.at AND (b.i < b.sys OR s.at_before - b.before <= {HISTORY}) GROUP BY b.conv_id),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM b GROUP BY conv_id)
+SELECT said.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       (said.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars
+FROM said LEFT JOIN again ON said.conv_id IS NOT DISTINCT FROM again.conv_id
+""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = r"\### Assistant: </turn> ok"
     rows = read_table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
-                                F.lit(said).alias("text"))
-    return chat.read_back(chat.format_windows(rows.unionByName(own)))
+                                F.lit(SAID).alias("text"))
+    windows = chat.format_windows(rows.unionByName(own), budget=BUDGET, history=HISTORY)
+    return chat.read_back(windows)
 
 
 @register("pipeline")

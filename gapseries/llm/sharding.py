@@ -53,41 +53,41 @@ def assign_shards(docs: DataFrame, weights: dict[int, float], *, grown: dict[int
     keep = list(docs.columns) if keep is None else list(keep)
     out = {n: free_name(n, keep) for n in
            ("size", "text_crc32", "law", "shard", "slot", "grown_shard")}
-    h, uid = (free_name(n, [*keep, *out.values()]) for n in ("_h", "_uid"))
     key, text = F.col(key_col), F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     grown_shard = rendezvous(key, grown, seed) if grown else F.lit(None).cast("int")
+    # The carried columns travel in one struct, so their names cannot clash.
     rows = materialize(docs.select(
-        *keep,
-        (F.octet_length(text) + F.lit(SIZE_OVERHEAD)).cast("long").alias(out["size"]),
-        F.crc32(text).alias(out["text_crc32"]), F.lit("key").alias(out["law"]),
-        rendezvous(key, weights, seed).alias(out["shard"]), grown_shard.alias(out["grown_shard"]),
-        id_hash(seed, F.coalesce(key.cast("string"), F.lit(""))).alias(h),
-        F.monotonically_increasing_id().alias(uid)), "shard-rows")
-    return (_number(rows, out["shard"], h, uid, [out["text_crc32"], out["size"]], out["slot"])
-            .select(*keep, *[out[n] for n in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]))
+        F.struct(*keep).alias("kept"),
+        (F.octet_length(text) + F.lit(SIZE_OVERHEAD)).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
+        rendezvous(key, weights, seed).alias("shard"), grown_shard.alias("grown_shard"),
+        id_hash(seed, F.coalesce(key.cast("string"), F.lit(""))).alias("h"),
+        F.monotonically_increasing_id().alias("uid")), "shard-rows")
+    return _number(rows).select(*[F.col("kept")[c].alias(c) for c in keep],
+                                *[F.col(n).alias(out[n]) for n in out])
 
 
-def _number(rows: DataFrame, shard: str, h: str, uid: str, ties: list[str], slot: str) -> DataFrame:
-    """Number each shard's rows by (h, ties).
+def _number(rows: DataFrame) -> DataFrame:
+    """Add ``slot``: the place of each row among its shard's, by (h, text_crc32, size).
 
     Rows are numbered within ranges of the hash and shifted by the sizes of the
-    ranges before.  A key with more copies than a range should hold is a range
-    of its own, cut further by the input partition its copies came from.
+    ranges before.  A key with very many copies comes after the others of its
+    range, numbered apart, by the input partition its copies came from.
     """
     n = rows.count()
     bits = max(0, (max(n, 1) // GROUP_ROWS).bit_length())
-    hot = (rows.groupBy(F.col(h).alias("_hot_h")).count().where(F.col("count") > GROUP_ROWS // 10)
-           .select("_hot_h"))
-    marked = rows.join(hot, rows[h] == hot["_hot_h"], "left")
-    group = F.struct(F.shiftright(h, KEY_BITS - bits).alias("range"),
-                     F.coalesce("_hot_h", F.lit(-1).cast("long")).alias("hot"),
-                     F.when(F.col("_hot_h").isNotNull(), F.shiftright(uid, 33)).otherwise(-1).alias("part"))
-    marked = materialize(marked.withColumn("_group", group).drop("_hot_h"), "shard-groups")
-    sizes = marked.groupBy(F.col(shard).alias("_s"), F.col("_group").alias("_g")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_s", "_g", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_g"))
-                                       - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(shard, "_group").orderBy(h, *ties, uid))
-    return (marked.withColumn("_place", place)
-            .join(before, (F.col(shard) == F.col("_s")) & (F.col("_group") == F.col("_g")))
-            .withColumn(slot, F.col("_place") - 1 + F.col("_before")))
+    hot = (rows.groupBy(F.col("h").alias("hot")).count().where(F.col("count") > GROUP_ROWS // 10)
+           .select("hot"))
+    group = F.struct(F.shiftright("h", KEY_BITS - bits).alias("range"),
+                     F.coalesce("hot", F.lit(-1).cast("long")).alias("hot"),
+                     F.when(F.col("hot").isNotNull(), F.shiftright("uid", 33)).otherwise(-1).alias("part"))
+    grouped = materialize(rows.join(hot, F.col("h") == F.col("hot"), "left")
+                          .withColumn("group", group).drop("hot"), "shard-groups")
+    sizes = grouped.groupBy(F.col("shard").alias("s"), F.col("group").alias("g")).agg(
+        F.count(F.lit(1)).alias("n"))
+    before = sizes.select("s", "g", (F.sum("n").over(Window.partitionBy("s").orderBy("g"))
+                                     - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("shard", "group").orderBy("h", "text_crc32", "size", "uid"))
+    return (grouped.withColumn("place", place)
+            .join(before, (F.col("shard") == F.col("s")) & (F.col("group") == F.col("g")))
+            .withColumn("slot", F.col("place") - 1 + F.col("before")))

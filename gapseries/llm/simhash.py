@@ -285,7 +285,7 @@ def _labelled(rows, roots, names):
     return (rows.join(roots, rows[names["fp"]] == roots["fp"])
             .select(*[rows[c] for c in names["keep"]],
                     F.lpad(F.lower(F.hex(rows[names["fp"]])), 16, "0").alias(names["fingerprint"]),
-                    F.col("component").alias(names["component_id"])))
+                    roots["component"].alias(names["component_id"])))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

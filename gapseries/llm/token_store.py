@@ -37,9 +37,10 @@ from gapseries.session import scratch_path
 # The seekable-zstd layout (fixed by its public specification).
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
-# Ids per frame, and words kept by a worker's cache.
-FRAME_IDS = 1 << 17
-CACHE_WORDS = 400_000
+FRAME_IDS = 1 << 17  # ids in a frame
+CACHE_WORDS = 800_000  # words that a worker remembers
+GROUP_WORDS = 50_000  # words looked up together
+RUN_WORDS = 64  # new words encoded as one text
 NULL_ID = -(1 << 63)
 
 MANIFEST = "path string, first_id long, docs long, ids long, bytes long"
@@ -140,39 +141,84 @@ class WordEncoder:
 
     For tokenizers that treat white space as nothing but a border.  ASCII white
     space composes with no other character, so the ids of a text are those of
-    its words in turn.  The cache has two generations and a fixed size.
+    its words in turn.  The cache has two generations and a fixed size.  New
+    words go to the tokenizer in runs, set apart by a mark that is one id of
+    its own; words that hold the mark go alone.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        alone, between = self._ids([self.MARK, f"a {self.MARK} a"])
+        a = self._ids(["a"])[0]
+        whole = len(alone) == 4 and between == a + alone + a
+        self.mark = int.from_bytes(alone, "little") if whole else None
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words],
-                                                 add_special_tokens=False)
-        for w, e in zip(words, found):
-            self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        words, out = text.split(), []
-        for at in range(0, len(words), CACHE_WORDS // 2):
-            part = words[at:at + CACHE_WORDS // 2]
-            new = set(part).difference(self.young)
-            if new:
-                if len(self.young) + len(new) > CACHE_WORDS // 2:
-                    self.old, self.young = self.young, {}
-                    new = set(part)
-                for w in new & self.old.keys():
-                    self.young[w] = self.old[w]
-                new = list(new.difference(self.young))
-                if new:
-                    self._learn(new)
-            out.extend(map(self.young.__getitem__, part))
-        return b"".join(out)
+        mark = self.MARK.encode()
+        alone = [w for w in words if self.mark is None or mark in w]
+        if alone:
+            self.young.update(zip(alone, self._ids([w.decode() for w in alone])))
+            taken = set(alone)
+            words = [w for w in words if w not in taken]
+        runs = [words[at:at + RUN_WORDS] for at in range(0, len(words), RUN_WORDS)]
+        joined = [f" {mark.decode()} ".join([w.decode() for w in run]) for run in runs]
+        for run, raw in zip(runs, self._ids(joined)):
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark).tolist()
+            start = 0
+            for w, cut in zip(run, [*cuts, len(raw) // 4], strict=True):
+                self.young[w] = raw[4 * start:4 * cut]
+                start = cut + 1
+
+    def _lookup(self, parts: list[list[bytes]]) -> list[bytes]:
+        found = [list(map(self.young.get, words)) for words in parts]
+        missing = {w for words, got in zip(parts, found) if None in got
+                   for w, x in zip(words, got) if x is None}
+        if missing:
+            for w in missing & self.old.keys():
+                self.young[w] = self.old[w]
+            self._learn([w for w in missing if w not in self.young])
+            ids = self.young.__getitem__
+            found = [[ids(w) if x is None else x for w, x in zip(words, got)] if None in got else got
+                     for words, got in zip(parts, found)]
+        if len(self.young) > CACHE_WORDS // 2:
+            self.old, self.young = self.young, {}
+        return [b"".join(got) for got in found]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners: list[int] = []
+        parts: list[list[bytes]] = []
+        size = 0
+
+        def flush():
+            for owner, ids in zip(owners, self._lookup(parts)):
+                out[owner].append(ids)
+            owners.clear()
+            parts.clear()
+
+        for n, text in enumerate(texts):
+            words = text.split()
+            for at in range(0, len(words), GROUP_WORDS):
+                part = words[at:at + GROUP_WORDS]
+                owners.append(n)
+                parts.append(part)
+                size += len(part)
+                if size >= GROUP_WORDS:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
 
 
 # --------------------------------------------------------------------- jobs ---
@@ -202,13 +248,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, id_co
         target, writer, first, docs_n, ids_n = f"{folder}/{uuid.uuid4().hex}.ids.zst", None, None, 0, 0
         out = None
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    out = _open(target, "w")
-                    writer, first = FrameWriter(out), i
-                ids = encoder.encode(t.as_py() or b"") + end
-                writer.add(i, ids)
-                docs_n, ids_n = docs_n + 1, ids_n + len(ids) // 4
+            # A few texts at a time: their ids take up to a few times their size.
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = encoder.encode([t or b"" for t in part.column(1).to_pylist()])
+                for i, ids in zip(part.column(0).to_pylist(), found):
+                    if writer is None:
+                        out = _open(target, "w")
+                        writer, first = FrameWriter(out), i
+                    writer.add(i, ids + end)
+                    docs_n, ids_n = docs_n + 1, ids_n + len(ids) // 4 + 1
         if writer is not None:
             size = writer.close()
             out.close()

@@ -67,6 +67,8 @@ def _scores_over(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
     ``floor`` a lower bound on each query's k-th best score.
     """
     kind = _dtype(q, c)
+    if kind is np.int64:  # the comparisons below round to doubles
+        floor = floor - np.abs(floor) * 2.0 ** -50
     order = np.argsort(-(c.astype(np.float64) ** 2).sum(axis=1), kind="stable")
     q, c = q[:, order].astype(kind), c[order].astype(kind)
     score = np.zeros((len(q), c.shape[1]), dtype=kind)
