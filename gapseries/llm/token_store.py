@@ -18,6 +18,7 @@ table gives an empty manifest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -39,8 +41,9 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 FRAME_IDS = 1 << 17  # ids in a frame
 CACHE_WORDS = 800_000  # words that a worker remembers
-GROUP_WORDS = 50_000  # words looked up together
-RUN_WORDS = 64  # new words encoded as one text
+GROUP_BYTES = 32 << 20  # text whose words are looked up together
+GATHER_WORDS = 200_000  # words whose ids are put together at once
+RUN_WORDS = 32  # new words encoded as one text
 NULL_ID = -(1 << 63)
 
 MANIFEST = "path string, first_id long, docs long, ids long, bytes long"
@@ -136,89 +139,159 @@ def _open(path: str, mode: str):
 
 
 # ---------------------------------------------------------------- tokenizer ---
-class WordEncoder:
-    """Encodes texts word by word, remembering the ids of words already met.
-
-    For tokenizers that treat white space as nothing but a border.  ASCII white
-    space composes with no other character, so the ids of a text are those of
-    its words in turn.  The cache has two generations and a fixed size.  New
-    words go to the tokenizer in runs, set apart by a mark that is one id of
-    its own; words that hold the mark go alone.
-    """
+# The settings under which a text's ids are those of its words in turn.
+WORDWISE_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDWISE_SPLIT = {
+    "type": "Split", "behavior": "Removed", "invert": True,
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}}
+
+
+def make_encoder(path: str):
+    """The encoder for a tokenizer file: word by word where that is exact, else of whole texts."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    split = (config["pre_tokenizer"] or {}).get("pretokenizers", [None])[0]
+    wordwise = (config["normalizer"] == WORDWISE_NORMALIZER and split == WORDWISE_SPLIT
+                and config["post_processor"] is None and not any(
+                    t["lstrip"] or t["rstrip"] or t["single_word"] for t in config["added_tokens"]))
+    return WordEncoder(path) if wordwise else TextEncoder(path)
+
 
-    MARK = "\x01"
+class TextEncoder:
+    """Encodes whole texts with the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        alone, between = self._ids([self.MARK, f"a {self.MARK} a"])
-        a = self._ids(["a"])[0]
-        whole = len(alone) == 4 and between == a + alone + a
-        self.mark = int.from_bytes(alone, "little") if whole else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, words: list[bytes]) -> None:
-        mark = self.MARK.encode()
-        alone = [w for w in words if self.mark is None or mark in w]
-        if alone:
-            self.young.update(zip(alone, self._ids([w.decode() for w in alone])))
-            taken = set(alone)
-            words = [w for w in words if w not in taken]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (no nulls) as little-endian unsigned 32-bit integers."""
+        return self._ids(texts.to_pylist())
+
+
+class WordEncoder(TextEncoder):
+    """Encodes the distinct words of many texts, and puts the texts' ids together.
+
+    The tokenizer treats white space as nothing but a border, ignores case and
+    cuts between letters and marks; ASCII white space and marks compose with no
+    letter before them.  So the ids of a text are those of its words in turn,
+    in lower case, with closing marks as words of their own.  Arrow cuts the
+    texts and numbers the distinct words; a worker remembers the ids of words it
+    has met, in two generations of a fixed size.  New words go to the tokenizer
+    in runs, set apart by a control character that is one id of its own; words
+    that hold the character go alone, as do texts in which case may count.
+    """
+
+    MARK, SPACED = "\x01", " \x01 "
+    # An ASCII or Latin-1 letter, then an ASCII mark but the apostrophe and those of special tokens.
+    CUT = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-;=?@\\[-`{}~])"
+    LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+    # Special tokens, and the dot above, which makes of I a letter whose lower case is two.
+    CASED = "<\\||\u0307"
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        alone, spaced, joined, a = self._ids([self.MARK, f"a{self.SPACED}a", f"a{self.MARK}a", "a"])
+        if len(alone) != 4 or spaced != a + alone + a or joined != spaced:
+            raise ValueError("the tokenizer has no id for the mark between words")
+        self.mark = int.from_bytes(alone, "little")
+
+    def _learn(self, words: list[str], between: str) -> None:
+        """Ids of words without MARK, encoded in runs with ``between`` among them."""
         runs = [words[at:at + RUN_WORDS] for at in range(0, len(words), RUN_WORDS)]
-        joined = [f" {mark.decode()} ".join([w.decode() for w in run]) for run in runs]
-        for run, raw in zip(runs, self._ids(joined)):
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark).tolist()
+        for run, raw in zip(runs, self._ids([between.join(run) for run in runs])):
             start = 0
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark).tolist()
             for w, cut in zip(run, [*cuts, len(raw) // 4], strict=True):
                 self.young[w] = raw[4 * start:4 * cut]
                 start = cut + 1
 
-    def _lookup(self, parts: list[list[bytes]]) -> list[bytes]:
-        found = [list(map(self.young.get, words)) for words in parts]
-        missing = {w for words, got in zip(parts, found) if None in got
-                   for w, x in zip(words, got) if x is None}
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.young.get, words))
+        missing = [w for w, x in zip(words, found) if x is None]
         if missing:
-            for w in missing & self.old.keys():
-                self.young[w] = self.old[w]
-            self._learn([w for w in missing if w not in self.young])
-            ids = self.young.__getitem__
-            found = [[ids(w) if x is None else x for w, x in zip(words, got)] if None in got else got
-                     for words, got in zip(parts, found)]
+            new = []
+            for w in missing:
+                ids = self.old.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.young[w] = ids
+            letters, others = [], []
+            for w in new:
+                (letters if w.isascii() and w.isalpha() or self.LETTERS.fullmatch(w) else others).append(w)
+            self._learn(letters, self.MARK)  # other words could join a mark without a space
+            self._learn([w for w in others if self.MARK not in w], self.SPACED)
+            alone = [w for w in others if self.MARK in w]
+            self.young.update(zip(alone, self._ids(alone)))
+            ids_of = self.young.__getitem__
+            found = [ids_of(w) if x is None else x for w, x in zip(words, found)]
         if len(self.young) > CACHE_WORDS // 2:
             self.old, self.young = self.young, {}
-        return [b"".join(got) for got in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        owners: list[int] = []
-        parts: list[list[bytes]] = []
-        size = 0
-
-        def flush():
-            for owner, ids in zip(owners, self._lookup(parts)):
-                out[owner].append(ids)
-            owners.clear()
-            parts.clear()
-
-        for n, text in enumerate(texts):
-            words = text.split()
-            for at in range(0, len(words), GROUP_WORDS):
-                part = words[at:at + GROUP_WORDS]
-                owners.append(n)
-                parts.append(part)
-                size += len(part)
-                if size >= GROUP_WORDS:
-                    flush()
-                    size = 0
-        flush()
-        return [b"".join(x) for x in out]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring_regex(texts, self.CASED).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), self.CUT, r"\1 \2")
+        lists = pc.ascii_split_whitespace(cut)
+        coded = lists.flatten().dictionary_encode()
+        offsets, index = lists.offsets.to_numpy(), coded.indices.to_numpy()
+        offsets, index = offsets - offsets[0], index.astype(np.int64)
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        first = np.cumsum(size) - size
+        out, at = [], 0
+        while at < len(texts):  # texts of about GATHER_WORDS words at a time
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GATHER_WORDS, side="right")) - 1)
+            words = index[offsets[at]:offsets[to]]
+            n = size[words]
+            ends = np.cumsum(n)
+            raw = pool[np.repeat(first[words] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            ends = np.r_[0, ends][offsets[at:to + 1] - offsets[at]].tolist()
+            out.extend(raw[4 * a:4 * b] for a, b in zip(ends, ends[1:]))
+            at = to
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._ids([texts[k].as_py()])[0]
+        return out
+
+
+def encode_all(encoder, texts: pa.Array):
+    """The ids of each text of a column (null: none), GROUP_BYTES of text at a time.
+
+    A longer text is cut at ASCII white space into parts for a word encoder.
+    """
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + GROUP_BYTES, side="right")))
+        group = pc.fill_null(texts.slice(at, to - at), "")
+        if to == at + 1 and size[at] > GROUP_BYTES and isinstance(encoder, WordEncoder):
+            parts = _parts(group[0].as_py())
+            yield b"".join(b"".join(encoder.encode(pa.array([p], pa.string()))) for p in parts)
+        else:
+            yield from encoder.encode(group)
+        at = to
+
+
+def _parts(text: str):
+    """A long text in parts of about GROUP_BYTES characters, cut at ASCII white space."""
+    at = 0
+    for gap in re.finditer(r"[\x20\x09-\x0D]", text):
+        if gap.start() - at >= GROUP_BYTES:
+            yield text[at:gap.start()]
+            at = gap.start()
+    yield text[at:]
 
 
 # --------------------------------------------------------------------- jobs ---
@@ -236,7 +309,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, id_co
         from pyarrow import fs
         system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
         system.create_dir(inner, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"),
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                        # Deals out the rows of an id that repeats.
                        F.xxhash64(F.monotonically_increasing_id()).alias("copy"))
     order = [F.col("id").asc_nulls_first(), F.col("copy")]
@@ -244,20 +317,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, id_co
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder = worker_state(f"encoder:{tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+        encoder = worker_state(f"encoder:{tokenizer_path}", lambda: make_encoder(tokenizer_path))
         target, writer, first, docs_n, ids_n = f"{folder}/{uuid.uuid4().hex}.ids.zst", None, None, 0, 0
         out = None
         for batch in batches:
-            # A few texts at a time: their ids take up to a few times their size.
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = encoder.encode([t or b"" for t in part.column(1).to_pylist()])
-                for i, ids in zip(part.column(0).to_pylist(), found):
-                    if writer is None:
-                        out = _open(target, "w")
-                        writer, first = FrameWriter(out), i
-                    writer.add(i, ids + end)
-                    docs_n, ids_n = docs_n + 1, ids_n + len(ids) // 4 + 1
+            for i, ids in zip(batch.column(0).to_pylist(), encode_all(encoder, batch.column(1))):
+                if writer is None:
+                    out = _open(target, "w")
+                    writer, first = FrameWriter(out), i
+                writer.add(i, ids + end)
+                docs_n, ids_n = docs_n + 1, ids_n + len(ids) // 4 + 1
         if writer is not None:
             size = writer.close()
             out.close()

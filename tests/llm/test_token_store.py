@@ -1,9 +1,11 @@
 """Token files: exact round trip, frames read one by one, damage noticed."""
 
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -28,23 +30,53 @@ def whole(tokenizer, text):
 
 
 def test_words_give_the_ids_of_the_whole_text(tokenizer, spark):
-    encoder = ts.WordEncoder(tokenizer_path())
+    encoder = ts.make_encoder(tokenizer_path())
+    assert isinstance(encoder, ts.WordEncoder)
     texts = ODD_TEXTS + [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
-    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+    for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string()))):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_any_mixture_of_characters(tokenizer):
+    """Random words over characters that could compose, fold or join across a cut."""
+    rnd = random.Random(5)
+    pieces = list("aZzIKé ßÄ÷×.,;:!?$%&#*()'<|>=/\\-_~`^\"@[]{}+09\x01\x1c") + [
+        "\u0301", "\u0307", "\u0338", "İ", "ı", "ﬁ", "K", "Å", "日", "🙂", "'s", "'t", "'RE", "\u00a0", "\u2003",
+        "\u0345", "<|endoftext|>", "<|ENDOFTEXT|>", "…", "ǅ", "\u0958", "e\u0301", "µ", "ª", "\t", "\n"]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randint(1, 30))) for _ in range(4000)]
+    encoder = ts.WordEncoder(tokenizer_path())
+    for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string()))):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    encoder, plain = ts.make_encoder(path), Tokenizer.from_file(path)
+    assert type(encoder) is ts.TextEncoder
+    for text, ids in zip(ODD_TEXTS, encoder.encode(pa.array(ODD_TEXTS))):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("sizes", [(8, 5, 2), (1000, 1, 64), (10, 1000, 1)])
 def test_small_cache_groups_and_runs(monkeypatch, tokenizer, sizes):
-    for name, value in zip(("CACHE_WORDS", "GROUP_WORDS", "RUN_WORDS"), sizes):
+    for name, value in zip(("CACHE_WORDS", "GATHER_WORDS", "RUN_WORDS"), sizes):
         monkeypatch.setattr(ts, name, value)
     encoder = ts.WordEncoder(tokenizer_path())
-    assert encoder.mark is not None
-    texts = [" ".join(f"word{i % 13} {i} \x01 \x01\x01a b\x01" for i in range(n)) for n in (200, 0, 1, 37)]
+    texts = [" ".join(f"Word{i % 13}, {i} \x01 \x01\x01a b\x01 x{'yz' * (i % 50)}!" for i in range(n))
+             for n in (200, 0, 1, 37)]
     for _ in range(3):
-        for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string()))):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(encoder.young) <= max(sizes[0], 300)
+        assert len(encoder.young) <= sizes[0] and len(encoder.old) <= 1100
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1 << 20])
+def test_long_texts_in_parts(monkeypatch, tokenizer, size):
+    monkeypatch.setattr(ts, "GROUP_BYTES", size)
+    texts = ["one two\n three", None, "", "x" * 50 + " é y. " * 40, "word. " * 30, " \t "]
+    got = list(ts.encode_all(ts.make_encoder(tokenizer_path()), pa.array(texts, pa.string())))
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_round_trip(spark, tokenizer, monkeypatch):
