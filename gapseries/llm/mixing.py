@@ -22,6 +22,7 @@ from gapseries.llm.common import free_name, global_row_number, id_hash, material
 # Bits of the sampling key settled by each pass of the cut search.
 DIGIT_BITS = 13
 KEY_BITS = 52
+SOURCES_PER_FILE = 100_000
 
 
 def cyclic_weights(sizes: DataFrame, cycle: list[float], source: str = "source") -> DataFrame:
@@ -75,14 +76,15 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
     sizes = rows.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size"))
     sources = materialize(weights(sizes).withColumn("cap", F.lit(max_epochs) * F.col("source_size")),
                           "mix-sources")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    r = sources.agg(F.sum("source_size").alias("words"), F.count(F.lit(1)).alias("n")).first()
+    total, parts = r.words or 0, 1 + r.n // SOURCES_PER_FILE
     level = water_level(sources, total * total_share)
     share = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)) \
         if level != float("inf") else F.col("cap").cast("double")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = (sources.withColumn("target", share).withColumn("whole", whole.cast("long"))
              .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")))
-    cuts = _cut(rows.select("s", "k1", "k2", "n"), goals)
+    cuts = _cut(rows.select("s", "k1", "k2", "n"), goals, parts)
     joined = rows.join(cuts, rows["s"].eqNullSafe(cuts["source"]))
     key, cut = F.struct("k1", "k2"), F.struct("c1", "c2")
     extra = F.coalesce((key < cut) | ((key == cut) & F.col("at_cut")), F.lit(False))
@@ -93,13 +95,16 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
         repeats.alias(names["repeats"]), (F.col("n") * repeats).alias(names["taken"]))
 
 
-def _cut(rows: DataFrame, goals: DataFrame) -> DataFrame:
+def _cut(rows: DataFrame, goals: DataFrame, parts: int) -> DataFrame:
     """For each source the key (c1, c2) up to which documents get the extra repetition.
 
     A radix selection: each pass sums the sizes of the keys that share the
     prefix found so far, by the next digit, and moves into the digit where the
     running sum crosses the goal.  Every pass is a sum that combines on the map
-    side, so no source's documents are ever gathered or sorted together.
+    side, so no source's documents are ever gathered or sorted together.  The
+    state, a row for each source, is written to ``parts`` files, so that Spark
+    knows its size: it is broadcast where that is small, and documents are
+    shuffled by source only where there are very many sources.
     ``at_cut``: the document at the cut is taken if that is nearer the goal.
     """
     zero = F.lit(0).cast("long")
@@ -108,7 +113,7 @@ def _cut(rows: DataFrame, goals: DataFrame) -> DataFrame:
               for left in range(KEY_BITS, 0, -DIGIT_BITS)]
     for n, left, shift in passes:
         key, cut = F.col(f"k{n}"), F.col(f"c{n}")
-        state = state.select(*goals.columns, "c1", "c2", "cum").checkpoint()
+        state = materialize(state.select(*goals.columns, "c1", "c2", "cum").repartition(parts), "mix-state")
         near = (rows.join(state.select("source", "c1", "c2"), rows["s"].eqNullSafe(state["source"]))
                 .where(F.shiftright(key, left) == F.shiftright(cut, left)))
         if n == "2":
@@ -122,17 +127,19 @@ def _cut(rows: DataFrame, goals: DataFrame) -> DataFrame:
                .join(state.select("source", "cum", "extra"), F.col("s").eqNullSafe(F.col("source")))
                .where(F.col("cum") + F.col("upto") > F.col("extra"))
                .groupBy("s").agg(F.min(F.struct("d", "n", "upto", "docs", "key")).alias("h")))
-        state = (state.join(hit, state["source"].eqNullSafe(hit["s"]), "left")
-                 # No crossing: the goal is all of the source.
-                 .withColumn(f"c{n}", F.when(F.col("h").isNull(), F.shiftleft(F.lit(1).cast("long"), KEY_BITS))
-                             .otherwise(cut + F.shiftleft(F.col("h.d"), shift)))
-                 .withColumn("cum", F.col("cum") + F.coalesce(F.col("h.upto") - F.col("h.n"), zero))
-                 .drop("s")).checkpoint()
+        state = materialize(
+            state.join(hit, state["source"].eqNullSafe(hit["s"]), "left")
+            # No crossing: the goal is all of the source.
+            .withColumn(f"c{n}", F.when(F.col("h").isNull(), F.shiftleft(F.lit(1).cast("long"), KEY_BITS))
+                        .otherwise(cut + F.shiftleft(F.col("h.d"), shift)))
+            .withColumn("cum", F.col("cum") + F.coalesce(F.col("h.upto") - F.col("h.n"), zero))
+            .drop("s").repartition(parts), "mix-state")
         if state.where(F.col("h.docs") > 1).isEmpty():
             break
-    return (state.withColumn("at_cut", F.col("cum") + F.col("h.n") / 2 <= F.col("extra"))
-            .withColumn("c1", F.coalesce(F.col("h.key.k1"), "c1"))
-            .withColumn("c2", F.coalesce(F.col("h.key.k2"), "c2")).drop("h"))
+    found = (state.withColumn("at_cut", F.col("cum") + F.col("h.n") / 2 <= F.col("extra"))
+             .withColumn("c1", F.coalesce(F.col("h.key.k1"), "c1"))
+             .withColumn("c2", F.coalesce(F.col("h.key.k2"), "c2")).drop("h"))
+    return materialize(found.repartition(parts), "mix-cuts")
 
 
 def expand(mixed: DataFrame, columns: list[str], repeats: str = "repeats") -> DataFrame:
