@@ -1,9 +1,6 @@
-"""Column expressions: scalar helpers, hashing and covariance kernels."""
+"""Column expressions: scalar helpers and hashing."""
 
 from gapseries.functions.columns import (  # noqa: F401
     binary_label, code_category, epoch_days, indicator, key_hash, key_unit,
     uncertainty_band,
 )
-from gapseries.functions.kernels import (  # noqa: F401
-    kernel_column, rational_quadratic, squared_exponential,
-)

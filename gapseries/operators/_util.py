@@ -7,20 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a size check, else leave the join to shuffle.
-
-    The check counts at most ``max_rows + 1`` rows, so it costs little even
-    when the side is large; a large side falls back to a shuffle join (and AQE
-    may still convert it at run time).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def as_list(x) -> list:
     if x is None:

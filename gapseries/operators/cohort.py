@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapseries.functions.columns import indicator
-from gapseries.operators._util import as_list, broadcast_if_small
+from gapseries.operators._util import as_list
 
 
 def min_length_pairs(events: DataFrame, entity: str, item: str, n: int = 3) -> DataFrame:
@@ -76,27 +76,13 @@ def item_dimension_for(dim: DataFrame, item: str, item_code: str,
     return dim.where(F.col(item_code).isin(as_list(codes))).select(item, item_code)
 
 
-# Up to this many chosen items become an IN-list pushed into the event scan.
-IN_LIST_MAX = 10_000
-
-
 def select_item_events(events: DataFrame, dim: DataFrame, item: str, item_code: str,
                        codes: str | Sequence[str]) -> DataFrame:
     """Events of the items carrying the given item code(s), code attached.
 
-    The dimension is filtered first.  When it leaves at most ``IN_LIST_MAX``
-    items (checked, never assumed) they become an IN filter that reaches the
-    Parquet scan (row groups are skipped by statistics) and the code is
-    attached with a map literal; otherwise the chosen items are joined,
-    broadcast only behind a size check.
+    The filtered dimension is joined, so an item listed under several of the
+    codes gives its events once for each.  AQE broadcasts the chosen items when
+    they turn out small, and a runtime filter then prunes the event scan.
     """
     chosen = item_dimension_for(dim, item, item_code, codes)
-    rows = chosen.limit(IN_LIST_MAX + 1).collect()
-    if len(rows) <= IN_LIST_MAX:
-        mapping = {r[item]: r[item_code] for r in rows}
-        if not mapping:
-            return events.where(F.lit(False)).withColumn(item_code, F.lit(None).cast("string"))
-        lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-        return (events.where(F.col(item).isin(list(mapping)))
-                .withColumn(item_code, lookup[F.col(item)]))
-    return events.join(broadcast_if_small(chosen), item, "inner")
+    return events.join(chosen, item, "inner").select(*events.columns, item_code)

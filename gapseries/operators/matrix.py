@@ -13,12 +13,11 @@ def top_items(support: DataFrame, dim: DataFrame, item: str, k: int = 100,
     """The ``k`` best-supported items, joined to the item dimension.
 
     Ties on the count are broken by item, ascending.  The join comes after the
-    limit, so items missing from the dimension shrink the result.  The top side
-    holds at most ``k`` rows, which is what makes broadcasting it safe.
+    limit, so items missing from the dimension shrink the result.
     """
     top = support.orderBy(F.col(count).desc(), F.col(item).asc()).limit(k)
     dim_cols = [c for c in dim.columns if c != item]
-    return dim.join(F.broadcast(top), item, "inner").select(item, count, *dim_cols)
+    return dim.join(top, item, "inner").select(item, count, *dim_cols)
 
 
 def cooccurrence_cells(top: DataFrame, pairs: DataFrame, diagnoses: DataFrame,
@@ -32,7 +31,7 @@ def cooccurrence_cells(top: DataFrame, pairs: DataFrame, diagnoses: DataFrame,
     """
     codes = top.where(F.col(item_code).isNotNull()).select(item, item_code)
     per_entity_code = (pairs.where(F.col(entity).isNotNull())
-                       .join(F.broadcast(codes), item, "inner")
+                       .join(codes, item, "inner")
                        .groupBy(entity, item_code).agg(F.count(F.lit(1)).alias("_ni")))
     per_entity_cat = (diagnoses.where(F.col(entity).isNotNull())
                       .groupBy(entity, category).agg(F.count(F.lit(1)).alias("_nd")))
@@ -45,9 +44,13 @@ def pivot_matrix(cells: DataFrame, category: str, item_code: str, codes: list[st
                  k: int | None = 125, total: str = "sum") -> DataFrame:
     """Wide matrix: one column per code (0 where absent), row ``total``,
     the ``k`` largest rows (ties by category)."""
-    wide = (cells.groupBy(category).pivot(item_code, codes).agg(F.first("n"))
-            .na.fill(0, subset=codes))
-    wide = wide.withColumn(total, reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in codes])
-                           if codes else F.lit(0).cast("bigint"))
-    out = wide.orderBy(F.col(total).desc(), F.col(category).asc())
+    clash = {category.lower(), total.lower()} & {c.lower() for c in codes}
+    if clash:
+        raise ValueError(f"an item code has the name of another column: {sorted(clash)}")
+    wide = cells.groupBy(category).pivot(item_code, codes).agg(F.first("n"))
+    # Codes may hold dots and other marks, so every reference is quoted.
+    counts = {c: F.coalesce(F.col("`" + c.replace("`", "``") + "`"), F.lit(0).cast("bigint")) for c in codes}
+    row_total = reduce(lambda a, b: a + b, counts.values(), F.lit(0).cast("bigint"))
+    out = (wide.select(category, *[x.alias(c) for c, x in counts.items()], row_total.alias(total))
+           .orderBy(F.col(total).desc(), F.col(category).asc()))
     return out.limit(k) if k is not None else out

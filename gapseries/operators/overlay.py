@@ -9,25 +9,32 @@ from pyspark.sql import functions as F
 
 from gapseries.functions.columns import uncertainty_band
 
+_KEY = "_key"
 
-def series_overlay(points: DataFrame, pred: DataFrame, keys: Sequence[str], value: str,
-                   t_rel: str = "t_rel", t_warped: str = "t_warped") -> DataFrame:
-    """Union of raw (relative time), warped, GP mean and the mean -/+ one
-    standard deviation band: keys, kind, t, y.  Only series present on both
-    sides are kept (a key missing from either side is skipped)."""
+
+def series_overlay(series: DataFrame, resampled: DataFrame, keys: Sequence[str],
+                   step: float = 0.25) -> DataFrame:
+    """Raw (relative time), warped, GP mean and the mean -/+ one standard
+    deviation band: keys, kind, t, y.
+
+    ``series`` (keys, t, tw, v) and ``resampled`` (keys, t0, mean, variance)
+    have one row per series; they are joined once, and series missing from
+    either side are skipped.
+    """
     keys = list(keys)
-    common = points.select(*keys).distinct().join(pred.select(*keys).distinct(), keys, "inner")
-    pts = points.join(common, keys, "left_semi")
-    prd = pred.join(common, keys, "left_semi")
-    lo, hi = uncertainty_band("mean", "variance")
-    parts = [
-        pts.select(*keys, F.lit("raw").alias("kind"), F.col(t_rel).alias("t"), F.col(value).alias("y")),
-        pts.select(*keys, F.lit("warped").alias("kind"), F.col(t_warped).alias("t"), F.col(value).alias("y")),
-        prd.select(*keys, F.lit("mean").alias("kind"), F.col(t_warped).alias("t"), F.col("mean").alias("y")),
-        prd.select(*keys, F.lit("lower").alias("kind"), F.col(t_warped).alias("t"), lo.alias("y")),
-        prd.select(*keys, F.lit("upper").alias("kind"), F.col(t_warped).alias("t"), hi.alias("y")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = series.select(F.struct(*keys).alias(_KEY), "t", "tw", "v")
+    r = resampled.select(F.struct(*keys).alias(_KEY), "t0", "mean", "variance")
+
+    def points(p):
+        return F.array(F.struct(F.lit("raw").alias("kind"), p["t"].alias("t"), p["v"].alias("y")),
+                       F.struct(F.lit("warped").alias("kind"), p["tw"].alias("t"), p["v"].alias("y")))
+
+    def grid(p, i):
+        t = F.col("t0") + i * F.lit(step)
+        lower, upper = uncertainty_band(p["mean"], p["variance"])
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), t.alias("t"), y.alias("y")) for kind, y in
+                         (("mean", p["mean"]), ("lower", lower), ("upper", upper))])
+
+    rows = F.flatten(F.concat(F.transform(F.arrays_zip("t", "tw", "v"), points),
+                              F.transform(F.arrays_zip("mean", "variance"), grid)))
+    return s.join(r, _KEY).select(f"{_KEY}.*", F.inline(rows))

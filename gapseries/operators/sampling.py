@@ -5,8 +5,8 @@ rows after a repartition), so every choice here ranks keys by an md5-derived
 32-bit hash instead.  Exact quotas ("keep the m smallest hashes") are found
 without a global sort: one small aggregate counts keys per hash bucket (the
 top ``bits`` bits), whole buckets below the cut are kept by a per-row
-predicate, and only the one boundary bucket is ranked, and broadcast with the
-size its count proves.
+predicate, and only the one boundary bucket is ranked (AQE broadcasts it when
+it is small).
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapseries.functions.columns import key_hash, key_unit
-from gapseries.operators._util import BROADCAST_MAX_ROWS
 from gapseries.operators._util import null_safe_join as _null_safe_join
 
 _H, _B = "_hash", "_bucket"
@@ -49,13 +48,12 @@ def keep_smallest_by_hash(df: DataFrame, keys: Sequence[str], quota: int | Mappi
 
     keep_expr = F.lit(False)
     boundary_parts: list[DataFrame] = []
-    boundary_rows = 0
     labels = set(per_label) | ({k for k in quotas} if label else set())
     for lab in labels:
         buckets = sorted(per_label.get(lab, []))
         total = sum(n for _, n in buckets)
         m = quotas.get(lab, total) if label else quotas[None]
-        is_lab = (F.col(label) == F.lit(lab)) if label else F.lit(True)
+        is_lab = F.col(label).eqNullSafe(F.lit(lab)) if label else F.lit(True)
         if m >= total:
             keep_expr = keep_expr | is_lab
             continue
@@ -64,7 +62,7 @@ def keep_smallest_by_hash(df: DataFrame, keys: Sequence[str], quota: int | Mappi
         cum = 0
         for b, n in buckets:
             if cum + n >= m:
-                cut, rest, bucket_n = b, m - cum, n
+                cut, rest = b, m - cum
                 break
             cum += n
         w = Window.partitionBy(_B).orderBy(F.col(_H), *[F.col(k) for k in keys])
@@ -72,7 +70,6 @@ def keep_smallest_by_hash(df: DataFrame, keys: Sequence[str], quota: int | Mappi
                 .withColumn("_rank", F.row_number().over(w))
                 .where(F.col("_rank") <= rest).select(*key_cols))
         boundary_parts.append(part)
-        boundary_rows += bucket_n
         keep_expr = keep_expr | (is_lab & ((F.col(_B) < cut) | ((F.col(_B) == cut) & F.col("_in"))))
 
     if boundary_parts:
@@ -80,8 +77,6 @@ def keep_smallest_by_hash(df: DataFrame, keys: Sequence[str], quota: int | Mappi
         for p in boundary_parts[1:]:
             boundary = boundary.unionByName(p)
         boundary = boundary.withColumn("_in", F.lit(True))
-        if boundary_rows <= BROADCAST_MAX_ROWS:
-            boundary = F.broadcast(boundary)
         hashed = _null_safe_join(hashed, boundary, key_cols, "left")
         hashed = hashed.withColumn("_in", F.coalesce(F.col("_in"), F.lit(False)))
     else:

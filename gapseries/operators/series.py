@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapseries.functions.columns import epoch_days
-from gapseries.operators._util import null_safe_join
 from gapseries.roles import Roles
 
 T_DAYS = "t_days"
@@ -27,14 +26,17 @@ def to_points(events: DataFrame, roles: Roles, *, null_values: str = "drop",
     """Normalise an event table to points: key columns, ``t_days``, value, tie.
 
     Rows without a time are dropped.  ``null_values="drop"`` drops rows without
-    a value, ``"zero"`` reads them as 0.0 (what unboxing a null double does).
-    A null unit becomes the empty string.
+    a value, ``"zero"`` reads them as 0.0 (what unboxing a null double does); a
+    NaN value counts as none.  A null unit becomes the empty string.
     """
     df = events.where(F.col(roles.time).isNotNull())
+    value = F.col(roles.value)
+    if dict(df.dtypes)[roles.value] in ("double", "float"):
+        value = F.nanvl(value, F.lit(None).cast("double"))
     if null_values == "drop":
-        df = df.where(F.col(roles.value).isNotNull())
+        df = df.where(value.isNotNull())
     elif null_values == "zero":
-        df = df.withColumn(roles.value, F.coalesce(F.col(roles.value), F.lit(0.0)))
+        df = df.withColumn(roles.value, F.coalesce(value, F.lit(0.0)))
     else:
         raise ValueError("null_values must be 'drop' or 'zero'")
     df = df.withColumn(T_DAYS, epoch_days(df, roles.time))
@@ -49,51 +51,62 @@ def _order(t: str, tie: str | None) -> list[Column]:
     return [F.col(t).asc()] + ([F.col(tie).asc()] if tie else [])
 
 
-def series_window(keys: Sequence[str], t: str, tie: str | None):
-    return Window.partitionBy(*keys).orderBy(*_order(t, tie))
+# Days of a series that are sorted together.  A series is spread over as many
+# tasks as it has such blocks with points.
+BLOCK_DAYS = 1.0
+_KEY, _BLK = "_key", "_blk"
+
+
+def _blocked(points: DataFrame, keys: Sequence[str], t: str, tie: str | None, block_days: float):
+    """Points clustered on (series, time block), and the window over a block.
+
+    The key columns are held in one struct: structs compare null fields as
+    equal, so a series whose key holds a null is a series like any other, and
+    shuffle, windows and joins all agree on one column.
+    """
+    if block_days <= 0:
+        raise ValueError("block_days must be positive")
+    df = (points.withColumn(_KEY, F.struct(*keys))
+          .withColumn(_BLK, F.floor(F.col(t) / F.lit(block_days)).cast("long"))
+          .repartition(_KEY, _BLK))
+    return df, Window.partitionBy(_KEY, _BLK).orderBy(*_order(t, tie))
 
 
 def relative_time(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
-                  tie: str | None = None, out: str = T_REL) -> DataFrame:
-    """``t - min(t)`` over each series (first value of the ordered window)."""
-    w = series_window(keys, t, tie)
-    return points.withColumn(out, F.col(t) - F.first(t).over(w))
+                  out: str = T_REL) -> DataFrame:
+    """``t - min(t)`` over each series: a map-side-combined minimum, joined back."""
+    first = points.groupBy(F.struct(*keys).alias(_KEY)).agg(F.min(t).alias("_t0"))
+    return (points.withColumn(_KEY, F.struct(*keys)).join(first, _KEY)
+            .withColumn(out, F.col(t) - F.col("_t0")).drop(_KEY, "_t0"))
 
 
 def time_deltas(points: DataFrame, keys: Sequence[str], t: str = T_REL,
-                tie: str | None = None, out: str = "dt") -> DataFrame:
-    """Successive differences inside each series (null on the first point)."""
-    w = series_window(keys, t, tie)
-    return points.withColumn(out, F.col(t) - F.lag(t).over(w))
+                tie: str | None = None, out: str = "dt",
+                block_days: float = BLOCK_DAYS) -> DataFrame:
+    """Successive differences inside each series (null on the first point).
+
+    Within a time block by a window, into a block from the last time of the
+    block before it.
+    """
+    df, w = _blocked(points, keys, t, tie, block_days)
+    df = df.withColumn("_prev", F.lag(t).over(w))
+    ends = df.groupBy(_KEY, _BLK).agg(F.max(t).alias("_hi"))
+    before = ends.select(_KEY, _BLK, F.lag("_hi").over(
+        Window.partitionBy(_KEY).orderBy(_BLK)).alias("_into"))
+    return (df.join(before, [_KEY, _BLK])
+            .withColumn(out, F.col(t) - F.coalesce("_prev", "_into"))
+            .drop(_KEY, _BLK, "_prev", "_into"))
 
 
 def time_warp(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
               tie: str | None = None, a: float = 3.0, b: float = 0.0,
+              block_days: float = BLOCK_DAYS, series_filter: DataFrame | None = None,
               rel: str = T_REL, out: str = T_WARP) -> DataFrame:
-    """Relative time and polynomial time warp, in one sort.
+    """Relative time and polynomial time warp as a two-level prefix sum.
 
     Each gap d between successive points becomes ``d ** (1/a) + b`` and the
     warped time is their running sum from 0, so output length equals input
-    length and the first point sits at 0.  All three windows share one
-    partitioning and ordering, so Spark sorts once.
-    """
-    if a == 0:
-        raise ValueError("warp exponent a must be non-zero")
-    w = series_window(keys, t, tie)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = points.withColumn(rel, F.col(t) - F.first(t).over(w))
-    df = df.withColumn("_gap", F.col(rel) - F.lag(rel).over(w))
-    df = df.withColumn("_inc", F.when(F.col("_gap").isNull(), F.lit(0.0))
-                       .otherwise(F.pow(F.col("_gap"), F.lit(1.0 / a)) + F.lit(b)))
-    return df.withColumn(out, F.sum("_inc").over(run)).drop("_gap", "_inc")
-
-
-def time_warp_blocked(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
-                      tie: str | None = None, a: float = 3.0, b: float = 0.0,
-                      block_days: float = 7.0, series_filter: DataFrame | None = None,
-                      cluster: Sequence[str] | None = None,
-                      rel: str = T_REL, out: str = T_WARP) -> DataFrame:
-    """:func:`time_warp` as a two-level prefix sum, so no series is one task.
+    length and the first point sits at 0.
 
     1. Points are clustered on (series key, time block of ``block_days``) and
        warped locally inside each block (lag, running sum).
@@ -107,22 +120,13 @@ def time_warp_blocked(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
     A series holding any share of the rows is spread over as many tasks as it
     has blocks.  ``series_filter`` (columns a subset of ``keys``) keeps only
     matching series; it is applied to the summaries, so the point side never
-    reshuffles for it.  ``cluster`` names the key columns to shuffle on
-    (default: all keys); leave out a key column that is constant, since Spark
-    drops constants from window keys but not from an explicit repartition.
-    Key columns must be non-null (a series needs a key).  Results equal
-    :func:`time_warp` up to floating-point summation order.
+    reshuffles for it.  Nulls in key columns are values like any other.
     """
     if a == 0:
         raise ValueError("warp exponent a must be non-zero")
-    if block_days <= 0:
-        raise ValueError("block_days must be positive")
     keys = list(keys)
     inv = F.lit(1.0 / a)
-    blk = "_blk"
-    df = points.withColumn(blk, F.floor(F.col(t) / F.lit(block_days)).cast("long"))
-    df = df.repartition(*(list(cluster) if cluster else keys), blk)
-    w = series_window(keys + [blk], t, tie)
+    df, w = _blocked(points, keys, t, tie, block_days)
     df = df.withColumn("_gap", F.col(t) - F.lag(t).over(w))
     df = df.withColumn("_inc", F.when(F.col("_gap").isNull(), F.lit(0.0))
                        .otherwise(F.pow(F.col("_gap"), inv) + F.lit(b)))
@@ -131,14 +135,16 @@ def time_warp_blocked(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
 
     # The point count reads every column, so this branch keeps the same
     # columns as the point side below the exchange and AQE reuses the shuffle.
-    summ = df.groupBy(*keys, blk).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"),
-                                     F.sum("_inc").alias("_s"),
-                                     F.count(F.struct(*df.columns)).alias("_n"))
+    summ = df.groupBy(_KEY, _BLK).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"),
+                                      F.sum("_inc").alias("_s"),
+                                      F.count(F.struct(*df.columns)).alias("_n"))
     df = df.drop("_inc")
     if series_filter is not None:
-        summ = null_safe_join(summ, series_filter.distinct(), list(series_filter.columns),
-                              "left_semi")
-    ws = Window.partitionBy(*keys).orderBy(blk)
+        fields = list(series_filter.columns)
+        kept = series_filter.distinct().select(F.struct(*fields).alias("_want"))
+        summ = summ.join(kept, F.struct(*[F.col(f"{_KEY}.{f}") for f in fields]) == F.col("_want"),
+                         "left_semi")
+    ws = Window.partitionBy(_KEY).orderBy(_BLK)
     summ = summ.withColumn("_t0", F.first("_lo").over(ws))
     prev = F.lag("_hi").over(ws)
     summ = summ.withColumn("_fi", F.when(prev.isNull(), F.lit(0.0)).otherwise(
@@ -146,52 +152,34 @@ def time_warp_blocked(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
     before = F.sum(F.col("_fi") + F.col("_s")).over(
         ws.rowsBetween(Window.unboundedPreceding, -1))
     summ = summ.withColumn("_start", F.coalesce(before, F.lit(0.0)) + F.col("_fi"))
-    summ = summ.select(*keys, blk, "_t0", "_start")
-
-    # plain equi-join: the point side is already clustered on these columns
-    joined = df.join(summ, keys + [blk], "inner")
+    joined = df.join(summ.select(_KEY, _BLK, "_t0", "_start"), [_KEY, _BLK], "inner")
     return (joined.withColumn(rel, F.col(t) - F.col("_t0"))
             .withColumn(out, F.col("_start") + F.col("_loc"))
-            .drop(blk, "_t0", "_start", "_loc"))
-
-
-def check_series_length(points: DataFrame, keys: Sequence[str], max_points: int) -> int:
-    """Raise ``ValueError`` if any series has more than ``max_points`` points.
-
-    One map-side-combined count per series, so the bound is proven before any
-    series is collected into one task.  Returns the longest series length.
-    """
-    longest = (points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0] or 0)
-    if longest > max_points:
-        raise ValueError(f"a series has {longest} points, more than max_points={max_points}; "
-                         "the exact Gaussian process needs an n x n factorisation per series")
-    return longest
+            .drop(_KEY, _BLK, "_t0", "_start", "_loc"))
 
 
 def build_series(points: DataFrame, keys: Sequence[str], value: str,
                  t: str = T_REL, tw: str = T_WARP, tie: str | None = None,
-                 max_points: int | None = None) -> DataFrame:
+                 max_points: int | None = None, partitions: int | None = None) -> DataFrame:
     """Nested form: one row per series with sorted parallel arrays t, tw, v.
 
-    Sorting is by (t, tie), so ties never depend on arrival order.  When
-    ``max_points`` is given, a longer series raises an error instead of being
-    silently cut: the collected group must fit one task.
+    Sorting is by (t, tie), the tie in its own type, so ties never depend on
+    arrival order.  When ``max_points`` is given (there is no default), a longer
+    series raises an error instead of being silently cut.  ``partitions`` deals
+    the series out to as many tasks with the one shuffle.
     """
-    df = points
-    val = F.col(value).cast("double")
+    tie_col = F.col(tie) if tie else F.lit(0)
+    pts = F.struct(F.col(t).alias("t"), tie_col.alias("k"), F.col(tw).alias("tw"),
+                   F.col(value).cast("double").alias("v"))
+    df = points.select(F.struct(*keys).alias(_KEY), pts.alias("_pt"))
+    if partitions:
+        df = df.repartition(partitions, _KEY)
+    agg = df.groupBy(_KEY).agg(F.sort_array(F.collect_list("_pt")).alias("_p"))
     if max_points is not None:
-        # The check sits in the value expression itself, so column pruning
-        # cannot drop it.
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        df = df.withColumn("_n", n)
-        val = F.when(F.col("_n") <= max_points, val).otherwise(
+        short = F.when(F.size("_p") <= max_points, F.col("_p")).otherwise(
             F.raise_error(F.lit(f"series longer than max_points={max_points}")))
-    tie_col = F.col(tie).cast("double") if tie else F.lit(0.0)
-    pts = F.struct(F.col(t).alias("t"), tie_col.alias("k"), F.col(tw).alias("tw"),
-                   val.alias("v"))
-    agg = df.groupBy(*keys).agg(F.sort_array(F.collect_list(pts)).alias("_p"))
-    return agg.select(*keys,
+        agg = agg.withColumn("_p", short)
+    return agg.select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys],
                       F.col("_p.t").alias("t"), F.col("_p.tw").alias("tw"),
                       F.col("_p.v").alias("v"))
 

@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 
 from gapseries.operators.cohort import cohort_labels, exclusive_cohort, select_item_events
 from gapseries.operators.sampling import balance_classes, split_column
-from gapseries.operators.series import T_REL, T_WARP, time_warp, time_warp_blocked, to_points
+from gapseries.operators.series import BLOCK_DAYS, T_REL, T_WARP, time_warp, to_points
 from gapseries.roles import Roles
 from gapseries.session import cut_lineage
 
-# A series of up to this many rows is warped by a per-series window (sorted in
-# one task); beyond it the blocked prefix sum spreads the series over tasks.
-WINDOW_MAX_ROWS = 5_000_000
-
 
 def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
                  roles: Roles, item_codes: str | Sequence[str], code1: str, code2: str,
@@ -25,62 +21,50 @@ def build_cohort(events: DataFrame, items: DataFrame, diagnoses: DataFrame, *,
                  min_length: int = 3, warp_a: float = 3.0, warp_b: float = 0.0,
                  balance: str | None = None, train_ratio: float = 0.7,
                  seed: int = 74565, null_values: str = "drop",
-                 length_key: str = "pair", warp: str = "auto", block_days: float = 7.0,
-                 window_max_rows: int = WINDOW_MAX_ROWS,
-                 cluster_keys: Sequence[str] | None = None) -> DataFrame:
+                 length_key: str = "pair", block_days: float = BLOCK_DAYS) -> DataFrame:
     """Long-form cohort series.
 
     Output: series key (entity, item, [subject], [unit], class label), tie,
     ``t_rel`` (days since the series' first point), ``t_warped``, value,
     ``split`` ('train' / 'test' by key hash).
 
-    Plan: the item filter is pushed into the event scan (an IN list from the
-    size-checked dimension); the cohort is one small aggregate joined on entity
-    (AQE turns it into a broadcast when the cohort is small).  The length test
-    counts every row of each (entity, item) pair (null values and times
-    included) in one map-side-combined aggregate, checkpointed once because it
-    is read twice.  Its largest count decides the warp (``warp="auto"``):
-    when no pair exceeds ``window_max_rows`` rows the per-series window runs
-    (one large shuffle on (entity, item)); otherwise the blocked two-level
-    prefix sum runs, clustered on (``cluster_keys`` or the series key, time
-    block of ``block_days``), so no series is confined to one task.
-    ``warp="window"`` / ``"blocked"`` force a path.  ``length_key="series"``
-    applies the length test to the full series key (unit and class included)
-    instead of the (entity, item) pair.
+    Plan: the chosen items are joined to the event scan; the cohort is one
+    small aggregate joined on entity (AQE turns either into a broadcast when
+    small).  The length test counts every row of each (entity, item) pair (null
+    values and times included); ``length_key="series"`` counts by the full
+    series key (unit and class included) instead.  Series that pass reach the
+    warp as a filter of its block summaries, so points are shuffled once, on
+    (series, time block), and no series is confined to one task.
+
+    ``balance`` chooses the series of each class from the counts, before
+    anything is warped; only then are the counts written first, since the
+    quotas read them more than once.
     """
     if code1 == code2:
         raise ValueError("build_cohort needs two different codes")
-    if warp not in ("auto", "window", "blocked"):
-        raise ValueError("warp must be 'auto', 'window' or 'blocked'")
+    if length_key not in ("pair", "series"):
+        raise ValueError("length_key must be 'pair' or 'series'")
+    keys = roles.series_key
     ev = select_item_events(events, items, roles.item, item_code, item_codes).drop(item_code)
     cohort = exclusive_cohort(diagnoses, roles.entity, diag_category, code1, code2)
     labels = cohort_labels(cohort, roles.entity, code1, code2, out=roles.category)
     ev = ev.join(labels, roles.entity, "inner")
-
-    if length_key not in ("pair", "series"):
-        raise ValueError("length_key must be 'pair' or 'series'")
-    keys = roles.series_key
-    if length_key == "series":
-        if roles.unit:
-            ev = ev.withColumn(roles.unit, F.coalesce(F.col(roles.unit).cast("string"), F.lit("")))
-        count_key = keys
-    else:
-        count_key = [roles.entity, roles.item]
-    pair_counts = cut_lineage(ev.groupBy(*count_key).agg(F.count(F.lit(1)).alias("n")))
-    longest = pair_counts.agg(F.max("n")).first()[0] or 0
-    long_pairs = pair_counts.where(F.col("n") >= min_length).select(*count_key)
-
+    if roles.unit:
+        ev = ev.withColumn(roles.unit, F.coalesce(F.col(roles.unit).cast("string"), F.lit("")))
     pts = to_points(ev, roles, null_values=null_values)
-    if warp == "window" or (warp == "auto" and longest <= window_max_rows):
-        pts = pts.join(long_pairs, count_key, "left_semi")
-        warped = time_warp(pts, keys, tie=roles.tie, a=warp_a, b=warp_b)
-    else:
-        warped = time_warp_blocked(pts, keys, tie=roles.tie, a=warp_a, b=warp_b,
-                                   block_days=block_days, series_filter=long_pairs,
-                                   cluster=cluster_keys)
+
+    count_key = keys if length_key == "series" else [roles.entity, roles.item]
+    kept = (ev.groupBy(*count_key).agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") >= min_length).select(*count_key))
     if balance:
-        warped = balance_classes(warped, keys, roles.category, classes=[code1, code2],
-                                 method=balance, seed=seed)
+        # A series is one with points, of a pair that is long enough.
+        series = pts.select(*keys).distinct()
+        wanted = kept.select(F.struct(*count_key).alias("_want"))
+        series = cut_lineage(series.join(wanted, F.struct(*count_key) == F.col("_want"), "left_semi"))
+        kept = balance_classes(series, keys, roles.category, classes=[code1, code2],
+                               method=balance, seed=seed)
+    warped = time_warp(pts, keys, tie=roles.tie, a=warp_a, b=warp_b, block_days=block_days,
+                       series_filter=kept)
     out_cols = keys + ([roles.tie] if roles.tie else []) + [T_REL, T_WARP, roles.value]
     return warped.select(*out_cols).withColumn(
         "split", split_column(roles.split_key, train_ratio, seed))

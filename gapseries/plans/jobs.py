@@ -25,7 +25,7 @@ from gapseries.operators.cohort import (cohort_labels, exclusive_cohort, item_su
                                         min_length_pairs)
 from gapseries.operators.matrix import cooccurrence_cells, pivot_matrix, top_items
 from gapseries.plans.cohort import build_cohort
-from gapseries.plans.gp import MAX_POINTS, optimize_hyperparameters, resample_cohort
+from gapseries.plans.gp import optimize_hyperparameters, resample_cohort
 from gapseries.roles import Roles
 from gapseries.session import cut_lineage
 from gapseries.sources.io import (load_hyperparams, load_series, save_hyperparams, save_series,
@@ -46,6 +46,7 @@ def matrix_job(events: DataFrame, items: DataFrame, diagnoses: DataFrame, out_di
     support = item_support(pairs, item, min_support)
     top = cut_lineage(top_items(support, items, item, n_items))
     cells = cooccurrence_cells(top, pairs, diagnoses, entity, item, item_code, category)
+    # The names of the stored tables are fixed by the jobs that read them.
     codes = sorted(r[0] for r in top.where(F.col(item_code).isNotNull())
                    .select(item_code).distinct().collect())
     matrix = pivot_matrix(cells, category, item_code, codes, n_categories)
@@ -74,6 +75,9 @@ def cohort_job(events: DataFrame, items: DataFrame, diagnoses: DataFrame, out_di
         save_table(labels, paths["categories"] + ".csv", "csv")
     save_table(labels, paths["categories"] + ".parquet")
     save_series(series, paths["series"] + ".parquet", partition_by=["split"])
+    if csv:
+        stored = load_series(series.sparkSession, paths["series"] + ".parquet")
+        save_table(stored, paths["series"] + ".csv", "csv", partition_by=["split"])
     return paths
 
 
@@ -88,14 +92,18 @@ def hyperparameter_job(spark: SparkSession, series_path: str, out_path: str, *,
 
 def resample_job(spark: SparkSession, series_path: str, hyper_path: str, out_path: str, *,
                  roles: Roles, item_code: str | None = None, step: float = 0.25,
-                 padding_length: float = 20.0, max_points: int = MAX_POINTS) -> str:
+                 padding_length: float = 20.0, max_points: int | None = None,
+                 csv: bool = False) -> str:
     """Resample every stored series (train and test) with the stored
-    hyperparameters; writes the long predictions partitioned by split."""
+    hyperparameters; writes the long predictions partitioned by split, with
+    ``csv`` also as CSV part files at ``out_path`` + ``.csv``."""
     hp = load_hyperparams(spark, hyper_path, item_code)
     series = load_series(spark, series_path)
     pred = resample_cohort(series, roles, hp.sigma2, hp.alpha, hp.tau, step=step,
                            padding_length=padding_length, max_points=max_points)
     save_series(pred, out_path, partition_by=["split"])
+    if csv:
+        save_table(load_series(spark, out_path), out_path + ".csv", "csv", partition_by=["split"])
     return out_path
 
 

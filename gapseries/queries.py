@@ -174,20 +174,20 @@ def q_cooccurrence_cells(spark, sf):
                             item_code="item_code", category="category", wide=False)
 
 
+# The item codes of the brand dimension.
+BRAND_CODES = [str(n) for n in range(1, 26)]
+_MATRIX_COLS = ", ".join(f"count(*) FILTER (WHERE item_code = '{c}') AS \"{c}\"" for c in BRAND_CODES)
+
+
 @register("code_item_matrix", f"""
-SELECT p.*, t.sum FROM
-(PIVOT (
+SELECT category, {_MATRIX_COLS}, count(*) AS sum FROM (
   SELECT d.category, t.item_code FROM ({_top_sql(100)}) t JOIN ({SUPPORTED_SQL}) p ON t.item = p.item
-  JOIN ({td.SQL_DIAGNOSES}) d ON p.entity = d.entity WHERE t.item_code IS NOT NULL
-) ON item_code USING count(*) GROUP BY category) p
-JOIN (SELECT category, count(*) AS sum FROM ({_top_sql(100)}) t JOIN ({SUPPORTED_SQL}) p ON t.item = p.item
-      JOIN ({td.SQL_DIAGNOSES}) d ON p.entity = d.entity WHERE t.item_code IS NOT NULL
-      GROUP BY category) t ON p.category IS NOT DISTINCT FROM t.category
-ORDER BY t.sum DESC, p.category LIMIT 125""")
+  JOIN ({td.SQL_DIAGNOSES}) d ON p.entity = d.entity WHERE t.item_code IS NOT NULL) x
+GROUP BY category ORDER BY sum DESC, category LIMIT 125""")
 def q_code_item_matrix(spark, sf):
     return code_item_matrix(td.brand_events(spark, sf), td.brand_items(spark, sf),
                             td.diagnoses(spark, sf), entity="entity", item="item",
-                            item_code="item_code", category="category")
+                            item_code="item_code", category="category", codes=BRAND_CODES)
 
 
 # ---------------------------------------------------------------- series ---
@@ -217,7 +217,7 @@ KEYS = ["entity", "item", "unit"]
 @register("relative_time", f"""
 SELECT entity, item, event_id, round(t_rel, {R}) AS t_rel FROM ({_warp_sql(td.SQL_EVENTS, 'entity, item, unit')}) w""")
 def q_relative_time(spark, sf):
-    pts = se.relative_time(_event_points(spark, sf), KEYS, tie="event_id")
+    pts = se.relative_time(_event_points(spark, sf), KEYS)
     return pts.select("entity", "item", "event_id", rnd("t_rel"))
 
 
@@ -225,7 +225,7 @@ def q_relative_time(spark, sf):
 SELECT entity, item, event_id, round(t_rel - lag(t_rel) OVER (PARTITION BY entity, item, unit
   ORDER BY t_days, event_id), {R}) AS dt FROM ({_warp_sql(td.SQL_EVENTS, 'entity, item, unit')}) w""")
 def q_time_deltas(spark, sf):
-    pts = se.relative_time(_event_points(spark, sf), KEYS, tie="event_id")
+    pts = se.relative_time(_event_points(spark, sf), KEYS)
     pts = se.time_deltas(pts, KEYS, t="t_rel", tie="event_id")
     return pts.select("entity", "item", "event_id", rnd("dt"))
 
@@ -308,12 +308,10 @@ def _cohort_sql(codes: list[str], rounded: bool = True) -> str:
 FROM ({_warp_sql(src, 'entity, item, unit, category')}) w"""
 
 
-def _cohort_df(spark, sf, codes, balance=None, warp="auto"):
-    # the unit is the constant '' in this mapping, so it is left out of the
-    # shuffle keys (see time_warp_blocked)
+def _cohort_df(spark, sf, codes, balance=None):
     return build_cohort(td.events(spark, sf), td.event_items(spark, sf), td.diagnoses(spark, sf),
                         roles=td.ROLES, item_codes=codes, code1=CODE1, code2=CODE2,
-                        balance=balance, seed=SEED, cluster_keys=td.CLUSTER_KEYS, warp=warp)
+                        balance=balance, seed=SEED)
 
 
 def _cohort_out(df):
@@ -335,10 +333,27 @@ def q_cohort_series_all_items(spark, sf):
     return _cohort_out(_cohort_df(spark, sf, ALL_ITEM_CODES))
 
 
-@register("cohort_series_blocked", COHORT_ALL_SQL)
-def q_cohort_series_blocked(spark, sf):
-    """The same cohort through the blocked (hot-series safe) warp."""
-    return _cohort_out(_cohort_df(spark, sf, ALL_ITEM_CODES, warp="blocked"))
+def _mixed_sql() -> str:
+    src = f"""SELECT * FROM (
+  SELECT e.entity, e.item, e.subject, coalesce(e.unit, '') AS unit, e.event_id, e.ts,
+         CASE WHEN isnan(e.value) THEN NULL ELSE e.value END AS value, c.category,
+         count(*) OVER (PARTITION BY e.entity, e.item) AS pair_n
+  FROM ({td.SQL_MIXED_EVENTS}) e JOIN ({td.SQL_PRIORITY_ITEMS}) d ON e.item = d.item
+  JOIN ({LABELS_SQL}) c ON e.entity = c.entity WHERE d.item_code IN ('2', 'U')) x WHERE pair_n >= 3"""
+    key = "entity, item, subject, unit, category"
+    return f"""SELECT {key}, event_id, round(t_rel, {R}) AS t_rel, round(t_warped, {R}) AS t_warped, value,
+  CASE WHEN {hash_sql(['entity', 'item', 'unit'], SEED)}::DOUBLE / 4294967296.0::DOUBLE < 0.7
+       THEN 'train' ELSE 'test' END AS split
+FROM ({_warp_sql(src, key)}) w"""
+
+
+@register("cohort_mixed_units", _mixed_sql())
+def q_cohort_mixed_units(spark, sf):
+    """Nulls and NaN in values, null units and subjects, several units and
+    subjects per pair, an item with two dimension rows."""
+    df = build_cohort(td.mixed_events(spark, sf), td.priority_items(spark, sf), td.diagnoses(spark, sf),
+                      roles=td.MIXED_ROLES, item_codes=["2", "U"], code1=CODE1, code2=CODE2, seed=SEED)
+    return df.select(*td.MIXED_ROLES.series_key, "event_id", rnd("t_rel"), rnd("t_warped"), "value", "split")
 
 
 @register("balanced_cohort", f"""
@@ -435,19 +450,28 @@ elim(k, s, i, j, x) AS (
   JOIN elim b ON b.s = e.s AND b.i = e.k + 1 AND b.j = e.j
   WHERE e.i > e.k + 1 AND e.j > e.k + 1)"""
 
-_K_CELLS = f"""
-  SELECT a.s, a.i, b.i AS j, {_rq_sql('a.tw', 'b.tw')}
+def _se_sql(a: str, b: str) -> str:
+    return (f"{GP_SIGMA2}::DOUBLE * exp(-({a} - {b}) * ({a} - {b}) / "
+            f"(2.0::DOUBLE * {GP_TAU}::DOUBLE * {GP_TAU}::DOUBLE))")
+
+
+def _k_cells(kernel=_rq_sql) -> str:
+    return f"""
+  SELECT a.s, a.i, b.i AS j, {kernel('a.tw', 'b.tw')}
          + CASE WHEN a.i = b.i THEN {GP_SIGMA2}::DOUBLE ELSE 0.0::DOUBLE END AS x
   FROM y a JOIN y b ON a.s = b.s
   UNION ALL SELECT s, i, {_Y}, yv FROM y
   UNION ALL SELECT s, {_Y}, i, yv FROM y
   UNION ALL SELECT s, {_Y}, {_Y}, 0.0::DOUBLE FROM st"""
 
+
 COHORT_ALL_RAW_SQL = _cohort_sql(ALL_ITEM_CODES, rounded=False)
 
-GP_LL_SQL = f"""
+
+def _gp_ll_sql(kernel=_rq_sql) -> str:
+    return f"""
 WITH RECURSIVE {_gp_points_sql().strip()},
-cells AS ({_K_CELLS}),
+cells AS ({_k_cells(kernel)}),
 {_ELIM_SQL.strip()},
 piv AS (SELECT s, sum(ln(x)) AS logdet FROM elim WHERE i = k + 1 AND j = k + 1 GROUP BY s),
 fin AS (SELECT s, arg_max(x, k) AS schur FROM elim WHERE i = {_Y} AND j = {_Y} GROUP BY s),
@@ -458,6 +482,9 @@ SELECT keys.entity, keys.item, keys.unit, keys.category, keys.split, CAST(st.n A
 FROM keys JOIN st ON keys.s = st.s JOIN sd ON keys.s = sd.s JOIN piv ON keys.s = piv.s
 JOIN fin ON keys.s = fin.s"""
 
+
+GP_LL_SQL = _gp_ll_sql()
+
 _PAD = GP_PADDING * GP_STEP / 2.0
 def _gp_resample_sql(rounded: bool = True) -> str:
     rd = (lambda e: f"round({e}, {R})") if rounded else (lambda e: e)
@@ -468,7 +495,7 @@ ext AS (SELECT s, min(tw) AS lo,
         FROM y GROUP BY s),
 grid AS (SELECT s, gi, lo - {_PAD}::DOUBLE + gi * {GP_STEP}::DOUBLE AS xg
          FROM ext, unnest(generate_series(0, m - 1)) AS u(gi)),
-cells AS ({_K_CELLS}
+cells AS ({_k_cells()}
   UNION ALL SELECT y.s, y.i, {_G} + g.gi, {_rq_sql('y.tw', 'g.xg')} FROM y JOIN grid g ON y.s = g.s
   UNION ALL SELECT y.s, {_G} + g.gi, y.i, {_rq_sql('y.tw', 'g.xg')} FROM y JOIN grid g ON y.s = g.s
   UNION ALL SELECT s, {_G} + gi, {_Y}, 0.0::DOUBLE FROM grid
@@ -491,11 +518,8 @@ GP_RESAMPLE_RAW_SQL = _gp_resample_sql(False)
 
 
 def _gp_arrays(spark, sf):
-    from gapseries.operators.series import build_series, check_series_length
-    from gapseries.plans.gp import MAX_POINTS
     coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
-    check_series_length(coh, GP_KEYS, MAX_POINTS)
-    return build_series(coh, GP_KEYS, "value", tie="event_id")
+    return se.build_series(coh, GP_KEYS, "value", tie="event_id")
 
 
 @register("gp_log_likelihood", GP_LL_SQL)
@@ -505,6 +529,14 @@ def q_gp_log_likelihood(spark, sf):
     return ll.select(*GP_KEYS, "n", rnd("mean"), rnd("l2_dev"), rnd("log_likelihood"))
 
 
+@register("gp_log_likelihood_se", _gp_ll_sql(_se_sql))
+def q_gp_log_likelihood_se(spark, sf):
+    """The same with the squared-exponential kernel."""
+    from gapseries.operators import gp
+    ll = gp.gp_log_likelihood(_gp_arrays(spark, sf), GP_KEYS, GP_SIGMA2, GP_ALPHA, GP_TAU, kernel="se")
+    return ll.select(*GP_KEYS, "n", rnd("mean"), rnd("l2_dev"), rnd("log_likelihood"))
+
+
 @register("gp_resample", GP_RESAMPLE_SQL)
 def q_gp_resample(spark, sf):
     from gapseries.plans.gp import resample_cohort
@@ -519,11 +551,16 @@ PATCH_LEN = 20
 _PKEYS = ", ".join(GP_KEYS)
 
 
+def _gp_pred_arrays(spark, sf, cohort=None):
+    from gapseries.plans.gp import resample_cohort_arrays
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES) if cohort is None else cohort
+    return resample_cohort_arrays(coh, td.ROLES, GP_SIGMA2, GP_ALPHA, GP_TAU, step=GP_STEP,
+                                  padding_length=GP_PADDING)
+
+
 def _gp_pred(spark, sf):
-    from gapseries.plans.gp import resample_cohort
-    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
-    return resample_cohort(coh, td.ROLES, GP_SIGMA2, GP_ALPHA, GP_TAU, step=GP_STEP,
-                           padding_length=GP_PADDING)
+    from gapseries.operators.gp import flatten_resampled
+    return flatten_resampled(_gp_pred_arrays(spark, sf), GP_KEYS, GP_STEP)
 
 
 def _patch_cols_sql(n: int) -> str:
@@ -531,19 +568,23 @@ def _patch_cols_sql(n: int) -> str:
                      + [f"b[{k + 1}] AS f{n + k}" for k in range(n)])
 
 
-PATCHES_SQL = f"""
+def _patches_sql(gp_sql: str) -> str:
+    return f"""
 SELECT {_PKEYS}, start, {_patch_cols_sql(PATCH_LEN)} FROM (
   SELECT {_PKEYS}, CAST(i AS INTEGER) AS start,
     list(mean) OVER w AS a, list(variance) OVER w AS b,
     count(*) OVER (PARTITION BY {_PKEYS}) AS m
-  FROM ({GP_RESAMPLE_SQL}) g
+  FROM ({gp_sql}) g
   WINDOW w AS (PARTITION BY {_PKEYS} ORDER BY i ROWS BETWEEN CURRENT ROW AND {PATCH_LEN - 1} FOLLOWING)
 ) x WHERE start <= m - {PATCH_LEN} - 1"""
 
 
+PATCHES_SQL = _patches_sql(GP_RESAMPLE_SQL)
+
+
 def _patches(spark, sf):
     from gapseries.operators.patches import extract_patches
-    return extract_patches(_gp_pred(spark, sf), GP_KEYS, PATCH_LEN)
+    return extract_patches(_gp_pred_arrays(spark, sf), GP_KEYS, PATCH_LEN)
 
 
 @register("extract_patches", PATCHES_SQL)
@@ -561,17 +602,24 @@ SELECT {_PKEYS}, start FROM (
 WHERE rn <= 3 * (SELECT count(*) FROM (SELECT DISTINCT {_PKEYS} FROM ({PATCHES_SQL}) p2) s)"""
 
 
-def _sampled(spark, sf):
-    from gapseries.operators.patches import sample_patches
+def _chosen(spark, sf, cohort):
+    """The sampled (series, start) rows, from the series' extents alone."""
+    from gapseries.operators.patches import choose_patches, patch_count
     from gapseries.session import cut_lineage
-    # the exact-quota sampler reads its input three times: checkpoint the
-    # patches once instead of recomputing the GP for every pass
-    return sample_patches(cut_lineage(_patches(spark, sf)), GP_KEYS, 3, 0)
+    # read by the quota jobs and the result: one row per series, written once
+    counts = cut_lineage(patch_count(cohort, GP_KEYS, PATCH_LEN, step=GP_STEP, padding_length=GP_PADDING))
+    return choose_patches(counts, GP_KEYS, 3, 0)
+
+
+def _sampled(spark, sf):
+    from gapseries.operators.patches import cut_patches
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    return cut_patches(_gp_pred_arrays(spark, sf, coh), _chosen(spark, sf, coh), GP_KEYS, PATCH_LEN)
 
 
 @register("sample_patches", SAMPLED_SQL)
 def q_sample_patches(spark, sf):
-    return _sampled(spark, sf).select(*GP_KEYS, "start")
+    return _chosen(spark, sf, _cohort_df(spark, sf, ALL_ITEM_CODES)).select(*GP_KEYS, "start")
 
 
 @register("validation_split", f"""
@@ -580,10 +628,23 @@ SELECT {_PKEYS}, start, CASE WHEN {hash_sql(GP_KEYS + ['start'], 'validation:0')
 FROM ({SAMPLED_SQL}) s WHERE split = 'train'""")
 def q_validation_split(spark, sf):
     from gapseries.operators.patches import validation_split
-    s = _sampled(spark, sf).where(F.col("split") == "train")
+    s = _chosen(spark, sf, _cohort_df(spark, sf, ALL_ITEM_CODES)).where(F.col("split") == "train")
     return validation_split(s, GP_KEYS, 0.2, 0).select(*GP_KEYS, "start", "fit_split")
 
 
+@register("csv_predictions", GP_RESAMPLE_SQL)
+def q_csv_predictions(spark, sf):
+    """The predictions written as CSV part files by split, and read back."""
+    from gapseries.session import scratch_path
+    from gapseries.sources.io import save_table
+    pred = _gp_pred(spark, sf)
+    path = scratch_path(spark, "predictions-csv")
+    save_table(pred, path, "csv", partition_by=["split"])
+    back = spark.read.option("header", True).option("emptyValue", "").schema(pred.schema).csv(path)
+    return back.select(*[F.coalesce(k, F.lit("")).alias(k) if k == "unit" else k for k in GP_KEYS],
+                       "i", rnd("t_warped"), rnd("mean"), rnd("variance"))
+
+
 @register("uncertainty_band", f"""
 SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round(mean - sqrt(greatest(variance, 0.0)), {R}) + 0.0 AS lower,
   round(mean + sqrt(greatest(variance, 0.0)), {R}) AS upper
@@ -603,7 +664,9 @@ SELECT {_PKEYS}, CAST(i AS INTEGER) AS i, round((mean - mm) / sm, 4) + 0.0 AS me
   round((variance - mv) / sv, 4) + 0.0 AS variance FROM g, m""")
 def q_standardized_predictions(spark, sf):
     from gapseries.plans.features import standardize_predictions
-    std = standardize_predictions(_gp_pred(spark, sf))
+    from gapseries.session import cut_lineage
+    # read for the moments and again for the rows
+    std = standardize_predictions(cut_lineage(_gp_pred(spark, sf)))
     return std.select(*GP_KEYS, "i", rnd("mean", 4), rnd("variance", 4))
 
 
@@ -618,9 +681,14 @@ UNION ALL SELECT {_PKEYS}, 'upper', round(t_warped, {R}) + 0.0,
   round(mean + sqrt(greatest(variance, 0.0)), {R}) FROM g""")
 def q_series_overlay(spark, sf):
     from gapseries.operators.overlay import series_overlay
-    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
-    pred = _gp_pred(spark, sf)
-    ov = series_overlay(coh, pred, GP_KEYS, value="value")
+    from gapseries.plans.gp import cohort_series_arrays
+    from gapseries.session import cut_lineage
+    # the nested series feed the GP and stand beside its result
+    nested = cut_lineage(cohort_series_arrays(_cohort_df(spark, sf, ALL_ITEM_CODES), td.ROLES,
+                                              extra_keys=("split",)))
+    from gapseries.operators.gp import gp_resample_arrays
+    pred = gp_resample_arrays(nested, GP_KEYS, GP_SIGMA2, GP_ALPHA, GP_TAU, GP_STEP, GP_PADDING)
+    ov = series_overlay(nested, pred, GP_KEYS, GP_STEP)
     return ov.select(*GP_KEYS, "kind", rnd("t"), rnd("y"))
 
 
@@ -640,31 +708,42 @@ def q_gp_hyperparameters(spark, sf):
     return optimize_hyperparameters(train, td.ROLES, item_code=ITEM_CODE)
 
 
-@register("encode_patches")
-def q_encode_patches(spark, sf):
-    from gapseries.operators import autoencoder as ae
-    params = ae.init_params(2 * PATCH_LEN, 100, 100, seed=0)
-    enc = ae.encode(_sampled(spark, sf), params, layer=2, out="encoded")
-    return enc.select(*GP_KEYS, "start", "encoded")
-
-
 @register("phenotype_features")
 def q_phenotype_features(spark, sf):
     from gapseries.plans.features import phenotype_features
     keys = ["entity", "item", "unit", "category"]
-    return phenotype_features(_gp_pred(spark, sf), keys, "category", CODE1, steps=5)
+    return phenotype_features(_gp_pred_arrays(spark, sf), keys, "category", CODE1)[0]
+
+
+@register("series_round_trip", COHORT_SQL)
+def q_series_round_trip(spark, sf):
+    """Cohort series saved partitioned by split and loaded again."""
+    from gapseries.session import scratch_path
+    from gapseries.sources.io import load_series, save_series
+    path = scratch_path(spark, "series")
+    save_series(_cohort_df(spark, sf, ITEM_CODE), path, partition_by=["split"])
+    return _cohort_out(load_series(spark, path))
+
+
+@register("csv_series", COHORT_SQL)
+def q_csv_series(spark, sf):
+    """Cohort series as CSV part files by split, read back."""
+    from gapseries.session import scratch_path
+    from gapseries.sources.io import save_table
+    df = _cohort_df(spark, sf, ITEM_CODE)
+    path = scratch_path(spark, "series-csv")
+    save_table(df, path, "csv", partition_by=["split"])
+    back = spark.read.option("header", True).schema(df.schema).csv(path)
+    return _cohort_out(back.withColumn("unit", F.coalesce("unit", F.lit(""))))
 
 
 @register("flatten_series", f"""
 SELECT entity, item, unit, category, t_rel, t_warped, value FROM ({COHORT_ALL_SQL}) c""")
 def q_flatten_series(spark, sf):
-    from gapseries.operators.series import build_series, check_series_length, flatten_series
-    from gapseries.plans.gp import MAX_POINTS
     keys = td.ROLES.series_key
     coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
-    check_series_length(coh, keys, MAX_POINTS)
-    nested = build_series(coh, keys, "value", tie="event_id")
-    flat = flatten_series(nested, keys, value="value")
+    nested = se.build_series(coh, keys, "value", tie="event_id")
+    flat = se.flatten_series(nested, keys, value="value")
     return flat.select(*keys, rnd("t_rel"), rnd("t_warped"), "value")
 
 
@@ -674,12 +753,10 @@ SELECT {_PKEYS}, CAST(greatest(count(*) - {PATCH_LEN}, 0) AS INTEGER) AS n_patch
 FROM ({GP_RESAMPLE_RAW_SQL}) g GROUP BY {_PKEYS}""")
 def q_patch_counts(spark, sf):
     from gapseries.operators.patches import patch_count
-    pred = _gp_pred(spark, sf)
-    a = patch_count(pred, GP_KEYS, PATCH_LEN)
-    b = patch_count(pred, GP_KEYS, PATCH_LEN, include_last=True).withColumnRenamed(
-        "n_patches", "n_patches_with_last")
-    return a.join(b, GP_KEYS).select(*GP_KEYS, F.col("n_patches").cast("int").alias("n_patches"),
-                                     F.col("n_patches_with_last").cast("int").alias("n_patches_with_last"))
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    m = patch_count(coh, GP_KEYS, PATCH_LEN, step=GP_STEP, padding_length=GP_PADDING, include_last=True)
+    return m.select(*GP_KEYS, F.greatest(F.col("n_patches") - 1, F.lit(0)).alias("n_patches"),
+                    F.col("n_patches").alias("n_patches_with_last"))
 
 
 @register("csv_landing", f"""
@@ -704,17 +781,6 @@ def q_csv_landing(spark, sf):
     return back.select("event_id", "user_id", "event_type", "value", ms.alias("ts_ms"))
 
 
-def _patches_sql(gp_sql: str) -> str:
-    return f"""
-SELECT {_PKEYS}, start, {_patch_cols_sql(PATCH_LEN)} FROM (
-  SELECT {_PKEYS}, CAST(i AS INTEGER) AS start,
-    list(mean) OVER w AS a, list(variance) OVER w AS b,
-    count(*) OVER (PARTITION BY {_PKEYS}) AS m
-  FROM ({gp_sql}) g
-  WINDOW w AS (PARTITION BY {_PKEYS} ORDER BY i ROWS BETWEEN CURRENT ROW AND {PATCH_LEN - 1} FOLLOWING)
-) x WHERE start <= m - {PATCH_LEN} - 1"""
-
-
 def _scaler_sql() -> str:
     n = 2 * PATCH_LEN
     fs = [f"f{k}" for k in range(n)]
@@ -832,8 +898,20 @@ def _rule_weights():
             "b1": 0.1 * np.cos(0.05 * np.arange(RULE_HIDDEN))}
 
 
-def _encode_rule_sql() -> str:
+# Layer 2: W2[j, l] = 0.2 cos(0.13 j + 0.29 l), b2[l] = 0.05 sin(0.1 l).
+RULE_HIDDEN_2 = 20
+
+
+def _rule_weights_2():
+    import numpy as np
+    j, l = np.arange(RULE_HIDDEN)[:, None], np.arange(RULE_HIDDEN_2)[None, :]  # noqa: E741
+    return _rule_weights() | {"W2": 0.2 * np.cos(0.13 * j + 0.29 * l),
+                              "b2": 0.05 * np.sin(0.1 * np.arange(RULE_HIDDEN_2))}
+
+
+def _encoded_sql(rounded: bool = True) -> str:
     fs = ", ".join(f"f{k}" for k in range(2 * PATCH_LEN))
+    h = "1.0 / (1.0 + exp(-(sum(u.x * w.w) + 0.1 * cos(0.05 * w.j))))"
     return f"""
 WITH p AS (SELECT q.* FROM ({_patches_sql(GP_RESAMPLE_RAW_SQL)}) q
            JOIN ({SAMPLED_SQL}) s USING ({_PKEYS}, start)),
@@ -841,16 +919,116 @@ u AS (SELECT {_PKEYS}, start, CAST(substr(fname, 2) AS INTEGER) AS i, x
       FROM (UNPIVOT p ON {fs} INTO NAME fname VALUE x) v),
 w AS (SELECT i, j, 0.3 * sin(0.37 * i + 0.11 * j + 0.5) AS w
       FROM range(0, {2 * PATCH_LEN}) a(i), range(0, {RULE_HIDDEN}) b(j))
-SELECT {_PKEYS}, start, CAST(w.j AS INTEGER) AS j,
-  round(1.0 / (1.0 + exp(-(sum(u.x * w.w) + 0.1 * cos(0.05 * w.j)))), {R}) AS h
+SELECT {_PKEYS}, start, CAST(w.j AS INTEGER) AS j, {f"round({h}, {R})" if rounded else h} AS h
 FROM u JOIN w ON u.i = w.i
 GROUP BY {_PKEYS}, start, w.j"""
 
 
-@register("encode_patches_rule", _encode_rule_sql())
+@register("encode_patches_rule", _encoded_sql())
 def q_encode_patches_rule(spark, sf):
     """Layer-1 encoding of the sampled patches with rule-built weights."""
     from gapseries.operators import autoencoder as ae
     enc = ae.encode(_sampled(spark, sf), _rule_weights(), layer=1, out="h")
     return enc.select(*GP_KEYS, "start", F.posexplode("h").alias("j", "h")).select(
         *GP_KEYS, "start", "j", rnd("h"))
+
+
+@register("encode_patches_rule_2", f"""
+WITH h AS ({_encoded_sql(False)}),
+w AS (SELECT j, l, 0.2 * cos(0.13 * j + 0.29 * l) AS w
+      FROM range(0, {RULE_HIDDEN}) a(j), range(0, {RULE_HIDDEN_2}) b(l))
+SELECT {_PKEYS}, start, CAST(w.l AS INTEGER) AS j,
+  round(1.0 / (1.0 + exp(-(sum(h.h * w.w) + 0.05 * sin(0.1 * w.l)))), {R}) AS h
+FROM h JOIN w ON h.j = w.j GROUP BY {_PKEYS}, start, w.l""")
+def q_encode_patches_rule_2(spark, sf):
+    """Layer-2 encoding of the sampled patches with rule-built weights."""
+    from gapseries.operators import autoencoder as ae
+    enc = ae.encode(_sampled(spark, sf), _rule_weights_2(), layer=2, out="h")
+    return enc.select(*GP_KEYS, "start", F.posexplode("h").alias("j", "h")).select(
+        *GP_KEYS, "start", "j", rnd("h"))
+
+
+# One gradient step on standardised series statistics (4 inputs, 3 hidden units),
+# with W1[i, j] = 0.3 sin(0.37 i + 0.11 j + 0.5), V1[j, i] = 0.2 cos(0.21 j + 0.17 i).
+GRAD_IN, GRAD_HIDDEN, GRAD_L1 = 4, 3, 0.01
+
+_STATS_SQL = f"""
+SELECT entity, item, n::DOUBLE / 10.0 AS x0, span / 100.0 AS x1, mean / 100.0 AS x2, l2_dev / 100.0 AS x3 FROM (
+  SELECT entity, item, count(*) AS n, max(t_days) - min(t_days) AS span, avg(value) AS mean,
+    stddev_pop(value) * sqrt(count(*)) AS l2_dev
+  FROM (SELECT *, {T_DAYS_SQL} AS t_days FROM ({td.SQL_EVENTS}) e WHERE ts IS NOT NULL AND value IS NOT NULL) p
+  GROUP BY entity, item) s"""
+
+
+def _gradient_sql() -> str:
+    d = GRAD_IN
+    unpivot = " UNION ALL ".join(f"SELECT entity, item, {i} AS i, x{i} AS x FROM s" for i in range(d))
+    return f"""
+WITH s AS ({_STATS_SQL}), x AS ({unpivot}),
+w AS (SELECT i, j, 0.3 * sin(0.37 * i + 0.11 * j + 0.5) AS w, 0.2 * cos(0.21 * j + 0.17 * i) AS v
+      FROM range(0, {d}) a(i), range(0, {GRAD_HIDDEN}) b(j)),
+h AS (SELECT entity, item, j, 1.0 / (1.0 + exp(-sum(x * w))) AS h FROM x JOIN w USING (i) GROUP BY ALL),
+y AS (SELECT entity, item, i, 2.0 * (sum(h * v) - any_value(x.x)) / {d} AS dy
+      FROM h JOIN w USING (j) JOIN x USING (entity, item, i) GROUP BY ALL),
+z AS (SELECT entity, item, j, (sum(dy * v) + {GRAD_L1}) * any_value(h) * (1.0 - any_value(h)) AS dz
+      FROM y JOIN w USING (i) JOIN h USING (entity, item, j) GROUP BY ALL),
+g AS (SELECT 'W1' AS name, i, j, sum(x * dz) AS g FROM x JOIN z USING (entity, item) GROUP BY i, j
+      UNION ALL SELECT 'V1', j, i, sum(h * dy) FROM h JOIN y USING (entity, item) GROUP BY i, j
+      UNION ALL SELECT 'b1', j, 0, sum(dz) FROM z GROUP BY j
+      UNION ALL SELECT 'c1', i, 0, sum(dy) FROM y GROUP BY i)
+SELECT name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(g, 4) + 0.0 AS g FROM g"""
+
+
+@register("autoencoder_gradient", _gradient_sql())
+def q_autoencoder_gradient(spark, sf):
+    """Phase-1 gradient sums over all series, from rule-built weights."""
+    import numpy as np
+
+    from gapseries.operators import autoencoder as ae
+    st = se.series_stats(_event_points(spark, sf), ["entity", "item"], "t_days", "value")
+    x = F.array(F.col("n") / 10.0, F.col("span") / 100.0, F.col("mean") / 100.0, F.col("l2_dev") / 100.0)
+    i, j = np.arange(GRAD_IN)[:, None], np.arange(GRAD_HIDDEN)[None, :]
+    p = {"W1": 0.3 * np.sin(0.37 * i + 0.11 * j + 0.5), "b1": np.zeros(GRAD_HIDDEN),
+         "V1": 0.2 * np.cos(0.21 * j + 0.17 * i).T, "c1": np.zeros(GRAD_IN)}
+    g, _, _ = ae.distributed_gradient(st.select(x.alias("features")), "features", p, 1, GRAD_L1)
+    return ae.weights_frame(spark, g).select("name", "i", "j", rnd("w", 4).alias("g"))
+
+
+def _series_features(spark, sf):
+    """Standardised statistics of every series, and whether its item is a purchase or error."""
+    st = se.series_stats(_event_points(spark, sf), ["entity", "item"], "t_days", "value")
+    x = F.array(F.col("n") / 10.0, F.col("span") / 100.0, F.col("mean") / 100.0, F.col("l2_dev") / 100.0)
+    return st.select("entity", "item", x.alias("h"), F.col("item").isin("purchase", "error").cast("int").alias("y"))
+
+
+@register("classifier_optimum", """SELECT j, TRUE AS stationary FROM range(0, 5) r(j)""")
+def q_classifier_optimum(spark, sf):
+    """The fitted logistic regression meets its optimality condition: each
+    component of the penalised gradient (intercept last) is close to zero."""
+    from gapseries.operators.classifier import fit_classifier, predict
+    rows = _series_features(spark, sf)
+    model = fit_classifier(rows, "h", "y", tol=1e-9)
+    scored = predict(model, rows, "h", probability="p")
+    w = [float(c) for c in model.coefficients] + [0.0]
+    x = F.concat("h", F.array(F.lit(1.0)))
+    sums = scored.agg(*[F.sum((F.col("p") - F.col("y")) * x[j]).alias(f"g{j}") for j in range(5)])
+    cells = F.array(*[F.abs(F.col(f"g{j}") + F.lit(w[j])) for j in range(5)])
+    return sums.select(F.posexplode(cells).alias("j", "g")).select(
+        F.col("j").cast("long").alias("j"), (F.col("g") < 1e-2).alias("stationary"))
+
+
+def _score_sql() -> str:
+    """A fixed linear score of each series, its hard prediction and its truth."""
+    return f"""SELECT 0.8 * x2 - 0.3 * x0 AS s, CASE WHEN item IN ('purchase', 'error') THEN 1 ELSE 0 END AS y
+FROM ({_STATS_SQL}) t"""
+
+
+@register("ranking_auc", f"""
+WITH t AS ({_score_sql()}), c AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM t GROUP BY s),
+r AS (SELECT p, n, sum(n) OVER (ORDER BY s) - n / 2.0 AS below FROM c)
+SELECT round(sum(p * below) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS auc FROM r""")
+def q_ranking_auc(spark, sf):
+    """Area under the ROC curve of a fixed score of every series."""
+    scored = _series_features(spark, sf).select(
+        (0.8 * F.col("h")[2] - 0.3 * F.col("h")[0]).alias("s"), "y")
+    return me.ranking_auc(scored, "s", "y").select(rnd("auc"))

@@ -43,17 +43,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (a local test) is a private one created.
+    is.  Only when it is unset on a local master (a test) is a private one
+    created; executors on other machines could not reach it, so there it is an
+    error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
+        _remove_at_exit(spark, current)
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="gapseries-ckpt-")
     sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    current = sc.getCheckpointDir() or configured
+    _remove_at_exit(spark, current)
+    return current
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the application's own checkpoint folder (Spark makes one for each
+    application) removed when its JVM ends; marking it again changes nothing."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -25,14 +25,16 @@ CORRUPT = "_corrupt_record"
 
 def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    header: bool = True, land_at: str | None = None,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = True, partitions: int | None = None) -> DataFrame:
     """Read a CSV file or a directory of part files (``.csv`` or ``.csv.gz``).
 
     With a ``schema``, rows whose fields do not parse as the declared types
     are dropped, decided on all columns at once.  Without one every column is
     a string.  ``materialize`` writes the valid rows to ``land_at`` (default: a
     fresh folder under the checkpoint directory) and returns a Parquet read of
-    it, so all later queries see exactly the same rows.
+    it, so all later queries see exactly the same rows.  ``partitions`` deals
+    the rows out before they are landed; a gzip file is read by one task, which
+    would otherwise write one large file.
     """
     reader = spark.read.option("header", header)
     if schema is None:
@@ -43,6 +45,8 @@ def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     valid = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if not materialize:
         return valid
+    if partitions:
+        valid = valid.repartition(partitions)
     target = land_at or scratch_path(spark, "csv-landing")
     valid.write.mode("overwrite").parquet(target)
     return spark.read.schema(schema).parquet(target)
@@ -51,6 +55,8 @@ def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | None =
 def load_tables(spark: SparkSession, directory: str, schemas: Mapping[str, T.StructType],
                 suffix: str = ".csv.gz", **kw) -> dict[str, DataFrame]:
     """Load several declared tables ``<directory>/<NAME><suffix>``."""
+    if suffix.endswith(".gz"):
+        kw.setdefault("partitions", int(spark.conf.get("spark.sql.shuffle.partitions")))
     return {name: read_table_csv(spark, os.path.join(directory, f"{name}{suffix}"), schema, **kw)
             for name, schema in schemas.items()}
 

@@ -20,8 +20,7 @@ from gapseries.roles import Roles
 
 ROLES = Roles(entity="entity", item="item", time="ts", value="value", subject=None,
               unit="unit", tie="event_id", category="category")
-# Series key columns that vary in this mapping (the unit is the constant '').
-CLUSTER_KEYS = ["entity", "item", "category"]
+MIXED_ROLES = ROLES.with_(subject="subject")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +48,26 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("").alias("unit"), F.col("o_orderkey").alias("event_id"))
 
 
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with several units and subjects per pair, and nulls and NaN among them."""
+    o = table(spark, sf_dir, "orders")
+    key, none = F.col("o_orderkey"), F.lit(None)
+    value = (F.when(key % 11 == 0, none.cast("double")).when(key % 13 == 0, F.lit(float("nan")))
+             .otherwise(F.col("o_totalprice").cast("double")))
+    return o.select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("item"),
+                    F.when(key % 4 == 0, none.cast("string")).otherwise((key % 3).cast("string")).alias("subject"),
+                    F.when(key % 5 == 0, none.cast("string")).otherwise(F.col("o_orderstatus")).alias("unit"),
+                    F.col("o_orderdate").alias("ts"), value.alias("value"), key.alias("event_id"))
+
+
+def priority_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item dimension of the orders: item, item_code; the first priority has two codes."""
+    code = F.substring("item", 1, 1)
+    codes = F.when(code == "1", F.array(code, F.lit("U"))).otherwise(F.array(code))
+    return (table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("item")).distinct()
+            .select("item", F.explode(codes).alias("item_code")))
+
+
 def brand_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: (entity = customer, item = part brand)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
@@ -80,6 +99,15 @@ SQL_EVENTS = ("SELECT user_id AS entity, event_type AS item, ts, value, '' AS un
 SQL_EVENT_ITEMS = "SELECT DISTINCT event_type AS item, upper(event_type) AS item_code FROM events"
 SQL_ORDER_EVENTS = ("SELECT o_custkey AS entity, o_orderpriority AS item, o_orderdate AS ts, "
                     "o_totalprice AS value, '' AS unit, o_orderkey AS event_id FROM orders")
+SQL_MIXED_EVENTS = (
+    "SELECT o_custkey AS entity, o_orderpriority AS item, "
+    "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS subject, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS unit, o_orderdate AS ts, "
+    "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'nan'::DOUBLE "
+    "ELSE o_totalprice::DOUBLE END AS value, o_orderkey AS event_id FROM orders")
+SQL_PRIORITY_ITEMS = (
+    "SELECT DISTINCT o_orderpriority AS item, substring(o_orderpriority, 1, 1) AS item_code FROM orders "
+    "UNION ALL SELECT DISTINCT o_orderpriority, 'U' FROM orders WHERE substring(o_orderpriority, 1, 1) = '1'")
 SQL_BRAND_EVENTS = ("SELECT o_custkey AS entity, p_brand AS item FROM lineitem "
                     "JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey")
 SQL_BRAND_ITEMS = "SELECT DISTINCT p_brand AS item, substring(p_brand, 7, 100) AS item_code FROM part"

@@ -70,18 +70,28 @@ def test_build_cohort_null_time_value_and_mixed_units(spark):
     assert sorted(r.v for r in out0.collect()) == [0.0, 1.0, 2.0, 3.0]
 
 
-def test_select_item_events_join_fallback(spark, monkeypatch):
-    events = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13)], "entity int, item int")
-    dim = spark.createDataFrame([(10, "A"), (11, "A"), (12, "B"), (13, None)],
+def test_select_item_events(spark):
+    events = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13), (5, None)], "entity int, item int")
+    dim = spark.createDataFrame([(10, "A"), (11, "A"), (12, "B"), (13, None), (10, "B")],
                                 "item int, item_code string")
-    fast = sorted(tuple(r) for r in co.select_item_events(events, dim, "item", "item_code", "A")
-                  .select("entity", "item", "item_code").collect())
-    monkeypatch.setattr(co, "IN_LIST_MAX", 1)  # more chosen items than the IN-list cap
-    slow = sorted(tuple(r) for r in co.select_item_events(events, dim, "item", "item_code", "A")
-                  .select("entity", "item", "item_code").collect())
-    assert fast == slow == [(1, 10, "A"), (2, 11, "A")]
-    none = co.select_item_events(events, dim, "item", "item_code", "ZZZ")
-    assert none.count() == 0 and "item_code" in none.columns
+
+    def chosen(codes):
+        df = co.select_item_events(events, dim, "item", "item_code", codes)
+        return sorted(tuple(r) for r in df.select("entity", "item", "item_code").collect())
+    assert chosen("A") == [(1, 10, "A"), (2, 11, "A")]
+    # an item listed under two of the codes gives its events once for each
+    assert chosen(["A", "B"]) == [(1, 10, "A"), (1, 10, "B"), (2, 11, "A"), (3, 12, "B")]
+    assert chosen("ZZZ") == []
+
+
+def test_series_with_a_null_subject_stays(spark):
+    roles = Roles(entity="adm", item="item", time="t", value="v", subject="sub", unit=None, tie="rid", category="cat")
+    ev = [(1, 7, s, _ts(i), 1.0, i) for i, s in enumerate([5, None, 5, None, None])]
+    events = spark.createDataFrame(ev, "adm int, item int, sub int, t timestamp, v double, rid int")
+    items = spark.createDataFrame([(7, "X")], "item int, item_code string")
+    diag = spark.createDataFrame([(1, "AA")], "adm int, category string")
+    out = build_cohort(events, items, diag, roles=roles, item_codes="X", code1="AA", code2="BB")
+    assert sorted((r.sub or 0, r.rid) for r in out.collect()) == [(0, 1), (0, 3), (0, 4), (5, 0), (5, 2)]
 
 
 def test_length_test_on_the_full_series_key(spark):
@@ -97,6 +107,3 @@ def test_length_test_on_the_full_series_key(spark):
     full = build_cohort(events, items, diag, length_key="series", **kw)
     assert sorted(r.rid for r in pair.collect()) == [1, 2, 3, 4]   # the pair has 4 rows
     assert sorted(r.rid for r in full.collect()) == [1, 2, 4]      # the 'g' series has 1
-    for warp in ("blocked",):
-        got = build_cohort(events, items, diag, length_key="series", warp=warp, **kw)
-        assert sorted(r.rid for r in got.collect()) == [1, 2, 4]

@@ -1,5 +1,7 @@
 """Code x item matrix: fan-out, shared codes, missing dimension rows, ties."""
 
+import pytest
+
 from gapseries.operators import matrix as mx
 from gapseries.plans.matrix import code_item_matrix
 
@@ -41,3 +43,17 @@ def test_matrix_rows_ordered_and_limited(spark):
     diag = [(0, "X"), (1, "X"), (2, "Y"), (3, "Z"), (0, "Z")]
     m = _run(spark, events, [(10, "A"), (11, "B")], diag, n_categories=2).collect()
     assert [(r.category, r.A, r.B, r["sum"]) for r in m] == [("X", 2, 2, 4), ("Z", 2, 1, 3)]
+
+
+def test_codes_with_dots_and_given_codes(spark):
+    args = [(1, 10), (1, 11)], [(10, "a.b"), (11, "c`d")], [(1, "428")]
+    m = _run(spark, *args)
+    assert m.columns == ["category", "a.b", "c`d", "sum"]
+    assert [tuple(r) for r in m.collect()] == [("428", 1, 1, 2)]
+    m = _run(spark, *args, codes=["a.b", "none"])
+    assert [tuple(r) for r in m.collect()] == [("428", 1, 0, 1)]
+
+
+def test_code_named_like_another_column(spark):
+    with pytest.raises(ValueError, match="sum"):
+        _run(spark, [(1, 10)], [(10, "SUM")], [(1, "428")])

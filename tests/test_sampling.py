@@ -63,7 +63,15 @@ def test_bernoulli_balancing_is_seeded_and_reduces(spark):
 
 
 def test_poisson_patch_sampling_draws_with_replacement(spark):
-    from gapseries.operators.patches import sample_patches
-    p = spark.createDataFrame([(s, i) for s in range(10) for i in range(50)], "k int, start int")
-    got = sample_patches(p, ["k"], multiple=3, seed=1, method="poisson")
+    from gapseries.operators.patches import choose_patches
+    counts = spark.createDataFrame([(s, 50) for s in range(10)], "k int, n_patches int")
+    got = choose_patches(counts, ["k"], multiple=3, seed=1, method="poisson")
     assert 5 <= got.count() <= 70
+
+
+def test_rows_of_a_null_label_stay(spark):
+    """A label without a quota keeps everything, null included."""
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "k int, c string")
+    got = sa.keep_smallest_by_hash(df, ["k"], {"a": 1}, label="c").collect()
+    assert len(got) == 3 and sorted(r.k for r in got if r.c is None) == [3, 4]
+    assert len(sa.keep_smallest_by_hash(df, ["k"], {"a": 2, None: 1}, label="c").collect()) == 3

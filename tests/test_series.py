@@ -1,9 +1,12 @@
 """Series operators: warp, grid, nested round trip, stats."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gapseries.operators import series as se
+from gapseries.roles import Roles
+from tests.test_skew import plain_warp
 
 
 def _pts(spark, times, key=1):
@@ -71,28 +74,47 @@ def test_epoch_days_floors_milliseconds(spark):
     assert v == 1704067207179 / 86400000.0
 
 
-def test_blocked_warp_equals_window_warp(spark):
+def _points(spark):
     rng = np.random.default_rng(7)
     rows = []
-    for k in range(3):
-        times = np.sort(rng.uniform(0, 60, 50 + 20 * k))
+    for k in (0, 1, None):
+        times = np.sort(rng.uniform(0, 60, 50 + 20 * (k or 2)))
         rows += [(k, i, float(t), float(i)) for i, t in enumerate(times)]
     rows += [(9, 0, 3.0, 1.0), (9, 1, 3.0, 2.0), (9, 2, 30.0, 3.0)]  # equal instants
-    pts = spark.createDataFrame(rows, "k int, tie int, t_days double, v double")
+    return rows, spark.createDataFrame(rows, "k int, tie int, t_days double, v double")
+
+
+@pytest.mark.parametrize("block", [0.5, 1.0, 7.0, 1000.0])
+def test_warp_and_deltas_whatever_the_block(spark, block):
+    """Against NumPy; a null key is a series like any other."""
+    rows, pts = _points(spark)
     for a, b in ((3.0, 0.0), (2.0, 0.25)):
-        plain = {r.tie + 1000 * r.k: (r.t_rel, r.t_warped)
-                 for r in se.time_warp(pts, ["k"], tie="tie", a=a, b=b).collect()}
-        for block in (0.5, 7.0, 1000.0):
-            blocked = se.time_warp_blocked(pts, ["k"], tie="tie", a=a, b=b, block_days=block)
-            got = {r.tie + 1000 * r.k: (r.t_rel, r.t_warped) for r in blocked.collect()}
-            assert got.keys() == plain.keys()
-            for key, (tr, tw) in plain.items():
-                assert abs(got[key][0] - tr) < 1e-9 and abs(got[key][1] - tw) < 1e-9
-
-
-def test_blocked_warp_series_filter(spark):
-    pts = spark.createDataFrame([(k, i, float(i), 0.0) for k in range(3) for i in range(4)],
+        got = {(r.k, r.tie): (r.t_rel, r.t_warped)
+               for r in se.time_warp(pts, ["k"], tie="tie", a=a, b=b, block_days=block).collect()}
+        assert len(got) == len(rows)
+        for k in (0, 1, 9, None):
+            times = [r[2] for r in rows if r[0] == k]
+            for i, (t, w) in enumerate(zip(times, plain_warp(times, a, b))):
+                assert abs(got[k, i][0] - (t - times[0])) < 1e-9 and abs(got[k, i][1] - w) < 1e-9
+    dt = {(r.k, r.tie): r.dt for r in se.time_deltas(pts, ["k"], t="t_days", tie="tie", block_days=block).collect()}
+    rel = {(r.k, r.tie): r.t_rel for r in se.relative_time(pts, ["k"]).collect()}
+    for k in (0, 1, 9, None):
+        times = [r[2] for r in rows if r[0] == k]
+        assert dt[k, 0] is None and np.allclose([dt[k, i] for i in range(1, len(times))], np.diff(times))
+        assert np.allclose([rel[k, i] for i in range(len(times))], np.array(times) - times[0])
+
+
+def test_warp_series_filter(spark):
+    pts = spark.createDataFrame([(k, i, float(i), 0.0) for k in (0, 1, None) for i in range(4)],
                                 "k int, tie int, t_days double, v double")
-    keep = spark.createDataFrame([(1,)], "k int")
-    got = se.time_warp_blocked(pts, ["k"], tie="tie", block_days=1.5, series_filter=keep)
-    assert sorted({r.k for r in got.collect()}) == [1] and got.count() == 4
+    keep = spark.createDataFrame([(1,), (None,), (1,)], "k int")
+    got = se.time_warp(pts, ["k"], tie="tie", block_days=1.5, series_filter=keep)
+    assert sorted(map(str, {r.k for r in got.collect()})) == ["1", "None"] and got.count() == 8
+
+
+def test_nan_counts_as_null(spark):
+    roles = Roles(entity="k", item="k", time="ts", value="v", subject=None, unit=None, tie=None, category="k")
+    df = spark.createDataFrame([(1, "2024-01-01", 1.0), (1, "2024-01-02", float("nan")), (1, "2024-01-03", None)],
+                               "k int, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    assert [r.v for r in se.to_points(df, roles).collect()] == [1.0]
+    assert sorted(r.v for r in se.to_points(df, roles, null_values="zero").collect()) == [0.0, 0.0, 1.0]

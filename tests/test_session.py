@@ -1,8 +1,7 @@
-"""Checkpoint folder handling and GP behaviour on equal instants."""
+"""Checkpoint folder handling."""
 
-import numpy as np
+import pytest
 
-from gapseries.operators import gp
 from gapseries.session import cut_lineage, ensure_checkpoint_dir
 
 
@@ -14,10 +13,34 @@ def test_checkpoint_dir_comes_from_the_session(spark):
     assert df.count() == 5
 
 
-def test_gp_with_equal_instants_stays_positive_definite():
-    t = np.array([0.0, 1.0, 1.0, 2.5])
-    v = np.array([1.0, 2.0, 2.2, 0.5])
-    L, w, ll, m, s = gp.fit(t, v, 0.05, 3.5, 1.25)
-    assert np.isfinite(ll) and np.all(np.diag(L) > 0)
-    mu, var = gp.predict(t, L, w, np.array([1.0]), 0.05, 3.5, 1.25, m, s)
-    assert np.all(var >= 0) and np.isfinite(mu).all()
+class _Context:
+    def __init__(self, master):
+        self.master, self.set = master, None
+
+    def getCheckpointDir(self):
+        return self.set
+
+    def setCheckpointDir(self, path):
+        self.set = path
+
+
+class _Session:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.folder = _Context(master), folder
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_Session(master))
+    assert ensure_checkpoint_dir(_Session(master, "hdfs:///shared")) == "hdfs:///shared"
+
+
+def test_a_local_session_gets_a_folder_of_its_own():
+    assert ensure_checkpoint_dir(_Session("local[2]"))

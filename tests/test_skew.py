@@ -1,53 +1,38 @@
 """A hot series holding most rows: exact results, spread over tasks."""
 
-import datetime as dt
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from gapseries.operators import series as se
-from gapseries.plans.cohort import build_cohort
-from gapseries.roles import Roles
 
 
-def _skewed(spark):
+def plain_warp(times, a=3.0, b=0.0):
+    gaps = np.diff(np.array(times) - times[0])
+    return np.r_[0.0, np.cumsum(gaps ** (1 / a) + b)]
+
+
+def _skewed():
     rng = np.random.default_rng(3)
-    rows = [(0, i, float(t), 1.0) for i, t in enumerate(np.sort(rng.uniform(0, 70, 20000)))]
+    series = {0: np.sort(rng.uniform(0, 70, 20000))}
     for k in range(1, 30):
-        rows += [(k, i, float(t), 1.0) for i, t in enumerate(np.sort(rng.uniform(0, 20, 12)))]
-    return spark.createDataFrame(rows, "k int, tie int, t_days double, v double")
+        series[k] = np.sort(rng.uniform(0, 20, 12))
+    return series
 
 
 def test_hot_series_is_spread_and_exact(spark):
-    pts = _skewed(spark)
+    series = _skewed()
+    rows = [(k, i, float(t), 1.0) for k, times in series.items() for i, t in enumerate(times)]
+    pts = spark.createDataFrame(rows, "k int, tie int, t_days double, v double")
     prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        blocked = se.time_warp_blocked(pts, ["k"], tie="tie", block_days=7.0)
-        spread = (blocked.where(F.col("k") == 0).select(F.spark_partition_id().alias("p"))
+        warped = se.time_warp(pts, ["k"], tie="tie")
+        spread = (warped.where(F.col("k") == 0).select(F.spark_partition_id().alias("p"))
                   .distinct().count())
         assert spread >= 4
-        got = {(r.k, r.tie): r.t_warped for r in blocked.collect()}
+        got = {(r.k, r.tie): r.t_warped for r in warped.collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
-    want = {(r.k, r.tie): r.t_warped for r in se.time_warp(pts, ["k"], tie="tie").collect()}
+    want = {(k, i): t for k, times in series.items() for i, t in enumerate(plain_warp(times))}
     assert got.keys() == want.keys()
     assert max(abs(got[key] - want[key]) for key in want) < 1e-8
-
-
-def test_build_cohort_switches_to_blocked_above_the_bound(spark):
-    roles = Roles(entity="adm", item="item", time="t", value="v", subject=None, unit=None,
-                  tie="rid", category="cat")
-    base = dt.datetime(2020, 1, 1)
-    ev = [(1, 7, base + dt.timedelta(hours=3 * i), float(i % 5), i) for i in range(600)]
-    ev += [(2, 7, base + dt.timedelta(days=i), 1.0, 10000 + i) for i in range(5)]
-    events = spark.createDataFrame(ev, "adm int, item int, t timestamp, v double, rid int")
-    items = spark.createDataFrame([(7, "X")], "item int, item_code string")
-    diag = spark.createDataFrame([(1, "AA"), (2, "BB")], "adm int, category string")
-    kw = dict(roles=roles, item_codes="X", code1="AA", code2="BB")
-    window = build_cohort(events, items, diag, warp="window", **kw)
-    auto = build_cohort(events, items, diag, window_max_rows=100, block_days=5.0, **kw)
-    a = {r.rid: (r.t_rel, r.t_warped) for r in window.collect()}
-    b = {r.rid: (r.t_rel, r.t_warped) for r in auto.collect()}
-    assert a.keys() == b.keys() and len(a) == 605
-    assert max(abs(a[k][1] - b[k][1]) for k in a) < 1e-8
