@@ -40,8 +40,8 @@ from gapseries.session import scratch_path
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 FRAME_IDS = 1 << 17  # ids in a frame
-CACHE_WORDS = 800_000  # words that a worker remembers
-GROUP_BYTES = 32 << 20  # text whose words are looked up together
+CACHE_WORDS = 300_000  # words that a worker remembers
+GROUP_BYTES = 8 << 20  # text whose words are looked up together
 GATHER_WORDS = 200_000  # words whose ids are put together at once
 RUN_WORDS = 32  # new words encoded as one text
 NULL_ID = -(1 << 63)
@@ -240,7 +240,8 @@ class WordEncoder(TextEncoder):
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        texts = texts.cast(pa.large_string())
+        # A copy that starts at offset 0: pyarrow 23 lower-cases slices of large strings wrongly.
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
         whole = pc.match_substring_regex(texts, self.CASED).to_numpy(zero_copy_only=False)
         cut = pc.replace_substring_regex(pc.ascii_lower(texts), self.CUT, r"\1 \2")
         lists = pc.ascii_split_whitespace(cut)
@@ -281,6 +282,7 @@ def encode_all(encoder, texts: pa.Array):
             yield b"".join(b"".join(encoder.encode(pa.array([p], pa.string()))) for p in parts)
         else:
             yield from encoder.encode(group)
+        pa.default_memory_pool().release_unused()
         at = to
 
 

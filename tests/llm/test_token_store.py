@@ -70,6 +70,15 @@ def test_small_cache_groups_and_runs(monkeypatch, tokenizer, sizes):
         assert len(encoder.young) <= sizes[0] and len(encoder.old) <= 1100
 
 
+def test_slices_of_a_column(tokenizer, spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    column = pa.array(texts, pa.string())
+    encoder = ts.make_encoder(tokenizer_path())
+    for at in (0, 1, 77, 150):
+        for text, ids in zip(texts[at:at + 50], encoder.encode(column.slice(at, 50))):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("size", [1, 7, 100, 1 << 20])
 def test_long_texts_in_parts(monkeypatch, tokenizer, size):
     monkeypatch.setattr(ts, "GROUP_BYTES", size)
