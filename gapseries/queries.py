@@ -692,20 +692,21 @@ def q_series_overlay(spark, sf):
     return ov.select(*GP_KEYS, "kind", rnd("t"), rnd("y"))
 
 
-@register("gp_grid_search")
+@register("gp_grid_search")  # twin below: the full grid
 def q_gp_grid_search(spark, sf):
     from gapseries.operators import gp
     from gapseries.plans.gp import cohort_series_arrays
     train = _cohort_df(spark, sf, ITEM_CODE).where(F.col("split") == "train")
     lls = gp.gp_grid_search(cohort_series_arrays(train, td.ROLES))
-    return lls.select("sigma2", "alpha", "tau", rnd("log_likelihood"), "n_series", "n_points")
+    return lls.select("sigma2", "alpha", "tau", rnd("log_likelihood", 4), "n_series", "n_points")
 
 
-@register("gp_hyperparameters")
+@register("gp_hyperparameters")  # twin below
 def q_gp_hyperparameters(spark, sf):
     from gapseries.plans.gp import optimize_hyperparameters
     train = _cohort_df(spark, sf, ITEM_CODE).where(F.col("split") == "train")
-    return optimize_hyperparameters(train, td.ROLES, item_code=ITEM_CODE)
+    best = optimize_hyperparameters(train, td.ROLES, item_code=ITEM_CODE)
+    return best.select("sigma2", "alpha", "tau", rnd("log_likelihood", 4), "item_code", "at_grid_edge")
 
 
 @register("phenotype_features")
@@ -885,6 +886,61 @@ def q_gp_hyperparameters_coarse(spark, sf):
     return best.select("sigma2", "alpha", "tau", rnd("log_likelihood", 4))
 
 
+def _values_sql(name: str, values) -> str:
+    return f"(VALUES {', '.join(f'({v!r}::DOUBLE)' for v in values)}) {name[0]}0({name})"
+
+
+def _full_grid_sql() -> str:
+    """Summed log likelihood over the full grid: R + I is eliminated once for each
+    series and (alpha, tau), and sigma2 enters by the formula."""
+    from gapseries.functions.columns import grid_values
+    from gapseries.operators import gp
+    sigma2, alpha, tau = (grid_values(*g) for g in (gp.DEFAULT_SIGMA2, gp.DEFAULT_ALPHA, gp.DEFAULT_TAU))
+    r = "pow(1.0::DOUBLE + (a.tw - b.tw) * (a.tw - b.tw) / (2.0::DOUBLE * p.alpha * p.tau * p.tau), -p.alpha)"
+    return f"""
+WITH RECURSIVE
+pts AS (SELECT t_warped AS tw, value AS v,
+          row_number() OVER (PARTITION BY entity, item, unit, category ORDER BY t_rel, event_id) AS i,
+          dense_rank() OVER (ORDER BY entity, item, unit, category) AS sid
+        FROM ({_cohort_sql([ITEM_CODE], rounded=False)}) c WHERE split = 'train'),
+st AS (SELECT sid, count(*) AS n, avg(v) AS mu FROM pts GROUP BY sid),
+sd AS (SELECT p.sid, CASE WHEN sqrt(sum((p.v - st.mu) * (p.v - st.mu))) > 1e-8
+                          THEN sqrt(sum((p.v - st.mu) * (p.v - st.mu))) ELSE 1.0 END AS scale
+       FROM pts p JOIN st ON p.sid = st.sid GROUP BY p.sid),
+y AS (SELECT p.*, (p.v - st.mu) / sd.scale AS yv FROM pts p JOIN st ON p.sid = st.sid
+      JOIN sd ON p.sid = sd.sid),
+grid AS (SELECT row_number() OVER (ORDER BY alpha, tau) AS gid, alpha, tau
+         FROM {_values_sql('alpha', alpha)}, {_values_sql('tau', tau)}),
+cells AS (
+  SELECT (a.sid * 10000 + p.gid) AS s, a.i, b.i AS j,
+         {r} + CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x
+  FROM y a JOIN y b ON a.sid = b.sid, grid p
+  UNION ALL SELECT sid * 10000 + gid, i, {_Y}, yv FROM y, grid
+  UNION ALL SELECT sid * 10000 + gid, {_Y}, i, yv FROM y, grid
+  UNION ALL SELECT sid * 10000 + gid, {_Y}, {_Y}, 0.0::DOUBLE FROM st, grid),
+{_ELIM_SQL.strip()},
+piv AS (SELECT s, sum(ln(x)) AS logdet FROM elim WHERE i = k + 1 AND j = k + 1 GROUP BY s),
+fin AS (SELECT s, -arg_max(x, k) AS q FROM elim WHERE i = {_Y} AND j = {_Y} GROUP BY s),
+terms AS (SELECT grid.alpha, grid.tau, sum(fin.q) AS q, sum(piv.logdet) AS logdet,
+                 CAST(count(*) AS BIGINT) AS n_series, CAST(sum(st.n) AS BIGINT) AS n_points
+          FROM fin JOIN piv ON fin.s = piv.s JOIN grid ON grid.gid = fin.s % 10000
+          JOIN st ON st.sid = fin.s // 10000 GROUP BY grid.alpha, grid.tau)
+SELECT sigma2, alpha, tau, n_series, n_points,
+       -q / (2.0 * sigma2) - n_points / 2.0 * ln(sigma2) - logdet / 2.0
+         - n_points / 2.0 * ln(2.0 * pi()) AS log_likelihood
+FROM terms, {_values_sql('sigma2', sigma2)}"""
+
+
+FULL_GRID_SQL = _full_grid_sql()
+SQL["gp_grid_search"] = f"""
+SELECT sigma2, alpha, tau, round(log_likelihood, 4) AS log_likelihood, n_series, n_points FROM ({FULL_GRID_SQL}) g"""
+SQL["gp_hyperparameters"] = f"""
+SELECT sigma2, alpha, tau, round(log_likelihood, 4) AS log_likelihood, '{ITEM_CODE}' AS item_code,
+  abs(sigma2 - 0.05) < 1e-9 OR abs(sigma2 - 2.0) < 1e-9 OR abs(alpha - 0.05) < 1e-9 OR abs(alpha - 3.95) < 1e-9
+  OR abs(tau - 0.2) < 1e-9 OR abs(tau - 2.0) < 1e-9 AS at_grid_edge
+FROM ({FULL_GRID_SQL}) g ORDER BY log_likelihood DESC, sigma2, alpha, tau LIMIT 1"""
+
+
 # Layer-1 weights from a closed-form rule, so SQL can rebuild them:
 # W1[i, j] = 0.3 sin(0.37 i + 0.11 j + 0.5), b1[j] = 0.1 cos(0.05 j).
 RULE_HIDDEN = 100
