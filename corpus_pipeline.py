@@ -19,8 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents it rejects go."""
     held_out = F.pmod(crc_of_id("doc_id"), F.lit(q.QUALITY_FOLDS)) == 0
     forest = quality.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
-    scored = quality.score(docs.withColumn("_body", F.col("text")), forest, text_col="_body",
-                           keep=docs.columns)
+    scored = quality.score(docs, forest)
     return scored.where(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 
 

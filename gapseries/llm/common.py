@@ -6,6 +6,7 @@ import pickle
 import sys
 import types
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,20 @@ def worker_state(name: str, make):
     return getattr(holder, name)
 
 
+def text_rows(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The kept columns, and the text's place among them (added as the last if not kept)."""
+    if text_col in keep and dict(docs.dtypes)[text_col] == "string":
+        return docs.select(*keep), keep.index(text_col)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(free_name("_body", keep))), len(keep)
+
+
+def text_batches(batches, at: int):
+    """(batch, its texts as bytes) for each Arrow batch; memory goes back between batches."""
+    for batch in batches:
+        yield batch, batch.column(at).cast(pa.binary())
+        pa.default_memory_pool().release_unused()
+
+
 def share(spark: SparkSession, value):
     """Broadcast any value; a task gets it with ``shared``.
 

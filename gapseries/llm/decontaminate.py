@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapseries.llm.common import free_name, materialize, share, shared
+from gapseries.llm.common import materialize, share, shared, text_batches, text_rows
 
 SEED_WORDS = 5
 COVERAGE = 0.8
@@ -233,7 +233,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that cover no benchmark item, with all their columns."""
     columns, kept = list(docs.columns), docs
-    body = free_name("_body", columns)
     for block in blocks(benchmark, item_col, item_text_col, seed_words, block_chars):
         held = share(docs.sparkSession, block)
         if kept is not docs:
@@ -241,10 +240,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
         def run(batches, held=held):
             bench = shared(held)
-            for batch in batches:
+            for batch, texts in text_batches(batches, at):
                 clean = [next(bench.leaks(t.as_py(), coverage), None) is None
-                         for t in batch.column(batch.num_columns - 1)]
-                part = pa.RecordBatch.from_arrays(batch.columns[:-1], names=columns)
+                         for t in texts.cast(pa.string())]
+                part = pa.RecordBatch.from_arrays(batch.columns[:len(columns)], names=columns)
                 yield part.filter(pa.array(clean, pa.bool_()))
-        kept = kept.select(*columns, F.col(text_col).alias(body)).mapInArrow(run, docs.schema)
+        rows, at = text_rows(kept, columns, text_col)
+        kept = rows.mapInArrow(run, docs.schema)
     return kept

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapseries.llm.common import free_name
+from gapseries.llm.common import free_name, text_batches, text_rows
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -140,15 +140,14 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, *, text_col: s
     """
     keep = list(docs.columns) if keep is None else list(keep)
     names = [free_name(n, keep) for n in ("lang_pred", "score", "languages", "proportions")]
-    body = free_name("_body", keep)
-    rows = docs.select(*keep, F.col(text_col).cast("binary").alias(body))
+    rows, at = text_rows(docs, keep, text_col)
     model = docs.sparkSession.sparkContext.broadcast((langs, probs))
 
     def run(batches):
         names_of, table = model.value
-        for batch in batches:
+        for batch, texts in text_batches(batches, at):
             top, score, sets, shares = [], [], [], []
-            for t in batch.column(batch.num_columns - 1):
+            for t in texts:
                 text = t.as_py()
                 if not names_of or not text or not has_letter(text):
                     which, pi = [], []
@@ -159,7 +158,7 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, *, text_col: s
                 sets.append([names_of[i] for i in which])
                 shares.append([float(x) for x in pi])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(top, pa.string()), pa.array(score, pa.float64()),
+                [*batch.columns[:len(keep)], pa.array(top, pa.string()), pa.array(score, pa.float64()),
                  pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
                 names=[*keep, *names])
 

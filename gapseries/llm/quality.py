@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapseries.llm.common import free_name, id_hash, share, shared
+from gapseries.llm.common import free_name, id_hash, share, shared, text_batches, text_rows
 
 # ----------------------------------------------------------------- features ---
 # Byte classes counted for every text.
@@ -70,15 +70,14 @@ def statistics(text: bytes | None) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str], name: str = "features") -> DataFrame:
-    body = free_name("_body", keep)
-    rows = docs.select(*keep, F.col(text_col).cast("binary").alias(body))
+    rows, at = text_rows(docs, keep, text_col)
 
     def run(batches):
-        for batch in batches:
-            stats = [statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+        for batch, texts in text_batches(batches, at):
+            stats = [statistics(t.as_py()) for t in texts]
             flat = pa.array(np.concatenate(stats) if stats else np.empty(0))
             offsets = pa.array(np.arange(len(stats) + 1, dtype=np.int32) * len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, flat)],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.ListArray.from_arrays(offsets, flat)],
                                              names=[*keep, name])
 
     return rows.mapInArrow(run, docs.select(*keep).schema.add(name, T.ArrayType(T.DoubleType())))
@@ -200,17 +199,16 @@ def score(docs: DataFrame, forest: Forest, *, text_col: str = "text", threshold:
     """
     keep = list(docs.columns) if keep is None else list(keep)
     names = [free_name(n, keep) for n in ("score", "predicted")]
-    body = free_name("_body", keep)
-    rows = docs.select(*keep, F.col(text_col).cast("binary").alias(body))
+    rows, at = text_rows(docs, keep, text_col)
     held = share(docs.sparkSession, forest)
 
     def run(batches):
         model = shared(held)
-        for batch in batches:
-            stats = [statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+        for batch, texts in text_batches(batches, at):
+            stats = [statistics(t.as_py()) for t in texts]
             p = model.score(np.array(stats).reshape(len(stats), len(FEATURES)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+                [*batch.columns[:len(keep)], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                 names=[*keep, *names])
 
     return rows.mapInArrow(run, docs.select(*keep).schema.add(names[0], "double").add(names[1], "integer"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapseries.llm.common import free_name, materialize
+from gapseries.llm.common import free_name, materialize, text_batches, text_rows
 from gapseries.llm.components import connected_components
 
 BITS = 64
@@ -64,15 +64,13 @@ def with_fingerprints(docs: DataFrame, *, text_col: str = "text", name: str = "f
                       keep: list[str] | None = None, shingle: int = 4, seed: int = 42) -> DataFrame:
     """Add ``name``, the fingerprint's 64 bits as a signed long; carry ``keep`` (default: all)."""
     keep = list(docs.columns) if keep is None else list(keep)
-    body = free_name("_body", [*keep, name])
-    rows = docs.select(*keep, F.col(text_col).cast("binary").alias(body))
+    rows, at = text_rows(docs, keep, text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+        for batch, texts in text_batches(batches, at):
             prints = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in texts),
                                  dtype=np.uint64, count=len(texts))
-            columns = [*batch.columns[:-1], pa.array(prints.view(np.int64))]
+            columns = [*batch.columns[:len(keep)], pa.array(prints.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, name])
 
     schema = docs.select(*keep).schema.add(name, "long")
@@ -265,10 +263,10 @@ def _linked(docs, id_col, text_col, keep, shingle, seed):
     keep = list(docs.columns) if keep is None else list(keep)
     names = {"keep": keep, "fingerprint": free_name("fingerprint", keep),
              "component_id": free_name("component_id", keep)}
-    fp, key, body = (free_name(n, [*keep, "fp", "root"]) for n in ("_fp", "_id", "_text"))
+    fp, key = (free_name(n, [*docs.columns, "fp", "root"]) for n in ("_fp", "_id"))
     names |= {"fp": fp, "id": key}
-    source = docs.select(*keep, F.col(id_col).alias(key), F.col(text_col).alias(body))
-    rows = materialize(with_fingerprints(source, text_col=body, name=fp, keep=[*keep, key],
+    source = docs.withColumn(key, F.col(id_col))
+    rows = materialize(with_fingerprints(source, text_col=text_col, name=fp, keep=[*keep, key],
                                          shingle=shingle, seed=seed), "simhash-rows")
     groups = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least")),
                          "simhash-prints")
