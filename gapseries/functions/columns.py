@@ -75,10 +75,6 @@ def binary_label(c: str | Column, positive) -> Column:
     return (col(c) == F.lit(positive)).cast("int")
 
 
-def log_2pi() -> float:
-    return math.log(2.0 * math.pi)
-
-
 def grid_values(lo: float, hi: float, step: float, accumulate: bool = False) -> list[float]:
     """Inclusive ``lo .. hi by step``.
 

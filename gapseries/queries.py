@@ -390,24 +390,6 @@ def q_distinct_labels(spark, sf):
     return me.distinct_labels(_cohort_df(spark, sf, ALL_ITEM_CODES), "category")
 
 
-@register("classification_metrics", """
-SELECT round(CASE WHEN tp + tn + fp + fn = 0 THEN 0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 6) AS accuracy,
-  round((CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END
-       + CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END) / 2, 6) AS auc,
-  round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
-  round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
-  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1
-FROM (SELECT sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp,
-             sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)::DOUBLE AS fp,
-             sum(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END)::DOUBLE AS tn,
-             sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS fn
-      FROM labels) c""")
-def q_classification_metrics(spark, sf):
-    lab = td.table(spark, sf, "labels")
-    m = me.classification_metrics(lab, "quality", "toxic")
-    return m.select(*[rnd(c) for c in m.columns])
-
-
 # ------------------------------------------------------- Gaussian process ---
 # The optimum recorded for the original 428 vs 571 cohort,
 # used as the fixed hyperparameters of the GP queries.
@@ -1079,12 +1061,32 @@ def _score_sql() -> str:
 FROM ({_STATS_SQL}) t"""
 
 
+@register("classification_metrics", f"""
+SELECT round(CASE WHEN tp + tn + fp + fn = 0 THEN 0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 6) AS accuracy,
+  round((CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END
+       + CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END) / 2, 6) AS auc,
+  round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM (SELECT sum(CASE WHEN s > 0 AND y = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp,
+             sum(CASE WHEN s > 0 AND y = 0 THEN 1 ELSE 0 END)::DOUBLE AS fp,
+             sum(CASE WHEN s <= 0 AND y = 0 THEN 1 ELSE 0 END)::DOUBLE AS tn,
+             sum(CASE WHEN s <= 0 AND y = 1 THEN 1 ELSE 0 END)::DOUBLE AS fn FROM ({_score_sql()}) t) c""")
+def q_classification_metrics(spark, sf):
+    """Metrics of the hard predictions of the same score."""
+    scored = _scored_series(spark, sf).select((F.col("s") > 0).cast("int").alias("p"), "y")
+    m = me.classification_metrics(scored, "p", "y")
+    return m.select(*[rnd(c) for c in m.columns])
+
+
+def _scored_series(spark, sf):
+    return _series_features(spark, sf).select((0.8 * F.col("h")[2] - 0.3 * F.col("h")[0]).alias("s"), "y")
+
+
 @register("ranking_auc", f"""
 WITH t AS ({_score_sql()}), c AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM t GROUP BY s),
 r AS (SELECT p, n, sum(n) OVER (ORDER BY s) - n / 2.0 AS below FROM c)
 SELECT round(sum(p * below) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS auc FROM r""")
 def q_ranking_auc(spark, sf):
     """Area under the ROC curve of a fixed score of every series."""
-    scored = _series_features(spark, sf).select(
-        (0.8 * F.col("h")[2] - 0.3 * F.col("h")[0]).alias("s"), "y")
-    return me.ranking_auc(scored, "s", "y").select(rnd("auc"))
+    return me.ranking_auc(_scored_series(spark, sf), "s", "y").select(rnd("auc"))

@@ -34,8 +34,3 @@ class Roles:
     def split_key(self) -> list[str]:
         """Key the train/test split hashes (entity, item, unit)."""
         return [c for c in (self.entity, self.item, self.unit) if c]
-
-    @property
-    def group_key(self) -> list[str]:
-        """Narrow series key used after resampling (entity, item, unit)."""
-        return self.split_key
