@@ -5,8 +5,10 @@ the licence family of a paragraph; a temperature fitted on held-out paragraphs
 calibrates it, and a comparison with the family's templates confirms it.  What
 is not confirmed, or not likely enough, is ``unknown``.
 
-Paragraphs are lines.  Only those with a cue word are scored; the classifier is
-trained on such paragraphs alone, notices and others.
+Paragraphs are lines.  Every line is scored, except those that share too few
+n-grams with any template to be confirmed, whatever their score (an exact skip).
+Lines with a cue word are reported in any case, other lines if they are
+confirmed or if only their probability or their wording keeps them from it.
 
 Cases: null, empty and blank texts have no paragraphs; ties between families
 go to the first by name; a paragraph that repeats is scored once and reported
@@ -16,7 +18,9 @@ rows.  Only DataFrame operations are used, also for training.
 
 from __future__ import annotations
 
+import math
 import operator
+import re
 from functools import partial
 
 from pyspark.ml.classification import LogisticRegression
@@ -111,7 +115,7 @@ TEMPLATES = {
         "The pilot holds a commercial license and works for a public company.",
     ],
 }
-# A paragraph without any of these is no licence notice.
+# A paragraph with any of these is reported even if it is no notice.
 CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain",
         "creative commons", "all rights reserved", "cc0")
 
@@ -136,6 +140,38 @@ def ngrams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def _plain_grams(text: str) -> set[str]:
+    """:func:`ngrams` of a template, in Python."""
+    words = re.findall("[a-z0-9]+", text.lower())
+    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+
+
+def may_confirm(words: Column, shapes: list[set[str]], least_similarity: float) -> Column:
+    """False only for paragraphs whose similarity to every template is below the least.
+
+    The similarity is the number of shared n-grams over the smaller of both
+    sizes.  A paragraph no smaller than a template can miss only so many of the
+    template's, so it has one of any larger number of them (the anchors), and
+    the longest word of that one.  A smaller one must find that share of its own
+    n-grams among the templates'; each of its distinct words that no template
+    has costs it the word and, unless it is the last, the pair that it begins.
+    Only used to skip, never to confirm.
+    """
+    slack = 1e-3  # similarities are rounded
+    if least_similarity <= slack:
+        return F.lit(True)
+    anchors: set[str] = set()
+    for shape in shapes:
+        spare = len(shape) - max(1, math.ceil(least_similarity * len(shape) - slack))
+        longest = {g: max(g.split(), key=lambda w: (len(w), w)) for g in shape}
+        anchors.update(longest[g] for g in sorted(shape, key=lambda g: (-len(longest[g]), g))[:spare + 1])
+    known = sorted({w for shape in shapes for g in shape for w in g.split()})
+    strange = F.size(F.array_distinct(F.filter(words, lambda w: ~w.isin(known))))
+    missed = F.lit(2) * strange - F.lit(1)
+    small = missed - F.lit(slack) <= F.lit(1 - least_similarity) * (F.lit(2) * F.size(words) - F.lit(1))
+    return (F.size(words) > 0) & (F.exists(words, lambda w: w.isin(sorted(anchors))) | small)
+
+
 def _examples(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
     """Training paragraphs: each template whole, without each of its words, and its longer parts."""
     rows = [(family, n, text) for family, texts in sorted(templates.items()) for n, text in enumerate(texts)]
@@ -157,6 +193,7 @@ class LicenceModel:
                  reg: float = 0.002, seed: int = 42):
         templates = TEMPLATES if templates is None else templates
         self.families = sorted(templates)
+        self.shapes = [_plain_grams(t) for f, texts in sorted(templates.items()) if f != UNKNOWN for t in texts]
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")) - 1
         rows = materialize(_examples(spark, templates).withColumn("label", label.cast("double")), "licence-examples")
         held_out = F.pmod(F.xxhash64("family", "template", "at", F.lit(seed)), F.lit(4)) == 0
@@ -191,16 +228,20 @@ class LicenceModel:
 
 def scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_col: str = "text",
          least_probability: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
-    """A row for each paragraph with a cue word.
+    """A row for each paragraph that has a cue word or resembles a notice.
 
     Columns: doc_id, paragraph (line number from 0), licence (the confirmed
     family or ``unknown``), family, probability, similarity, paragraph_text.
     """
-    lines = (docs.where(has_cue(F.col(text_col)))
-             .select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1))
-                     .alias("paragraph", "paragraph_text"))
-             .where(has_cue(F.col("paragraph_text")))
-             .withColumn("_normal", F.array_join(normal_words(F.col("paragraph_text")), " ")))
+    def paragraph(text: Column) -> Column:
+        return F.struct(text.alias("text"), normal_words(text).alias("words"))
+    # Words come out of the generator, so they are not computed anew for each use.
+    parts = F.posexplode(F.transform(F.split(F.col(text_col), "\n", -1), paragraph))
+    lines = (docs.select(F.col(id_col).alias("doc_id"), parts.alias("paragraph", "_part"))
+             .select("doc_id", "paragraph", F.col("_part.text").alias("paragraph_text"),
+                     has_cue(F.col("_part.text")).alias("_cue"), F.col("_part.words").alias("_words"))
+             .where(F.col("_cue") | may_confirm(F.col("_words"), model.shapes, least_similarity))
+             .select("doc_id", "paragraph", "paragraph_text", "_cue", F.array_join("_words", " ").alias("_normal")))
     lines = materialize(lines, "licence-lines")
     grams = lines.select("_normal").distinct().withColumn("grams", ngrams(F.split("_normal", " ")))
     n = len(model.families)
@@ -227,5 +268,6 @@ def scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_c
                   & (F.col("similarity") >= least_similarity), F.col("family")).otherwise(UNKNOWN)))
     judged = materialize(judged.select(F.col("_normal").alias("_n"), "licence", "family", "probability",
                                        "similarity"), "licence-judged")
-    return (lines.join(judged, F.col("_normal") == F.col("_n"))
+    resembles = (F.col("family") != UNKNOWN) & (F.col("similarity") >= least_similarity)
+    return (lines.join(judged, F.col("_normal") == F.col("_n")).where(F.col("_cue") | resembles)
             .select("doc_id", "paragraph", "licence", "family", "probability", "similarity", "paragraph_text"))

@@ -1,5 +1,7 @@
 """The trained operators: language, quality and licence."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +182,28 @@ def test_licence_odd_rows(spark, licences):
 
 def test_calibrated(licences):
     assert licences.temperature > 0 and license_scan.UNKNOWN in licences.families
+
+
+def test_notices_without_cue_words(spark, licences):
+    rows = [(1, "GPL-3.0-or-later"), (2, "x\nPublished under CC-BY-NC 4.0\ny"), (3, "The lake was calm in the morning.")]
+    got = {r.doc_id: (r.paragraph, r.licence) for r in license_scan.scan(
+        spark.createDataFrame(rows, "doc_id long, text string"), licences).collect()}
+    assert got == {1: (0, "GPL"), 2: (1, "CC-BY-NC")}
+
+
+@pytest.mark.parametrize("least", [0.6, 0.35, 0.9, 0.0])
+def test_skipped_lines_cannot_be_confirmed(spark, licences, monkeypatch, least):
+    """Lines of template words and strange ones: the same rows with the skip and without."""
+    rnd = random.Random(4)
+    texts = [t for x in license_scan.TEMPLATES.values() for t in x]
+    rows = []
+    for i in range(600):
+        words = rnd.choice(texts).split()
+        at = rnd.randrange(len(words))
+        words = words[at:at + rnd.randint(1, 12)] + rnd.choices(["qua", "zwo", "the", "of"], k=rnd.randint(0, 12))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(docs, licences, least_similarity=least).collect()
+    monkeypatch.setattr(license_scan, "may_confirm", lambda *_: F.lit(True))
+    assert sorted(got) == sorted(license_scan.scan(docs, licences, least_similarity=least).collect())
+    assert any(r.licence != license_scan.UNKNOWN for r in got)
