@@ -1,9 +1,10 @@
 """Licence scans by a trained paragraph classifier.
 
 A logistic regression over sparse word n-grams (words and pairs of words) names
-the licence family of a paragraph; a temperature fitted on held-out paragraphs
-calibrates it, and a comparison with the family's templates confirms it.  What
-is not confirmed, or not likely enough, is ``unknown``.
+the licence family of a paragraph; a temperature fitted on held-out templates
+(whole ones, not variants of learned ones) calibrates it, and a comparison
+with the family's templates confirms it: enough shared n-grams, one of them the
+family's alone.  What is not confirmed, or not likely enough, is ``unknown``.
 
 Paragraphs are lines.  Every line is scored, except those that share too few
 n-grams with any template to be confirmed, whatever their score (an exact skip).
@@ -35,6 +36,13 @@ UNKNOWN = "unknown"
 
 # Notices of each licence family, and sentences that are none.
 TEMPLATES = {
+    "AGPL": [
+        "GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Released under the AGPL License.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -42,6 +50,12 @@ TEMPLATES = {
         "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "Artistic": [
+        "Artistic License 2.0.",
+        "Licensed under the Artistic License 2.0.",
+        "This program is distributed under the terms of the Artistic License.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
     "BSD": [
         "Released under the BSD License.",
         "Licensed under the BSD 3-Clause License.",
@@ -53,33 +67,56 @@ TEMPLATES = {
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This article is distributed under the terms of the Creative Commons Attribution License.",
+        "This article is available under CC BY 4.0.",
+        "Published under CC-BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-NC-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Published under CC-BY-NC 4.0.",
+        "This article is available under CC BY-NC 4.0.",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This article is available under CC BY-SA 4.0.",
     ],
     "CC0": [
         "Released under CC0 1.0.",
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ],
+    "EPL": [
+        "Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GPL License.",
+        "Distributed under the GPL v3 or later.",
+        "GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPL-3.0-or-later",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "Released under the LGPL License.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -95,6 +132,10 @@ TEMPLATES = {
     ],
     "Proprietary": [
         "Copyright 2020. All rights reserved.",
+        "All rights reserved.",
+        "Alle Rechte vorbehalten.",
+        "Tous droits réservés.",
+        "Tous droits reserves.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited without permission.",
     ],
@@ -113,8 +154,26 @@ TEMPLATES = {
         "The agency renewed the operating license of the plant.",
         "Poetic license allows the author to bend the rules of grammar.",
         "The pilot holds a commercial license and works for a public company.",
+        "Licensed under the Boost Software License, Version 1.0.",
+        "Released under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+        "Licensed under the Common Development and Distribution License, Version 1.0.",
+        "Licensed under the European Union Public License, version 1.2.",
+        "Licensed under the SIL Open Font License, Version 1.1.",
+        "Released under the University of Illinois NCSA License.",
+        "Python Software Foundation License 2.0.",
+        "Mit.",
+        "Mit der Zeit ging es besser.",
+        "Is.",
+        "Be.",
+        "Version 2.0.",
+        "The terms of the agreement were published by the foundation.",
+        "The software is available for any purpose.",
+        "All rights of the workers were discussed.",
     ],
 }
+# Every third template of a family is held out to fit the temperature.
+HOLD_OUT = 3
 # A paragraph with any of these is reported even if it is no notice.
 CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain",
         "creative commons", "all rights reserved", "cc0")
@@ -183,35 +242,49 @@ def _examples(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame
     half = F.ceil(F.col("n") * 0.6).cast("int")
     parts = base.where("n >= 6").select("*", F.explode(F.sequence(F.lit(1), F.col("n") - half + 1)).alias("at")).select(
         "family", "template", (F.col("at") + 1000).alias("at"), F.slice("words", F.col("at"), half).alias("words"))
-    return without.unionByName(parts).withColumn("grams", ngrams(F.col("words")))
+    rows = without.unionByName(parts)
+    # A variant that is a text of another family as well ("CC BY-NC" without NC) teaches nothing.
+    shared = rows.groupBy("words").agg(F.count_distinct("family").alias("owners"))
+    rows = rows.join(shared, "words").where((F.col("owners") == 1) | (F.col("at") == 0)).drop("owners")
+    return rows.withColumn("grams", ngrams(F.col("words")))
 
 
 class LicenceModel:
     """Weights by n-gram, intercepts, temperature and templates, as small tables."""
 
     def __init__(self, spark: SparkSession, templates: dict[str, list[str]] | None = None, *,
-                 reg: float = 0.002, seed: int = 42):
+                 reg: float = 0.002):
         templates = TEMPLATES if templates is None else templates
         self.families = sorted(templates)
         self.shapes = [_plain_grams(t) for f, texts in sorted(templates.items()) if f != UNKNOWN for t in texts]
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")) - 1
         rows = materialize(_examples(spark, templates).withColumn("label", label.cast("double")), "licence-examples")
-        held_out = F.pmod(F.xxhash64("family", "template", "at", F.lit(seed)), F.lit(4)) == 0
+        # Whole templates are held out, two or more of each family stay; the weights come from all.
+        held_out = F.col("template") % HOLD_OUT == HOLD_OUT - 1
         vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows)
         data = vectors.transform(rows)
-        fitted = LogisticRegression(family="multinomial", regParam=reg, maxIter=60).fit(data.where(~held_out))
-        scored = fitted.transform(data.where(held_out))
+        regression = LogisticRegression(family="multinomial", regParam=reg, maxIter=60)
+        scored = regression.fit(data.where(~held_out)).transform(data.where(held_out))
         self.temperature = self._temperature(
             scored.select("label", vector_to_array("rawPrediction").alias("z")))
+        fitted = regression.fit(data)
         matrix = fitted.coefficientMatrix.toArray()
         self.intercepts = [float(x) for x in fitted.interceptVector.toArray()]
         weights = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(vectors.vocabulary)]
         # Bounded by the templates: their words and pairs of words.
         self.weights = materialize(spark.createDataFrame(weights, "gram string, w array<double>").coalesce(1),
                                    "licence-weights")
+        owners: dict[str, set[str]] = {}
+        for family, texts in templates.items():
+            for text in texts:
+                for gram in _plain_grams(text):
+                    owners.setdefault(gram, set()).add(family)
+        # What only one family's templates have: a notice of the family holds some of it.
+        marks = [(f, sorted(g for g, of in owners.items() if of == {f})) for f in self.families]
+        marks = spark.createDataFrame(marks, "family string, marks array<string>")
         shapes = _examples(spark, templates).where((F.col("at") == 0) & (F.col("family") != UNKNOWN))
-        self.templates = materialize(shapes.groupBy("family").agg(F.collect_list("grams").alias("templates")),
-                                     "licence-templates")
+        shapes = shapes.groupBy("family").agg(F.collect_list("grams").alias("templates")).join(marks, "family")
+        self.templates = materialize(shapes, "licence-templates")
 
     @staticmethod
     def _temperature(scored: DataFrame) -> float:
@@ -265,7 +338,7 @@ def scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_c
               .withColumn("similarity", F.coalesce(F.array_max(F.transform("templates", likeness)), F.lit(0.0)))
               .withColumn("licence", F.when(
                   (F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability)
-                  & (F.col("similarity") >= least_similarity), F.col("family")).otherwise(UNKNOWN)))
+                  & (F.col("similarity") >= least_similarity) & F.arrays_overlap("grams", "marks"), F.col("family")).otherwise(UNKNOWN)))
     judged = materialize(judged.select(F.col("_normal").alias("_n"), "licence", "family", "probability",
                                        "similarity"), "licence-judged")
     resembles = (F.col("family") != UNKNOWN) & (F.col("similarity") >= least_similarity)

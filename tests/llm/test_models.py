@@ -207,3 +207,25 @@ def test_skipped_lines_cannot_be_confirmed(spark, licences, monkeypatch, least):
     monkeypatch.setattr(license_scan, "may_confirm", lambda *_: F.lit(True))
     assert sorted(got) == sorted(license_scan.scan(docs, licences, least_similarity=least).collect())
     assert any(r.licence != license_scan.UNKNOWN for r in got)
+
+
+def test_each_notice_of_the_tables_and_other_licences(spark, licences):
+    """Notices of the tables and of related licences are told apart; licences not trained on are unknown."""
+    want = NOTICES | {"Proprietary": "All rights reserved.", "AGPL": "GNU Affero General Public License, version 3",
+                      "EPL": "Eclipse Public License 2.0", "Artistic": "Artistic License 2.0",
+                      "CC-BY": "This article is available under CC BY 4.0.", "LGPL": "SPDX-License-Identifier: LGPL-3.0"}
+    other = ["Microsoft Public License (Ms-PL)", "Licensed under the Open Software License 3.0",
+             "Licensed under the IBM Public License Version 1.0", "SPDX-License-Identifier: Vim",
+             "This program is distributed under the terms of the Sleepycat License.",
+             "Released under the PostgreSQL License.", "Licensed under the Academic Free License, Version 3.0."]
+    rows = [*want.items(), *((license_scan.UNKNOWN, text) for text in other)]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in license_scan.scan(docs, licences).collect()}
+    assert [(got.get(i, license_scan.UNKNOWN), text) for i, (_, text) in enumerate(rows)] == rows
+
+
+def test_temperature_is_of_whole_templates(spark):
+    """Held-out templates that the others mislead about call for little confidence."""
+    templates = {"p": ["a1 a2 a3 a4", "a5 a6 a7 a8", "b1 b2 b9 b10"], "q": ["b1 b2 b3 b4", "b5 b6 b7 b8", "a1 a2 a9 a10"],
+                 license_scan.UNKNOWN: ["c1 c2 c3 c4", "c5 c6 c7 c8"]}
+    assert license_scan.LicenceModel(spark, templates).temperature >= 2.8
