@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapseries.llm import (chat, decontaminate, langid, license_scan, mixing, quality, sharding, simhash,
-                           token_store, topk)
+from gapseries.llm import (chat, decontaminate, hard_negatives, langid, license_scan, mixing, prefix_trie, quality,
+                           sharding, simhash, substring_dedup, token_store, topk)
 from gapseries.llm.common import crc_of_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +214,101 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(windows)
 
 
+@register("op11_hard_negatives", """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+         list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.v) = len(c.v)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER w AS place FROM s WHERE same
+  WINDOW w AS (PARTITION BY anchor_id ORDER BY score DESC, vec_id)),
+n AS (
+  SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score,
+         score AS negative_score
+  FROM p JOIN s USING (anchor_id)
+  WHERE place <= 5 AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+  WINDOW w AS (PARTITION BY anchor_id, place ORDER BY score DESC, vec_id))
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+@register("op12_substring_dedup", f"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+k AS (
+  SELECT doc_id, i, array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM k GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {substring_dedup.WINDOW})) AS i
+  FROM k JOIN f USING (s) WHERE doc_id > least),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+left_over AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substring_dedup.remove_repeats(docs, keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    return cleaned.select("doc_id", "n_words", removed.alias("n_removed"),
+                          F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OPENINGS, OPENING_TURNS = 100, 6
+_BYTES_SQL = _CRC_SQL.replace("hex(t)", "hex(id::VARCHAR)")
+
+
+@register("op13_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id, role || chr(0) || text AS said, length(text) AS len,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT id, id - id % {OPENINGS} AS base, {_BYTES_SQL} % {OPENING_TURNS} AS h
+  FROM (SELECT DISTINCT conv_id AS id, {_CRC_TABLE_SQL} AS crc_table FROM t)),
+r AS (
+  SELECT id, pos AS place, said, len FROM c JOIN t ON conv_id = base AND pos <= h
+  UNION ALL SELECT id, 100 + pos AS place, said, len FROM c JOIN t ON conv_id = id AND pos > h),
+p AS (
+  SELECT id, row_number() OVER w AS d, list(md5(said)) OVER w AS path, len FROM r
+  WINDOW w AS (PARTITION BY id ORDER BY place)
+  UNION ALL SELECT id, 0, [], 0 FROM c),
+n AS (SELECT path, d, min(id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(len) AS own
+      FROM p GROUP BY path, d),
+e AS (SELECT path, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids
+      FROM (SELECT id, max(d) AS d FROM p GROUP BY id) JOIN p USING (id, d) GROUP BY path),
+k AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT a.path, sum((x.n_children = 0)::INT) AS n_leaves, sum(x.own) AS saved
+      FROM f a JOIN f x ON x.d >= a.d AND x.path[:a.d] = a.path GROUP BY a.path)
+SELECT f.conv_id, f.d::BIGINT AS depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN f o ON o.d = f.d - 1 AND o.path = f.path[:f.d - 1]
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv")
+    ids, turns = prefix_trie.with_shared_prefix(
+        prefix_trie.turn_rows(rows), conv - conv % OPENINGS,
+        F.crc32(conv.cast("string").cast("binary")) % OPENING_TURNS)
+    return prefix_trie.prefix_trie(ids, turns)
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
