@@ -19,7 +19,7 @@ def series_overlay(series: DataFrame, resampled: DataFrame, keys: Sequence[str],
 
     ``series`` (keys, t, tw, v) and ``resampled`` (keys, t0, mean, variance)
     have one row per series; they are joined once, and series missing from
-    either side are skipped.
+    either side are skipped (:func:`overlay_missing` names them).
     """
     keys = list(keys)
     s = series.select(F.struct(*keys).alias(_KEY), "t", "tw", "v")
@@ -38,3 +38,19 @@ def series_overlay(series: DataFrame, resampled: DataFrame, keys: Sequence[str],
     rows = F.flatten(F.concat(F.transform(F.arrays_zip("t", "tw", "v"), points),
                               F.transform(F.arrays_zip("mean", "variance"), grid)))
     return s.join(r, _KEY).select(f"{_KEY}.*", F.inline(rows))
+
+
+def overlay_missing(series: DataFrame, resampled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Series that :func:`series_overlay` skips: keys and ``missing_from``,
+    the side that lacks them ('series' or 'resampled').
+
+    One full outer join of the distinct keys; a null in a key column is a value
+    like any other.
+    """
+    sides = [df.select(F.struct(*keys).alias(name)).distinct()
+             for df, name in ((series, "_s"), (resampled, "_r"))]
+    met = sides[0].join(sides[1], F.col("_s") == F.col("_r"), "full_outer")
+    alone = met.where(F.col("_s").isNull() | F.col("_r").isNull())
+    side = F.when(F.col("_s").isNull(), F.lit("series")).otherwise(F.lit("resampled"))
+    return alone.select(F.coalesce("_s", "_r").alias(_KEY), side.alias("missing_from")).select(
+        f"{_KEY}.*", "missing_from")

@@ -98,8 +98,9 @@ def balance_classes(df: DataFrame, keys: Sequence[str], label: str,
     ``classes`` names the classes that must be present; a missing one counts
     as empty, which empties the result (there is nothing to balance against).
     ``method="hash"`` keeps exactly that many series per class, chosen by key
-    hash; ``"bernoulli"`` samples the larger classes at n_min/n_class with a
-    seeded ``sampleBy`` (approximate counts, as the original procedure).
+    hash; ``"bernoulli"`` keeps each series of a larger class with probability
+    n_min/n_class (approximate counts, as the original procedure): those whose
+    hashed key falls below it, so the choice is the same for any layout.
     """
     counts = {r[label]: r["n_series"] for r in class_counts(df, keys, label).collect()}
     for c in classes or []:
@@ -110,10 +111,10 @@ def balance_classes(df: DataFrame, keys: Sequence[str], label: str,
     if method == "hash":
         return keep_smallest_by_hash(df, keys, {c: n_min for c in counts}, seed, label, bits)
     if method == "bernoulli":
-        fractions = {c: (n_min / n if n else 0.0) for c, n in counts.items()}
-        series = df.select(*dict.fromkeys(list(keys) + [label])).distinct()
-        kept = series.sampleBy(label, fractions, seed)
-        return df.join(kept, list(dict.fromkeys(list(keys) + [label])), "left_semi")
+        chance = F.lit(0.0)
+        for c, n in counts.items():
+            chance = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(n_min / n if n else 0.0)).otherwise(chance)
+        return df.where(key_unit(list(dict.fromkeys(list(keys) + [label])), f"bernoulli:{seed}") < chance)
     raise ValueError("method must be 'hash' or 'bernoulli'")
 
 

@@ -369,6 +369,18 @@ def q_balanced_cohort(spark, sf):
     return _cohort_out(_cohort_df(spark, sf, ALL_ITEM_CODES, balance="hash"))
 
 
+@register("balanced_cohort_bernoulli", f"""
+WITH c AS ({COHORT_ALL_SQL}),
+s AS (SELECT DISTINCT entity, item, unit, category,
+        {hash_sql(['entity', 'item', 'unit', 'category'], f'bernoulli:{SEED}')}::DOUBLE / 4294967296.0::DOUBLE AS u
+      FROM c),
+n AS (SELECT category, count(*) AS n, min(count(*)) OVER () AS least FROM s GROUP BY category)
+SELECT c.* FROM c JOIN s USING (entity, item, unit, category) JOIN n USING (category) WHERE u < least / n""")
+def q_balanced_cohort_bernoulli(spark, sf):
+    """Each series of the larger class kept with the probability that levels the classes."""
+    return _cohort_out(_cohort_df(spark, sf, ALL_ITEM_CODES, balance="bernoulli"))
+
+
 @register("class_counts", f"""
 SELECT category, count(*) AS n_series FROM (SELECT DISTINCT entity, item, unit, category
 FROM ({COHORT_ALL_SQL}) c) s GROUP BY category""")
@@ -604,6 +616,45 @@ def q_sample_patches(spark, sf):
     return _chosen(spark, sf, _cohort_df(spark, sf, ALL_ITEM_CODES)).select(*GP_KEYS, "start")
 
 
+DRAWN_SQL = f"""
+WITH n AS (SELECT {_PKEYS}, n_patches,
+             sum(n_patches) OVER (ORDER BY {', '.join(f'{k} NULLS FIRST' for k in GP_KEYS)}) - n_patches AS below
+           FROM (SELECT {_PKEYS}, count(*) - {PATCH_LEN} AS n_patches FROM ({GP_RESAMPLE_RAW_SQL}) g
+                 GROUP BY {_PKEYS}) c WHERE n_patches > 0),
+t AS (SELECT sum(n_patches)::BIGINT AS line, 3 * count(*) AS draws FROM n),
+d AS (SELECT draw, ('0x' || substr(md5('draw:0|' || draw), 1, 15))::BIGINT % line AS x
+      FROM (SELECT line, unnest(range(draws)) AS draw FROM t) r)
+SELECT {_PKEYS}, CAST(x - below AS INTEGER) AS start, draw
+FROM d JOIN n ON x >= below AND x < below + n_patches"""
+
+
+def _counts(spark, sf):
+    from gapseries.operators.patches import patch_count
+    from gapseries.session import cut_lineage
+    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    return cut_lineage(patch_count(coh, GP_KEYS, PATCH_LEN, step=GP_STEP, padding_length=GP_PADDING))
+
+
+@register("sample_patches_replacement", DRAWN_SQL)
+def q_sample_patches_replacement(spark, sf):
+    """Exactly three draws for each series, with replacement, every patch equally likely."""
+    from gapseries.operators.patches import draw_patches
+    return draw_patches(_counts(spark, sf), GP_KEYS, 3, 0)
+
+
+@register("cut_drawn_patches", f"""
+SELECT {_PKEYS}, start, count(*) AS times, {', '.join(f'any_value(f{k}) AS f{k}' for k in range(2 * PATCH_LEN))}
+FROM ({DRAWN_SQL}) d JOIN ({PATCHES_SQL}) p USING ({_PKEYS}, start) GROUP BY {_PKEYS}, start""")
+def q_cut_drawn_patches(spark, sf):
+    """The drawn patches with their features, and how often each was drawn."""
+    from gapseries.operators.patches import cut_patches, draw_patches, feature_columns
+    drawn = draw_patches(_counts(spark, sf), GP_KEYS, 3, 0)
+    wide = feature_columns(cut_patches(_gp_pred_arrays(spark, sf), drawn, GP_KEYS, PATCH_LEN), PATCH_LEN)
+    fs = [f"f{k}" for k in range(2 * PATCH_LEN)]
+    return wide.groupBy(*GP_KEYS, "start").agg(
+        F.count(F.lit(1)).alias("times"), *[F.round(F.first(f), R).alias(f) for f in fs])
+
+
 @register("validation_split", f"""
 SELECT {_PKEYS}, start, CASE WHEN {hash_sql(GP_KEYS + ['start'], 'validation:0')}::DOUBLE
   / 4294967296.0::DOUBLE < 0.2 THEN 'validation' ELSE 'train' END AS fit_split
@@ -674,6 +725,34 @@ def q_series_overlay(spark, sf):
     return ov.select(*GP_KEYS, "kind", rnd("t"), rnd("y"))
 
 
+@register("overlay_missing", f"""
+WITH c AS (SELECT DISTINCT {_PKEYS} FROM ({COHORT_ALL_SQL}) x),
+n AS (SELECT *, (SELECT count(*) FROM ({COHORT_ALL_SQL}) y WHERE y.entity = c.entity AND y.item = c.item) AS n FROM c),
+l AS (SELECT * FROM n WHERE n >= 8), r AS (SELECT * FROM n WHERE split = 'train')
+SELECT {_PKEYS}, 'resampled' AS missing_from FROM l WHERE split <> 'train'
+UNION ALL SELECT {_PKEYS}, 'series' FROM r WHERE n < 8""")
+def q_overlay_missing(spark, sf):
+    """Series of eight points or more beside the resampled training series: who lacks what."""
+    from gapseries.operators.overlay import overlay_missing
+    from gapseries.plans.gp import cohort_series_arrays
+    from gapseries.session import cut_lineage
+    nested = cut_lineage(cohort_series_arrays(_cohort_df(spark, sf, ALL_ITEM_CODES), td.ROLES,
+                                              extra_keys=("split",)))
+    from gapseries.operators.gp import gp_resample_arrays
+    pred = gp_resample_arrays(nested.where("split = 'train'"), GP_KEYS, GP_SIGMA2, GP_ALPHA, GP_TAU,
+                              GP_STEP, GP_PADDING)
+    return overlay_missing(nested.where(F.size("v") >= 8), pred, GP_KEYS)
+
+
+@register("series_order", f"""
+SELECT {_PKEYS}, row_number() OVER (ORDER BY {', '.join(f'{k} NULLS FIRST' for k in GP_KEYS)}) AS position
+FROM (SELECT DISTINCT {_PKEYS} FROM ({COHORT_ALL_SQL}) c) k""")
+def q_series_order(spark, sf):
+    """The place of every cohort series in the order of its key."""
+    from gapseries.operators.ordering import order_series
+    return order_series(_cohort_df(spark, sf, ALL_ITEM_CODES), GP_KEYS)
+
+
 @register("gp_grid_search")  # twin below: the full grid
 def q_gp_grid_search(spark, sf):
     from gapseries.operators import gp
@@ -1039,20 +1118,65 @@ def _series_features(spark, sf):
     return st.select("entity", "item", x.alias("h"), F.col("item").isin("purchase", "error").cast("int").alias("y"))
 
 
-@register("classifier_optimum", """SELECT j, TRUE AS stationary FROM range(0, 5) r(j)""")
+NEWTON_STEPS = 12
+
+
+def _newton_sql() -> str:
+    """Weights of the penalised logistic regression after Newton steps from zero.
+
+    A step sums the gradient and the 5 x 5 Hessian over the rows, eliminates the
+    system (symmetric and positive definite, so without pivoting) a column to a
+    subquery, and substitutes back.
+    """
+    d = 5
+    w = [f"w{i}" for i in range(d)]
+    x = [*(f"x{i}" for i in range(d - 1)), "1.0::DOUBLE"]
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    score = " + ".join(f"{a} * {b}" for a, b in zip(w, x))
+    steps = [f"n0 AS (SELECT {', '.join(f'0.0::DOUBLE AS {a}' for a in w)})"]
+    for k in range(NEWTON_STEPS):
+        p = f"SELECT *, 1.0 / (1.0 + exp(-({score}))) AS p FROM s, n{k}"
+        sums = [f"any_value({w[i]}) AS {w[i]}" for i in range(d)]
+        sums += [f"any_value({w[i]}) + sum((p - y) * {x[i]}) AS b{i}" for i in range(d)]
+        sums += [f"{1.0 if i == j else 0.0} + sum(p * (1.0 - p) * {x[i]} * {x[j]}) AS a{i}{j}" for i, j in upper]
+        sql = f"SELECT {', '.join(sums)} FROM ({p}) t"
+        for c in range(d - 1):
+            cells = [*w, *(f"b{i}" for i in range(c + 1)), *(f"a{i}{j}" for i, j in upper if i <= c)]
+            cells += [f"b{i} - a{c}{i} / a{c}{c} * b{c} AS b{i}" for i in range(c + 1, d)]
+            cells += [f"a{i}{j} - a{c}{i} / a{c}{c} * a{c}{j} AS a{i}{j}" for i, j in upper if i > c]
+            sql = f"SELECT {', '.join(cells)} FROM ({sql}) e{c}"
+        for i in range(d - 1, -1, -1):
+            known = "".join(f" - a{i}{j} * z{j}" for j in range(i + 1, d))
+            sql = f"SELECT *, (b{i}{known}) / a{i}{i} AS z{i} FROM ({sql}) r{i}"
+        steps.append(f"n{k + 1} AS MATERIALIZED (SELECT {', '.join(f'w{i} - z{i} AS w{i}' for i in range(d))} "
+                     f"FROM ({sql}) q)")
+    return f"""
+WITH s AS MATERIALIZED (
+  SELECT *, CASE WHEN item IN ('purchase', 'error') THEN 1.0 ELSE 0.0 END AS y FROM ({_STATS_SQL}) t),
+{', '.join(steps)}
+SELECT * FROM n{NEWTON_STEPS}"""
+
+
+@register("classifier_optimum", " UNION ALL ".join(
+    f"SELECT {j}::BIGINT AS j, round(w{j}, 4) + 0.0 AS coefficient FROM ({_newton_sql()}) f" for j in range(5)))
 def q_classifier_optimum(spark, sf):
-    """The fitted logistic regression meets its optimality condition: each
-    component of the penalised gradient (intercept last) is close to zero."""
+    """The fitted logistic regression's coefficients, the intercept last."""
+    from gapseries.operators.classifier import fit_classifier
+    model = fit_classifier(_series_features(spark, sf), "h", "y")
+    rows = [(j, float(c)) for j, c in enumerate([*model.coefficients, model.intercept])]
+    return spark.createDataFrame(rows, "j long, c double").select("j", F.round("c", 4).alias("coefficient"))
+
+
+@register("classifier_predictions", f"""
+SELECT s.entity, s.item, round(1.0 / (1.0 + exp(-(w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + w4))), 4) AS score,
+  CAST(w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + w4 > 0 AS INTEGER) AS prediction
+FROM ({_STATS_SQL}) s, ({_newton_sql()}) f""")
+def q_classifier_predictions(spark, sf):
+    """Every series scored by the model fitted on all of them."""
     from gapseries.operators.classifier import fit_classifier, predict
     rows = _series_features(spark, sf)
-    model = fit_classifier(rows, "h", "y", tol=1e-9)
-    scored = predict(model, rows, "h", probability="p")
-    w = [float(c) for c in model.coefficients] + [0.0]
-    x = F.concat("h", F.array(F.lit(1.0)))
-    sums = scored.agg(*[F.sum((F.col("p") - F.col("y")) * x[j]).alias(f"g{j}") for j in range(5)])
-    cells = F.array(*[F.abs(F.col(f"g{j}") + F.lit(w[j])) for j in range(5)])
-    return sums.select(F.posexplode(cells).alias("j", "g")).select(
-        F.col("j").cast("long").alias("j"), (F.col("g") < 1e-2).alias("stationary"))
+    scored = predict(fit_classifier(rows, "h", "y"), rows, "h", probability="p")
+    return scored.select("entity", "item", F.round("p", 4).alias("score"), "prediction")
 
 
 def _score_sql() -> str:

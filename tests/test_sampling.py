@@ -75,3 +75,43 @@ def test_rows_of_a_null_label_stay(spark):
     got = sa.keep_smallest_by_hash(df, ["k"], {"a": 1}, label="c").collect()
     assert len(got) == 3 and sorted(r.k for r in got if r.c is None) == [3, 4]
     assert len(sa.keep_smallest_by_hash(df, ["k"], {"a": 2, None: 1}, label="c").collect()) == 3
+
+
+def test_bernoulli_balancing_ignores_the_layout(spark):
+    df = spark.createDataFrame([(k, "a" if k % 4 else "b") for k in range(400)], "k int, c string")
+    first = {r.k for r in sa.balance_classes(df.repartition(1), ["k", "c"], "c", method="bernoulli", seed=5).collect()}
+    again = {r.k for r in sa.balance_classes(df.repartition(9), ["k", "c"], "c", method="bernoulli", seed=5).collect()}
+    assert first == again and all(k in first for k in range(0, 400, 4))
+    assert 60 < len(first) - 100 < 140
+
+
+def test_draws_with_replacement(spark):
+    from collections import Counter
+
+    from gapseries.operators.patches import choose_patches
+    counts = spark.createDataFrame([(1, 100), (2, 1), (3, 0), (None, 49), (4, 50)], "k int, n_patches int")
+    draws = [sorted((str(r.k), r.start, r.draw) for r in
+                    choose_patches(counts.repartition(n), ["k"], multiple=500, seed=1, method="replacement").collect())
+             for n in (1, 5)]
+    assert draws[0] == draws[1] and len(draws[0]) == 2000 and len({d for *_, d in draws[0]}) == 2000
+    share = Counter(k for k, *_ in draws[0])
+    assert "3" not in share and 850 < share["1"] < 1150 and 400 < share["None"] < 580 and 1 <= share["2"] < 30
+    starts = Counter(s for k, s, _ in draws[0] if k == "1")
+    assert set(starts) == set(range(100))
+    assert choose_patches(counts.where("n_patches = 0"), ["k"], method="replacement").collect() == []
+
+
+def test_draws_of_each_label(spark):
+    from gapseries.operators.patches import draw_patches
+    counts = spark.createDataFrame([(i, "a" if i < 30 else "b", 1 + i % 7) for i in range(40)],
+                                   "k int, c string, n_patches int")
+    got = draw_patches(counts, ["k", "c"], 3, 0, label="c").collect()
+    assert sum(r.c == "a" for r in got) == 90 and sum(r.c == "b" for r in got) == 30
+    assert all(r.start <= r.k % 7 and (r.c == "a") == (r.k < 30) for r in got)
+
+
+def test_a_hot_series_among_many_tiny_ones(spark):
+    from gapseries.operators.patches import draw_patches
+    counts = spark.range(2000).selectExpr("id AS k", "IF(id = 7, 4000, 1) AS n_patches")
+    got = draw_patches(counts, ["k"], 1, 3).collect()
+    assert len(got) == 2000 and 1200 < sum(r.k == 7 for r in got) < 1450
