@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gapseries.functions.columns import epoch_days
 from gapseries.roles import Roles
+from gapseries.session import cut_lineage
 
 T_DAYS = "t_days"
 T_REL = "t_rel"
@@ -51,24 +52,59 @@ def _order(t: str, tie: str | None) -> list[Column]:
     return [F.col(t).asc()] + ([F.col(tie).asc()] if tie else [])
 
 
-# Days of a series that are sorted together.  A series is spread over as many
-# tasks as it has such blocks with points.
+# Days of a series that are sorted together; a series is spread over as many
+# tasks as it has such blocks with points.  A block of more points than
+# BLOCK_POINTS (a burst) is cut at quantiles of its times into PARTS parts.
 BLOCK_DAYS = 1.0
-_KEY, _BLK = "_key", "_blk"
+BLOCK_POINTS = 200_000
+PARTS = 128
+# Rows of cut points that are broadcast; more are joined by a shuffle.
+BROADCAST_CUTS = 5_000
+_KEY, _BLK, _CUTS = "_key", "_blk", "_cuts"
 
 
-def _blocked(points: DataFrame, keys: Sequence[str], t: str, tie: str | None, block_days: float):
+def _bursts(df: DataFrame, t: str, block_points: int) -> DataFrame | None:
+    """Cut points (key, block, cuts) of the blocks with more than ``block_points`` points.
+
+    One aggregate counts the points of every block (combined on the map side).
+    Only the blocks over the bound are read again, for the quantiles of their
+    times; these are mergeable summaries, so no task sees a whole block.
+    """
+    dense = cut_lineage(df.groupBy(_KEY, _BLK).agg(F.count(F.lit(1)).alias("n"))
+                        .where(F.col("n") > block_points).select(_KEY, _BLK))
+    n = dense.count()
+    if not n:
+        return None
+    inside = df.join(F.broadcast(dense) if n <= BROADCAST_CUTS else dense, [_KEY, _BLK], "left_semi")
+    cuts = F.percentile_approx(t, [i / PARTS for i in range(1, PARTS)], 100 * PARTS)
+    cut = cut_lineage(inside.groupBy(_KEY, _BLK).agg(F.array_distinct(cuts).alias(_CUTS)))
+    return F.broadcast(cut) if n <= BROADCAST_CUTS else cut
+
+
+def _blocked(points: DataFrame, keys: Sequence[str], t: str, tie: str | None, block_days: float,
+             block_points: int | None):
     """Points clustered on (series, time block), and the window over a block.
 
     The key columns are held in one struct: structs compare null fields as
     equal, so a series whose key holds a null is a series like any other, and
-    shuffle, windows and joins all agree on one column.
+    shuffle, windows and joins all agree on one column.  Blocks are ``block_days``
+    long; a burst is cut into parts of about equal counts (points of one instant
+    stay together), so a series is spread however its points lie in time.
     """
     if block_days <= 0:
         raise ValueError("block_days must be positive")
     df = (points.withColumn(_KEY, F.struct(*keys))
-          .withColumn(_BLK, F.floor(F.col(t) / F.lit(block_days)).cast("long"))
-          .repartition(_KEY, _BLK))
+          .withColumn(_BLK, F.floor(F.col(t) / F.lit(block_days)).cast("long")))
+    cut = None if block_points is None else _bursts(df, t, block_points)
+    part = F.lit(0)
+    if cut is not None:
+        df = df.join(cut, [_KEY, _BLK], "left")
+        part = F.coalesce(F.size(F.filter(_CUTS, lambda c: c <= F.col(t))), F.lit(0))
+        part = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(part)
+    df = df.withColumn(_BLK, F.col(_BLK) * F.lit(PARTS) + part)
+    if cut is not None:
+        df = df.drop(_CUTS)
+    df = df.repartition(_KEY, _BLK)
     return df, Window.partitionBy(_KEY, _BLK).orderBy(*_order(t, tie))
 
 
@@ -82,13 +118,13 @@ def relative_time(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
 
 def time_deltas(points: DataFrame, keys: Sequence[str], t: str = T_REL,
                 tie: str | None = None, out: str = "dt",
-                block_days: float = BLOCK_DAYS) -> DataFrame:
+                block_days: float = BLOCK_DAYS, block_points: int | None = BLOCK_POINTS) -> DataFrame:
     """Successive differences inside each series (null on the first point).
 
     Within a time block by a window, into a block from the last time of the
-    block before it.
+    block before it.  ``block_points`` as in :func:`time_warp`.
     """
-    df, w = _blocked(points, keys, t, tie, block_days)
+    df, w = _blocked(points, keys, t, tie, block_days, block_points)
     df = df.withColumn("_prev", F.lag(t).over(w))
     ends = df.groupBy(_KEY, _BLK).agg(F.max(t).alias("_hi"))
     before = ends.select(_KEY, _BLK, F.lag("_hi").over(
@@ -101,7 +137,7 @@ def time_deltas(points: DataFrame, keys: Sequence[str], t: str = T_REL,
 def time_warp(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
               tie: str | None = None, a: float = 3.0, b: float = 0.0,
               block_days: float = BLOCK_DAYS, series_filter: DataFrame | None = None,
-              rel: str = T_REL, out: str = T_WARP) -> DataFrame:
+              rel: str = T_REL, out: str = T_WARP, block_points: int | None = BLOCK_POINTS) -> DataFrame:
     """Relative time and polynomial time warp as a two-level prefix sum.
 
     Each gap d between successive points becomes ``d ** (1/a) + b`` and the
@@ -118,7 +154,9 @@ def time_warp(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
        adds the offsets back.
 
     A series holding any share of the rows is spread over as many tasks as it
-    has blocks.  ``series_filter`` (columns a subset of ``keys``) keeps only
+    has blocks.  Blocks of more than ``block_points`` points are cut further at
+    quantiles of their times; finding them counts the points of all blocks first
+    (None leaves that out).  ``series_filter`` (columns a subset of ``keys``) keeps only
     matching series; it is applied to the summaries, so the point side never
     reshuffles for it.  Nulls in key columns are values like any other.
     """
@@ -126,7 +164,7 @@ def time_warp(points: DataFrame, keys: Sequence[str], t: str = T_DAYS,
         raise ValueError("warp exponent a must be non-zero")
     keys = list(keys)
     inv = F.lit(1.0 / a)
-    df, w = _blocked(points, keys, t, tie, block_days)
+    df, w = _blocked(points, keys, t, tie, block_days, block_points)
     df = df.withColumn("_gap", F.col(t) - F.lag(t).over(w))
     df = df.withColumn("_inc", F.when(F.col("_gap").isNull(), F.lit(0.0))
                        .otherwise(F.pow(F.col("_gap"), inv) + F.lit(b)))

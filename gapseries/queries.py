@@ -843,6 +843,43 @@ def q_csv_landing(spark, sf):
     return back.select("event_id", "user_id", "event_type", "value", ms.alias("ts_ms"))
 
 
+@register("clinical_tables", """
+SELECT 'LABEVENTS' AS name, event_id AS row_id, user_id AS subject, event_type || ':' || length(event_type) || ':'
+  || CASE WHEN length(event_type) % 2 = 0 THEN 'mg, dL' ELSE '-' END AS said, value AS num, epoch_us(ts) // 1000 AS ms
+FROM events
+UNION ALL SELECT 'D_LABITEMS', min(event_id), -1, event_type || ':' || upper(event_type), -1, -1
+FROM events GROUP BY event_type
+UNION ALL SELECT 'PATIENTS', c_custkey, c_custkey, substring(c_mktsegment, 1, 1) || ':0', -1, -1 FROM customer
+UNION ALL SELECT 'DIAGNOSES_ICD', o_orderkey, o_custkey, (o_orderkey % 7) || ':' || o_orderstatus
+  || substring(o_orderpriority, 1, 1), -1, -1 FROM orders
+UNION ALL SELECT 'D_ICD_DIAGNOSES', n_nationkey, -1, n_regionkey || ':' || n_name || ':-', -1, -1 FROM nation""")
+def q_clinical_tables(spark, sf):
+    """The five declared tables written as gzipped CSV parts and loaded with their schemas."""
+    from gapseries.schemas import TABLES
+    from gapseries.session import scratch_path
+    from gapseries.sources.io import load_tables, save_table
+    folder = scratch_path(spark, "clinical")
+    for name, df in td.clinical(spark, sf).items():
+        save_table(df, f"{folder}/{name}.csv.gz", "csv", compression="gzip")
+    t = load_tables(spark, folder, TABLES)
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(CHARTTIME AS timestamp_ntz))")
+    none = {"subject": F.lit(-1), "num": F.lit(-1), "ms": F.lit(-1)}
+    said = {
+        "LABEVENTS": (F.concat_ws(":", "VALUE", "ITEMID", F.coalesce("VALUEUOM", F.lit("-"))),
+                      {"subject": F.col("SUBJECT_ID"), "num": F.col("VALUENUM"), "ms": ms}),
+        "D_LABITEMS": (F.concat_ws(":", "LABEL", "LOINC_CODE"), {}),
+        "PATIENTS": (F.concat_ws(":", "GENDER", "EXPIRE_FLAG"), {"subject": F.col("SUBJECT_ID")}),
+        "DIAGNOSES_ICD": (F.concat_ws(":", "SEQ_NUM", "ICD9_CODE"), {"subject": F.col("HADM_ID")}),
+        "D_ICD_DIAGNOSES": (F.concat_ws(":", "ICD9_CODE", "SHORT_TITLE", F.coalesce("LONG_TITLE", F.lit("-"))), {})}
+    parts = [t[name].select(F.lit(name).alias("name"), F.col("ROW_ID").cast("long").alias("row_id"), text.alias("said"),
+                            *[c.cast(kind).alias(n) for (n, c), kind in zip((none | own).items(), ("long", "double", "long"))])
+             for name, (text, own) in said.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _scaler_sql() -> str:
     n = 2 * PATCH_LEN
     fs = [f"f{k}" for k in range(n)]
@@ -947,6 +984,20 @@ def q_gp_hyperparameters_coarse(spark, sf):
     return best.select("sigma2", "alpha", "tau", rnd("log_likelihood", 4))
 
 
+@register("hyperparameter_table", f"""
+SELECT sigma2, alpha, tau, round(log_likelihood, 4) AS log_likelihood, '{ITEM_CODE}' AS item_code
+FROM ({GRID_LL_SQL}) g ORDER BY log_likelihood DESC, sigma2, alpha, tau LIMIT 1""")
+def q_hyperparameter_table(spark, sf):
+    """The searched grid saved as a hyperparameter table, and the first row for the item loaded from it."""
+    from gapseries.session import scratch_path
+    from gapseries.sources.io import HYPERPARAMS_SCHEMA, load_hyperparams, save_hyperparams
+    path = scratch_path(spark, "hyperparameters")
+    save_hyperparams(_coarse_search(spark, sf).withColumn("item_code", F.lit(ITEM_CODE)), path)
+    row = load_hyperparams(spark, path, ITEM_CODE)
+    return spark.createDataFrame([row], HYPERPARAMS_SCHEMA).select(
+        "sigma2", "alpha", "tau", rnd("log_likelihood", 4), "item_code")
+
+
 def _values_sql(name: str, values) -> str:
     return f"(VALUES {', '.join(f'({v!r}::DOUBLE)' for v in values)}) {name[0]}0({name})"
 
@@ -1050,21 +1101,38 @@ def q_encode_patches_rule(spark, sf):
         *GP_KEYS, "start", "j", rnd("h"))
 
 
-@register("encode_patches_rule_2", f"""
+_RULE_2_SQL = f"""
 WITH h AS ({_encoded_sql(False)}),
 w AS (SELECT j, l, 0.2 * cos(0.13 * j + 0.29 * l) AS w
       FROM range(0, {RULE_HIDDEN}) a(j), range(0, {RULE_HIDDEN_2}) b(l))
 SELECT {_PKEYS}, start, CAST(w.l AS INTEGER) AS j,
   round(1.0 / (1.0 + exp(-(sum(h.h * w.w) + 0.05 * sin(0.1 * w.l)))), {R}) AS h
-FROM h JOIN w ON h.j = w.j GROUP BY {_PKEYS}, start, w.l""")
-def q_encode_patches_rule_2(spark, sf):
-    """Layer-2 encoding of the sampled patches with rule-built weights."""
+FROM h JOIN w ON h.j = w.j GROUP BY {_PKEYS}, start, w.l"""
+
+
+def _encoded_2(spark, sf, weights):
     from gapseries.operators import autoencoder as ae
-    enc = ae.encode(_sampled(spark, sf), _rule_weights_2(), layer=2, out="h")
+    enc = ae.encode(_sampled(spark, sf), weights, layer=2, out="h")
     return enc.select(*GP_KEYS, "start", F.posexplode("h").alias("j", "h")).select(
         *GP_KEYS, "start", "j", rnd("h"))
 
 
+@register("encode_patches_rule_2", _RULE_2_SQL)
+def q_encode_patches_rule_2(spark, sf):
+    """Layer-2 encoding of the sampled patches with rule-built weights."""
+    return _encoded_2(spark, sf, _rule_weights_2())
+
+
+@register("encode_saved_weights", _RULE_2_SQL)
+def q_encode_saved_weights(spark, sf):
+    """The same encoding with the weights saved as a table and loaded again."""
+    from gapseries.operators import autoencoder as ae
+    from gapseries.session import scratch_path
+    path = scratch_path(spark, "weights")
+    ae.save_weights(spark, _rule_weights_2(), path)
+    return _encoded_2(spark, sf, ae.load_weights(spark, path))
+
+
 # One gradient step on standardised series statistics (4 inputs, 3 hidden units),
 # with W1[i, j] = 0.3 sin(0.37 i + 0.11 j + 0.5), V1[j, i] = 0.2 cos(0.21 j + 0.17 i).
 GRAD_IN, GRAD_HIDDEN, GRAD_L1 = 4, 3, 0.01

@@ -62,12 +62,15 @@ def load_tables(spark: SparkSession, directory: str, schemas: Mapping[str, T.Str
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-               partition_by: list[str] | None = None) -> None:
+               partition_by: list[str] | None = None, compression: str | None = None) -> None:
     """Write a table (Parquet or CSV with header), overwriting by default.
 
     Every task writes its own part file; nothing is funnelled through one task.
+    ``compression`` names a codec of the format ("gzip" for ``.csv.gz`` parts).
     """
     w = df.write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "parquet":

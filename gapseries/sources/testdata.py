@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapseries.roles import Roles
+from gapseries.schemas import TABLES
 
 ROLES = Roles(entity="entity", item="item", time="ts", value="value", subject=None,
               unit="unit", tie="event_id", category="category")
@@ -93,6 +94,36 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("category", F.substring("code", 1, 2)))
 
 
+def clinical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The test tables as rows of the declared clinical schemas, by table name."""
+    null = F.lit(None)
+    e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    item = F.length("event_type")
+    rows = {
+        "LABEVENTS": e.select(
+            F.col("event_id").alias("ROW_ID"), F.col("user_id").alias("SUBJECT_ID"), F.col("user_id").alias("HADM_ID"),
+            item.alias("ITEMID"), F.col("ts").cast("timestamp").alias("CHARTTIME"),
+            F.col("event_type").alias("VALUE"), F.col("value").alias("VALUENUM"),
+            F.when(item % 2 == 0, F.lit("mg, dL")).alias("VALUEUOM"), null.alias("FLAG")),
+        "D_LABITEMS": e.groupBy("event_type").agg(F.min("event_id").alias("ROW_ID")).select(
+            "ROW_ID", item.alias("ITEMID"), F.col("event_type").alias("LABEL"), F.lit("Blood").alias("FLUID"),
+            null.alias("CATEGORY"), F.upper("event_type").alias("LOINC_CODE")),
+        "PATIENTS": table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("ROW_ID"), F.col("c_custkey").alias("SUBJECT_ID"),
+            F.substring("c_mktsegment", 1, 1).alias("GENDER"), *[null.alias(c) for c in ("DOB", "DOD", "DOD_HOSP", "DOD_SSN")],
+            F.lit("0").alias("EXPIRE_FLAG")),
+        "DIAGNOSES_ICD": o.select(
+            F.col("o_orderkey").alias("ROW_ID"), F.col("o_custkey").alias("SUBJECT_ID"),
+            F.col("o_custkey").alias("HADM_ID"), (F.col("o_orderkey") % 7).alias("SEQ_NUM"),
+            F.concat(F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)).alias("ICD9_CODE")),
+        "D_ICD_DIAGNOSES": table(spark, sf_dir, "nation").select(
+            F.col("n_nationkey").alias("ROW_ID"), F.col("n_regionkey").cast("string").alias("ICD9_CODE"),
+            F.col("n_name").alias("SHORT_TITLE"), null.alias("LONG_TITLE")),
+    }
+    return {name: df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
+            for name, df in rows.items()}
+
+
 # SQL twins of the adapters, for the DuckDB oracle (same names, same values).
 SQL_EVENTS = ("SELECT user_id AS entity, event_type AS item, ts, value, '' AS unit, event_id "
               "FROM events")

@@ -13,7 +13,8 @@ from tests.conftest import SF001
 PYTHON_OK = {"gp_log_likelihood", "gp_resample", "gp_grid_search", "gp_hyperparameters",
              "gp_grid_search_coarse", "gp_hyperparameters_coarse", "extract_patches", "uncertainty_band",
              "series_overlay", "encode_patches_rule", "encode_patches_rule_2", "feature_scaler",
-             "gp_log_likelihood_se", "gp_grid_search_se", "csv_predictions"}
+             "gp_log_likelihood_se", "gp_grid_search_se", "csv_predictions", "encode_saved_weights",
+             "cut_drawn_patches", "overlay_missing"}
 # Queries that train a model while they are built.
 TRAINS = {"phenotype_features"}
 # The queries of the library's core: without those that other modules add.
@@ -33,6 +34,9 @@ def test_no_cartesian_and_python_only_where_needed(spark, name):
         pytest.skip("trains a model while building; covered by the rows-only smoke test")
     plan = plan_of(entry.queries()[name](spark, SF001))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # Every window is partitioned: none makes one task see all rows.
+    for window in re.findall(r"\) Window\b[^\n]*\nInput[^\n]*\nArguments: ([^\n]*)", plan):
+        assert len(window.split("], [")) >= 3, window
     if name not in PYTHON_OK:
         assert not re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython", plan), name
 
