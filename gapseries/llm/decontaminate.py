@@ -4,7 +4,8 @@ Texts are compared as words (case and punctuation aside).  A document that
 shares a seed of five words with a benchmark item is tiled against it: the
 longest common runs of words not yet marked are marked, again and again, found
 by running Karp-Rabin matching from long runs to short ones.  An item counts as
-leaked if the tiles cover enough of it, in whatever order its passages stand.
+leaked if the tiles cover enough of it, in whatever order its passages stand, or
+if one tile alone is a long passage (so long items cannot leak in parts).
 
 The benchmark is broadcast in blocks of bounded size, one after the other;
 documents are read whole and never shuffled.
@@ -17,16 +18,19 @@ documents are rows each; an empty benchmark or table gives no leak.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapseries.llm.common import materialize, share, shared, text_batches, text_rows
+from gapseries.llm.common import materialize, share, shared, text_batches, text_rows, worker_state
 
 SEED_WORDS = 5
 COVERAGE = 0.8
+# Words of one tile that are a leak whatever share of the item they are.
+PASSAGE_WORDS = 50
 # Characters of benchmark text broadcast at once.
 BLOCK_CHARS = 32_000_000
 _WORD = re.compile(r"\w+")
@@ -136,7 +140,25 @@ class Benchmark:
             order = np.argsort(h, kind="stable")
             self.seeds[size] = h[order], item[order], at[order]
 
-    def leaks(self, text: str | None, coverage: float = COVERAGE):
+    def _reach(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, words of it under the given seeds) for each item that has one of them.
+
+        Only the places of these seeds are looked at: a range of the sorted ones
+        for each hash.
+        """
+        h, item, at = self.seeds[size]
+        first, after = (np.searchsorted(h, hashes, side=side) for side in ("left", "right"))
+        many = after - first
+        place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        order = np.lexsort((at[place], item[place]))
+        own, start = item[place][order], at[place][order]
+        # A seed adds the words up to the next one of its item, its own at most.
+        last = np.r_[own[1:] != own[:-1], True]
+        adds = np.where(last, size, np.minimum(np.r_[start[1:] - start[:-1], 0], size))
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        return own[begin], np.add.reduceat(adds, begin)
+
+    def leaks(self, text: str | None, coverage: float = COVERAGE, passage_words: int = PASSAGE_WORDS):
         """(item position, covered words, item words, tiles) for each item the text covers enough."""
         found = words(text)
         if not found or not self.items:
@@ -146,7 +168,7 @@ class Benchmark:
         known = ids >= 0
         if not known.any():
             return
-        for size, (h, item, at) in self.seeds.items():
+        for size, (h, _, _) in self.seeds.items():
             if len(ids) < size:
                 continue
             whole = np.flatnonzero(_free_windows(~known, size))
@@ -157,8 +179,6 @@ class Benchmark:
             hit = h[place] == doc_h
             if not hit.any():
                 continue
-            # Which positions of which items the seeds reach: a bound on the coverage.
-            seen = np.isin(h, np.unique(doc_h[hit]))
             near = np.zeros(len(ids), bool)
             for k in range(size):
                 near[whole[hit] + k] = True
@@ -166,19 +186,27 @@ class Benchmark:
             border = np.flatnonzero(near)
             cut = np.insert(ids[border], np.flatnonzero(np.diff(border) > 1) + 1, -1)
             where = np.insert(border, np.flatnonzero(np.diff(border) > 1) + 1, -1)
-            for k in np.unique(item[seen]).tolist():
+            # The words that matching seeds reach bound what tiles can cover.
+            for k, reach in zip(*(x.tolist() for x in self._reach(size, np.unique(doc_h[hit])))):
                 words_of = self.items[k]
-                reach = np.zeros(len(words_of) + size, bool)
-                for step in range(size):
-                    reach[at[seen & (item == k)] + step] = True
-                if reach.sum() < coverage * len(words_of):
+                if reach < min(coverage * len(words_of), passage_words):
                     continue
                 tiles = tile(words_of, cut, size)
                 covered = sum(t[2] for t in tiles)
-                if covered >= coverage * len(words_of):
+                longest = max((t[2] for t in tiles), default=0)
+                if covered >= coverage * len(words_of) or longest >= passage_words:
                     yield k, covered, len(words_of), [(i, int(where[d]), n) for i, d, n in sorted(tiles)]
 
 
+def _held_block(held, name: str) -> Benchmark:
+    """The broadcast block, unpacked once for each Python worker (which keeps one block)."""
+    kept = worker_state("benchmark", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = shared(held)
+    return kept[name]
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
            seed_words: int = SEED_WORDS, block_chars: int = BLOCK_CHARS):
     """The benchmark as a series of :class:`Benchmark` of about ``block_chars`` characters.
@@ -200,7 +228,8 @@ _LEAKS = "doc_id long, item_id long, covered long, item_words long, coverage dou
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS,
-               coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+               coverage: float = COVERAGE, passage_words: int = PASSAGE_WORDS,
+               block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item it covers: doc_id, item_id, covered, item_words, coverage, tiles."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int64()),
@@ -211,12 +240,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     for block in blocks(benchmark, item_col, item_text_col, seed_words, block_chars):
         held = share(docs.sparkSession, block)
 
-        def run(batches, held=held):
-            bench = shared(held)
+        def run(batches, held=held, name=uuid.uuid4().hex):
+            bench = _held_block(held, name)
             for batch in batches:
                 out = []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for k, covered, n, tiles in bench.leaks(t.as_py(), coverage):
+                    for k, covered, n, tiles in bench.leaks(t.as_py(), coverage, passage_words):
                         out.append({"doc_id": i, "item_id": bench.names[k], "covered": covered,
                                     "item_words": n, "coverage": covered / n,
                                     "tiles": [dict(zip(("item_start", "doc_start", "length"), x)) for x in tiles]})
@@ -230,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", seed_words: int = SEED_WORDS, coverage: float = COVERAGE,
-               block_chars: int = BLOCK_CHARS) -> DataFrame:
+               passage_words: int = PASSAGE_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that cover no benchmark item, with all their columns."""
     columns, kept = list(docs.columns), docs
     for block in blocks(benchmark, item_col, item_text_col, seed_words, block_chars):
@@ -238,10 +267,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         if kept is not docs:
             kept = materialize(kept, "clean")
 
-        def run(batches, held=held):
-            bench = shared(held)
+        def run(batches, held=held, name=uuid.uuid4().hex):
+            bench = _held_block(held, name)
             for batch, texts in text_batches(batches, at):
-                clean = [next(bench.leaks(t.as_py(), coverage), None) is None
+                clean = [next(bench.leaks(t.as_py(), coverage, passage_words), None) is None
                          for t in texts.cast(pa.string())]
                 part = pa.RecordBatch.from_arrays(batch.columns[:len(columns)], names=columns)
                 yield part.filter(pa.array(clean, pa.bool_()))

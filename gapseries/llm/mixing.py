@@ -65,13 +65,13 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
     keep = list(docs.columns) if keep is None else list(keep)
     names = {n: free_name(n, keep) for n in
              ("size", "source_size", "target", "repeats", "taken")}
-    crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1))
     # The carried columns travel in one struct, so their names cannot clash.
     rows = materialize(docs.select(
         F.struct(*keep).alias("kept"), F.col(source_col).alias("s"), word_count(text_col).alias("n"),
         id_hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k1"),
-        # Orders the rows that share an id; rows alike in all columns may change places.
-        F.shiftrightunsigned(F.xxhash64(crc, F.monotonically_increasing_id()), 64 - KEY_BITS).alias("k2")),
+        # Rows that share an id are ordered by their texts; those alike in both may change places.
+        F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 64 - KEY_BITS).alias("k2"),
+        F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - KEY_BITS).alias("k3")),
         "mix-rows")
     sizes = rows.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size"))
     sources = materialize(weights(sizes).withColumn("cap", F.lit(max_epochs) * F.col("source_size")),
@@ -84,10 +84,11 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = (sources.withColumn("target", share).withColumn("whole", whole.cast("long"))
              .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")))
-    cuts = _cut(rows.select("s", "k1", "k2", "n"), goals, parts)
+    cuts = _cut(rows.select("s", "k1", "k2", "k3", "n"), goals, parts)
     joined = rows.join(cuts, rows["s"].eqNullSafe(cuts["source"]))
-    key, cut = F.struct("k1", "k2"), F.struct("c1", "c2")
+    key, cut = F.struct("k1", "k2", "k3"), F.struct("c1", "c2", "c3")
     extra = F.coalesce((key < cut) | ((key == cut) & F.col("at_cut")), F.lit(False))
+    extra = extra & (F.col("extra") > 0)  # a source at its clamp gives no document once more
     repeats = (F.col("whole") + extra.cast("int")).cast("int")
     return joined.select(
         *[F.col("kept")[c].alias(c) for c in keep], F.col("n").alias(names["size"]),
@@ -96,7 +97,7 @@ def mix_sources(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: s
 
 
 def _cut(rows: DataFrame, goals: DataFrame, parts: int) -> DataFrame:
-    """For each source the key (c1, c2) up to which documents get the extra repetition.
+    """For each source the key (c1, c2, c3) up to which documents get the extra repetition.
 
     A radix selection: each pass sums the sizes of the keys that share the
     prefix found so far, by the next digit, and moves into the digit where the
@@ -108,20 +109,19 @@ def _cut(rows: DataFrame, goals: DataFrame, parts: int) -> DataFrame:
     ``at_cut``: the document at the cut is taken if that is nearer the goal.
     """
     zero = F.lit(0).cast("long")
-    state = goals.withColumns({"c1": zero, "c2": zero, "cum": zero})
-    passes = [(key, left, max(0, left - DIGIT_BITS)) for key in ("1", "2")
-              for left in range(KEY_BITS, 0, -DIGIT_BITS)]
+    state = goals.withColumns({"c1": zero, "c2": zero, "c3": zero, "cum": zero})
+    passes = [(key, left, max(0, left - DIGIT_BITS)) for key in "123" for left in range(KEY_BITS, 0, -DIGIT_BITS)]
     for n, left, shift in passes:
         key, cut = F.col(f"k{n}"), F.col(f"c{n}")
-        state = materialize(state.select(*goals.columns, "c1", "c2", "cum").repartition(parts), "mix-state")
-        near = (rows.join(state.select("source", "c1", "c2"), rows["s"].eqNullSafe(state["source"]))
+        state = materialize(state.select(*goals.columns, "c1", "c2", "c3", "cum").repartition(parts), "mix-state")
+        near = (rows.join(state.select("source", "c1", "c2", "c3"), rows["s"].eqNullSafe(state["source"]))
                 .where(F.shiftright(key, left) == F.shiftright(cut, left)))
-        if n == "2":
-            near = near.where(F.col("k1") == F.col("c1"))
+        for done in range(1, int(n)):
+            near = near.where(F.col(f"k{done}") == F.col(f"c{done}"))
         digit = F.shiftright(key, shift) - F.shiftleft(F.shiftright(key, left), left - shift)
         sums = (near.groupBy("s", digit.alias("d"))
                 .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"),
-                     F.min(F.struct("k1", "k2")).alias("key")))
+                     F.min(F.struct("k1", "k2", "k3")).alias("key")))
         upto = F.sum("n").over(Window.partitionBy("s").orderBy("d"))
         hit = (sums.withColumn("upto", upto)
                .join(state.select("source", "cum", "extra"), F.col("s").eqNullSafe(F.col("source")))
@@ -137,8 +137,7 @@ def _cut(rows: DataFrame, goals: DataFrame, parts: int) -> DataFrame:
         if state.where(F.col("h.docs") > 1).isEmpty():
             break
     found = (state.withColumn("at_cut", F.col("cum") + F.col("h.n") / 2 <= F.col("extra"))
-             .withColumn("c1", F.coalesce(F.col("h.key.k1"), "c1"))
-             .withColumn("c2", F.coalesce(F.col("h.key.k2"), "c2")).drop("h"))
+             .withColumns({f"c{i}": F.coalesce(F.col(f"h.key.k{i}"), f"c{i}") for i in "123"}).drop("h"))
     return materialize(found.repartition(parts), "mix-cuts")
 
 

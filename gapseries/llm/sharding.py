@@ -12,14 +12,12 @@ empty table gives no rows.  Only columns and SQL functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapseries.llm.common import free_name, id_hash, materialize
+from gapseries.llm.common import free_name, global_row_number, id_hash
 
 SIZE_OVERHEAD = 16
-# Rows numbered by one window group, and copies of a key from which it is split.
-GROUP_ROWS = 50_000
 KEY_BITS = 52
 
 
@@ -46,8 +44,8 @@ def assign_shards(docs: DataFrame, weights: dict[int, float], *, grown: dict[int
                   keep: list[str] | None = None) -> DataFrame:
     """Add size, text_crc32, law, shard, slot and grown_shard (the shard under ``grown``).
 
-    ``slot`` numbers a shard's records from 0 without gaps, in the order of the
-    hashed key.  ``keep`` names the input columns to carry (default: all);
+    ``slot`` numbers a shard's records from 0 without gaps, by hashed key, then
+    text_crc32 and size (records alike in these may change places).  ``keep`` names the input columns to carry (default: all);
     an added column whose name the input has gets a leading underscore.
     """
     keep = list(docs.columns) if keep is None else list(keep)
@@ -56,13 +54,13 @@ def assign_shards(docs: DataFrame, weights: dict[int, float], *, grown: dict[int
     key, text = F.col(key_col), F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     grown_shard = rendezvous(key, grown, seed) if grown else F.lit(None).cast("int")
     # The carried columns travel in one struct, so their names cannot clash.
-    rows = materialize(docs.select(
+    rows = docs.select(
         F.struct(*keep).alias("kept"),
         (F.octet_length(text) + F.lit(SIZE_OVERHEAD)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, weights, seed).alias("shard"), grown_shard.alias("grown_shard"),
         id_hash(seed, F.coalesce(key.cast("string"), F.lit(""))).alias("h"),
-        F.monotonically_increasing_id().alias("uid")), "shard-rows")
+        F.monotonically_increasing_id().alias("uid"))
     return _number(rows).select(*[F.col("kept")[c].alias(c) for c in keep],
                                 *[F.col(n).alias(out[n]) for n in out])
 
@@ -70,24 +68,13 @@ def assign_shards(docs: DataFrame, weights: dict[int, float], *, grown: dict[int
 def _number(rows: DataFrame) -> DataFrame:
     """Add ``slot``: the place of each row among its shard's, by (h, text_crc32, size).
 
-    Rows are numbered within ranges of the hash and shifted by the sizes of the
-    ranges before.  A key with very many copies comes after the others of its
-    range, numbered apart, by the input partition its copies came from.
+    All rows are numbered in one order over range partitions, whose bounds fall
+    inside a key with very many copies like anywhere else; a shard's slots count
+    from its first row.
     """
-    n = rows.count()
-    bits = max(0, (max(n, 1) // GROUP_ROWS).bit_length())
-    hot = (rows.groupBy(F.col("h").alias("hot")).count().where(F.col("count") > GROUP_ROWS // 10)
-           .select("hot"))
-    group = F.struct(F.shiftright("h", KEY_BITS - bits).alias("range"),
-                     F.coalesce("hot", F.lit(-1).cast("long")).alias("hot"),
-                     F.when(F.col("hot").isNotNull(), F.shiftright("uid", 33)).otherwise(-1).alias("part"))
-    grouped = materialize(rows.join(hot, F.col("h") == F.col("hot"), "left")
-                          .withColumn("group", group).drop("hot"), "shard-groups")
-    sizes = grouped.groupBy(F.col("shard").alias("s"), F.col("group").alias("g")).agg(
-        F.count(F.lit(1)).alias("n"))
-    before = sizes.select("s", "g", (F.sum("n").over(Window.partitionBy("s").orderBy("g"))
-                                     - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "group").orderBy("h", "text_crc32", "size", "uid"))
-    return (grouped.withColumn("place", place)
-            .join(before, (F.col("shard") == F.col("s")) & (F.col("group") == F.col("g")))
-            .withColumn("slot", F.col("place") - 1 + F.col("before")))
+    order = [F.col(c).asc() for c in ("shard", "h", "text_crc32", "size", "uid")]
+    placed = global_row_number(rows, order, "place")
+    # One row for each shard.
+    first = placed.groupBy(F.col("shard").alias("s")).agg(F.min("place").alias("first"))
+    return (placed.join(F.broadcast(first), F.col("shard") == F.col("s"))
+            .withColumn("slot", F.col("place") - F.col("first")))

@@ -312,9 +312,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, id_co
         system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
         system.create_dir(inner, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       # Deals out the rows of an id that repeats.
+                       F.xxhash64(F.col(text_col).cast("string")).alias("by_text"),
+                       # Deals out the rows of an id that repeats with its text.
                        F.xxhash64(F.monotonically_increasing_id()).alias("copy"))
-    order = [F.col("id").asc_nulls_first(), F.col("copy")]
+    # Rows that share an id are ordered by their texts, whatever the layout.
+    order = [F.col("id").asc_nulls_first(), F.col("by_text"), F.col("copy")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     end = struct.pack("<I", end_id)
 
@@ -347,7 +349,7 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ``start``: ids of all documents before it, over all files.
     """
     before = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")  # a row for each file
-    files = manifest.withColumn("before", before).select("path", "before")
+    files = manifest.withColumn("before", before).select("path", "before", "part")
 
     def run(batches):
         for batch in batches:
@@ -361,7 +363,8 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         [pa.array(x, pa.int64()) for x in zip(*rows)],
                         names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition(F.col("path")).mapInArrow(
+    # A task for each file: the count is given, as the manifest's few bytes would else make one task.
+    return files.repartitionByRange(max(1, manifest.count()), "part").select("path", "before").mapInArrow(
         run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -114,3 +114,48 @@ def test_given_tables_against_containment(spark):
             if f" {item} " in f" {text} ":
                 assert (r.doc_id, k) in pairs
     assert pairs and all(r.coverage >= 0.8 for r in found)
+
+
+def test_a_long_passage_of_a_long_item(spark):
+    rnd = random.Random(5)
+    item = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    noise = "lorem ipsum dolor sit amet " * 20
+    docs = [(1, noise + " ".join(item[40:190]) + " " + noise), (2, noise + " ".join(item[40:85]) + " " + noise),
+            (3, " ".join(" ".join(item[i:i + 20]) + " stop " for i in range(0, 120, 20)))]
+    bench = [(9, " ".join(item))]
+    assert leaks(spark, docs, bench) == [(1, 9)]
+    assert leaks(spark, docs, bench, passage_words=45) == [(1, 9), (2, 9)]
+    assert leaks(spark, docs, bench, passage_words=1000) == []
+
+
+def test_reach_is_the_words_under_the_seeds():
+    rnd = random.Random(1)
+    rows = [(k, " ".join(str(rnd.randrange(4)) for _ in range(rnd.randint(5, 30)))) for k in range(40)]
+    bench = dc.Benchmark(rows)
+    seeds = np.unique(bench.seeds[5][0])[::3]
+    got = dict(zip(*(x.tolist() for x in bench._reach(5, seeds))))
+    want = {}
+    for k, words in enumerate(bench.items):
+        under = np.zeros(len(words), bool)
+        for i, h in enumerate(dc._window_hashes(dc._codes(words), 5)):
+            if h in seeds:
+                under[i:i + 5] = True
+        if under.any():
+            want[k] = int(under.sum())
+    assert got == want
+
+
+def test_a_large_benchmark_costs_a_document_little():
+    """Many items that share common phrases: only places of the document's seeds are looked at."""
+    import time
+    rnd = random.Random(2)
+    phrases = [" ".join(f"p{rnd.randrange(900)}" for _ in range(8)) for _ in range(50)]
+    rows = [(k, " ".join([*(f"w{rnd.randrange(50000)}" for _ in range(20)), rnd.choice(phrases),
+                          *(f"w{rnd.randrange(50000)}" for _ in range(20))])) for k in range(20_000)]
+    bench = dc.Benchmark(rows)
+    docs = [" ".join([*(f"w{rnd.randrange(50000)}" for _ in range(300)), phrases[i],
+                      *(f"w{rnd.randrange(50000)}" for _ in range(300))]) for i in range(20)]
+    began = time.process_time()
+    assert not any(list(bench.leaks(d)) for d in docs)
+    assert (time.process_time() - began) / len(docs) < 0.05
+    assert [k for k, *_ in bench.leaks("x y " + rows[777][1])] == [777]

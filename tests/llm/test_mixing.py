@@ -100,3 +100,27 @@ def test_all_clamped_empty_and_wordless(spark):
     assert mixed(spark.createDataFrame([], DOCS)).count() == 0
     blank = spark.createDataFrame([(1, None, "s"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixed(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_no_document_above_the_epoch_cap(spark):
+    """Also not the empty texts of a source at its clamp."""
+    rows = [(i, "" if i % 3 else "one two three", None, "big" if i % 10 else "small", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix_sources(docs, lambda s: s.withColumn("weight", F.when(F.col("source") == "small", 50.0)
+                                                            .otherwise(1.0)), max_epochs=3)
+    assert {r.repeats for r in mixed.where("source = 'small'").collect()} == {3}
+    assert mixed.agg(F.max("repeats")).first()[0] <= 3
+    copies = mixing.expand(mixed, docs.columns).groupBy("doc_id").count()
+    assert copies.agg(F.max("count")).first()[0] <= 3
+
+
+def test_repeated_ids_do_not_depend_on_the_layout(spark):
+    rows = [(7, f"text number {i} " + "word " * (i % 5), None, "a" if i % 2 else "b", 0) for i in range(300)]
+    rows += [(None, None, None, None, None)] * 3
+    told = []
+    for n in (1, 3, 5):
+        mixed = mixing.mix_sources(spark.createDataFrame(rows, DOCS).repartition(n),
+                                   lambda s: mixing.cyclic_weights(s, [5.0, 1.0]), total_share=0.5)
+        told.append(sorted((str(r.text), r.taken, r.repeats) for r in mixed.collect()))
+    assert told[0] == told[1] == told[2]
+    assert len({t for _, t, _ in told[0]}) > 1

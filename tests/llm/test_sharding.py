@@ -43,19 +43,32 @@ def test_odd_rows(spark):
     check_slots(rows)
 
 
-@pytest.mark.parametrize("group_rows", [50_000, 20])
-def test_growth_and_slots(spark, monkeypatch, group_rows):
-    monkeypatch.setattr(sharding, "GROUP_ROWS", group_rows)
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_growth_and_slots(spark, partitions):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(
-        spark.range(300).select(F.lit(5).alias("doc_id"), F.lit("copy").alias("text")))  # a hot key
-    rows = assigned(df, {s: 1.0 for s in range(8)}, grown={s: 1.0 for s in range(9)}).collect()
+        spark.range(300).select(F.lit(5).alias("doc_id"), F.concat(F.lit("copy"), "id").alias("text")))  # a hot key
+    rows = assigned(df.repartition(partitions), {s: 1.0 for s in range(8)},
+                    grown={s: 1.0 for s in range(9)}).collect()
     check_slots(rows)
     moved = [r for r in rows if r.shard != r.grown_shard]
     assert all(r.grown_shard == 8 for r in moved) and 300 < len(moved) < 900
-    if group_rows < 300:
-        return  # the hot key comes after the others of its range
-    order = sorted((r.shard, h52(r.doc_id), r.slot) for r in rows)
-    assert [s for _, _, s in order] == [s for _, _, s in sorted(order, key=lambda x: (x[0], x[2]))]
+    order = sorted((r.shard, h52(r.doc_id), r.text_crc32, r.size, r.slot) for r in rows)
+    assert order == sorted(order, key=lambda x: (x[0], x[4]))
+
+
+@pytest.mark.parametrize("copies", [4000, 6000])
+def test_slots_of_a_hot_key_follow_the_text(spark, copies):
+    """Whatever the number of copies, and over several ranges."""
+    df = spark.range(copies).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).union(
+        spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = assigned(df.repartition(5), {0: 1.0}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    check_slots(rows)
+    hot = sorted((r.slot, r.text_crc32) for r in rows if r.doc_id == 7)
+    assert [c for _, c in hot] == sorted(c for _, c in hot)
 
 
 def test_weights(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gapseries.llm import token_store as ts
@@ -144,3 +145,31 @@ def test_empty_and_clashing(spark):
     assert ts.read_tokens(ts.write_tokens(spark.createDataFrame([], DOCS), tokenizer_path())).count() == 0
     df = clashing(odd_docs(spark))
     assert ts.read_tokens(ts.write_tokens(df, tokenizer_path())).count() == df.count()
+
+
+def test_a_task_reads_each_file(spark):
+    """Also where the manifest is tiny and shuffles have many partitions."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = ts.write_tokens(docs.repartition(4), tokenizer_path())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        files = manifest.count()
+        read = ts.read_tokens(manifest)
+        tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert files > 4 and tasks == files
+    assert read.count() == 400
+
+
+def test_repeated_ids_do_not_depend_on_the_layout(spark):
+    rows = [(i % 3, f"words of text {i}") for i in range(60)] + [(1, None), (None, "x"), (1, "same"), (1, "same")]
+    told = [sorted(map(str, ts.read_tokens(ts.write_tokens(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(n), tokenizer_path())).collect()))
+        for n in (1, 5)]
+    assert told[0] == told[1]
