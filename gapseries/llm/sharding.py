@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapseries.llm.common import free_name, global_row_number, id_hash
+from gapseries.llm.common import free_name, global_row_number, id_hash, materialize
 
 SIZE_OVERHEAD = 16
 KEY_BITS = 52
@@ -54,13 +54,14 @@ def assign_shards(docs: DataFrame, weights: dict[int, float], *, grown: dict[int
     key, text = F.col(key_col), F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     grown_shard = rendezvous(key, grown, seed) if grown else F.lit(None).cast("int")
     # The carried columns travel in one struct, so their names cannot clash.
-    rows = docs.select(
+    # Written once, as finding the ranges of the order reads the rows a second time.
+    rows = materialize(docs.select(
         F.struct(*keep).alias("kept"),
         (F.octet_length(text) + F.lit(SIZE_OVERHEAD)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, weights, seed).alias("shard"), grown_shard.alias("grown_shard"),
         id_hash(seed, F.coalesce(key.cast("string"), F.lit(""))).alias("h"),
-        F.monotonically_increasing_id().alias("uid"))
+        F.monotonically_increasing_id().alias("uid")), "shard-rows")
     return _number(rows).select(*[F.col("kept")[c].alias(c) for c in keep],
                                 *[F.col(n).alias(out[n]) for n in out])
 
