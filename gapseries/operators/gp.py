@@ -207,8 +207,18 @@ def param_grid(spark, sigma2=DEFAULT_SIGMA2, alpha=DEFAULT_ALPHA, tau=DEFAULT_TA
 
 
 def gp_log_likelihood(series: DataFrame, keys: Sequence[str], sigma2: float, alpha: float,
-                      tau: float, t: str = "tw", v: str = "v", kernel: str = "rq") -> DataFrame:
-    """Per series: n, mean, l2_dev and the log marginal likelihood."""
+                      tau: float, t: str = "tw", v: str = "v", kernel: str = "rq",
+                      long_points: int | None = None) -> DataFrame:
+    """Per series: n, mean, l2_dev and the log marginal likelihood.
+
+    Series of more than ``long_points`` points are factorised in tiles, so that
+    no task holds their matrix (the same numbers; see ``gp_tiles``).
+    """
+    if long_points is not None:
+        from gapseries.operators.gp_tiles import tiled_log_likelihood
+        return gp_log_likelihood(series.where(F.size(t) <= long_points), keys, sigma2, alpha, tau, t, v, kernel) \
+            .unionByName(tiled_log_likelihood(series.where(F.size(t) > long_points), keys, sigma2, alpha, tau,
+                                              t, v, kernel))
     schema = T.StructType(_key_fields(series, keys) + [
         T.StructField("n", T.IntegerType()), T.StructField("mean", T.DoubleType()),
         T.StructField("l2_dev", T.DoubleType()), T.StructField("log_likelihood", T.DoubleType())])
@@ -229,11 +239,19 @@ def gp_log_likelihood(series: DataFrame, keys: Sequence[str], sigma2: float, alp
 
 def gp_resample_arrays(series: DataFrame, keys: Sequence[str], sigma2: float, alpha: float,
                        tau: float, step: float = 0.25, padding_length: float = 20.0,
-                       t: str = "tw", v: str = "v", kernel: str = "rq") -> DataFrame:
+                       t: str = "tw", v: str = "v", kernel: str = "rq",
+                       long_points: int | None = None) -> DataFrame:
     """The GP on the grid ``min-pad .. max+pad by step``, one row per series:
-    keys, ``t0`` (first grid time), ``mean`` and ``variance`` (arrays over the grid)."""
+    keys, ``t0`` (first grid time), ``mean`` and ``variance`` (arrays over the grid).
+    ``long_points`` as in :func:`gp_log_likelihood`."""
     if step <= 0:
         raise ValueError("step must be positive")
+    if long_points is not None:
+        from gapseries.operators.gp_tiles import tiled_resample_arrays
+        return gp_resample_arrays(series.where(F.size(t) <= long_points), keys, sigma2, alpha, tau, step,
+                                  padding_length, t, v, kernel).unionByName(
+            tiled_resample_arrays(series.where(F.size(t) > long_points), keys, sigma2, alpha, tau, step,
+                                  padding_length, t, v, kernel))
     pad = padding_length * step / 2.0
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType(_key_fields(series, keys) + [
@@ -288,14 +306,19 @@ WORK = 5e9
 
 def gp_grid_terms(series: DataFrame, alphas: Sequence[float], taus: Sequence[float],
                   t: str = "tw", v: str = "v", kernel: str = "rq",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, long_points: int | None = None) -> DataFrame:
     """Partial sums per (alpha, tau): sum q, sum logdet, points, series.
+    ``long_points`` as in :func:`gp_log_likelihood`.
 
     Each task emits one row per grid pair for all the series it holds, so the
     shuffle after it carries (tasks x grid) rows whatever the number of series.
     A series of n points costs n^3 / 3 for each pair: the pairs of a long
     series are split over rows, which are dealt out to tasks on their own.
     """
+    if long_points is not None:
+        from gapseries.operators.gp_tiles import tiled_grid_terms
+        return gp_grid_terms(series.where(F.size(t) <= long_points), alphas, taus, t, v, kernel, partitions) \
+            .unionByName(tiled_grid_terms(series.where(F.size(t) > long_points), alphas, taus, t, v, kernel))
     ag, tg = np.meshgrid(np.asarray(alphas, float), np.asarray(taus, float), indexing="ij")
     af, tf = ag.ravel(), tg.ravel()
     g = len(af)
@@ -332,8 +355,10 @@ def gp_grid_terms(series: DataFrame, alphas: Sequence[float], taus: Sequence[flo
 
 def gp_grid_search(series: DataFrame, sigma2=DEFAULT_SIGMA2, alpha=DEFAULT_ALPHA,
                    tau=DEFAULT_TAU, accumulate: bool = False, t: str = "tw",
-                   v: str = "v", kernel: str = "rq", partitions: int | None = None) -> DataFrame:
+                   v: str = "v", kernel: str = "rq", partitions: int | None = None,
+                   long_points: int | None = None) -> DataFrame:
     """Summed log likelihood of every grid point over all series.
+    ``long_points`` as in :func:`gp_log_likelihood`.
 
     Output: sigma2, alpha, tau, log_likelihood, n_series, n_points.  The
     squared exponential has no alpha: its grid has the single alpha 1.
@@ -341,7 +366,7 @@ def gp_grid_search(series: DataFrame, sigma2=DEFAULT_SIGMA2, alpha=DEFAULT_ALPHA
     s_vals = grid_values(*sigma2, accumulate=accumulate)
     a_vals = grid_values(*alpha, accumulate=accumulate) if kernel == "rq" else [1.0]
     t_vals = grid_values(*tau, accumulate=accumulate)
-    terms = gp_grid_terms(series, a_vals, t_vals, t, v, kernel, partitions)
+    terms = gp_grid_terms(series, a_vals, t_vals, t, v, kernel, partitions, long_points)
     sums = terms.groupBy("alpha", "tau").agg(
         F.sum("q").alias("q"), F.sum("logdet").alias("logdet"),
         F.sum("n_points").alias("n_points"), F.sum("n_series").alias("n_series"))

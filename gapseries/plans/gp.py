@@ -35,12 +35,12 @@ def optimize_hyperparameters(cohort: DataFrame, roles: Roles, *, item_code: str
                              sigma2=gp.DEFAULT_SIGMA2, alpha=gp.DEFAULT_ALPHA,
                              tau=gp.DEFAULT_TAU, accumulate: bool = False,
                              max_points: int | None = None, kernel: str = "rq",
-                             partitions: int | None = None) -> DataFrame:
+                             partitions: int | None = None, long_points: int | None = None) -> DataFrame:
     """One row: sigma2, alpha, tau, log_likelihood, item_code, at_grid_edge
     (true argmax of the summed log likelihood over the grid)."""
     arr = cohort_series_arrays(cohort, roles, max_points, partitions)
     lls = gp.gp_grid_search(arr, sigma2, alpha, tau, accumulate, kernel=kernel,
-                            partitions=partitions or gp_partitions(cohort))
+                            partitions=partitions or gp_partitions(cohort), long_points=long_points)
     best = gp.grid_argmax(lls, sigma2, alpha, tau)
     return best.select("sigma2", "alpha", "tau", "log_likelihood",
                        F.lit(item_code).cast("string").alias("item_code"), "at_grid_edge")
@@ -49,11 +49,13 @@ def optimize_hyperparameters(cohort: DataFrame, roles: Roles, *, item_code: str
 def resample_cohort_arrays(cohort: DataFrame, roles: Roles, sigma2: float, alpha: float, tau: float,
                            *, step: float = 0.25, padding_length: float = 20.0,
                            max_points: int | None = None, partitions: int | None = None,
-                           kernel: str = "rq", extra_keys: tuple[str, ...] = ("split",)) -> DataFrame:
+                           kernel: str = "rq", extra_keys: tuple[str, ...] = ("split",),
+                           long_points: int | None = None) -> DataFrame:
     """One row per series: keys, t0, mean and variance arrays (+ ``extra_keys``)."""
     arr = cohort_series_arrays(cohort, roles, max_points, partitions, extra_keys)
     keys = [c for c in arr.columns if c not in ("t", "tw", "v")]
-    return gp.gp_resample_arrays(arr, keys, sigma2, alpha, tau, step, padding_length, kernel=kernel)
+    return gp.gp_resample_arrays(arr, keys, sigma2, alpha, tau, step, padding_length, kernel=kernel,
+                                 long_points=long_points)
 
 
 def resample_cohort(cohort: DataFrame, roles: Roles, sigma2: float, alpha: float, tau: float,

@@ -541,6 +541,26 @@ def q_gp_resample(spark, sf):
 
 
 # ----------------------------------------------------- patches & features ---
+@register("gp_log_likelihood_tiled", GP_LL_SQL)
+def q_gp_log_likelihood_tiled(spark, sf):
+    """The likelihoods by the tiled factorisation; small tiles, so that every series has several."""
+    from gapseries.operators.gp_tiles import tiled_log_likelihood
+    out = tiled_log_likelihood(_gp_arrays(spark, sf), GP_KEYS, GP_SIGMA2, GP_ALPHA, GP_TAU, tile=GP_TILE)
+    return out.select(*GP_KEYS, "n", rnd("mean"), rnd("l2_dev"), rnd("log_likelihood"))
+
+
+@register("gp_resample_tiled", GP_RESAMPLE_SQL)
+def q_gp_resample_tiled(spark, sf):
+    """Every series resampled by the tiled factorisation."""
+    from gapseries.operators.gp import flatten_resampled
+    from gapseries.operators.gp_tiles import tiled_resample_arrays
+    arrays = tiled_resample_arrays(_gp_arrays(spark, sf), GP_KEYS, GP_SIGMA2, GP_ALPHA, GP_TAU,
+                                   GP_STEP, GP_PADDING, tile=GP_TILE)
+    return flatten_resampled(arrays, GP_KEYS, GP_STEP).select(
+        *GP_KEYS, "i", rnd("t_warped"), rnd("mean"), rnd("variance"))
+
+
+GP_TILE = 8
 PATCH_LEN = 20
 _PKEYS = ", ".join(GP_KEYS)
 
