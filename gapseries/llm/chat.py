@@ -8,8 +8,10 @@ only new assistant texts are targets, so each is learned from once.
 Cases: a null text is empty and a null role is an empty role; turns with the
 same number are ordered by role and text, null numbers come first; a turn
 longer than the budget fills a window of its own; an empty table gives no
-rows.  A conversation's turns are held together in one row, since its turns
-are digested and laid out in order.  Only columns and SQL functions are used.
+rows.  Formatting gathers a conversation's token counts only (a few bytes a
+turn); texts meet by window.  The digests of :func:`read_back` need a whole
+conversation in one row, which Spark bounds at 2 GB.  Only columns and SQL
+functions are used.
 """
 
 from __future__ import annotations
@@ -50,18 +52,52 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN_PATTERN)) + F.lit(TEMPLATE_TOKENS)
 
 
-def _starts(turns: Column, room: Column) -> Column:
-    """Indexes (from 0) at which windows begin, packing whole turns into ``room`` tokens."""
-    def step(state: Column, turn: Column) -> Column:
-        used = state["used"] + turn["tokens"]
+def _starts(tokens: Column, room: Column) -> Column:
+    """Turns (from 0) at which windows begin and the tokens before them, packing whole turns into ``room``."""
+    def step(state: Column, n: Column) -> Column:
+        used = state["used"] + n
         fits = (F.size(state["starts"]) > 0) & (used <= room)
+        one = F.struct(state["at"].alias("start"), state["sum"].alias("start_before"))
         return F.struct(
-            F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], state["at"])).alias("starts"),
-            F.when(fits, used).otherwise(turn["tokens"]).alias("used"),
+            F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], one)).alias("starts"),
+            F.when(fits, used).otherwise(n).alias("used"), (state["sum"] + n).alias("sum"),
             (state["at"] + F.lit(1)).alias("at"))
-    empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("used"),
-                     F.lit(0).alias("at"))
-    return F.aggregate(turns, empty, step, lambda s: s["starts"])
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<struct<start:int,start_before:bigint>>")
+    empty = F.struct(none.alias("starts"), zero.alias("used"), zero.alias("sum"), F.lit(0).alias("at"))
+    return F.aggregate(tokens, empty, step, lambda s: s["starts"])
+
+
+def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """(c, i, window, context): the turns of each window, whether new or repeated; no texts."""
+    # The room is made of plain columns: an expression over the array would be evaluated for every turn.
+    per = turns.groupBy("_conv").agg(
+        F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("_turns"), F.max("system").alias("system"),
+        F.count(F.lit(1)).cast("int").alias("n"), F.min_by("tokens", "at").alias("first_tokens"))
+    room = F.greatest(F.lit(budget) - F.lit(history) - F.col("system") * F.col("first_tokens"), F.lit(1))
+    starts = per.select("_conv", "system", "n", _starts(F.transform("_turns", lambda t: t["tokens"]), room).alias("_starts"))
+    windows = starts.select("_conv", "system", "n", "_starts", F.posexplode("_starts").alias("window", "_s")).select(
+        F.col("_conv").alias("c"), "system", "window", "_s.start", "_s.start_before",
+        F.coalesce(F.get("_starts", F.col("window") + 1)["start"], F.col("n")).alias("after"))
+    parts = [windows.select("c", F.explode(F.sequence("start", F.col("after") - 1)).alias("i"), "window",
+                            F.lit(False).alias("context")),
+             windows.where("window > 0 AND system = 1").select("c", F.lit(0).alias("i"), "window",
+                                                               F.lit(True).alias("context"))]
+    if history > 0:
+        # The turns at most ``history`` tokens before a start lie in two stretches of so many tokens.
+        stretch = F.expr(f"start_before div {history}")
+        near = windows.where("window > 0").select("c", "system", "window", "start", "start_before",
+                                                  F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
+        earlier = turns.select("_conv", F.col("at").alias("i"), "before",
+                               F.expr(f"before div {history}").alias("lies"))
+        met = near.join(earlier, (F.col("c") == F.col("_conv")) & (F.col("stretch") == F.col("lies")))
+        parts.append(met.where((F.col("i") < F.col("start")) & (F.col("i") >= F.col("system"))
+                               & (F.col("start_before") - F.col("before") <= F.lit(history)))
+                     .select("c", "i", "window", F.lit(True).alias("context")))
+    placed = parts[0]
+    for part in parts[1:]:
+        placed = placed.unionByName(part)
+    return placed
 
 
 def format_windows(conversations: DataFrame, *, budget: int = 2048, history: int = 512,
@@ -77,42 +113,30 @@ def format_windows(conversations: DataFrame, *, budget: int = 2048, history: int
     is ``system``, and is part of the budget.
     """
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
-    rows = conversations.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"),
+    # Structs compare null fields as equal, so a null conversation is one like any other.
+    rows = conversations.select(F.struct(F.col(conv_col)).alias("_conv"), F.col(turn_col).alias("_turn"),
                                 role.alias("role"), text.alias("text"),
                                 token_count(text).cast("long").alias("tokens"))
-    # Prefix sum: the tokens before a turn.  It grows with every turn, so it also orders them.
-    w = Window.partitionBy("_conv").orderBy("_turn", "role", "text").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    turns = rows.withColumn("before", F.sum("tokens").over(w) - F.col("tokens"))
-    per = (turns.groupBy("_conv")
-           .agg(F.array_sort(F.collect_list(F.struct("before", "tokens", "role", "text"))).alias("_turns"))
-           .withColumn("_system", (F.col("_turns")[0]["role"] == F.lit("system")).cast("int")))
-    system_tokens = F.when(F.col("_system") == 1, F.col("_turns")[0]["tokens"]).otherwise(0)
-    room = F.greatest(F.lit(budget) - F.lit(history) - system_tokens, F.lit(1))
-    per = per.withColumn("_room", room).withColumn("_starts", _starts(F.col("_turns"), F.col("_room")))
-
-    def window(at: Column, w: Column) -> Column:
-        start = F.get("_turns", at)["before"]
-        end = F.coalesce(F.get("_starts", w + F.lit(1)), F.size("_turns"))
-        # The first turn from which the tokens up to the start fit the history, past the system turn.
-        first = F.size(F.filter("_turns", lambda t: start - t["before"] > F.lit(history)))
-        first = F.least(at, F.greatest(first, F.col("_system")))
-        lead = F.slice("_turns", 1, F.when(at > 0, F.col("_system")).otherwise(0))
-        return F.struct(w.alias("window"),
-                        F.concat(lead, F.slice("_turns", first + 1, at - first)).alias("_context"),
-                        F.slice("_turns", at + 1, end - at).alias("_fresh"))
-
-    windows = (per.select(F.col("_conv").alias(conv_col), F.explode(F.transform("_starts", window)).alias("_w"))
-               .select(conv_col, "_w.window", "_w._context", "_w._fresh"))
+    w = Window.partitionBy("_conv").orderBy("_turn", "role", "text")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = rows.select(
+        "*", (F.sum("tokens").over(upto) - F.col("tokens")).alias("before"), (F.row_number().over(w) - 1).alias("at"),
+        (F.first("role").over(upto) == F.lit("system")).cast("int").alias("system"))
+    placed = _placed(turns, budget, history)
+    said = turns.select("_conv", "at", "role", "text").join(
+        placed, (F.col("_conv") == F.col("c")) & (F.col("at") == F.col("i")))
+    windows = (said.groupBy("_conv", "window")
+               .agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("_said"),
+                    F.count_if("context").cast("int").alias("n_context"))
+               .withColumn("n_new", F.size("_said") - F.col("n_context")))
 
     def laid(t: Column) -> Column:
         role = F.replace(escape(t["role"]), F.lit(":"), F.lit(COLON))
         return F.struct(F.concat(F.lit(OPEN), role, F.lit(SEP)).alias("head"),
                         escape(t["text"]).alias("body"), t["role"].alias("role"))
 
-    windows = windows.select(conv_col, "window", F.size("_context").alias("n_context"),
-                             F.size("_fresh").alias("n_new"),
-                             F.transform(F.concat("_context", "_fresh"), laid).alias("_laid"))
+    windows = windows.select(F.col(f"_conv.`{conv_col}`").alias(conv_col), "window", "n_context", "n_new",
+                             F.transform("_said", laid).alias("_laid"))
 
     def span(state: Column, t: Column) -> Column:
         start = state["at"] + F.char_length(t["head"])

@@ -102,3 +102,20 @@ def test_extra_columns_and_plan(spark):
     assert [r.n_turns for r in chat.read_back(windows).collect()] == [1]
     plan = chat.read_back(windows)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_very_long_conversation(spark):
+    """Formatting grows with the turns, not with their square; texts meet by window."""
+    import time
+    from pyspark.sql import functions as F
+    took = {}
+    for n in (5_000, 40_000):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                     F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.concat(F.lit("turn number "), "id", F.lit(" and a few words")).alias("text"))
+        began = time.time()
+        windows = chat.format_windows(rows)
+        told = windows.agg(F.sum("n_new"), F.max(F.length("formatted")), F.max("n_context")).first()
+        took[n] = time.time() - began
+        assert told[0] == n and told[1] < 40_000 and told[2] > 0
+    assert took[40_000] < 20 * max(1.0, took[5_000])
