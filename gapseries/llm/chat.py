@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapseries.llm.common import materialize
+
 # The template: "### Role: text </turn>\n" around escaped text.
 OPEN, SEP, CLOSE = "### ", ": ", " </turn>\n"
 END_MARK, OPEN_MARK = "</turn>", "###"
@@ -119,9 +121,11 @@ def format_windows(conversations: DataFrame, *, budget: int = 2048, history: int
                                 token_count(text).cast("long").alias("tokens"))
     w = Window.partitionBy("_conv").orderBy("_turn", "role", "text")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = rows.select(
-        "*", (F.sum("tokens").over(upto) - F.col("tokens")).alias("before"), (F.row_number().over(w) - 1).alias("at"),
-        (F.first("role").over(upto) == F.lit("system")).cast("int").alias("system"))
+    # Written once: windows are placed from its narrow columns alone.
+    turns = materialize(rows.select(
+        "_conv", "role", "text", "tokens", (F.sum("tokens").over(upto) - F.col("tokens")).alias("before"),
+        (F.row_number().over(w) - 1).alias("at"),
+        (F.first("role").over(upto) == F.lit("system")).cast("int").alias("system")), "chat-turns")
     placed = _placed(turns, budget, history)
     said = turns.select("_conv", "at", "role", "text").join(
         placed, (F.col("_conv") == F.col("c")) & (F.col("at") == F.col("i")))
