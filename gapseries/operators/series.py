@@ -70,11 +70,12 @@ def _bursts(df: DataFrame, t: str, block_points: int) -> DataFrame | None:
     Only the blocks over the bound are read again, for the quantiles of their
     times; these are mergeable summaries, so no task sees a whole block.
     """
-    dense = cut_lineage(df.groupBy(_KEY, _BLK).agg(F.count(F.lit(1)).alias("n"))
-                        .where(F.col("n") > block_points).select(_KEY, _BLK))
+    dense = (df.groupBy(_KEY, _BLK).agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") > block_points).select(_KEY, _BLK))
     n = dense.count()
     if not n:
         return None
+    dense = cut_lineage(dense)
     inside = df.join(F.broadcast(dense) if n <= BROADCAST_CUTS else dense, [_KEY, _BLK], "left_semi")
     cuts = F.percentile_approx(t, [i / PARTS for i in range(1, PARTS)], 100 * PARTS)
     cut = cut_lineage(inside.groupBy(_KEY, _BLK).agg(F.array_distinct(cuts).alias(_CUTS)))
