@@ -6,6 +6,13 @@ once one bit is left out (a wildcard).  Each fingerprint is indexed under every
 segment with every bit left out, an equality key; fingerprints that share a key
 are compared in full.
 
+A segment alone is a key of some 20 bits, shared by ever more fingerprints as a
+table grows.  So each key also holds a piece of the bits outside the segment: if
+the segment differs in one bit, the others differ in at most three, and of four
+pieces of them one is equal.  If it does not differ, they differ in at most
+four, and of five pieces one is equal; for that a single wildcard is enough.
+Keys have 28 to 32 bits and lose no link.
+
 Copies are collapsed first: the index holds distinct fingerprints.  A large key
 gives the edges of a spanning forest instead of all its pairs, found in blocks
 of bounded size.
@@ -34,7 +41,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_DISTANCE = 4
 # Fingerprints of one key compared at once; larger keys are cut into blocks.
 BLOCK = 2048
-_VALUE_BITS = 22
+# Pieces of the bits outside a segment: it differs in one bit, or not at all.
+DIFFERING, EQUAL = 4, 5
+_PIECE_BITS = 11
+_VALUE_BITS = 22 + _PIECE_BITS
 _CHUNK = 1 << 16
 
 
@@ -77,30 +87,86 @@ def with_fingerprints(docs: DataFrame, *, text_col: str = "text", name: str = "f
     return rows.mapInArrow(run, schema)
 
 
-def variant_keys(fp: str):
-    """All (segment, wildcard) keys of a fingerprint column, as longs in an array."""
-    keys = []
+def _pieces(width: int, parts: int) -> list[tuple[int, int]]:
+    """The bits outside a segment of ``width``, cut into (lowest bit, width) pieces."""
+    cuts = [i * (BITS - width) // parts for i in range(parts + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
+
+
+def _tag(hole, parts, piece):
+    """The number of a key's kind: its wildcard bit, how the rest is cut, and which piece."""
+    return (hole * (DIFFERING + EQUAL)) + (piece if parts == DIFFERING else DIFFERING + piece)
+
+
+def _around(x: np.ndarray, low: int, width: int) -> np.ndarray:
+    """The bits outside a segment: those behind it, then those before it."""
+    turn = (low + width) % BITS
+    return (x >> np.uint64(turn)) | (x << np.uint64((BITS - turn) % BITS))
+
+
+def _cut(x: np.ndarray, low: int, width: int) -> np.ndarray:
+    return (x >> np.uint64(low)) & np.uint64((1 << width) - 1)
+
+
+def variant_keys(x: np.ndarray):
+    """All (segment, wildcard, piece) keys of fingerprints: an array (keys, fingerprints) for each segment."""
     for low, width in SEGMENTS:
-        for p in range(width):
-            hole = low + p
-            mask = (((1 << width) - 1) << low) & ~(1 << hole)
-            value = F.shiftrightunsigned(F.col(fp).bitwiseAND(F.lit(_signed(mask))), low)
-            keys.append(F.lit(hole << _VALUE_BITS).cast("long") + value)
-    return F.array(*keys)
+        rest, own = _around(x, low, width), _cut(x, low, width)
+        keys = []
+        for hole in range(low, low + width):
+            value = (own & ~np.uint64(1 << (hole - low))) << np.uint64(_PIECE_BITS)
+            for parts in (DIFFERING, EQUAL) if hole == low else (DIFFERING,):
+                keys += [np.uint64(_tag(hole, parts, i) << _VALUE_BITS) | value | _cut(rest, at, wide)
+                         for i, (at, wide) in enumerate(_pieces(width, parts))]
+        yield np.stack(keys).view(np.int64)
+
+
+def _index(batches):
+    """Rows (key, fp), a segment of some fingerprints at a time."""
+    few = 2000
+    for batch in batches:
+        values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at in range(0, len(values), few):
+            x = values[at:at + few]
+            for keys in variant_keys(x):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.tile(x.view(np.int64), len(keys)))], names=["key", "fp"])
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _first_segment(diff: np.ndarray):
+    """For each difference of linked fingerprints: segment, wildcard bit, and whether it differs there.
+
+    The first segment that differs in one bit; if there is none, the first that
+    does not differ, with its lowest bit as the wildcard.
+    """
+    segment, hole = np.full(len(diff), -1), np.full(len(diff), -1, dtype=np.int64)
+    differs = np.zeros(len(diff), dtype=bool)
+    for want in (1, 0):
+        for i, (low, width) in enumerate(SEGMENTS):
+            part = _cut(diff, low, width)
+            take = (segment < 0) & (np.bitwise_count(part) == want)
+            bit = np.where(part > 0, np.log2(np.maximum(part, 1).astype(np.float64)), 0).astype(np.int64)
+            segment[take], hole[take], differs[take] = i, (low + bit)[take], want == 1
+    return segment, hole, differs
 
 
 def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The wildcard bit of the first key that two linked fingerprints share."""
-    diff, hole = a ^ b, np.full(len(a), -1, dtype=np.int64)
-    for low, width in SEGMENTS:
-        part = (diff >> np.uint64(low)) & np.uint64((1 << width) - 1)
-        bit = np.where(part > 0, np.log2(np.maximum(part, 1).astype(np.float64)), 0).astype(np.int64)
-        hole = np.where((hole < 0) & (np.bitwise_count(part) <= 1), low + bit, hole)
-    return hole
+    return _first_segment(a ^ b)[1]
+
+
+def _first_tag(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The kind (see :func:`_tag`) of the one key at which a link is given."""
+    diff = a ^ b
+    segment, hole, differs = _first_segment(diff)
+    tag = np.full(len(diff), -1, dtype=np.int64)
+    for i, (low, width) in enumerate(SEGMENTS):
+        rest = _around(diff, low, width)
+        for parts, mine in ((DIFFERING, differs), (EQUAL, ~differs)):
+            for j, (at, wide) in enumerate(_pieces(width, parts)):
+                same = _cut(rest, at, wide) == 0
+                tag = np.where((segment == i) & mine & same & (tag < 0), _tag(hole, parts, j), tag)
+    return tag
 
 
 def _forest(values: np.ndarray, other: np.ndarray | None = None, distance: int = MAX_DISTANCE):
@@ -141,8 +207,8 @@ def _small_keys(keys: np.ndarray, values: np.ndarray):
         live = live[keys[live] == keys[live + lag]]
         x, y = values[live], values[live + lag]
         near = np.bitwise_count(x ^ y) <= MAX_DISTANCE
-        x, y, hole = x[near], y[near], keys[live][near] >> _VALUE_BITS
-        once = _first_key(x, y) == hole
+        x, y, tag = x[near], y[near], keys[live][near] >> _VALUE_BITS
+        once = _first_tag(x, y) == tag
         a.append(x[once])
         b.append(y[once])
         lag += 1
@@ -231,7 +297,9 @@ def _pair_blocks(batches):
 
 def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges (a, b) of distinct fingerprints that connect all within MAX_DISTANCE bits."""
-    keyed = prints.select(F.explode(variant_keys(fp)).alias("key"), F.col(fp).alias("fp"))
+    # A few bytes of fingerprints become many keys: a fixed number of tasks makes them.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = prints.select(fp).repartition(tasks, fp).mapInArrow(_index, "key long, fp long")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     found = materialize(dealt.mapInArrow(_scan_keys, _EDGE), "simhash-links")
     direct = found.where(F.col("key").isNull()).select("a", "b")

@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-
 from gapseries.llm import simhash
 from tests.llm.helpers import DOCS, WORDS, clashing, odd_docs, odd_rows
 
@@ -130,3 +129,29 @@ def test_clashing_names(spark):
     out = simhash.near_duplicates(df)
     assert out.columns == [*df.columns, "_fingerprint", "_component_id"]
     assert out.where("fingerprint = 'x-fingerprint'").count() == df.count()
+
+
+def test_linked_pairs_share_their_first_tag():
+    """Random pairs at every distance up to four: the key that gives the link is a key of both, once."""
+    rnd = random.Random(8)
+    pairs = []
+    for i in range(5000):
+        a = rnd.getrandbits(64)
+        b = a
+        for bit in rnd.sample(range(64), i % 5):
+            b ^= 1 << bit
+        pairs.append((a, b))
+    x, y = (np.array(v, dtype=np.uint64) for v in zip(*pairs))
+    tags = simhash._first_tag(x, y)
+    k, m = (np.concatenate(list(simhash.variant_keys(v))) for v in (x, y))
+    kinds = k >> simhash._VALUE_BITS
+    assert (kinds == kinds[:, :1]).all() and len(np.unique(kinds[:, 0])) == len(kinds)
+    assert (((kinds == tags) & (k == m)).sum(axis=0) == 1).all()
+
+
+def test_candidates_stay_few():
+    """Random fingerprints meet few others: of 20,000, fewer than one of every hundred meets any."""
+    x = np.random.default_rng(5).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    keys = np.concatenate([k.ravel() for k in simhash.variant_keys(x)])
+    count = np.unique(keys, return_counts=True)[1]
+    assert (count * (count - 1) // 2).sum() < len(x) / 100
