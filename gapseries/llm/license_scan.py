@@ -6,10 +6,15 @@ the licence family of a paragraph; a temperature fitted on held-out templates
 with the family's templates confirms it: enough shared n-grams, one of them the
 family's alone.  What is not confirmed, or not likely enough, is ``unknown``.
 
-Paragraphs are lines.  Every line is scored, except those that share too few
-n-grams with any template to be confirmed, whatever their score (an exact skip).
-Lines with a cue word are reported in any case, other lines if they are
-confirmed or if only their probability or their wording keeps them from it.
+A paragraph is a line, together with the lines it is wrapped onto: a line of 48
+to 100 characters goes on if it ends no sentence and the next line has a word,
+or if that one goes on in lower case.  Every paragraph is scored, except those that share
+too few n-grams with any template to be confirmed, whatever their score (an
+exact skip).  Paragraphs with a cue word are reported in any case, others if they
+are confirmed or if only their probability or their wording keeps them from it.
+
+The classifier learns the notices below and the licences' short names in
+common phrases; the comparison uses the notices and the names.
 
 Cases: null, empty and blank texts have no paragraphs; ties between families
 go to the first by name; a paragraph that repeats is scored once and reported
@@ -172,8 +177,39 @@ TEMPLATES = {
         "All rights of the workers were discussed.",
     ],
 }
+# Short names of each family, and of licences that are not told apart.
+NAMES = {
+    "AGPL": ["GNU Affero General Public License", "AGPLv3", "AGPL 3.0"],
+    "Apache-2.0": ["Apache License", "Apache License 2.0", "Apache 2.0", "Apache License, Version 2.0"],
+    "Artistic": ["Artistic License", "Perl Artistic License"],
+    "BSD": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause", "New BSD License", "Simplified BSD License"],
+    "CC-BY": ["CC BY 3.0", "CC BY 4.0", "Creative Commons Attribution 3.0", "Creative Commons Attribution License"],
+    "CC-BY-NC": ["CC BY-NC 3.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial License"],
+    "CC-BY-SA": ["CC BY-SA 3.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike License"],
+    "CC0": ["CC0", "CC0 1.0 Universal", "public domain dedication"],
+    "EPL": ["Eclipse Public License", "EPL 2.0"],
+    "GPL": ["GNU General Public License", "GNU GPL", "GPLv2", "GPLv3", "GPL version 2", "GPL-2.0"],
+    "ISC": ["ISC License", "ISC"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1"],
+    "MIT": ["MIT License", "The MIT License (MIT)", "Expat License"],
+    "MPL": ["Mozilla Public License", "MPL 2.0", "Mozilla Public License 2.0"],
+    UNKNOWN: ["Boost Software License", "zlib License", "Common Development and Distribution License",
+              "European Union Public License", "SIL Open Font License", "NCSA License", "JSON License",
+              "Public License", "vendor license", "driving license", "General Terms"],
+}
+# Phrases that names stand in.
+PHRASES = ["{}", "License: {}", "Licensed under {}.", "Released under the {}.", "Distributed under the {} or later.",
+           "This project is licensed under the terms of the {}.", "This code is {} licensed.",
+           "The text is available under {}; see the file LICENSE.", "Copyright (c) 2019 the authors, {}"]
 # Every third template of a family is held out to fit the temperature.
 HOLD_OUT = 3
+# Words too frequent to look for; where others do, lines are not picked by them.
+FREQUENT = frozenset("a and at be by for in is it la mit of on or sa the this to under with".split()
+                     + [str(d) for d in range(10)])
+# A line and the break after it, if the text is wrapped there.
+_WRAPPED = (r"[^\n]{48,100})(?:(?<![.!?:;][\r ]{0,2})\n(?=PLACE[^\w\n]{0,8}\w)"
+            r"|\n(?=PLACE[^\w\n]{0,8}[a-z]))")
+_PLACE = r"\d+\x02"
 # A paragraph with any of these is reported even if it is no notice.
 CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain",
         "creative commons", "all rights reserved", "cc0")
@@ -187,6 +223,26 @@ def has_cue(text: Column) -> Column:
     return found
 
 
+def paragraphs(text: Column) -> Column:
+    """The (number of the first line, text) of each paragraph; wrapped lines stay joined by line ends."""
+    def plain(line: Column, at: Column) -> Column:
+        return F.struct(at.alias("line"), line.alias("text"))
+
+    def placed(line: Column, at: Column) -> Column:
+        return F.concat(at.cast("string"), F.lit("\x02"), line)
+
+    def parted(row: Column) -> Column:
+        line = F.substring_index(row, "\x02", 1)
+        return F.struct(line.cast("int").alias("line"), F.regexp_replace(
+            F.substr(row, F.length(line) + F.lit(2)), F.lit("\x01" + _PLACE), F.lit("\n")).alias("text"))
+    # Each line carries its number while breaks are taken out.
+    rows = F.array_join(F.transform(F.split(text, "\n", -1), placed), "\n")
+    joined = F.regexp_replace(rows, F.lit("(?m)^(" + _PLACE + _WRAPPED.replace("PLACE", _PLACE)), F.lit("$1\x01"))
+    return F.when(F.regexp_like(text, F.lit("(?m)^(" + _WRAPPED.replace("PLACE", ""))),
+                  F.transform(F.split(joined, "\n", -1), parted)).otherwise(
+        F.transform(F.split(text, "\n", -1), plain))
+
+
 def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+", -1), lambda w: w != F.lit(""))
 
@@ -211,7 +267,7 @@ def may_confirm(words: Column, shapes: list[set[str]], least_similarity: float)
     The similarity is the number of shared n-grams over the smaller of both
     sizes.  A paragraph no smaller than a template can miss only so many of the
     template's, so it has one of any larger number of them (the anchors), and
-    the longest word of that one.  A smaller one must find that share of its own
+    the longest word of that one (frequent words come last).  A smaller one must find that share of its own
     n-grams among the templates'; each of its distinct words that no template
     has costs it the word and, unless it is the last, the pair that it begins.
     Only used to skip, never to confirm.
@@ -222,8 +278,9 @@ def may_confirm(words: Column, shapes: list[set[str]], least_similarity: float)
     anchors: set[str] = set()
     for shape in shapes:
         spare = len(shape) - max(1, math.ceil(least_similarity * len(shape) - slack))
-        longest = {g: max(g.split(), key=lambda w: (len(w), w)) for g in shape}
-        anchors.update(longest[g] for g in sorted(shape, key=lambda g: (-len(longest[g]), g))[:spare + 1])
+        longest = {g: max(g.split(), key=lambda w: (w not in FREQUENT, len(w), w)) for g in shape}
+        rarest = sorted(shape, key=lambda g: (longest[g] in FREQUENT, -len(longest[g]), g))
+        anchors.update(longest[g] for g in rarest[:spare + 1])
     known = sorted({w for shape in shapes for g in shape for w in g.split()})
     strange = F.size(F.array_distinct(F.filter(words, lambda w: ~w.isin(known))))
     missed = F.lit(2) * strange - F.lit(1)
@@ -231,6 +288,15 @@ def may_confirm(words: Column, shapes: list[set[str]], least_similarity: float)
     return (F.size(words) > 0) & (F.exists(words, lambda w: w.isin(sorted(anchors))) | small)
 
 
+def phrases(names: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Each name in each of the common phrases."""
+    return {family: [p.format(name) for name in own for p in PHRASES] for family, own in names.items()}
+
+
+def _merged(a: dict[str, list[str]], b: dict[str, list[str]]) -> dict[str, list[str]]:
+    return {family: [*a.get(family, []), *b.get(family, [])] for family in {**a, **b}}
+
+
 def _examples(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
     """Training paragraphs: each template whole, without each of its words, and its longer parts."""
     rows = [(family, n, text) for family, texts in sorted(templates.items()) for n, text in enumerate(texts)]
@@ -254,11 +320,14 @@ class LicenceModel:
 
     def __init__(self, spark: SparkSession, templates: dict[str, list[str]] | None = None, *,
                  reg: float = 0.002):
+        names = NAMES if templates is None else {}
         templates = TEMPLATES if templates is None else templates
+        lessons = _merged(templates, phrases(names))
+        templates = _merged(templates, {f: own for f, own in names.items() if f != UNKNOWN})
         self.families = sorted(templates)
         self.shapes = [_plain_grams(t) for f, texts in sorted(templates.items()) if f != UNKNOWN for t in texts]
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")) - 1
-        rows = materialize(_examples(spark, templates).withColumn("label", label.cast("double")), "licence-examples")
+        rows = materialize(_examples(spark, lessons).withColumn("label", label.cast("double")), "licence-examples")
         # Whole templates are held out, two or more of each family stay; the weights come from all.
         held_out = F.col("template") % HOLD_OUT == HOLD_OUT - 1
         vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows)
@@ -289,29 +358,34 @@ class LicenceModel:
     @staticmethod
     def _temperature(scored: DataFrame) -> float:
         """The temperature of least log-loss on held-out paragraphs."""
-        grid = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
-        losses = []
-        for t in grid:
-            scaled = F.transform("z", partial(operator.mul, F.lit(1 / t)))
-            total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x))
-            losses.append(F.avg(F.log(total) - F.get(scaled, F.col("label").cast("int"))))
-        found = scored.agg(*losses).first()
-        return min(zip(found, grid))[1]
+        label, best, ratio = F.col("label").cast("int"), 1.0, 2.0
+        for _ in range(3):  # each round looks closer around the best
+            grid = [best * ratio ** (i / 3) for i in range(-9, 10)]
+            losses = []
+            for t in grid:
+                scaled = F.transform("z", partial(operator.mul, F.lit(1 / t)))
+                total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x))
+                losses.append(F.avg(F.log(total) - F.get(scaled, label)))
+            found = scored.agg(*losses).first()
+            best = min((x, t) for x, t in zip(found, grid) if x is not None and math.isfinite(x))[1]
+            ratio **= 1 / 6
+        return best
 
 
 def scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_col: str = "text",
          least_probability: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
     """A row for each paragraph that has a cue word or resembles a notice.
 
-    Columns: doc_id, paragraph (line number from 0), licence (the confirmed
+    Columns: doc_id, paragraph (number of its first line, from 0), licence (the confirmed
     family or ``unknown``), family, probability, similarity, paragraph_text.
     """
-    def paragraph(text: Column) -> Column:
-        return F.struct(text.alias("text"), normal_words(text).alias("words"))
+    def paragraph(part: Column) -> Column:
+        return F.struct(part["line"].alias("line"), part["text"].alias("text"),
+                        normal_words(part["text"]).alias("words"))
     # Words come out of the generator, so they are not computed anew for each use.
-    parts = F.posexplode(F.transform(F.split(F.col(text_col), "\n", -1), paragraph))
-    lines = (docs.select(F.col(id_col).alias("doc_id"), parts.alias("paragraph", "_part"))
-             .select("doc_id", "paragraph", F.col("_part.text").alias("paragraph_text"),
+    parts = F.explode(F.transform(paragraphs(F.col(text_col)), paragraph))
+    lines = (docs.select(F.col(id_col).alias("doc_id"), parts.alias("_part"))
+             .select("doc_id", F.col("_part.line").alias("paragraph"), F.col("_part.text").alias("paragraph_text"),
                      has_cue(F.col("_part.text")).alias("_cue"), F.col("_part.words").alias("_words"))
              .where(F.col("_cue") | may_confirm(F.col("_words"), model.shapes, least_similarity))
              .select("doc_id", "paragraph", "paragraph_text", "_cue", F.array_join("_words", " ").alias("_normal")))
