@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapseries.functions.columns import epoch_days
+from gapseries.operators.ordering import running_total
 from gapseries.roles import Roles
 from gapseries.session import cut_lineage
 
@@ -60,6 +61,8 @@ BLOCK_POINTS = 200_000
 PARTS = 128
 # Rows of cut points that are broadcast; more are joined by a shuffle.
 BROADCAST_CUTS = 5_000
+# Own points of a chunk of a nested series.
+CHUNK_POINTS = 10_000
 _KEY, _BLK, _CUTS = "_key", "_blk", "_cuts"
 
 
@@ -231,6 +234,54 @@ def flatten_series(series: DataFrame, keys: Sequence[str], value: str = "v",
             .select(*keys, F.col("t").alias(t), F.col("tw").alias(tw), F.col("v").alias(value)))
 
 
+def series_positions(points: DataFrame, keys: Sequence[str], t: str = T_REL, tie: str | None = None,
+                     out: str = "pos") -> DataFrame:
+    """Each point's place in its series, from 0, in the order of (t, tie).
+
+    Points are range-partitioned on (key, t, tie), so the ranges of a hot series
+    are as many as its share of the rows; a point's place is its place in the
+    whole order less that of the series' first point.  Points that tie in all of
+    these take any order among each other.
+    """
+    order = [F.col(k).asc_nulls_first() for k in keys] + _order(t, tie)
+    placed = cut_lineage(running_total(points, order, F.lit(1), out).withColumn(_KEY, F.struct(*keys)))
+    first = placed.groupBy(_KEY).agg(F.min(out).alias("_first"))
+    return placed.join(first, _KEY).withColumn(out, F.col(out) - F.col("_first")).drop(_KEY, "_first")
+
+
+def chunk_series(points: DataFrame, keys: Sequence[str], columns: Sequence[str], size: int = CHUNK_POINTS,
+                 halo: int = 0, pos: str = "pos") -> DataFrame:
+    """Nested form in rows of bounded size: keys, ``chunk``, ``at`` and an array for each column.
+
+    Chunk c holds the points at places c * ``size`` onwards: ``size`` of its own
+    and then the first ``halo`` of what follows, so that whatever spans up to
+    halo + 1 points is whole in the chunk where it starts.  ``at`` is the place of
+    its first point.  ``pos`` is the place from 0 without gaps: that of
+    :func:`series_positions`, or the index of a grid.  A hot series is spread
+    over as many tasks as it has chunks; nulls in key columns are values like
+    any other, nulls in ``columns`` stay in their places.
+    """
+    if size < 1 or halo < 0:
+        raise ValueError("size must be >= 1 and halo >= 0")
+    at = F.col(pos).cast("long")
+    since = F.greatest(F.floor((at - F.lit(halo)) / F.lit(size)), F.lit(0))
+    held = F.sequence(since.cast("long"), F.floor(at / F.lit(size)).cast("long"))
+    entry = F.struct(at.alias("p"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = points.select(F.struct(*keys).alias(_KEY), entry.alias("_pt"), F.explode(held).alias("chunk"))
+    chunks = rows.groupBy(_KEY, "chunk").agg(F.sort_array(F.collect_list("_pt")).alias("_p"))
+    return chunks.select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys], "chunk",
+                         (F.col("chunk") * F.lit(size)).alias("at"),
+                         *[F.col(f"_p.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def flatten_chunks(chunks: DataFrame, keys: Sequence[str], columns: Sequence[str], size: int = CHUNK_POINTS,
+                   pos: str = "pos") -> DataFrame:
+    """Chunks back to long rows, each point once (the halo belongs to the next chunk)."""
+    own = F.arrays_zip(*[F.slice(c, 1, size).alias(c) for c in columns])
+    return (chunks.select(*keys, "at", F.posexplode(own).alias("_i", "_pt"))
+            .select(*keys, (F.col("at") + F.col("_i")).alias(pos), *[F.col(f"_pt.{c}").alias(c) for c in columns]))
+
+
 def series_stats(points: DataFrame, keys: Sequence[str], t: str, value: str) -> DataFrame:
     """Per series: n, first/last time, span, mean and L2 deviation of values.
 

@@ -829,6 +829,42 @@ def q_flatten_series(spark, sf):
     return flat.select(*keys, rnd("t_rel"), rnd("t_warped"), "value")
 
 
+@register("flatten_series_chunks", f"""
+SELECT entity, item, unit, category, t_rel, t_warped, value FROM ({COHORT_ALL_SQL}) c""")
+def q_flatten_series_chunks(spark, sf):
+    """Every cohort series in chunks of five points and back to rows."""
+    keys = td.ROLES.series_key
+    columns = ["t_rel", "t_warped", "value"]
+    placed = se.series_positions(_cohort_df(spark, sf, ALL_ITEM_CODES), keys, tie="event_id")
+    flat = se.flatten_chunks(se.chunk_series(placed, keys, columns, 5, 2), keys, columns, 5)
+    return flat.select(*keys, rnd("t_rel"), rnd("t_warped"), "value")
+
+
+@register("series_chunks", f"""
+SELECT entity, item, unit, category, p // 6 AS chunk, p // 6 * 6 AS at, least(m - p // 6 * 6, 8) AS n_points,
+  min(t_rel) AS t_first, max(t_rel) AS t_last
+FROM (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY entity, item, unit, category) AS m
+  FROM ({COHORT_ALL_SQL}) c WINDOW w AS (PARTITION BY entity, item, unit, category ORDER BY t_rel, event_id)) x
+GROUP BY ALL""")
+def q_series_chunks(spark, sf):
+    """Every cohort series in chunks of six points and the next two: extent of each chunk's own points."""
+    keys = td.ROLES.series_key
+    placed = se.series_positions(_cohort_df(spark, sf, ALL_ITEM_CODES), keys, tie="event_id")
+    chunks = se.chunk_series(placed, keys, ["t_rel"], 6, 2)
+    own = F.slice("t_rel", 1, 6)
+    return chunks.select(*keys, "chunk", "at", F.size("t_rel").cast("long").alias("n_points"),
+                         F.round(F.array_min(own), R).alias("t_first"), F.round(F.array_max(own), R).alias("t_last"))
+
+
+@register("extract_patches_chunks", PATCHES_SQL)
+def q_extract_patches_chunks(spark, sf):
+    """The patches of every resampled series, cut from chunks of five grid points and a patch length."""
+    from gapseries.operators.patches import extract_chunk_patches, feature_columns
+    chunks = se.chunk_series(_gp_pred(spark, sf), GP_KEYS, ["mean", "variance"], 5, PATCH_LEN, pos="i")
+    wide = feature_columns(extract_chunk_patches(chunks, GP_KEYS, PATCH_LEN, 5), PATCH_LEN)
+    return wide.select(*GP_KEYS, "start", *[rnd(f"f{k}") for k in range(2 * PATCH_LEN)])
+
+
 @register("patch_counts", f"""
 SELECT {_PKEYS}, CAST(greatest(count(*) - {PATCH_LEN}, 0) AS INTEGER) AS n_patches,
   CAST(greatest(count(*) - {PATCH_LEN} + 1, 0) AS INTEGER) AS n_patches_with_last

@@ -14,7 +14,7 @@ PYTHON_OK = {"gp_log_likelihood", "gp_resample", "gp_grid_search", "gp_hyperpara
              "gp_grid_search_coarse", "gp_hyperparameters_coarse", "extract_patches", "uncertainty_band",
              "series_overlay", "encode_patches_rule", "encode_patches_rule_2", "feature_scaler",
              "gp_log_likelihood_se", "gp_grid_search_se", "csv_predictions", "encode_saved_weights",
-             "cut_drawn_patches", "overlay_missing",
+             "cut_drawn_patches", "overlay_missing", "extract_patches_chunks",
              "gp_log_likelihood_tiled", "gp_resample_tiled"}
 # Queries that train a model while they are built.
 TRAINS = {"phenotype_features"}
