@@ -243,6 +243,14 @@ def paragraphs(text: Column) -> Column:
         F.transform(F.split(text, "\n", -1), plain))
 
 
+_HASHES = ["_h1", "_h2"]
+
+
+def _hashes(text: str) -> list[Column]:
+    """128 bits of a text as two numbers."""
+    return [F.xxhash64(F.lit(name), F.col(text)).alias(name) for name in _HASHES]
+
+
 def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+", -1), lambda w: w != F.lit(""))
 
@@ -267,7 +275,7 @@ def may_confirm(words: Column, shapes: list[set[str]], least_similarity: float)
     The similarity is the number of shared n-grams over the smaller of both
     sizes.  A paragraph no smaller than a template can miss only so many of the
     template's, so it has one of any larger number of them (the anchors), and
-    the longest word of that one (frequent words come last).  A smaller one must find that share of its own
+    the longest word of that one; of pairs of frequent words it has the pair.  A smaller one must find that share of its own
     n-grams among the templates'; each of its distinct words that no template
     has costs it the word and, unless it is the last, the pair that it begins.
     Only used to skip, never to confirm.
@@ -276,16 +284,26 @@ def may_confirm(words: Column, shapes: list[set[str]], least_similarity: float)
     if least_similarity <= slack:
         return F.lit(True)
     anchors: set[str] = set()
+    pairs: set[str] = set()
     for shape in shapes:
         spare = len(shape) - max(1, math.ceil(least_similarity * len(shape) - slack))
         longest = {g: max(g.split(), key=lambda w: (w not in FREQUENT, len(w), w)) for g in shape}
-        rarest = sorted(shape, key=lambda g: (longest[g] in FREQUENT, -len(longest[g]), g))
-        anchors.update(longest[g] for g in rarest[:spare + 1])
+        rarest = sorted(shape, key=lambda g: (longest[g] in FREQUENT, longest[g] in FREQUENT and " " not in g,
+                                              -len(longest[g]), g))
+        for g in rarest[:spare + 1]:
+            if longest[g] in FREQUENT and " " in g:
+                pairs.add(g)
+            else:
+                anchors.add(longest[g])
     known = sorted({w for shape in shapes for g in shape for w in g.split()})
     strange = F.size(F.array_distinct(F.filter(words, lambda w: ~w.isin(known))))
     missed = F.lit(2) * strange - F.lit(1)
     small = missed - F.lit(slack) <= F.lit(1 - least_similarity) * (F.lit(2) * F.size(words) - F.lit(1))
-    return (F.size(words) > 0) & (F.exists(words, lambda w: w.isin(sorted(anchors))) | small)
+    found = F.exists(words, lambda w: w.isin(sorted(anchors))) | small
+    spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    for pair in sorted(pairs):
+        found = found | F.contains(spaced, F.lit(f" {pair} "))
+    return (F.size(words) > 0) & found
 
 
 def phrases(names: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -388,16 +406,21 @@ def scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_c
              .select("doc_id", F.col("_part.line").alias("paragraph"), F.col("_part.text").alias("paragraph_text"),
                      has_cue(F.col("_part.text")).alias("_cue"), F.col("_part.words").alias("_words"))
              .where(F.col("_cue") | may_confirm(F.col("_words"), model.shapes, least_similarity))
-             .select("doc_id", "paragraph", "paragraph_text", "_cue", F.array_join("_words", " ").alias("_normal")))
+             .select("doc_id", "paragraph", "paragraph_text", "_cue", F.array_join("_words", " ").alias("_normal"))
+             .select("*", *_hashes("_normal")))
     lines = materialize(lines, "licence-lines")
-    grams = lines.select("_normal").distinct().withColumn("grams", ngrams(F.split("_normal", " ")))
+    # Equal paragraphs are judged once and told apart by 128 bits, so the text of one is shuffled once
+    # and no row of a gram holds it. The cue is a key of both uses, which then share the shuffle.
+    # (The null test, always true, is one that the join would put before one use only.)
+    texts = (lines.where(F.col("_h1").isNotNull() & F.col("_h2").isNotNull()).groupBy(*_HASHES).agg(F.max("_normal").alias("_normal"), F.max("_cue").alias("_cue"))
+             .select(*_HASHES, "_cue", ngrams(F.split("_normal", " ")).alias("grams")))
     n = len(model.families)
-    sums = (grams.select("_normal", F.explode("grams").alias("gram"))
-            .join(F.broadcast(model.weights), "gram").groupBy("_normal")
-            .agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)]))
+    sums = (texts.select(*_HASHES, "_cue", F.explode("grams").alias("gram"))
+            .join(F.broadcast(model.weights), "gram").groupBy(*_HASHES, "_cue")
+            .agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])).drop("_cue")
     z = F.array(*[(F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.lit(b)) / F.lit(model.temperature)
                   for i, b in enumerate(model.intercepts)])
-    scored = (grams.join(sums, "_normal", "left").select("_normal", "grams", z.alias("z"))
+    scored = (texts.join(sums, _HASHES, "left").select(*_HASHES, "_cue", "grams", z.alias("z"))
               .withColumn("top", F.array_max("z"))
               .withColumn("family", F.get(F.array(*[F.lit(f) for f in model.families]),
                                           (F.array_position("z", F.col("top")) - 1).cast("int")))
@@ -413,8 +436,8 @@ def scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_c
               .withColumn("licence", F.when(
                   (F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability)
                   & (F.col("similarity") >= least_similarity) & F.arrays_overlap("grams", "marks"), F.col("family")).otherwise(UNKNOWN)))
-    judged = materialize(judged.select(F.col("_normal").alias("_n"), "licence", "family", "probability",
-                                       "similarity"), "licence-judged")
     resembles = (F.col("family") != UNKNOWN) & (F.col("similarity") >= least_similarity)
-    return (lines.join(judged, F.col("_normal") == F.col("_n")).where(F.col("_cue") | resembles)
+    judged = materialize(judged.where(F.col("_cue") | resembles).select(
+        *_HASHES, "licence", "family", "probability", "similarity"), "licence-judged")
+    return (lines.join(judged, _HASHES).where(F.col("_cue") | resembles)
             .select("doc_id", "paragraph", "licence", "family", "probability", "similarity", "paragraph_text"))
