@@ -5,20 +5,29 @@ cut into tiles of ``tile`` x ``tile``, rows (series, i, j) of a table.  The
 standardised values and the points to predict at are further block rows below
 the matrix, so the same elimination turns them into L^-1 y and L^-1 k*.
 
-Panels (block columns) are factorised from left to right.  For panel k every
-block row i >= k subtracts the products of its tiles with those of block row k
-(partitioned by series and block row, summed as a stream), the diagonal tile is
-factorised, and the others are solved against it.  Each panel is written to the
-shared checkpoint folder, so a lost executor costs a panel at most.
-
-A panel shuffles 2 k (T - k) tiles of a series of T tiles; the tiles of all long
-series go through the panels together.
+Panels (block columns) are factorised from left to right, in steps of as many
+panels, and in bands of as many block rows, as ``BATCH_BYTES`` holds tiles of.  A
+band's block rows meet the step's pivot rows and the values' row in one shuffle;
+the band's task subtracts what earlier steps explain (their tiles come sorted by
+panel, as a stream) and then goes through the step's panels tile by tile: the
+diagonal tile is factorised, the tiles below are solved against it and
+subtracted from the next panel.  Pivot rows are few, so each band factorises
+them by itself rather than wait for them.  All steps but the last are written to
+the shared checkpoint folder, so a lost executor costs a step at most.
+
+A series of T tiles and steps of P panels shuffles about T^3 / (6 P) tiles and,
+once for each of its bands, the pivots' tiles; a series that ends with its first
+step shuffles its points only.  The tiles of all series go through the steps
+together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from itertools import groupby
+from math import isqrt
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +38,17 @@ from gapseries.operators.gp import LOG_2PI, STD_FLOOR, unit_kernel
 from gapseries.session import cut_lineage, scratch_path
 
 TILE = 1024
-# Bytes of tiles in one Arrow batch (one row at least).
+# Bytes of tiles in one Arrow batch (one row at least), and of the tiles of a band in one step.
 BATCH_BYTES = 64 << 20
-_TILE = "sid long, i int, k int, cols int, term double, cells binary"
+# Block rows are points (P), standardised values (Y) or points to predict at (G).
+P, Y, G = 0, 1, 2
+_DOUBLES = "array<double>"
+_TILE = (f"sid long, i int, k int, kind int, tiles int, rows int, cols int, term double, up {_DOUBLES}, "
+         f"squares {_DOUBLES}, cells binary")
 _NAMES = [f.split()[0] for f in _TILE.split(", ")]
-_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+_KINDS = [pa.int64(), *[pa.int32()] * 6, pa.float64(), *[pa.list_(pa.float64())] * 2, pa.binary()]
+# What a band's task reads: block rows (m = -1), then the tiles of earlier panels m.
+_MET = ["sid", "band", "m", "i", "kind", "own", "tiles", "rows", "alpha", "tau", "cols", "x", "y", "cells"]
 
 
 @contextmanager
@@ -48,9 +63,11 @@ def _small_batches(spark, tile: int):
         spark.conf.set(key, before)
 
 
-def _tile(sid: int, i: int, k: int, cells: np.ndarray, term: float | None = None):
-    values = [sid, i, k, cells.shape[1], term, np.ascontiguousarray(cells).tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _KINDS)], names=_NAMES)
+def _tile_budget(tile: int) -> tuple[int, int]:
+    """Panels of a step and block rows of a band: with the pivots, their tiles fit BATCH_BYTES."""
+    n = BATCH_BYTES // (16 * tile * tile)
+    panels = max(1, isqrt(n))
+    return panels, max(1, n // panels)
 
 
 def _cells(data: bytes, cols: int) -> np.ndarray:
@@ -70,136 +87,169 @@ def _standardised(series: DataFrame, t: str, v: str, alpha: Column, tau: Column)
 
 
 def _blocks(data: DataFrame, tile: int, grid: Column | None) -> DataFrame:
-    """Block rows (sid, i, kind, tiles, x, y, alpha, tau): points, then the values, then the points
-    to predict at."""
+    """Block rows (sid, i, kind, tiles, rows, x, y, alpha, tau): points, then the values, then the
+    points to predict at.  ``tiles``: those of a side of the matrix; ``rows``: all block rows."""
     count = F.ceil(F.col("n") / F.lit(tile)).cast("int")
 
     def part(array: Column | str, i: Column) -> Column:
         return F.slice(array, i * F.lit(tile) + F.lit(1), F.lit(tile))
     none = F.array().cast("array<double>")
-    rows = data.select("*", count.alias("tiles"), F.col("_alpha").alias("alpha"), F.col("_tau").alias("tau"))
-    own = ["sid", "tiles", "alpha", "tau"]
+    if grid is not None:
+        data = data.withColumn("_grid", grid)
+    ahead = F.lit(0) if grid is None else F.ceil(F.size("_grid") / F.lit(tile)).cast("int")
+    rows = data.select("*", count.alias("tiles"), (count + 1 + ahead).alias("rows"), F.col("_alpha").alias("alpha"),
+                       F.col("_tau").alias("tau"))
+    own = ["sid", "tiles", "rows", "alpha", "tau"]
     points = rows.select(*own, "_t", "_y", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"))
-    out = points.select(*own, "i", F.lit("p").alias("kind"), part("_t", F.col("i")).alias("x"),
+    out = points.select(*own, "i", F.lit(P).alias("kind"), part("_t", F.col("i")).alias("x"),
                         part("_y", F.col("i")).alias("y"))
-    out = out.unionByName(rows.select(*own, F.col("tiles").alias("i"), F.lit("y").alias("kind"),
+    out = out.unionByName(rows.select(*own, F.col("tiles").alias("i"), F.lit(Y).alias("kind"),
                                       none.alias("x"), none.alias("y")))
     if grid is not None:
-        ahead = rows.withColumn("_grid", grid)
-        chunks = F.sequence(F.lit(0), F.ceil(F.size("_grid") / F.lit(tile)).cast("int") - 1)
-        out = out.unionByName(ahead.select(*own, "_grid", F.explode(chunks).alias("c")).select(
-            *own, (F.col("tiles") + 1 + F.col("c")).alias("i"), F.lit("g").alias("kind"),
+        chunks = F.sequence(F.lit(0), F.col("rows") - F.col("tiles") - 2)
+        out = out.unionByName(rows.select(*own, "_grid", F.explode(chunks).alias("c")).select(
+            *own, (F.col("tiles") + 1 + F.col("c")).alias("i"), F.lit(G).alias("kind"),
             part("_grid", F.col("c")).alias("x"), none.alias("y")))
     return out
 
 
-def _summed(batches):
-    """Sums of L_im L_km' over m: sid, i, less.
-
-    Rows (sid, i, m, side, cols, cells) come sorted: the tile of block row i
-    (side 0), then that of block row k (side 1), for each m.
-    """
-    key, total, first = None, None, None
+def _met(batches) -> Iterator[tuple]:
+    """The rows of _MET; the arrays of doubles are views of their batch."""
+    for b in batches:
+        numbers = [c.to_numpy(zero_copy_only=False).tolist() for c in b.columns[:11]]
+        lists = []
+        for c in b.columns[11:13]:
+            values, ends = c.values.to_numpy(), c.offsets.to_numpy().tolist()
+            lists.append([values[at:to] for at, to in zip(ends, ends[1:])])
+        yield from zip(*numbers, *lists, b.columns[13].to_pylist())
 
-    def row():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])],
-            names=["sid", "i", "less"])
 
-    for b in batches:
-        for r in range(b.num_rows):
-            sid, i, _, side, cols, cells = (c[r].as_py() for c in b.columns)
-            if side == 0:
-                first = _cells(cells, cols)
-                continue
-            product = first @ _cells(cells, cols).T
-            if (sid, i) != key:
-                if key is not None:
-                    yield row()
-                key, total = (sid, i), product
-            else:
-                total = total + product
-    if key is not None:
-        yield row()
-
-
-def _reduced(k: int, sigma2: float, kernel: str):
-    """A task's function: the tile (i, k) of the bordered matrix less what earlier panels explain."""
+def _eliminated(k0: int, step: int, sigma2: float, kernel: str, limit: int):
+    """A task's function: the tiles of its bands in panels k0 .. k0 + step - 1."""
     def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                sid, i, kind, x, alpha, tau, cx, cy, less = (c[r].as_py() for c in b.columns)
-                cx = np.array(cx)
-                if kind == "y":
-                    s = np.array(cy)[None, :]
-                else:
-                    s = sigma2 * unit_kernel((np.array(x)[:, None] - cx[None, :]) ** 2, alpha, tau, kernel)
-                    if kind == "p" and i == k:
-                        s[np.diag_indices(len(cx))] += sigma2
-                if less is not None:
-                    s = s - _cells(less, len(cx))
-                yield _tile(sid, i, k, np.linalg.cholesky(s) if i == k else s)
+        out, held = [], 0
+        for _, rows in groupby(_met(batches), key=itemgetter(0, 1)):
+            for row in _band(rows, k0, step, sigma2, kernel):
+                out.append(row)
+                held += 64 + sum(len(v) for v in row[-3:] if v is not None)
+                if held >= limit or len(out) == 10_000:
+                    yield _tiles(out)
+                    out, held = [], 0
+        if out:
+            yield _tiles(out)
     return run
 
 
-def _solved(k: int):
-    """A task's function: tiles below the factorised diagonal one, and each tile's term of the result."""
-    def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                sid, i, cols, cells, diagonal, kind = (c[r].as_py() for c in b.columns)
-                s, low = _cells(cells, cols), _cells(diagonal, cols)
-                if i == k:
-                    yield _tile(sid, i, k, s, 2.0 * float(np.log(np.diagonal(s)).sum()))
-                    continue
-                x = np.linalg.solve(low, s.T).T
-                yield _tile(sid, i, k, x, float((x * x).sum()) if kind == "y" else None)
-    return run
+def _tiles(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
-def _factorise(blocks: DataFrame, sigma2: float, kernel: str) -> DataFrame:
-    """All tiles of the factors: (sid, i, k, cols, term, cells), written panel by panel."""
+def _band(rows: Iterator[tuple], k0: int, step: int, sigma2: float, kernel: str) -> Iterator[tuple]:
+    """The tiles of one band's own block rows.
+
+    ``rows`` come sorted by (m, i).  First all block rows: the pivots of the step's panels, the
+    others of the band and the values' row.  Then for each earlier panel m their tiles, the
+    pivots' first.
+    """
+    blocks, tile = [], None
+    for tile in rows:
+        if tile[2] >= 0:
+            break
+        blocks.append(tile)
+        tile = None
+    sid, tiles, total, alpha, tau = (blocks[0][c] for c in (0, 6, 7, 8, 9))
+    pivots = min(step, tiles - k0)
+    cx = np.concatenate([b[11] for b in blocks[:pivots]])
+    heights = [1 if b[4] == Y else len(b[11]) for b in blocks]
+    ends = np.cumsum([0, *heights]).tolist()
+    at = {b[3]: (ends[r], ends[r + 1]) for r, b in enumerate(blocks)}
+    x = np.concatenate([np.zeros(1) if b[4] == Y else b[11] for b in blocks])
+    cells = sigma2 * unit_kernel((x[:, None] - cx) ** 2, alpha, tau, kernel)
+    width = len(cx)
+    cells[np.diag_indices(width)] += sigma2
+    values = at[tiles][0]
+    cells[values] = np.concatenate([b[12] for b in blocks[:pivots]])
+    # What earlier steps explain: L_im L_km' for each of their panels m.
+    while tile is not None:
+        pivot = [_cells(tile[13], tile[10])]
+        pivot += [_cells(t[13], t[10]) for _, t in zip(range(pivots - 1), rows)]
+        pivot = np.concatenate(pivot)
+        cells[:width] -= pivot @ pivot.T
+        m, tile = tile[2], None
+        for tile in rows:
+            if tile[2] != m:
+                break
+            low, up = at[tile[3]]
+            cells[low:up] -= _cells(tile[13], tile[10]) @ pivot.T
+            tile = None
+    # The step's own panels.
+    for r in range(pivots):
+        a, b = ends[r], ends[r + 1]
+        if a:
+            cells[a:, a:b] -= cells[a:, :a] @ cells[a:b, :a].T
+        diagonal = cells[a:b, a:b] = np.linalg.cholesky(cells[a:b, a:b])
+        cells[b:, a:b] = np.linalg.solve(diagonal, cells[b:, a:b].T).T
+    last = k0 + pivots - 1
+    for block, low, up in zip(blocks, ends, ends[1:]):
+        i, kind = block[3], block[4]
+        if not block[5]:
+            continue
+        means = squares = None
+        if kind == G:
+            own = cells[low:up]
+            means, squares = own @ cells[values], (own * own).sum(axis=1)
+            if last == tiles - 1:  # no later panel reads the tiles of these rows
+                yield sid, i, last, kind, tiles, total, up - low, None, means, squares, None
+                continue
+        for r in range(pivots if kind != P else min(pivots, i - k0 + 1)):
+            k, one, term = k0 + r, np.ascontiguousarray(cells[low:up, ends[r]:ends[r + 1]]), None
+            if i == k:
+                term = 2.0 * float(np.log(np.diagonal(one)).sum())
+            elif kind == Y:
+                term = float((one * one).sum())
+            ends_here = k == last and kind == G
+            yield (sid, i, k, kind, tiles, total, one.shape[1], term, means if ends_here else None,
+                   squares if ends_here else None, one.tobytes())
+
+
+def _factorise(blocks: DataFrame, sigma2: float, kernel: str, tile: int) -> DataFrame:
+    """The tiles of the factors: (sid, i, k, kind, tiles, rows, cols, term, up, squares, cells).
+
+    ``term`` is a diagonal tile's part of the log determinant and a values' tile's of y' K^-1 y.
+    ``up`` and ``squares`` stand once a step with each block row to predict: its products with the
+    values' row and its squares, summed over the step's panels.  Such rows have no cells once
+    their series has ended.  The last step is not written: read the result once.
+    """
     spark = blocks.sparkSession
-    blocks = cut_lineage(blocks)
-    path = scratch_path(spark, "gp-tiles")
+    step, band = _tile_budget(tile)
     panels = blocks.agg(F.max("tiles")).first()[0] or 0
-    spark.createDataFrame([], _TILE).write.parquet(path)
-    for k in range(panels):
+    path, done = scratch_path(spark, "gp-tiles"), None
+    none = F.array().cast(_DOUBLES)
+    for k0 in range(0, panels, step):
+        live = (F.col("tiles") > k0) & (F.col("i") >= k0)
+        rows = blocks.where(live).withColumns({"m": F.lit(-1), "cols": F.lit(0), "cells": F.lit(None).cast("binary")})
+        if done is not None:
+            rows = rows.unionByName(done.where(live).withColumnRenamed("k", "m").withColumns(
+                {"alpha": F.lit(0.0), "tau": F.lit(0.0), "x": none, "y": none}).drop("term", "up", "squares"))
+        # Pivots and values go to every band of their series.
+        own = F.floor(F.col("i") / F.lit(band)).cast("int")
+        bands = F.sequence(F.lit(k0 // band), F.floor((F.col("rows") - 1) / F.lit(band)).cast("int"))
+        shared = ((F.col("kind") == P) & (F.col("i") < k0 + step)) | (F.col("kind") == Y)
+        met = (rows.withColumn("band", F.explode(F.when(shared, bands).otherwise(F.array(own))))
+               .withColumn("own", F.col("band") == own).select(*_MET)
+               .repartition("sid", "band").sortWithinPartitions("sid", "band", "m", "i"))
+        out = met.mapInArrow(_eliminated(k0, step, sigma2, kernel, BATCH_BYTES), _TILE)
+        if k0 + step >= panels:
+            return out if done is None else done.unionByName(out)
+        out.write.mode("append").parquet(path)
         done = spark.read.schema(_TILE).parquet(path)
-        live = blocks.where((F.col("tiles") > k) & (F.col("i") >= k))
-        column = live.where(F.col("i") == k).select(F.col("sid").alias("s"), F.col("x").alias("cx"),
-                                                    F.col("y").alias("cy"))
-        base = live.select("sid", "i", "kind", "x", "alpha", "tau").join(column, F.col("sid") == F.col("s")).drop("s")
-        if k:
-            rows = live.select(F.col("sid").alias("s"), F.col("i").alias("to"))
-            mine = done.where(F.col("i") >= k).select("sid", "i", F.col("k").alias("m"), F.lit(0).alias("side"),
-                                                      "cols", "cells")
-            row_k = (done.where(F.col("i") == k).join(rows, F.col("sid") == F.col("s"))
-                     .select("sid", F.col("to").alias("i"), F.col("k").alias("m"), F.lit(1).alias("side"),
-                             "cols", "cells"))
-            met = mine.unionByName(row_k).repartition("sid", "i").sortWithinPartitions("sid", "i", "m", "side")
-            less = met.mapInArrow(_summed, "sid long, i int, less binary").select(
-                F.col("sid").alias("s"), F.col("i").alias("to"), "less")
-            base = base.join(less, (F.col("sid") == F.col("s")) & (F.col("i") == F.col("to")), "left")
-        else:
-            base = base.withColumn("less", F.lit(None).cast("binary"))
-        spread = base.select("sid", "i", "kind", "x", "alpha", "tau", "cx", "cy", "less").repartition("sid", "i")
-        reduced = scratch_path(spark, "gp-panel")
-        spread.mapInArrow(_reduced(k, sigma2, kernel), _TILE).write.parquet(reduced)
-        panel = spark.read.schema(_TILE).parquet(reduced)
-        # The diagonal tile goes to every block row of its series.
-        diagonal = (panel.where(F.col("i") == k).select(F.col("sid").alias("s"), F.col("cells").alias("diagonal"))
-                    .join(live.select(F.col("sid").alias("b"), F.col("i").alias("to"), "kind"), F.col("s") == F.col("b")))
-        (panel.join(diagonal, (F.col("sid") == F.col("s")) & (F.col("i") == F.col("to")))
-         .select("sid", "i", "cols", "cells", "diagonal", "kind").repartition("sid", "i")
-         .mapInArrow(_solved(k), _TILE).write.mode("append").parquet(path))
-    return spark.read.schema(_TILE).parquet(path)
+    return spark.createDataFrame([], _TILE)
 
 
 def _terms(data: DataFrame, sigma2: float, kernel: str, tile: int) -> DataFrame:
     """(s, q, logdet) of each sid: y' K^-1 y and log det K, one number a tile; the cells are not read."""
     with _small_batches(data.sparkSession, tile):
-        tiles = _factorise(_blocks(data, tile, None), sigma2, kernel)
+        tiles = _factorise(_blocks(data, tile, None), sigma2, kernel, tile)
         inner = F.when(F.col("i") == F.col("k"), F.col("term"))
         return cut_lineage(tiles.where(F.col("term").isNotNull()).groupBy(F.col("sid").alias("s")).agg(
             F.sum(F.when(inner.isNull(), F.col("term"))).alias("q"), F.sum(inner).alias("logdet")))
@@ -228,21 +278,6 @@ def tiled_log_likelihood(series: DataFrame, keys: Sequence[str], sigma2: float,
             .select(*keys, "n", "mean", "l2_dev", ll.alias("log_likelihood")))
 
 
-def _explained(batches):
-    """For each tile of a block row to predict: its products with the values' tile and its squared rows."""
-    for b in batches:
-        out = []
-        for r in range(b.num_rows):
-            sid, i, cols, cells, z = (c[r].as_py() for c in b.columns)
-            x = _cells(cells, cols)
-            out.append((sid, i, (x @ np.frombuffer(z)).tolist(), (x * x).sum(axis=1).tolist()))
-        doubles = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int32(), doubles, doubles))]
-            if out else [pa.array([], kind) for kind in (pa.int64(), pa.int32(), doubles, doubles)],
-            names=["sid", "i", "up", "squares"])
-
-
 def tiled_resample_arrays(series: DataFrame, keys: Sequence[str], sigma2: float, alpha: float, tau: float,
                           step: float = 0.25, padding_length: float = 20.0, t: str = "tw", v: str = "v",
                           kernel: str = "rq", tile: int = TILE) -> DataFrame:
@@ -258,21 +293,19 @@ def tiled_resample_arrays(series: DataFrame, keys: Sequence[str], sigma2: float,
     data = cut_lineage(data)
     grid = F.transform(F.sequence(F.lit(0), F.col("points") - 1), lambda i: F.col("t0") + i * F.lit(step))
     with _small_batches(series.sparkSession, tile):
-        blocks = _blocks(data, tile, grid)
-        tiles = _factorise(blocks, sigma2, kernel)
-        kinds = data.select(F.col("sid").alias("s"), F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("values_row"))
-        known = tiles.join(kinds, F.col("sid") == F.col("s")).drop("s")
-        z = known.where(F.col("i") == F.col("values_row")).select(
-            F.col("sid").alias("s"), F.col("k").alias("m"), F.col("cells").alias("z"))
-        ahead = known.where(F.col("i") > F.col("values_row"))
-        parts = (ahead.join(z, (F.col("sid") == F.col("s")) & (F.col("k") == F.col("m")))
-                 .select("sid", "i", "cols", "cells", "z")
-                 .mapInArrow(_explained, "sid long, i int, up array<double>, squares array<double>"))
-        each = parts.select("sid", "i", F.posexplode(F.arrays_zip("up", "squares")).alias("at", "x"))
-        sums = each.groupBy("sid", "i", "at").agg(F.sum("x.up").alias("up"), F.sum("x.squares").alias("squares"))
-        found = cut_lineage(sums.groupBy(F.col("sid").alias("s")).agg(
-            F.sort_array(F.collect_list(F.struct("i", "at", "up", "squares"))).alias("x")))
+        tiles = _factorise(_blocks(data, tile, grid), sigma2, kernel, tile)
+        # The steps' sums of a block row, in their order; then the block rows of a series.
+        parts = tiles.where(F.col("up").isNotNull()).select("sid", "i", "k", "up", "squares").repartition("sid")
+        each = parts.groupBy("sid", "i").agg(F.sort_array(F.collect_list(F.struct("k", "up", "squares"))).alias("s"))
+
+        def total(name: str) -> Column:
+            zeros = F.transform(F.col(f"s.{name}")[0], lambda x: F.lit(0.0))
+            return F.aggregate(f"s.{name}", zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(name)
+        found = cut_lineage(each.select("sid", "i", total("up"), total("squares"))
+                            .groupBy(F.col("sid").alias("s")).agg(
+            F.sort_array(F.collect_list(F.struct("i", "up", "squares"))).alias("x")))
     out = data.join(found, F.col("sid") == F.col("s"))
-    mean = F.transform("x", lambda r: r["up"] * F.col("l2_dev") + F.col("mean"))
-    variance = F.transform("x", lambda r: (F.lit(float(sigma2)) - r["squares"]) * F.col("l2_dev") * F.col("l2_dev"))
+    mean = F.transform(F.flatten("x.up"), lambda r: r * F.col("l2_dev") + F.col("mean"))
+    variance = F.transform(F.flatten("x.squares"),
+                           lambda r: (F.lit(float(sigma2)) - r) * F.col("l2_dev") * F.col("l2_dev"))
     return out.select(*keys, "t0", mean.alias("mean"), variance.alias("variance"))

@@ -59,6 +59,36 @@ def test_a_task_holds_tiles_only(spark, monkeypatch):
     assert seen == [(8 * 25 * 25, 10 + 4 + 6 + 3, "3")] and spark.conf.get(key) == before
 
 
+@pytest.mark.parametrize("budget", [1, 4, 7])  # steps of 1 or 2 panels, bands of 1, 2 or 3 block rows
+def test_steps_and_bands(spark, monkeypatch, budget):
+    """Series of several steps and bands beside ones that end with the first."""
+    monkeypatch.setattr(gt, "BATCH_BYTES", 16 * 16 * 16 * budget)
+    df = series(spark, {1: 75, 2: 5, None: 33}, seed=4)
+    want = {r.k: r for r in gp.gp_resample_arrays(df, ["k"], 0.3, 2.0, 1.1).collect()}
+    got = {r.k: r for r in gt.tiled_resample_arrays(df, ["k"], 0.3, 2.0, 1.1, tile=16).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert np.allclose(got[k].mean, w.mean, atol=1e-9) and np.allclose(got[k].variance, w.variance, atol=1e-9)
+    want = {r.k: r.log_likelihood for r in gp.gp_log_likelihood(df, ["k"], 0.3, 2.0, 1.1).collect()}
+    got = {r.k: r.log_likelihood for r in gt.tiled_log_likelihood(df, ["k"], 0.3, 2.0, 1.1, tile=16).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tiles_of_a_series_that_ends_at_once_are_not_dealt_out(spark, monkeypatch):
+    """The plan that makes all tiles of short series has one exchange, of their points."""
+    plans = []
+    real = gt._factorise
+
+    def watched(*args):
+        tiles = real(*args)
+        plans.append(tiles._jdf.queryExecution().sparkPlan().toString())
+        return tiles
+
+    monkeypatch.setattr(gt, "_factorise", watched)
+    gt.tiled_resample_arrays(series(spark, {1: 30, 2: 12}), ["k"], 0.3, 2.0, 1.1, tile=8).collect()
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "Join" not in plans[0]
+
+
 def test_equal_times_and_constant_values(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0, 1.0, 1.0, 1.0], [2.0] * 5)], "k int, tw array<double>, v array<double>")
     want = gp.gp_log_likelihood(df, ["k"], 0.5, 1.0, 1.0).first()
