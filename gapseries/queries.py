@@ -627,7 +627,9 @@ def _chosen(spark, sf, cohort):
 
 def _sampled(spark, sf):
     from gapseries.operators.patches import cut_patches
-    coh = _cohort_df(spark, sf, ALL_ITEM_CODES)
+    from gapseries.session import cut_lineage
+    # read for the series' extents and by the GP: built once
+    coh = cut_lineage(_cohort_df(spark, sf, ALL_ITEM_CODES))
     return cut_patches(_gp_pred_arrays(spark, sf, coh), _chosen(spark, sf, coh), GP_KEYS, PATCH_LEN)
 
 
@@ -956,7 +958,9 @@ def q_feature_scaler(spark, sf):
     """Scaler fitted on the sampled training patches, applied to the test ones."""
     from gapseries.operators.classifier import apply_scaler, fit_scaler
     from gapseries.operators.patches import feature_columns
-    s = _sampled(spark, sf)
+    from gapseries.session import cut_lineage
+    # read for the moments and again for the rows: the GP runs once
+    s = cut_lineage(_sampled(spark, sf))
     scaler = fit_scaler(s.where(F.col("split") == "train"), "features")
     test = apply_scaler(s.where(F.col("split") == "test"), scaler, "features")
     wide = feature_columns(test, PATCH_LEN)

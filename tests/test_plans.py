@@ -61,6 +61,13 @@ def test_the_gp_runs_once(spark, name):
     assert len(re.findall(r"\) MapInPandas", details)) <= 1
 
 
+def test_sampled_patches_are_written_before_they_are_read_twice(spark):
+    """The scaler's moments and its rows share one run of the GP, extents and GP one cohort."""
+    plan = plan_of(entry.queries()["feature_scaler"](spark, SF001))
+    assert "MapInPandas" not in plan and "Scan parquet" not in plan
+    assert "Scan parquet" not in plan_of(entry.queries()["encode_patches_rule"](spark, SF001))
+
+
 @pytest.mark.parametrize("name", ["patch_counts", "sample_patches", "validation_split"])
 def test_choosing_patches_runs_no_gp(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF001))
