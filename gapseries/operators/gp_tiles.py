@@ -9,23 +9,25 @@ Panels (block columns) are factorised from left to right, in steps of as many
 panels, and in bands of as many block rows, as ``BATCH_BYTES`` holds tiles of.  A
 band's block rows meet the step's pivot rows and the values' row in one shuffle;
 the band's task subtracts what earlier steps explain (their tiles come sorted by
-panel, as a stream) and then goes through the step's panels tile by tile: the
+step, as a stream) and then goes through the step's panels tile by tile: the
 diagonal tile is factorised, the tiles below are solved against it and
 subtracted from the next panel.  Pivot rows are few, so each band factorises
 them by itself rather than wait for them.  All steps but the last are written to
-the shared checkpoint folder, so a lost executor costs a step at most.
+the shared checkpoint folder, so a lost executor costs a step at most; of a step
+only the tiles that a later one reads are written, a block row's in one row.
 
 A series of T tiles and steps of P panels shuffles about T^3 / (6 P) tiles and,
 once for each of its bands, the pivots' tiles; a series that ends with its first
-step shuffles its points only.  The tiles of all series go through the steps
-together.
+step shuffles its points only, and its bands are stacked with those of the same
+shape, so that many short series go through a panel at once.  The tiles of all
+series go through the steps together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
-from itertools import groupby
+from itertools import chain, groupby, islice
 from math import isqrt
 from operator import itemgetter
 
@@ -40,6 +42,8 @@ from gapseries.session import cut_lineage, scratch_path
 TILE = 1024
 # Bytes of tiles in one Arrow batch (one row at least), and of the tiles of a band in one step.
 BATCH_BYTES = 64 << 20
+# Bytes of the matrices of bands of one shape that go through the panels as one stack.
+STACK_BYTES = 1 << 20
 # Block rows are points (P), standardised values (Y) or points to predict at (G).
 P, Y, G = 0, 1, 2
 _DOUBLES = "array<double>"
@@ -53,10 +57,10 @@ _MET = ["sid", "band", "m", "i", "kind", "own", "tiles", "rows", "alpha", "tau",
 
 @contextmanager
 def _small_batches(spark, tile: int):
-    """Arrow batches of a bounded number of tiles while the panels run."""
+    """Arrow batches of a bounded number of tiles while the panels run; a row has those of a step."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, BATCH_BYTES // (8 * tile * tile))))
+    spark.conf.set(key, str(max(1, BATCH_BYTES // (8 * tile * tile * _tile_budget(tile)[0]))))
     try:
         yield
     finally:
@@ -81,7 +85,7 @@ def _standardised(series: DataFrame, t: str, v: str, alpha: Column, tau: Column)
     dev = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))))
     return (series.withColumn("n", n).withColumn("mean", mean)
             .withColumn("l2_dev", F.when(dev > STD_FLOOR, dev).otherwise(F.lit(1.0)))
-            .withColumn("_y", F.transform(v, lambda x: (x - F.col("mean")) / F.col("l2_dev")))
+            .withColumn("_y", F.transform(v, lambda x: (x - F.col("mean")) / F.col("l2_dev"))).drop(v)
             .withColumn("sid", F.monotonically_increasing_id()).withColumnRenamed(t, "_t")
             .withColumns({"_alpha": alpha, "_tau": tau}))
 
@@ -124,17 +128,43 @@ def _met(batches) -> Iterator[tuple]:
         yield from zip(*numbers, *lists, b.columns[13].to_pylist())
 
 
-def _eliminated(k0: int, step: int, sigma2: float, kernel: str, limit: int):
+def _eliminated(k0: int, step: int, sigma2: float, kernel: str, limit: int, stack: int):
     """A task's function: the tiles of its bands in panels k0 .. k0 + step - 1."""
+    def found(batches):
+        # Bands without tiles of earlier steps wait for others of their shape.
+        waiting, held = {}, 0
+        for _, rows in groupby(_met(batches), key=itemgetter(0, 1)):
+            blocks, tile = [], None
+            for tile in rows:
+                if tile[2] >= 0:
+                    break
+                blocks.append(tile)
+                tile = None
+            band = _Band(blocks, k0, step)
+            if tile is not None:
+                yield from _eliminate([band], chain([tile], rows), k0, sigma2, kernel)
+                continue
+            alike = waiting.setdefault(band.shape, [])
+            alike.append(band)
+            held += band.bytes
+            if len(alike) * band.bytes >= stack:
+                held -= len(alike) * band.bytes
+                yield from _eliminate(waiting.pop(band.shape), (), k0, sigma2, kernel)
+            elif held >= limit:
+                for bands in waiting.values():
+                    yield from _eliminate(bands, (), k0, sigma2, kernel)
+                waiting, held = {}, 0
+        for bands in waiting.values():
+            yield from _eliminate(bands, (), k0, sigma2, kernel)
+
     def run(batches):
         out, held = [], 0
-        for _, rows in groupby(_met(batches), key=itemgetter(0, 1)):
-            for row in _band(rows, k0, step, sigma2, kernel):
-                out.append(row)
-                held += 64 + sum(len(v) for v in row[-3:] if v is not None)
-                if held >= limit or len(out) == 10_000:
-                    yield _tiles(out)
-                    out, held = [], 0
+        for row in found(batches):
+            out.append(row)
+            held += 64 + sum(len(v) for v in row[-3:] if v is not None)
+            if held >= limit or len(out) == 10_000:
+                yield _tiles(out)
+                out, held = [], 0
         if out:
             yield _tiles(out)
     return run
@@ -144,92 +174,97 @@ def _tiles(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
-def _band(rows: Iterator[tuple], k0: int, step: int, sigma2: float, kernel: str) -> Iterator[tuple]:
-    """The tiles of one band's own block rows.
+class _Band:
+    """A band's block rows in one step: the pivots of the step's panels, the others of the band and
+    the values' row, by number."""
+
+    def __init__(self, blocks: list[tuple], k0: int, step: int):
+        self.sid, self.tiles, self.rows, self.alpha, self.tau = (blocks[0][c] for c in (0, 6, 7, 8, 9))
+        self.pivots = min(step, self.tiles - k0)
+        # (i, kind, own, height) of each block row
+        self.blocks = tuple((b[3], b[4], b[5], 1 if b[4] == Y else len(b[11])) for b in blocks)
+        self.x = np.concatenate([np.zeros(1) if b[4] == Y else b[11] for b in blocks])
+        self.y = np.concatenate([b[12] for b in blocks[:self.pivots]])
+        self.shape = self.tiles, self.rows, self.blocks
+        self.bytes = 8 * len(self.x) * len(self.y)
 
-    ``rows`` come sorted by (m, i).  First all block rows: the pivots of the step's panels, the
-    others of the band and the values' row.  Then for each earlier panel m their tiles, the
-    pivots' first.
+
+def _eliminate(bands: list[_Band], earlier: Iterable[tuple], k0: int, sigma2: float, kernel: str) -> Iterator[tuple]:
+    """The tiles of the own block rows of bands of one shape, as one stack.
+
+    ``earlier``: of a band by itself, the tiles of earlier steps, sorted by (m, i): for each step m
+    those of the pivots first.
     """
-    blocks, tile = [], None
-    for tile in rows:
-        if tile[2] >= 0:
-            break
-        blocks.append(tile)
-        tile = None
-    sid, tiles, total, alpha, tau = (blocks[0][c] for c in (0, 6, 7, 8, 9))
-    pivots = min(step, tiles - k0)
-    cx = np.concatenate([b[11] for b in blocks[:pivots]])
-    heights = [1 if b[4] == Y else len(b[11]) for b in blocks]
-    ends = np.cumsum([0, *heights]).tolist()
-    at = {b[3]: (ends[r], ends[r + 1]) for r, b in enumerate(blocks)}
-    x = np.concatenate([np.zeros(1) if b[4] == Y else b[11] for b in blocks])
-    cells = sigma2 * unit_kernel((x[:, None] - cx) ** 2, alpha, tau, kernel)
-    width = len(cx)
-    cells[np.diag_indices(width)] += sigma2
-    values = at[tiles][0]
-    cells[values] = np.concatenate([b[12] for b in blocks[:pivots]])
-    # What earlier steps explain: L_im L_km' for each of their panels m.
-    while tile is not None:
-        pivot = [_cells(tile[13], tile[10])]
-        pivot += [_cells(t[13], t[10]) for _, t in zip(range(pivots - 1), rows)]
-        pivot = np.concatenate(pivot)
-        cells[:width] -= pivot @ pivot.T
-        m, tile = tile[2], None
-        for tile in rows:
-            if tile[2] != m:
-                break
-            low, up = at[tile[3]]
-            cells[low:up] -= _cells(tile[13], tile[10]) @ pivot.T
-            tile = None
+    one = bands[0]
+    tiles, pivots, blocks = one.tiles, one.pivots, one.blocks
+    ends = np.cumsum([0, *(b[3] for b in blocks)]).tolist()
+    at = {b[0]: (ends[r], ends[r + 1]) for r, b in enumerate(blocks)}
+    width, values = ends[pivots], at[tiles][0]
+    x = np.stack([b.x for b in bands])
+    alpha, tau = (np.array(v)[:, None, None] for v in ([b.alpha for b in bands], [b.tau for b in bands]))
+    cells = sigma2 * unit_kernel((x[:, :, None] - x[:, None, :width]) ** 2, alpha, tau, kernel)
+    n = np.arange(width)
+    cells[:, n, n] += sigma2
+    cells[:, values] = [b.y for b in bands]
+    # What earlier steps explain: L_im L_km' for the panels of each step m.
+    for _, met in groupby(earlier, key=itemgetter(2)):
+        pivot = np.concatenate([_cells(t[13], t[10]) for t in islice(met, pivots)])
+        cells[0, :width] -= pivot @ pivot.T
+        for t in met:
+            low, up = at[t[3]]
+            cells[0, low:up] -= _cells(t[13], t[10]) @ pivot.T
     # The step's own panels.
-    for r in range(pivots):
-        a, b = ends[r], ends[r + 1]
+    for a, b in zip(ends, ends[1:pivots + 1]):
         if a:
-            cells[a:, a:b] -= cells[a:, :a] @ cells[a:b, :a].T
-        diagonal = cells[a:b, a:b] = np.linalg.cholesky(cells[a:b, a:b])
-        cells[b:, a:b] = np.linalg.solve(diagonal, cells[b:, a:b].T).T
+            cells[:, a:, a:b] -= cells[:, a:, :a] @ cells[:, a:b, :a].swapaxes(1, 2)
+        diagonal = cells[:, a:b, a:b] = np.linalg.cholesky(cells[:, a:b, a:b])
+        cells[:, b:, a:b] = np.linalg.solve(diagonal, cells[:, b:, a:b].swapaxes(1, 2)).swapaxes(1, 2)
     last = k0 + pivots - 1
-    for block, low, up in zip(blocks, ends, ends[1:]):
-        i, kind = block[3], block[4]
-        if not block[5]:
+    over = last == tiles - 1  # no later step reads tiles of these series
+    logs = np.cumsum(2.0 * np.log(np.diagonal(cells, axis1=1, axis2=2)), axis=1)
+    own = [r for r, b in enumerate(blocks) if b[2]]
+    diagonals = [r for r in own if r < pivots]
+    if diagonals:
+        low, up = ends[diagonals[0]], ends[diagonals[-1] + 1]
+        terms = (logs[:, up - 1] - (logs[:, low - 1] if low else 0.0)).tolist()
+        i = blocks[diagonals[-1]][0]
+        for band, term in zip(bands, terms):
+            yield band.sid, i, i, P, tiles, one.rows, width, term, None, None, None
+    for r in own:
+        (i, kind, _, _), low, up = blocks[r], ends[r], ends[r + 1]
+        if r < pivots or (over and kind == P):
             continue
-        means = squares = None
-        if kind == G:
-            own = cells[low:up]
-            means, squares = own @ cells[values], (own * own).sum(axis=1)
-            if last == tiles - 1:  # no later panel reads the tiles of these rows
-                yield sid, i, last, kind, tiles, total, up - low, None, means, squares, None
-                continue
-        for r in range(pivots if kind != P else min(pivots, i - k0 + 1)):
-            k, one, term = k0 + r, np.ascontiguousarray(cells[low:up, ends[r]:ends[r + 1]]), None
-            if i == k:
-                term = 2.0 * float(np.log(np.diagonal(one)).sum())
-            elif kind == Y:
-                term = float((one * one).sum())
-            ends_here = k == last and kind == G
-            yield (sid, i, k, kind, tiles, total, one.shape[1], term, means if ends_here else None,
-                   squares if ends_here else None, one.tobytes())
+        for band, c in zip(bands, cells):
+            row = c[low:up]
+            term = float((row * row).sum()) if kind == Y else None
+            means, squares = (row @ c[values], (row * row).sum(axis=1)) if kind == G else (None, None)
+            yield (band.sid, i, last, kind, tiles, one.rows, width, term, means, squares,
+                   None if over else row.tobytes())
 
 
 def _factorise(blocks: DataFrame, sigma2: float, kernel: str, tile: int) -> DataFrame:
-    """The tiles of the factors: (sid, i, k, kind, tiles, rows, cols, term, up, squares, cells).
-
-    ``term`` is a diagonal tile's part of the log determinant and a values' tile's of y' K^-1 y.
-    ``up`` and ``squares`` stand once a step with each block row to predict: its products with the
-    values' row and its squares, summed over the step's panels.  Such rows have no cells once
-    their series has ended.  The last step is not written: read the result once.
+    """The factors, a row for each block row and step: (sid, i, k, kind, tiles, rows, cols, term, up,
+    squares, cells), k being the step's last panel.
+
+    ``cells`` are the block row's tiles of the step's panels, side by side, if a later step reads
+    them.  ``term`` is a values' row's part of y' K^-1 y and, with i = k, the part that the diagonal
+    tiles of a band have in the log determinant.  ``up`` and ``squares`` stand with each block row
+    to predict: its products with the values' row and its squares, summed over the step's panels.
+    The last step is not written: read the result once.
     """
     spark = blocks.sparkSession
     step, band = _tile_budget(tile)
-    panels = blocks.agg(F.max("tiles")).first()[0] or 0
+    panels, count = blocks.agg(F.max("tiles"), F.count(F.lit(1))).first()
+    # The work is far more than the bytes tell, so the tasks are not left to their sizes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(tasks, count))
     path, done = scratch_path(spark, "gp-tiles"), None
     none = F.array().cast(_DOUBLES)
-    for k0 in range(0, panels, step):
+    for k0 in range(0, panels or 0, step):
         live = (F.col("tiles") > k0) & (F.col("i") >= k0)
         rows = blocks.where(live).withColumns({"m": F.lit(-1), "cols": F.lit(0), "cells": F.lit(None).cast("binary")})
         if done is not None:
-            rows = rows.unionByName(done.where(live).withColumnRenamed("k", "m").withColumns(
+            rows = rows.unionByName(done.where(live & F.col("cells").isNotNull()).withColumnRenamed("k", "m").withColumns(
                 {"alpha": F.lit(0.0), "tau": F.lit(0.0), "x": none, "y": none}).drop("term", "up", "squares"))
         # Pivots and values go to every band of their series.
         own = F.floor(F.col("i") / F.lit(band)).cast("int")
@@ -237,8 +272,8 @@ def _factorise(blocks: DataFrame, sigma2: float, kernel: str, tile: int) -> Data
         shared = ((F.col("kind") == P) & (F.col("i") < k0 + step)) | (F.col("kind") == Y)
         met = (rows.withColumn("band", F.explode(F.when(shared, bands).otherwise(F.array(own))))
                .withColumn("own", F.col("band") == own).select(*_MET)
-               .repartition("sid", "band").sortWithinPartitions("sid", "band", "m", "i"))
-        out = met.mapInArrow(_eliminated(k0, step, sigma2, kernel, BATCH_BYTES), _TILE)
+               .repartition(tasks, "sid", "band").sortWithinPartitions("sid", "band", "m", "i"))
+        out = met.mapInArrow(_eliminated(k0, step, sigma2, kernel, BATCH_BYTES, STACK_BYTES), _TILE)
         if k0 + step >= panels:
             return out if done is None else done.unionByName(out)
         out.write.mode("append").parquet(path)
@@ -271,7 +306,8 @@ def tiled_grid_terms(series: DataFrame, alphas: Sequence[float], taus: Sequence[
 def tiled_log_likelihood(series: DataFrame, keys: Sequence[str], sigma2: float, alpha: float, tau: float,
                          t: str = "tw", v: str = "v", kernel: str = "rq", tile: int = TILE) -> DataFrame:
     """As :func:`gapseries.operators.gp.gp_log_likelihood`, in tiles: keys, n, mean, l2_dev, log_likelihood."""
-    data = cut_lineage(_standardised(series.where(F.size(t) > 0), t, v, F.lit(float(alpha)), F.lit(float(tau))))
+    data = series.where(F.size(t) > 0).select(*keys, t, v)
+    data = cut_lineage(_standardised(data, t, v, F.lit(float(alpha)), F.lit(float(tau))))
     sums = _terms(data, sigma2, kernel, tile)
     ll = -(F.col("q") + F.col("logdet")) / 2.0 - F.col("n") / 2.0 * F.lit(LOG_2PI)
     return (data.join(sums, F.col("sid") == F.col("s"))
@@ -287,7 +323,8 @@ def tiled_resample_arrays(series: DataFrame, keys: Sequence[str], sigma2: float,
     pad = padding_length * step / 2.0
     span = F.array_max("_t") + F.lit(pad) - F.col("t0")
     last = F.floor(F.round(span / F.lit(step), 9)).cast("int")
-    data = _standardised(series.where(F.size(t) > 0), t, v, F.lit(float(alpha)), F.lit(float(tau)))
+    data = series.where(F.size(t) > 0).select(*keys, t, v)
+    data = _standardised(data, t, v, F.lit(float(alpha)), F.lit(float(tau)))
     data = (data.withColumn("t0", F.array_min("_t") - F.lit(pad))
             .withColumn("points", last + 1))
     data = cut_lineage(data)

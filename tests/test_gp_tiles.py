@@ -1,6 +1,7 @@
 """The tiled factorisation against the dense one."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,70 @@ def test_tiles_of_a_series_that_ends_at_once_are_not_dealt_out(spark, monkeypatc
     assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "Join" not in plans[0]
 
 
+def test_series_that_end_at_once_leave_no_tiles_and_fill_the_tasks(spark, monkeypatch):
+    """Two numbers a short series, and tasks by the cores: the few bytes of points are much work."""
+    seen = []
+    real = gt._factorise
+
+    def watched(*args):
+        tiles = real(*args)
+        seen.append((tiles.count(), tiles.where("cells is not null").count(), tiles.rdd.getNumPartitions()))
+        return tiles
+
+    monkeypatch.setattr(gt, "_factorise", watched)
+    gt.tiled_log_likelihood(series(spark, {k: 10 + k % 9 for k in range(60)}), ["k"], 0.2, 1.0, 1.0, tile=8).collect()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert seen == [(120, 0, tasks)]
+
+
+def test_a_step_keeps_what_later_ones_read(spark, monkeypatch):
+    """A row a block row below the step's pivots, with the step's tiles side by side."""
+    kept = []
+    real = gt._factorise
+
+    def watched(*args):
+        tiles = real(*args)
+        kept.extend((r.k, r.i, r.n) for r in tiles.where("cells is not null").select(
+            "k", "i", F.octet_length("cells").alias("n")).collect())
+        return tiles
+
+    monkeypatch.setattr(gt, "_factorise", watched)
+    monkeypatch.setattr(gt, "BATCH_BYTES", 16 * 16 * 16 * 4)  # steps of two panels
+    gt.tiled_log_likelihood(series(spark, {1: 75}), ["k"], 0.2, 1.0, 1.0, tile=16).collect()
+    tile = 8 * 16 * 32  # 16 rows of two panels; the last block row has 11 points, the values' has one
+    assert sorted(kept) == [(1, 2, tile), (1, 3, tile), (1, 4, 8 * 11 * 32), (1, 5, 8 * 32),
+                            (3, 4, 8 * 11 * 32), (3, 5, 8 * 32)]
+
+
+def test_bands_of_one_shape_go_through_the_panels_as_one(monkeypatch):
+    stacks = []
+    real = gt._eliminate
+
+    def watched(bands, *args):
+        stacks.append(len(bands))
+        return real(bands, *args)
+
+    monkeypatch.setattr(gt, "_eliminate", watched)
+    rng = np.random.default_rng(1)
+    points = {s: (np.sort(rng.uniform(0, 9, n)), rng.normal(size=n)) for s, n in enumerate([11] * 30 + [5, 16])}
+    rows = []
+    for s, (x, y) in points.items():
+        tiles = -(-len(x) // 8)
+        for i in range(tiles):
+            rows.append((s, 0, -1, i, gt.P, True, tiles, tiles + 1, 1.5, 0.8, 0, x[8 * i:8 * i + 8], y[8 * i:8 * i + 8], None))
+        rows.append((s, 0, -1, tiles, gt.Y, True, tiles, tiles + 1, 1.5, 0.8, 0, [], [], None))
+    kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_(), *[pa.int32()] * 2, *[pa.float64()] * 2, pa.int32(),
+             *[pa.list_(pa.float64())] * 2, pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=gt._MET)
+    run = gt._eliminated(0, 256, 0.2, "rq", gt.BATCH_BYTES, gt.STACK_BYTES)
+    found = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert sorted(stacks) == [1, 1, 30] and len(found) == 2 * len(points)
+    for s, (x, y) in points.items():
+        k = 0.2 * (gp.unit_kernel((x[:, None] - x) ** 2, 1.5, 0.8) + np.eye(len(x)))
+        terms = {r["kind"]: r["term"] for r in found if r["sid"] == s}
+        assert abs(terms[gt.P] - np.linalg.slogdet(k)[1]) < 1e-9 and abs(terms[gt.Y] - y @ np.linalg.solve(k, y)) < 1e-9
+
+
 def test_equal_times_and_constant_values(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0, 1.0, 1.0, 1.0], [2.0] * 5)], "k int, tw array<double>, v array<double>")
     want = gp.gp_log_likelihood(df, ["k"], 0.5, 1.0, 1.0).first()
